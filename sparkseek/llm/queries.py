@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, minhash, mixing, quality
+from . import decontam, langid, linededup, lmscore, minhash, mixing, pii, quality, rlindex, urlrules
 from .common import read
 
 
@@ -15,25 +15,49 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), lmscore.held_out(F.col("doc_id"), 4, 2))
+
+
+def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(read(spark, sf_dir, "documents").select("doc_id", "text"), lmscore.held_out(F.col("doc_id"), 5, 1))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", quality.judge(F.col("text")).alias("q")).select("doc_id", "q.*")
 
 
+def op7_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels"))
+
+
 def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.temperature_mix(docs).drop("text")
 
 
+def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlindex.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spaced_seeds, op3_superminhash, op6_compression_bands, op8_temperature_mix, op10_fuzzy_lines)
-}
+    f.__name__: f
+    for f in (
+        op1_spaced_seeds, op2_contextual_pii, op3_superminhash, op4_partial_matching, op5_backoff_automaton,
+        op6_compression_bands, op7_association_rules, op8_temperature_mix, op9_run_length_index, op10_fuzzy_lines,
+    )
+}
 
 ORACLE: dict[str, str] = {}
