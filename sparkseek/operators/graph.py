@@ -1,0 +1,24 @@
+"""Connected components of a small graph of string nodes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.scratch import scratch_table
+
+
+def connected(links: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node, root): labels pass along links (a, b) and are then jumped to their own label,
+    until nothing changes; each round is a written table."""
+    both = scratch_table(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
+    label = scratch_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    for _ in range(rounds):
+        near = both.join(label.toDF("b", "r"), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
+        told = label.join(near, "node").select("node", F.least("root", "r").alias("root"))
+        up = told.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        new = scratch_table(told.join(up, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
+        if new.exceptAll(label).isEmpty():
+            return new
+        label = new
+    raise RuntimeError("labels did not settle")
