@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -174,6 +174,10 @@ def bootstrap(scratch: Scratch, found: DataFrame) -> DataFrame:
     return rated.where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= SEEDS)).select("kind", "pattern")
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every row."""
     scratch = Scratch(docs.sparkSession)
@@ -188,5 +192,5 @@ def find(docs: DataFrame) -> DataFrame:
     spans = F.array_sort(F.concat("own", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     names = F.array(*map(F.lit, KINDS))
     said = F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("own", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [_count(F.col("own"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return out.select("doc_id", *counts, "base_sha256", said.alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"))
