@@ -10,30 +10,32 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 
-def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: int, name: str) -> DataFrame:
+def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str, name: str) -> DataFrame:
     """(node, root) of the graph whose edges are the verified pairs that share a key.
 
-    keys: (key, id, size); a pair can only hold if 100 * smaller size >= ratio * larger.
-    verify: (a, b) -> the pairs that hold.
+    keys: key, id and what ``near`` needs.  near: a cheap SQL condition that every pair to be
+    verified meets, over those columns with the endings _a and _b.  verify: (a, b) -> the
+    pairs that hold.
 
     First every item is compared with the least item of its bucket alone, so a bucket of
     n copies costs n - 1 pairs.  Then only pairs whose items are still in different
     components are compared.  No pair that could join two components is left out, so
     the components are those of all pairs that share a key."""
-    firsts = keys.groupBy("key").agg(F.min(F.struct("id", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    hot = scratch.write(keys.join(firsts, "key").select("key", "id", "size", F.col("c.id").alias("cid"), F.col("c.size").alias("csize")), f"{name}-hot")
-    near = f"100 * least(size, csize) >= {ratio} * greatest(size, csize)"
-    pairs = scratch.write(hot.where(f"id <> cid and {near}").select(F.col("cid").alias("a"), F.col("id").alias("b")).distinct(), f"{name}-pairs")
+    more = [c for c in keys.columns if c not in {"key", "id"}]
+    sides = {x: [F.col(c).alias(f"{c}_{x}") for c in ("id", *more)] for x in "ab"}
+    firsts = keys.groupBy("key").agg(F.min(F.struct("id", *more)).alias("c"), F.count("*").alias("n")).where("n > 1")
+    hot = scratch.write(keys.join(firsts.select("key", "c"), "key"), f"{name}-hot")
+    stars = hot.select("key", *sides["b"], *(F.col(f"c.{c}").alias(f"{c}_a") for c in ("id", *more)))
+    pairs = scratch.write(stars.where(f"id_a <> id_b and {near}").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), f"{name}-pairs")
     links = scratch.write(verify(pairs), f"{name}-links")
     roots = components(scratch, links, f"{name}-stars")
-    told = hot.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("label"))
+    told = hot.drop("c").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id"))
     mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = scratch.write(told.join(mixed, "key"), f"{name}-rest")
-    left = rest.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "label")))
-    right = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "label")))
-    cross = left.join(right, "key").where(f"id_a < id_b and label_a <> label_b and 100 * least(size_a, size_b) >= {ratio} * greatest(size_a, size_b)")
-    more = scratch.write(cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), f"{name}-cross")
-    found = scratch.write(verify(more), f"{name}-found")
+    rest = scratch.write(told.drop("root").join(mixed, "key"), f"{name}-rest")
+    left, right = (rest.select("key", *sides[x], F.col("label").alias(f"label_{x}")) for x in "ab")
+    cross = left.join(right, "key").where(f"id_a < id_b and label_a <> label_b and {near}")
+    cross = scratch.write(cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), f"{name}-cross")
+    found = scratch.write(verify(cross), f"{name}-found")
     if not found.isEmpty():
         roots = components(scratch, links.union(found), f"{name}-all")
     scratch.drop(f"{name}-hot", f"{name}-rest", f"{name}-pairs", f"{name}-cross")

@@ -117,7 +117,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("sa", "sb"))
         return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(f"100 * i >= {PERCENT} * u and i > 0").select("a", "b").distinct()
 
-    roots = link_buckets(scratch, keys, verify, PERCENT, "near")
+    near = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
+    roots = link_buckets(scratch, keys, verify, near, "near")
     named = scratch.write(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")), "named")
     out = signed_docs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
