@@ -18,7 +18,9 @@ FRAMING_WORDS = tuple(
     "open opens launch launches start starts run runs go to the a an and or for of in on with your this it console management settings setting page app application tool program window utility snap applet".split()
 )
 # Function words that tell prose from listings.
-FUNCTION_WORDS = tuple("a an the and or of to in on for with is are was be by as that this it you your can from at not into when which".split())
+FUNCTION_WORDS = tuple(
+    "the a an of to in on for with by from as at into is are was were be been it its this that these those and or but if when which who whose you your their them can will would should may not than then there such each any all more most other between about over up out".split()
+)
 
 
 def words(text: Column, pattern: str = r"[\p{L}\p{N}]+") -> Column:
@@ -190,10 +192,19 @@ def file_size(size: Column) -> Column:
 
 
 def launch_command(kind: Column, target: Column, arguments: Column) -> Column:
-    """The command line that opens a thing: host by launch kind, quotes where blanks are."""
-    quoted = F.when(target.contains(" "), F.concat(F.lit('"'), target, F.lit('"'))).otherwise(target)
-    host = F.when(kind == 1, F.concat(F.lit("explorer.exe "), quoted)).when(kind == 2, F.concat(F.lit("explorer.exe "), quoted)).when(kind == 3, F.concat(F.lit("control.exe "), quoted)).when(kind == 4, F.concat(F.lit("mmc.exe "), quoted)).otherwise(quoted)
-    return F.concat_ws(" ", host, F.nullif(F.trim(arguments), F.lit("")))
+    """The command line that opens a thing: host by launch kind, quotes where blanks are; an
+    address stands as it is."""
+    target = F.trim(F.coalesce(target, F.lit("")))
+    quote = lambda v: F.when(v.contains(" "), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v)
+    own = F.concat_ws(" ", quote(target), F.nullif(F.trim(arguments), F.lit("")))
+    line = (
+        F.when(kind == 0, F.concat(F.lit("explorer.exe "), quote(F.concat(F.lit("shell:AppsFolder\\"), target))))
+        .when(kind == 3, target)
+        .when(kind == 4, F.concat(F.lit("control.exe "), quote(target)))
+        .when(kind == 5, F.concat(F.lit("mmc.exe "), quote(target)))
+        .otherwise(own)
+    )
+    return F.when(target == "", F.lit("")).otherwise(line)
 
 
 def version_parts(version: Column) -> Column:

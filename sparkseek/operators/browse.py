@@ -76,7 +76,7 @@ def group_counts(rows: DataFrame, column: str, none: str = "none") -> DataFrame:
 def index_stats(entities: DataFrame) -> DataFrame:
     """Counts of applications, tools, settings and the rest."""
     k = F.col("kind")
-    groups = {"apps": k.isin(0, 1), "tools": k.isin(5, 7), "settings": k.isin(2, 3, 4)}
+    groups = {"apps": k.isin(0, 1), "tools": k.isin(4, 6), "settings": k.isin(2, 3)}
     rest = ~(groups["apps"] | groups["tools"] | groups["settings"])
     return entities.agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for n, c in groups.items()), F.count_if(rest).alias("other"))
 

@@ -35,7 +35,7 @@ def content_hash(fields: list[Column], metadata: Column | None = None) -> Column
 
 def dedupe_key(kind: Column, launch_kind: Column, target: Column, name: Column, scope: Column) -> Column:
     """Things that run are one by name (within a scope); others by what they open as well."""
-    runs = kind.isin(0, 1, 5, 7)
+    runs = kind.isin(0, 1, 6)
     plain = normalize_name(name)
     return F.when(runs, F.concat_ws("|", F.lit("app"), scope, plain)).otherwise(F.concat_ws("|", launch_kind.cast("string"), F.coalesce(target, F.lit("")), plain))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, text
+from ..functions import names, synthesis, text
 from ..operators import browse, build, fusion, lexical, vector
 from ..schema import RankingOptions
 from ..streaming import usage as streams
@@ -454,7 +454,7 @@ def stats_by_source(spark, sf):
     return browse.group_counts(table(spark, sf, "documents"), "source")
 
 
-@query(f"WITH {ENTITIES_SQL} SELECT count(*) AS total, count(*) FILTER (kind IN (0, 1)) AS apps, count(*) FILTER (kind IN (5, 7)) AS tools, count(*) FILTER (kind IN (2, 3, 4)) AS settings, count(*) FILTER (kind = 6) AS other FROM ents")
+@query(f"WITH {ENTITIES_SQL} SELECT count(*) AS total, count(*) FILTER (kind IN (0, 1)) AS apps, count(*) FILTER (kind IN (4, 6)) AS tools, count(*) FILTER (kind IN (2, 3)) AS settings, count(*) FILTER (kind IN (5, 7)) AS other FROM ents")
 def stats_conditional(spark, sf):
     return browse.index_stats(views.entities(spark, sf))
 
@@ -571,3 +571,19 @@ def near_duplicate_phrases(spark, sf):
     both = a.join(b, "t").where("a < b").dropDuplicates(["a", "b"])  # pairs that share a word
     i, u = F.size(F.array_intersect("wa", "wb")), F.size(F.array_union("wa", "wb"))
     return both.select("a", "b", long(i, "i"), long(u, "u")).where("i * 3 >= u")
+
+
+# --------------------------------------------------------------------------- synthesis
+
+
+@query()
+def synthesize_profile(spark, sf):
+    ents = views.entities(spark, sf)
+    rows = ents.select("id", "display_name", "kind", F.concat(F.lit("C:\\Tools\\"), F.regexp_replace("display_name", " ", ""), F.lit(".exe")).alias("launch_target"), F.create_map(F.lit("description"), F.substring("summary", 1, 200)).alias("raw_metadata"))
+    said = ents.select(F.col("id").alias("entity_id"), F.lit("learn").alias("provider"), F.lit(True).alias("is_online"), F.concat(F.lit("Tags: "), F.col("category"), F.lit("; "), F.col("publisher"), F.lit(" Summary: "), F.col("details")).alias("text"))
+    return synthesis.synthesize(rows, said).select("entity_id", "summary", F.array_join("tasks", "|").alias("tasks"), F.array_join("synonyms", "|").alias("synonyms"), "category", "details")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'explorer.exe ' || q(concat('shell:AppsFolder\\', p_name)) WHEN 3 THEN p_name WHEN 4 THEN 'control.exe ' || q(p_name) WHEN 5 THEN 'mmc.exe ' || q(p_name) ELSE q(p_name) || ' /' || p_brand END AS line FROM part".replace("q(p_name)", "'\"' || p_name || '\"'").replace("q(concat('shell:AppsFolder\\', p_name))", "'\"shell:AppsFolder\\' || p_name || '\"'"))
+def launch_command(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", text.launch_command(F.col("p_partkey") % 6, F.col("p_name"), F.concat(F.lit("/"), "p_brand")).alias("line"))

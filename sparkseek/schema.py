@@ -8,8 +8,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 # Codes in the order of declaration.
-ENTITY_KINDS = ("Application", "PackagedApp", "SettingsPage", "ControlPanelItem", "ManagementConsole", "SystemTool", "OptionalFeature", "Command")
-LAUNCH_KINDS = ("Executable", "AppsFolder", "Uri", "ControlPanel", "Mmc", "Shell")
+ENTITY_KINDS = ("Application", "PackagedApp", "SettingsPage", "ControlPanelApplet", "ManagementConsole", "OptionalFeature", "SystemTool", "ShellLocation")
+LAUNCH_KINDS = ("AppsFolder", "Executable", "Shortcut", "Uri", "ControlPanel", "Mmc")
 
 ENTITIES = T.StructType(
     [

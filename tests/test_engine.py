@@ -188,7 +188,7 @@ def test_browse(spark):
     ents = spark.createDataFrame([(f"s:{i}", i % 8, f"Name {i}", "x") for i in range(9)], "id string, kind int, display_name string, publisher string").withColumn("source", F.lit("s")).withColumn("category", F.lit(None).cast("string"))
     page = browse.list_entities(ents, limit=4)
     assert browse.next_cursor(page, 4).first()[0] == "s:3" and browse.next_cursor(browse.list_entities(ents, after="s:6", limit=4), 4).first()[0] is None
-    assert browse.parse_kind("command") == 7
+    assert browse.parse_kind("shelllocation") == 7
     with pytest.raises(ValueError):
         browse.parse_kind("nothing")
     assert not browse.get_entity(ents, "s:99").first()["found"] and browse.get_entity(ents, "s:1").first()["found"]
