@@ -10,30 +10,32 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 
-def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str, name: str) -> DataFrame:
+def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str, name: str, marks: DataFrame | None = None, alike: str = "true") -> DataFrame:
     """(node, root) of the graph whose edges are the verified pairs that share a key.
 
     keys: key, id and what ``near`` needs.  near: a cheap SQL condition that every pair to be
-    verified meets, over those columns with the endings _a and _b.  verify: (a, b) -> the
-    pairs that hold.
+    verified meets, over those columns with the endings _a and _b; alike: a further one over the
+    columns of marks (id, ..).  verify: (a, b) -> the pairs that hold.
 
     First every item is compared with the least item of its bucket alone, so a bucket of
     n copies costs n - 1 pairs.  Then only pairs whose items are still in different
     components are compared.  No pair that could join two components is left out, so
     the components are those of all pairs that share a key."""
     more = [c for c in keys.columns if c not in {"key", "id"}]
-    sides = {x: [F.col(c).alias(f"{c}_{x}") for c in ("id", *more)] for x in "ab"}
-    firsts = keys.groupBy("key").agg(F.min(F.struct("id", *more)).alias("c"), F.count("*").alias("n")).where("n > 1")
-    hot = scratch.write(keys.join(firsts.select("key", "c"), "key"), f"{name}-hot")
-    stars = hot.select("key", *sides["b"], *(F.col(f"c.{c}").alias(f"{c}_a") for c in ("id", *more)))
-    pairs = scratch.write(stars.where(f"id_a <> id_b and {near}").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), f"{name}-pairs")
+    # numbers alone are aggregated, in hash tables without a sort; buckets of one item go
+    firsts = keys.groupBy("key").agg(F.min("id").alias("cid"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hot = scratch.write(keys.join(firsts.hint("shuffle_hash"), "key"), f"{name}-hot")
+    ends = lambda df, x, *others: df.select(*others, *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in others))
+    centre = ends(hot.where("id = cid").drop("cid"), "a", "key")
+    stars = ends(hot.where("id <> cid").drop("cid"), "b", "key").join(centre, "key").where(near)
+    pairs = scratch.write(stars.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), f"{name}-pairs")
     links = scratch.write(verify(pairs), f"{name}-links")
     roots = components(scratch, links, f"{name}-stars")
-    told = hot.drop("c").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id"))
+    told = hot.drop("cid").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
     mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = scratch.write(told.drop("root").join(mixed, "key"), f"{name}-rest")
-    left, right = (rest.select("key", *sides[x], F.col("label").alias(f"label_{x}")) for x in "ab")
-    cross = left.join(right, "key").where(f"id_a < id_b and label_a <> label_b and {near}")
+    rest = told.join(mixed, "key")
+    rest = scratch.write(rest if marks is None else rest.join(marks, "id"), f"{name}-rest")
+    cross = ends(rest, "a", "key").join(ends(rest, "b", "key"), "key").where(f"id_a < id_b and label_a <> label_b and {near} and {alike}")
     cross = scratch.write(cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), f"{name}-cross")
     found = scratch.write(verify(cross), f"{name}-found")
     if not found.isEmpty():

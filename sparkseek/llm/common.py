@@ -4,7 +4,9 @@ tokens and 64-bit hashes."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,11 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,10 +45,10 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and return a reader of what was written."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -62,11 +65,13 @@ class Scratch:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs that nothing refers to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished jobs.  It learns of them when
+    the driver's JVM collects what nothing refers to; the first collection finds the plans,
+    the next what they held."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -122,6 +127,29 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
+def might_hold(df: DataFrame, key: str, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``ids``: none that is goes missing, few others stay.
+
+    A bitmap over hashed keys, of a fixed 2^bits bits (8 MB) at any number of ids, is put
+    together by Spark in pieces of 4 KB and sent to the executors, so that a join with few ids
+    need not shuffle all rows.  The join decides; a full bitmap only prunes less."""
+
+    def place(column: str):
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
+
+    rows = ids.select(place(ids.columns[0]).alias("p")).groupBy(F.expr("p >> 15").alias("k")).agg(F.bitmap_construct_agg(F.expr("p & 32767")).alias("b")).collect()
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for k, b in rows:
+        table[k << 12 : (k + 1) << 12] = np.frombuffer(b, np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def holds(places: pa.Array) -> pa.Array:
+        p = np.asarray(places)
+        return pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+
+    return df.where(arrow_udf(holds, "boolean")(place(key)))
+
+
 # --------------------------------------------------------------------------- hashes
 
 

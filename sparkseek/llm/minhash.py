@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import link_buckets
-from .common import U64, Scratch, Tokens, list_array, map_arrow, mix, shingle_sets, signed
+from .common import U64, Scratch, Tokens, list_array, map_arrow, might_hold, mix, shingle_sets, signed
 
 SLOTS, BANDS, WIDTH, PERCENT = 200, 40, 5, 75
+#: Seven slots' last seven bits are kept in a word; a pair at 0.75 differs in more than ``DIFFER``
+#: of the 196 slots with probability 2e-4, one at 0.8 with probability 1e-7.
+MARKS, DIFFER = 28, 70
 
 
 def superminhash(elements: np.ndarray, counts: np.ndarray, slots: int = SLOTS, together: int = 1 << 15) -> np.ndarray:
@@ -68,12 +71,25 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+def mark_words(signature: np.ndarray) -> np.ndarray:
+    """Words of seven slots' low bits, a byte each, whose top bits are free."""
+    low = (signature[:, : 7 * MARKS] & U64(127)).reshape(len(signature), MARKS, 7)
+    return (low << (U64(8) * np.arange(7, dtype=U64))).sum(2, dtype=U64)
+
+
+#: The number of bytes in which the words differ: adding 127 to a byte's difference sets its top bit.
+ALIKE = " + ".join(f"bit_count((m_a[{i}] ^ m_b[{i}]) + {0x7F7F7F7F7F7F7F}L & {0x80808080808080}L)" for i in range(MARKS)) + f" <= {DIFFER}"
+#: A pair that shares several bands is taken in the first of them.
+FIRST = "not exists(zip_with(slice(g_a, 1, i_a), slice(g_b, 1, i_a), (x, y) -> x = y), z -> z)"
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of every row; the digest stands for the set."""
+    """(doc_id, n_shingles, digest, bands, marks) of every row; the digest stands for the set."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets, counts = shingle_sets(Tokens.of(batch.column(1)), WIDTH)
-        bands = band_keys(superminhash(sets, counts))
+        slots = superminhash(sets, counts)
+        bands, marks = band_keys(slots), mark_words(slots)
         ends = np.cumsum(counts)
         digest = np.zeros((len(counts), 2), U64)
         some = np.flatnonzero(counts)
@@ -82,9 +98,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 digest[some, i] = np.add.reduceat(mix(sets ^ U64(salt)), (ends - counts)[some])
         names = [f"{a:016x}{b:016x}" if n else None for (a, b), n in zip(digest.tolist(), counts.tolist(), strict=True)]
         lists = list_array(signed(bands[some].reshape(-1)), np.where(counts > 0, BANDS, 0), pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(names, pa.string()), lists], ["doc_id", "n_shingles", "digest", "bands"])
+        words = list_array(signed(marks[some].reshape(-1)), np.where(counts > 0, MARKS, 0), pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(names, pa.string()), lists, words], ["doc_id", "n_shingles", "digest", "bands", "marks"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sign, "doc_id long, n_shingles long, digest string, bands array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sign, "doc_id long, n_shingles long, digest string, bands array<long>, marks array<long>")
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
@@ -108,17 +125,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = signed_docs.where("doc_id is not null and digest is not null")
     classes = scratch.write(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     heads = known.withColumnRenamed("doc_id", "id").join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi")
-    keys = heads.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("size")).distinct()
+    keys = heads.select("id", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("i", "key")).select("key", "id", "size", "i").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = scratch.write(shingle_rows(docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id", "left_semi")), "sets")
+        sets = scratch.write(shingle_rows(might_hold(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", wanted)), "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(f"100 * i >= {PERCENT} * u and i > 0").select("a", "b").distinct()
 
     near = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
-    roots = link_buckets(scratch, keys, verify, near, "near")
+    marks = heads.select("id", F.col("marks").alias("m"), F.col("bands").alias("g"))
+    roots = link_buckets(scratch, keys, verify, near, "near", marks, f"{ALIKE} and {FIRST}")
     named = scratch.write(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")), "named")
     out = signed_docs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
