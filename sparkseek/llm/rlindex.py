@@ -15,7 +15,7 @@ smaller doc_id.  The work is cut up so that no index grows with the corpus:
    that holds it.
 4. Marks return to their documents, whose bytes are then removed.
 
-Groups of more than ``GROUP`` distinct segments don't go to one task: their strings are
+Groups of more than ``GROUP`` distinct segments (2 MB) don't go to one task: their strings are
 aggregated one by one, with the same result.
 
 Defined results.  A null text is an empty text, of no bytes and no spans.  Rows with a null
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Scratch, free_shuffles, mix, powers, prefix_hash, signed, slices, text_buffer
 
-LEAST, GRAM, GROUP = 50, 20, 15_000
+LEAST, GRAM, GROUP = 50, 20, 25_000
 SPAN = LEAST - GRAM + 1
 NEAR = (LEAST - GRAM) // 2
 PLACE = 24  # bits of a place within a piece; the others order the hashes
@@ -157,7 +157,7 @@ class RunLengthIndex:
         before = code[order - 1]
         before[rest[order] == self.sizes[of[order]]] = 0
         self.start = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))).astype(np.int32)
-        self.symbol = before[self.start]
+        self.symbol, self.rows = before[self.start], n
         self.bound = np.append(self.start[1:], np.int32(n))
         length = self.bound - self.start
         self.sample = order[self.bound - 1]
@@ -337,27 +337,39 @@ def marks(scratch: Scratch, docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc, th, marks): for each document the places and sets of its strings that start in a
     smaller one.  docs: (doc, th, text)."""
     spark = docs.sparkSession
-    seen = _occurrences(docs)
-    both = "over (partition by h)"
-    shared = seen.select("h", "doc", "at", F.expr(f"min(doc) {both}").alias("lo"), F.expr(f"max(doc) {both}").alias("hi")).where("lo < hi")
-    runs = scratch.write(shared.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("runs")), "runs")
+
+    def shared_runs() -> DataFrame:
+        both = "over (partition by h)"
+        shared = _occurrences(docs).select("h", "doc", "at", F.expr(f"min(doc) {both}").alias("lo"), F.expr(f"max(doc) {both}").alias("hi")).where("lo < hi")
+        return scratch.write(shared.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("runs")), "runs")
+
+    def indexed(segments: DataFrame) -> DataFrame:
+        many = segments.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group).select("h")
+        large = segments.select("h", "s").join(many, "h").groupBy("h").agg(F.countDistinct("s").alias("k")).where(F.col("k") > group).select("h")
+        large = scratch.write(large, "large")
+        small = segments
+        if not large.isEmpty():
+            small = segments.join(large, "h", "left_anti")
+        found = small.select("h", "s", "doc", "seg", "a").repartition("h").sortWithinPartitions("h").mapInArrow(_index, "h long, s long, first long, mask long")
+        if small is not segments:
+            found = found.unionByName(_one_by_one(segments.join(large, "h", "left_semi")))
+        return scratch.write(found, "found")
+
+    def by_document(segments: DataFrame, found: DataFrame) -> DataFrame:
+        mask = F.when(F.col("doc") > F.col("first"), F.expr("shiftleft(1L, cast(n as int)) - 1")).otherwise(F.col("mask"))
+        held = segments.select("h", "s", "doc", "th", "begin", "n").join(found, ["h", "s"]).select("doc", "th", "begin", mask.alias("mask")).where("mask <> 0")
+        return scratch.write(held.groupBy("doc", "th").agg(F.collect_list(F.struct("begin", "mask")).alias("marks")), "marks")
+
+    # each step's plan goes out of scope with its function, so its shuffle files can go too
+    runs = shared_runs()
     free_shuffles(spark)
-    segments = scratch.write(_segments(docs.join(runs, "doc")).withColumn("s", F.xxhash64("seg", F.length("seg"))), "segments")
+    segments = scratch.write(_segments(docs.join(runs, "doc")).withColumn("s", F.xxhash64("seg", F.length("seg"))), "segments", "zstd")
+    scratch.drop("runs")
     free_shuffles(spark)
-    large = segments.groupBy("h").agg(F.approx_count_distinct("s", 0.1).alias("k")).where(F.col("k") > 0.7 * group).select("h")
-    large = scratch.write(large, "large")
-    if large.isEmpty():
-        small, told = segments, None
-    else:
-        small = segments.join(large, "h", "left_anti")
-        told = _one_by_one(segments.join(large, "h", "left_semi"))
-    found = small.select("h", "s", "doc", "seg", "a").repartition("h").sortWithinPartitions("h").mapInArrow(_index, "h long, s long, first long, mask long")
-    found = scratch.write(found if told is None else found.unionByName(told), "found")
+    found = indexed(segments)
     free_shuffles(spark)
-    mask = F.when(F.col("doc") > F.col("first"), F.expr("shiftleft(1L, cast(n as int)) - 1")).otherwise(F.col("mask"))
-    held = segments.select("h", "s", "doc", "th", "begin", "n").join(found, ["h", "s"]).select("doc", "th", "begin", mask.alias("mask")).where("mask <> 0")
-    out = scratch.write(held.groupBy("doc", "th").agg(F.collect_list(F.struct("begin", "mask")).alias("marks")), "marks")
-    scratch.drop("segments", "found", "runs")
+    out = by_document(segments, found)
+    scratch.drop("segments", "found", "large")
     free_shuffles(spark)
     return out
 
