@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, free_shuffles
 
 
 def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str, name: str, marks: DataFrame | None = None, alike: str = "true") -> DataFrame:
@@ -23,8 +23,9 @@ def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame]
     the components are those of all pairs that share a key."""
     more = [c for c in keys.columns if c not in {"key", "id"}]
     # numbers alone are aggregated, in hash tables without a sort; buckets of one item go
-    firsts = keys.groupBy("key").agg(F.min("id").alias("cid"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hot = scratch.write(keys.join(firsts.hint("shuffle_hash"), "key"), f"{name}-hot")
+    firsts = keys.groupBy("key").agg(F.min("id").alias("cid"), F.max("id").alias("last")).where("cid < last").drop("last")
+    hot = scratch.write(keys.join(firsts.hint("shuffle_hash"), "key").dropDuplicates(["key", "id"]), f"{name}-hot")
+    free_shuffles(scratch.spark)
     ends = lambda df, x, *others: df.select(*others, *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in others))
     centre = ends(hot.where("id = cid").drop("cid"), "a", "key")
     stars = ends(hot.where("id <> cid").drop("cid"), "b", "key").join(centre, "key").where(near)

@@ -241,6 +241,61 @@ def test_fuzzy_lines_find_small_changes(spark):
     assert got == {1: line + "\nshort line", 2: "short line", 3: "something else entirely different here"}
 
 
+def test_fuzzy_lines_equal_edit_distance_alone(spark, sf, texts):
+    """All pairs of lines, without any condition but the edit distance."""
+    places = defaultdict(list)
+    for i in sorted(texts):
+        for n, line in enumerate((texts[i] or "").lower().split("\n")):
+            t = common.Tokens.of(pa.array([line]), break_=linededup.SEPARATORS, fold=linededup.FOLD)
+            if t.counts[0] >= linededup.MIN_WORDS:
+                places[tuple(t.hashes.tolist())].append((i, n))
+    keys = sorted(places, key=len)
+    bags = [Counter(k) for k in keys]
+    links = []
+    for b, long in enumerate(keys):
+        most = linededup.EDITS * len(long) // 100
+        for a in range(b - 1, -1, -1):
+            if len(keys[a]) < len(long) - most:
+                break
+            if (bags[a] & bags[b]).total() >= len(long) - most and linededup.within_edits(keys[a], long, most):
+                links.append((a, b))
+    groups = defaultdict(list)
+    for k, r in unions(links, range(len(keys))).items():
+        groups[r] += places[keys[k]]
+    gone = defaultdict(set)
+    for g in groups.values():
+        for i, n in set(g) - {min(g)}:
+            gone[i].add(n)
+    got = rows_of(queries.op10_fuzzy_lines(spark, sf))
+    assert {r["doc_id"]: r["removed"] for r in got} == {i: sorted(gone[i]) for i in texts}
+
+
+def test_fuzzy_lines_find_every_pair_within_edits(spark):
+    """Against edit distance alone, at each length, for the most edits that are allowed."""
+    rng = random.Random(11)
+    said = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows, want = [], {}
+    for n in (4, 6, 7, 8, 10, 12, 17, 20, 30, 50, 200):
+        for _ in range(20):
+            line = [rng.choice(said[: 20 if n > 8 else 300]) if rng.random() < 0.5 else rng.choice(said) for _ in range(n)]
+            other = list(line)
+            most = linededup.EDITS * n // 100
+            for at in rng.sample(range(n), most):  # no insertions: the longer line stays the longer
+                other[at] = "new" + rng.choice(said)
+            far = list(line)
+            for at in rng.sample(range(n), most + 1):
+                far[at] = "far" + rng.choice(said)
+            i = len(rows)
+            rows += [(i, " ".join(line)), (i + 1, " ".join(other)), (i + 2, " ".join(far))]
+            want |= {i: [], i + 1: [0], i + 2: []}
+    got = {r["doc_id"]: r["removed"] for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = [t.split() for _, t in rows]
+    for i in range(2, len(rows), 3):  # the third line may by chance be near the first after all
+        near = any(linededup.within_edits(words[i], words[j], linededup.EDITS * len(words[i]) // 100) for j in (i - 1, i - 2))
+        assert got[i] == ([0] if near else [])
+        assert got[i - 1] == want[i - 1] and got[i - 2] == want[i - 2]
+
+
 def test_fuzzy_lines_odd(odd):
     got = linededup.clean(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
