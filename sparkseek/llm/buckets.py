@@ -19,8 +19,8 @@ def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame]
 
     First every item is compared with the least item of its bucket alone, so a bucket of
     n copies costs n - 1 pairs.  Then only pairs whose items are still in different
-    components are compared.  No pair that could join two components is left out, so
-    the components are those of all pairs that share a key."""
+    components are compared.  No pair that ``near`` and ``alike`` let through and that could join
+    two components is left out, so the components are those of all such pairs that share a key."""
     more = [c for c in keys.columns if c not in {"key", "id"}]
     # numbers alone are aggregated, in hash tables without a sort; buckets of one item go
     firsts = keys.groupBy("key").agg(F.min("id").alias("cid"), F.max("id").alias("last")).where("cid < last").drop("last")

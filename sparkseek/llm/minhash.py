@@ -21,8 +21,8 @@ from .common import U64, Scratch, Tokens, list_array, map_arrow, might_hold, mix
 
 SLOTS, BANDS, WIDTH, PERCENT = 200, 40, 5, 75
 #: Seven slots' last seven bits are kept in a word; a pair at 0.75 differs in more than ``DIFFER``
-#: of the 196 slots with probability 2e-4, one at 0.8 with probability 1e-7.
-MARKS, DIFFER = 28, 70
+#: of the 196 slots with probability 5e-9, far below the 2e-5 with which it shares no band.
+MARKS, DIFFER = 28, 85
 
 
 def superminhash(elements: np.ndarray, counts: np.ndarray, slots: int = SLOTS, together: int = 1 << 15) -> np.ndarray:

@@ -172,6 +172,18 @@ def test_near_duplicates_odd(spark, odd):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_marks_keep_pairs_at_the_threshold(spark):
+    """The marks lose far fewer pairs of exactly 0.75 than the bands, and let 80 differing slots through."""
+    slots, p = 7 * minhash.MARKS, 0.25 * 127 / 128
+    lost = sum(math.comb(slots, i) * p**i * (1 - p) ** (slots - i) for i in range(minhash.DIFFER + 1, slots + 1))
+    assert lost < 1e-3 * (1 - 0.75**minhash.WIDTH) ** minhash.BANDS
+    one = np.random.default_rng(5).integers(0, 2**64, (1, minhash.SLOTS), dtype=np.uint64)
+    other = one.copy()
+    other[0, :80] += np.uint64(1)
+    marks = [minhash.mark_words(x).view(np.int64)[0].tolist() for x in (one, other)]
+    assert spark.createDataFrame([tuple(marks)], "m_a array<long>, m_b array<long>").where(minhash.ALIKE).count() == 1
+
+
 # --------------------------------------------------------------------------- fuzzy lines
 
 
