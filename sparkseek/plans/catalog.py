@@ -358,8 +358,7 @@ def term_coverage(spark, sf):
     df = lexical.document_frequency(rows, F.col("m")).withColumnRenamed("word", "t")
     w = q.select("qid", F.explode("terms").alias("t")).join(df, "t", "left").select("qid", "t", lexical.idf(F.coalesce("df", F.lit(0)), total).alias("w"))
     q = q.join(w.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("idf")), "qid")
-    each = rows.where("doc_id % 100 = 0").select("id", "m", F.explode(F.array(*map(F.lit, range(1)))).alias("one"))
-    both = each.join(q.withColumn("one", F.lit(0)), "one")  # a stated set of rows against the queries
+    both = rows.select("id", "m").crossJoin(q)  # every entity has a row for every query
     return both.select("qid", "id", F.round(fusion.coverage(F.col("terms"), F.col("m"), F.col("idf")), 6).alias("coverage"))
 
 
