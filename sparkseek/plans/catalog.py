@@ -364,7 +364,7 @@ def term_coverage(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN n >= 3 THEN NULL ELSE d END AS details FROM (SELECT doc_id, d, count(*) OVER (PARTITION BY substring(d, 1, 120)) AS n FROM (SELECT doc_id, substring(text, 1, 300) AS d FROM documents))")
 def shared_details(spark, sf):
-    return fusion.shared_details(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300).alias("details")), "details", "doc_id")
+    return fusion.shared_details(table(spark, sf, "documents").select("doc_id", F.col("text").alias("details")), "details", "doc_id")
 
 
 #: Candidates with all kinds of evidence, made from line items by arithmetic.
@@ -559,7 +559,7 @@ def provider_plan(spark, sf):
 
 @query("WITH u AS (SELECT DISTINCT source AS entity_id, lang AS provider, doc_id % 2 = 0 AS is_online, substring(regexp_replace(text, '\\s+', ' ', 'g'), 1, 12) AS text FROM documents) SELECT entity_id, count(DISTINCT (provider, trim(text))) AS n FROM u WHERE trim(text) <> '' GROUP BY entity_id")
 def merge_documents(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("entity_id"), F.col("lang").alias("provider"), (F.col("doc_id") % 2 == 0).alias("is_online"), F.expr(r"substring(regexp_replace(text, '\\s+', ' '), 1, 12)").alias("text"))
+    d = table(spark, sf, "documents").select(F.col("source").alias("entity_id"), F.col("lang").alias("provider"), (F.col("doc_id") % 2 == 0).alias("is_online"), "text")
     return build.merge_documents(d.where("is_online"), d.where("not is_online")).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
