@@ -36,7 +36,9 @@ def _initials(queries: pa.Array, names: pa.Array) -> pa.Array:
 
 def is_subsequence(needle: Column, hay: Column) -> Column:
     """Whether the characters occur in order, with others between."""
-    pattern = F.concat(F.lit("(?s)"), F.array_join(F.transform(F.split(needle, ""), lambda c: F.when(c == "", F.lit("")).otherwise(F.concat(F.lit("\\Q"), c, F.lit("\\E")))), ".*"))
+    # each character in its first place after the one before, without backtracking
+    step = lambda c: F.concat(F.lit("(?:(?!\\Q"), c, F.lit("\\E).)*+\\Q"), c, F.lit("\\E"))
+    pattern = F.concat(F.lit("(?s)^"), F.array_join(F.transform(F.split(needle, ""), lambda c: F.when(c == "", F.lit("")).otherwise(step(c))), ""))
     return F.regexp_like(hay, pattern)
 
 

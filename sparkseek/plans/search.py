@@ -17,22 +17,22 @@ def match_text(name: Column, summary: Column) -> Column:
 
 
 def literal_arm(queries: DataFrame, entities: DataFrame, o: RankingOptions) -> DataFrame:
-    """(qid, key, strength, literal): name matches, ranked plainly.
+    """(qid, key, strength, literal): all name matches, ranked plainly.
 
     Queries meet distinct names, not entities: a name that matches must share a first letter
     with some word of the query, which gives the join its key."""
-    q = queries.select("qid", "query", normalize_name(F.col("query")).alias("q")).where("q <> '' and length(q) <= 64")
+    q = queries.select("qid", "query", normalize_name(F.col("query")).alias("q")).where("q <> ''")
     names = entities.select("display_name").distinct().select("display_name", normalize_name(F.col("display_name")).alias("n"))
     # every kind of match begins with a word of the name that begins with the query's first letter,
     # or (a subsequence) with that letter anywhere in the name
     letters = F.array_distinct(F.filter(F.split("n", ""), lambda c: (c != "") & (c != " ")))
-    near = q.withColumn("c", F.substring("q", 1, 1)).join(names.withColumn("c", F.explode(letters)), "c")
+    near = q.withColumn("c", F.substring("q", 1, 1)).join(names.withColumn("c", F.explode(letters)), "c").where("length(q) <= length(n)")  # no kind of match is shorter than its query
     strength, reason = match_strength(F.col("query"), F.col("display_name"), o)
     found = near.select("qid", "display_name", strength.alias("strength"), reason.alias("reason")).where("strength > 0")
     hits = found.join(entities.select("key", "display_name"), "display_name")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("strength"), F.upper("display_name"), "key")) - 1
     power = F.least(F.col("strength") / o.exact_match_boost, F.lit(1.0))
-    return hits.withColumn("place", place).where(F.col("place") < o.candidates_per_arm * 10).select("qid", "key", "strength", "reason", (power * fusion.reciprocal(o.literal_arm_weight, F.col("place"), o.rrf_k)).alias("literal"))
+    return hits.withColumn("place", place).select("qid", "key", "strength", "reason", (power * fusion.reciprocal(o.literal_arm_weight, F.col("place"), o.rrf_k)).alias("literal"))
 
 
 def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False) -> DataFrame:

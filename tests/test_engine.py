@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions import names, porter, text
 from sparkseek.operators import browse, build, fusion, lexical, vector
+from sparkseek.plans.search import literal_arm
 from sparkseek.schema import DOCUMENTS, ENTITIES, PROFILES, RankingOptions
 from sparkseek.sources import collectors
 from sparkseek.sources.store import IndexStore
@@ -201,3 +202,12 @@ def test_options(spark):
     finally:
         spark.conf.unset("spark.hybrid.rrf_k")
     assert RankingOptions().without_floors().min_vector_score == 0
+
+
+def test_literal_arm_keeps_every_match(spark):
+    """More than a thousand entities of one name, and a name and query of more than 64 characters."""
+    long = "tool " * 20 + "end"
+    ents = spark.createDataFrame([(i, "Paint") for i in range(1200)] + [(5000, long)], "key long, display_name string")
+    asked = spark.createDataFrame([(1, "paint"), (2, long)], "qid long, query string")
+    got = literal_arm(asked, ents, RankingOptions()).select("qid", "key").collect()
+    assert {r["key"] for r in got if r["qid"] == 1} == set(range(1200)) and [r["key"] for r in got if r["qid"] == 2] == [5000]
