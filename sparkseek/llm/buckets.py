@@ -3,43 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, free_shuffles
+from .common import Scratch, components
 
+ROUNDS = 4
 
-def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str, name: str, marks: DataFrame | None = None, alike: str = "true") -> DataFrame:
+
+def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str, name: str, marks: DataFrame | None = None, alike: str = "true", rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of the graph whose edges are the verified pairs that share a key.
 
     keys: key, id and what ``near`` needs.  near: a cheap SQL condition that every pair to be
     verified meets, over those columns with the endings _a and _b; alike: a further one over the
     columns of marks (id, ..).  verify: (a, b) -> the pairs that hold.
 
-    First every item is compared with the least item of its bucket alone, so a bucket of
-    n copies costs n - 1 pairs.  Then only pairs whose items are still in different
-    components are compared.  No pair that ``near`` and ``alike`` let through and that could join
-    two components is left out, so the components are those of all such pairs that share a key."""
-    more = [c for c in keys.columns if c not in {"key", "id"}]
+    In each of ``rounds`` rounds every item of a bucket is compared with one of them, its centre
+    (n - 1 pairs for n items), and the centre, which has met all others, leaves the bucket.  A
+    bucket whose items are all in one component is done.  Centres are drawn by hash, so that a
+    large group of alike items falls into one component within a few rounds.  What is left is
+    compared pair by pair, but for pairs in one component.  No pair that ``near`` and ``alike``
+    let through and that could join two components is left out, so the components are those of
+    all such pairs that share a key."""
     # numbers alone are aggregated, in hash tables without a sort; buckets of one item go
-    firsts = keys.groupBy("key").agg(F.min("id").alias("cid"), F.max("id").alias("last")).where("cid < last").drop("last")
-    hot = scratch.write(keys.join(firsts.hint("shuffle_hash"), "key").dropDuplicates(["key", "id"]), f"{name}-hot")
-    free_shuffles(scratch.spark)
-    ends = lambda df, x, *others: df.select(*others, *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in others))
-    centre = ends(hot.where("id = cid").drop("cid"), "a", "key")
-    stars = ends(hot.where("id <> cid").drop("cid"), "b", "key").join(centre, "key").where(near)
-    pairs = scratch.write(stars.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), f"{name}-pairs")
-    links = scratch.write(verify(pairs), f"{name}-links")
-    roots = components(scratch, links, f"{name}-stars")
-    told = hot.drop("cid").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-    mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = told.join(mixed, "key")
-    rest = scratch.write(rest if marks is None else rest.join(marks, "id"), f"{name}-rest")
-    cross = ends(rest, "a", "key").join(ends(rest, "b", "key"), "key").where(f"id_a < id_b and label_a <> label_b and {near} and {alike}")
-    cross = scratch.write(cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), f"{name}-cross")
+    firsts = keys.groupBy("key").agg(F.min("id").alias("cid"), F.max("id").alias("last"), F.count("*").alias("n")).where("cid < last").drop("last")
+    rest = scratch.write(keys.join(firsts.hint("shuffle_hash"), "key").dropDuplicates(["key", "id"]), f"{name}-rest")
+    ends = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in {"key", "cid", "n"}))
+    links: list[DataFrame] = []
+    roots, apart, old = None, "true", f"{name}-rest"
+    for i in range(rounds):
+        others = rest.where("id <> cid")
+        stars = ends(others, "b").join(ends(rest.where("id = cid"), "a"), "key").where(f"{near} and {apart}")
+        pairs = scratch.write(stars.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), f"{name}-pairs")
+        links.append(scratch.write(verify(pairs), f"{name}-links-{i}"))
+        roots = components(scratch, reduce(DataFrame.union, links), f"{name}-{i}")
+        scratch.drop(f"{name}-pairs")
+        told = others.where("n > 2").drop("cid", "label").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root", "n")
+        mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("id", F.xxhash64("id", F.lit(i))).alias("cid"), F.count("*").alias("n"))
+        rest = scratch.write(told.join(mixed.where("lo <> hi").drop("lo", "hi"), "key"), f"{name}-rest-{i}")
+        scratch.drop(old)
+        old, apart = f"{name}-rest-{i}", "label_a <> label_b"
+        if rest.isEmpty():
+            return roots
+    left = rest.drop("n", "cid") if marks is None else rest.drop("n", "cid").join(marks, "id")
+    left = scratch.write(left, f"{name}-left")
+    cross = ends(left, "a").join(ends(left, "b"), "key").where(f"id_a < id_b and label_a <> label_b and {near} and {alike}")
+    cross = scratch.write(cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), f"{name}-cross")
+    scratch.drop(old, f"{name}-left")
     found = scratch.write(verify(cross), f"{name}-found")
-    if not found.isEmpty():
-        roots = components(scratch, links.union(found), f"{name}-all")
-    scratch.drop(f"{name}-hot", f"{name}-rest", f"{name}-pairs", f"{name}-cross")
-    return roots
+    return roots if found.isEmpty() else components(scratch, reduce(DataFrame.union, [*links, found]), f"{name}-all")

@@ -40,6 +40,8 @@ class Scratch:
         if not base:
             base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
@@ -127,27 +129,52 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
+class Held:
+    """A bitmap of 2^bits places: what it does not hold is not among the places it was made of.
+
+    Its size is fixed (8 to 16 MB) at any number of places; a full bitmap only tells less apart,
+    so what it lets through must be decided by a join or an aggregation."""
+
+    def __init__(self, places: DataFrame, bits: int = 26):
+        p = F.col(places.columns[0]).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+        rows = places.select(p.alias("p")).groupBy(F.expr("p >> 15").alias("k")).agg(F.bitmap_construct_agg(F.expr("p & 32767")).alias("b")).collect()  # 2^(bits - 15) pieces of 4 KB at most
+        self.bits = np.zeros(1 << (bits - 3), np.uint8)
+        for k, b in rows:
+            self.bits[k << 12 : (k + 1) << 12] = np.frombuffer(b, np.uint8)
+        self.mask = U64((1 << bits) - 1)
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        p = places.view(U64) & self.mask
+        return (self.bits[(p >> U64(3)).astype(np.int64)] >> (p & U64(7)).astype(np.uint8)) & 1 == 1
+
+
 def might_hold(df: DataFrame, key: str, ids: DataFrame, bits: int = 26) -> DataFrame:
     """Rows of ``df`` whose key may be among ``ids``: none that is goes missing, few others stay.
 
-    A bitmap over hashed keys, of a fixed 2^bits bits (8 MB) at any number of ids, is put
-    together by Spark in pieces of 4 KB and sent to the executors, so that a join with few ids
-    need not shuffle all rows.  The join decides; a full bitmap only prunes less."""
+    A join with few ids then need not shuffle all rows; the join decides."""
+    shared = df.sparkSession.sparkContext.broadcast(Held(ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long"))), bits))
+
+    def holds(places: pa.Array) -> pa.Array:
+        return pa.array(shared.value(np.asarray(places)))
 
-    def place(column: str):
-        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
+    return df.where(arrow_udf(holds, "boolean")(F.xxhash64(F.col(key).cast("long"))))
 
-    rows = ids.select(place(ids.columns[0]).alias("p")).groupBy(F.expr("p >> 15").alias("k")).agg(F.bitmap_construct_agg(F.expr("p & 32767")).alias("b")).collect()
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    for k, b in rows:
-        table[k << 12 : (k + 1) << 12] = np.frombuffer(b, np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(table)
 
-    def holds(places: pa.Array) -> pa.Array:
-        p = np.asarray(places)
-        return pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+def plain(df: DataFrame) -> DataFrame:
+    """The same rows under the names c0, c1, ..: no name clashes, none needs quoting."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
 
-    return df.where(arrow_udf(holds, "boolean")(place(key)))
+#: Characters outside ASCII that are no letter, mark or digit.
+NO_LETTER = r"[^\x00-\x7F\pL\pM\pN]"
+
+
+def letters(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts (null: empty) in which dashes, quotes, blanks and other signs outside
+    ASCII are blanks."""
+    low = pc.utf8_lower(pc.fill_null(texts, ""))
+    odd = pc.match_substring_regex(low, NO_LETTER)
+    return pc.replace_with_mask(low, odd, pc.replace_substring_regex(low.filter(odd), NO_LETTER, " ")) if pc.any(odd).as_py() else low
 
 
 # --------------------------------------------------------------------------- hashes
@@ -231,6 +258,15 @@ class Tokens:
     def of(cls, col: pa.Array, **how) -> Tokens:
         return cls(*text_buffer(col), **how)
 
+    def keep(self, rows: np.ndarray) -> Tokens:
+        """The same rows, of which only those marked have their words (hashes alone)."""
+        out = object.__new__(Tokens)
+        out.hashes = self.hashes[rows[self.rows]]
+        out.counts = np.where(rows, self.counts, 0)
+        out.first = np.concatenate(([0], np.cumsum(out.counts)))
+        out.rows = np.repeat(np.arange(len(out.counts)), out.counts)
+        return out
+
 
 def fold_windows(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive word hashes (len(h)-width+1 values)."""

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -204,32 +205,47 @@ def test_edit_distance():
         assert linededup.within_edits(a, b, k) == (brute(a, b) <= k), (a, b, k)
 
 
+def normal_lines(text):
+    """(line number, words) by plain regular expressions."""
+    for n, line in enumerate((text or "").lower().split("\n")):
+        words = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", line).split(" ")
+        words = tuple(regex.sub("[0-9]", "0", w) for w in words if w)
+        if len(words) >= linededup.MIN_WORDS:
+            yield n, words
+
+
+def edit_distance_within(a, b, most):
+    """Plain table of the edit distance between word lists, in the band of ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row.get(j, 9999) + 1, new.get(j - 1, 9999) + 1, row.get(j - 1, 9999) + (x != b[j - 1]) if j else i)
+        row = new
+    return row.get(len(b), 9999) <= most
+
+
 def lines_by_force(texts):
-    """All pairs of distinct normalised lines by the definition."""
-    first, words, marks = {}, {}, {}
+    """All pairs of distinct normalised lines by the edit distance alone."""
     places = defaultdict(list)
     for i in sorted(texts):
-        for n, line in enumerate((texts[i] or "").lower().split("\n")):
-            t = common.Tokens.of(pa.array([line]), break_=linededup.SEPARATORS, fold=linededup.FOLD)
-            if t.counts[0] >= linededup.MIN_WORDS:
-                key = tuple(t.hashes.tolist())
-                first.setdefault(key, (i, n))
-                places[key].append((i, n))
-                words[key] = list(key)
-                marks[key] = linededup.simhash(t.hashes, t.first[:-1], t.counts)[0]
-    keys = list(words)
-    bits = np.array([marks[k] for k in keys])
+        for n, words in normal_lines(texts[i]):
+            places[words].append((i, n))
+    keys = sorted(places, key=len)
+    bags = [Counter(k) for k in keys]
     links = []
-    for a in range(len(keys)):
-        same = np.flatnonzero((bits[a + 1 :] == bits[a]).any(1)) + a + 1
-        for b in same.tolist():
-            ham = sum(int(x).bit_count() for x in bits[a] ^ bits[b])
-            most = linededup.EDITS * max(len(words[keys[a]]), len(words[keys[b]])) // 100
-            if ham <= linededup.BITS and linededup.within_edits(words[keys[a]], words[keys[b]], most):
+    for b, long in enumerate(keys):
+        most = linededup.EDITS * len(long) // 100
+        for a in range(b - 1, -1, -1):
+            if len(keys[a]) < len(long) - most:
+                break
+            # an edit takes one word at most, so unlike bags need no table
+            if (bags[a] & bags[b]).total() >= len(long) - most and edit_distance_within(keys[a], long, most):
                 links.append((a, b))
-    root = unions(links, range(len(keys)))
     groups = defaultdict(list)
-    for k, r in root.items():
+    for k, r in unions(links, range(len(keys))).items():
         groups[r] += places[keys[k]]
     gone = defaultdict(set)
     for g in groups.values():
@@ -253,35 +269,6 @@ def test_fuzzy_lines_find_small_changes(spark):
     assert got == {1: line + "\nshort line", 2: "short line", 3: "something else entirely different here"}
 
 
-def test_fuzzy_lines_equal_edit_distance_alone(spark, sf, texts):
-    """All pairs of lines, without any condition but the edit distance."""
-    places = defaultdict(list)
-    for i in sorted(texts):
-        for n, line in enumerate((texts[i] or "").lower().split("\n")):
-            t = common.Tokens.of(pa.array([line]), break_=linededup.SEPARATORS, fold=linededup.FOLD)
-            if t.counts[0] >= linededup.MIN_WORDS:
-                places[tuple(t.hashes.tolist())].append((i, n))
-    keys = sorted(places, key=len)
-    bags = [Counter(k) for k in keys]
-    links = []
-    for b, long in enumerate(keys):
-        most = linededup.EDITS * len(long) // 100
-        for a in range(b - 1, -1, -1):
-            if len(keys[a]) < len(long) - most:
-                break
-            if (bags[a] & bags[b]).total() >= len(long) - most and linededup.within_edits(keys[a], long, most):
-                links.append((a, b))
-    groups = defaultdict(list)
-    for k, r in unions(links, range(len(keys))).items():
-        groups[r] += places[keys[k]]
-    gone = defaultdict(set)
-    for g in groups.values():
-        for i, n in set(g) - {min(g)}:
-            gone[i].add(n)
-    got = rows_of(queries.op10_fuzzy_lines(spark, sf))
-    assert {r["doc_id"]: r["removed"] for r in got} == {i: sorted(gone[i]) for i in texts}
-
-
 def test_fuzzy_lines_find_every_pair_within_edits(spark):
     """Against edit distance alone, at each length, for the most edits that are allowed."""
     rng = random.Random(11)
@@ -308,6 +295,36 @@ def test_fuzzy_lines_find_every_pair_within_edits(spark):
         assert got[i - 1] == want[i - 1] and got[i - 2] == want[i - 2]
 
 
+def test_fuzzy_lines_of_other_scripts_and_signs(spark):
+    """Quotes, dashes and blanks outside ASCII separate words like those inside; letters of any script count."""
+    rows = [(1, "\u201cthe quick\u2014brown fox\u201d jumps\u00a0over it"), (2, '"the quick-brown fox" jumps over it'), (3, "\u044d\u0442\u043e \u043f\u0440\u043e\u0441\u0442\u043e \u0442\u0435\u043a\u0441\u0442 \u0437\u0434\u0435\u0441\u044c"), (4, "\u042d\u0422\u041e \u043f\u0440\u043e\u0441\u0442\u043e, \u0442\u0435\u043a\u0441\u0442: \u0437\u0434\u0435\u0441\u044c!")]
+    got = {r["doc_id"]: r["removed"] for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: [], 4: [0]}
+
+
+def test_fuzzy_lines_ties_and_groups(spark):
+    """The least place stays: of one document the first line, of rows with one doc_id all; a chain is one group."""
+    word = [f"w{chr(97 + i)}" for i in range(20)]
+    chain = [" ".join(word[:i] + [f"x{chr(97 + i)}"] * 1 + word[i + 1 :]) for i in range(4)]
+    base = " ".join(word)
+    rows = [(7, f"{base}\n{base}\nshort"), (7, f"{base}\n{base}\nshort"), (9, chain[1]), (8, chain[0]), (30, chain[2])]
+    got = sorted((r["doc_id"], r["removed"]) for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(7, [1]), (7, [1]), (8, [0]), (9, [0]), (30, [0])]
+
+
+def test_large_groups_make_few_pairs(spark):
+    """A bucket of alike lines falls into one component after its first round."""
+    rng = random.Random(21)
+    base = [f"g{i}x" for i in range(40)]
+    rows = []
+    for i in range(400):
+        line = list(base)
+        line[rng.randrange(40)] = f"n{i}y"
+        rows.append((i, " ".join(line)))
+    got = linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 0").collect()
+    assert [r["doc_id"] for r in got] == [0]
+
+
 def test_fuzzy_lines_odd(odd):
     got = linededup.clean(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
