@@ -13,7 +13,7 @@ from .common import Scratch, components
 ROUNDS = 4
 
 
-def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str, name: str, marks: DataFrame | None = None, alike: str = "true", rounds: int = ROUNDS) -> DataFrame:
+def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str, name: str, marks: DataFrame | None = None, alike: str = "true", rounds: int = ROUNDS, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of the graph whose edges are the verified pairs that share a key.
 
     keys: key, id and what ``near`` needs.  near: a cheap SQL condition that every pair to be
@@ -26,13 +26,20 @@ def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame]
     large group of alike items falls into one component within a few rounds.  What is left is
     compared pair by pair, but for pairs in one component.  No pair that ``near`` and ``alike``
     let through and that could join two components is left out, so the components are those of
-    all such pairs that share a key."""
+    all such pairs that share a key, and of the links ``known`` (a, b)."""
     # numbers alone are aggregated, in hash tables without a sort; buckets of one item go
     firsts = keys.groupBy("key").agg(F.min("id").alias("cid"), F.max("id").alias("last"), F.count("*").alias("n")).where("cid < last").drop("last")
     rest = scratch.write(keys.join(firsts.hint("shuffle_hash"), "key").dropDuplicates(["key", "id"]), f"{name}-rest")
     ends = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in {"key", "cid", "n"}))
-    links: list[DataFrame] = []
-    roots, apart, old = None, "true", f"{name}-rest"
+    links = [] if known is None else [known]
+    roots, apart, old = None if known is None else components(scratch, known, f"{name}-known"), "true", f"{name}-rest"
+    if roots is not None:
+        if rest.isEmpty():
+            return roots
+        told = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+        rest, apart = scratch.write(told, f"{name}-told"), "label_a <> label_b"
+        scratch.drop(old)
+        old = f"{name}-told"
     for i in range(rounds):
         others = rest.where("id <> cid")
         stars = ends(others, "b").join(ends(rest.where("id = cid"), "a"), "key").where(f"{near} and {apart}")
