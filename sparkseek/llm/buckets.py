@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
-ROUNDS = 4
+ROUNDS = 2
 
 
 def link_buckets(scratch: Scratch, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str, name: str, marks: DataFrame | None = None, alike: str = "true", rounds: int = ROUNDS, known: DataFrame | None = None) -> DataFrame:
