@@ -32,7 +32,7 @@ def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", quality.judge(F.col("text")).alias("q")).select("doc_id", "q.*")
+    return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
