@@ -1,16 +1,21 @@
 """Mixing sources to target weights: temperature, then budgeted block permutations.
 
-Weights are the sources' token shares to the power alpha, normalised.  Alpha is the least
-exponent of [0, 1] at which the mixture's entropy is not above the target (an entropy
-target) and no source repeats more often than the limit (a repetition limit); each is
-found by bisection.  Each source then gets budget * weight tokens: whole blocks (a block is
-one permutation of all the source's documents), and of the last block as long a prefix as
-fits.
+Weights are the sources' token shares to the power alpha, normalised.  Alpha is the largest
+exponent of [0, 1] at which the mixture's entropy reaches the target (an entropy target), or the
+least at which no source repeats more often than the limit (a repetition limit), whichever is
+larger; each is found by bisection.  The default target lies ``TOWARDS`` of the way from the
+entropy of the shares themselves to that of equal weights, so it moves weight to small sources
+wherever shares differ.  Each source then gets budget * weight tokens: whole blocks (a block is
+one permutation of all the source's documents), and of the last block as long a prefix as fits.
 
 Defined results.  A null source counts as the source ''.  Texts that are null or without a
 word have no tokens: they belong to every whole block and to the prefix up to their place.
-Repeated rows are separate documents with equal places.  Ties of the order key go by doc_id.
-An empty table gives an empty result."""
+Repeated rows are separate documents with equal places.  Ties of the order key go by doc_id, a null
+doc_id first.  An empty table, and one without a word, gives an empty result.  Extra columns are
+passed through, whatever their names; ones named mix_tokens, mix_block or mix_order are replaced.
+
+What is sent to every task is one row a source: its whole blocks, and the place up to which its
+last block goes.  Beyond ``SMALL`` sources it is joined by a shuffle instead."""
 
 from __future__ import annotations
 
@@ -19,10 +24,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, plain
 
-ENTROPY_SHARE, MAX_REPEATS, SEED, BUCKET_BITS = 0.98, 4.0, 7, 12
-PARTS, ROUNDS, DIGITS = 64, 7, 9
+TOWARDS, MAX_REPEATS, SEED, BUCKET_BITS = 0.5, 4.0, 7, 12
+PARTS, ROUNDS, DIGITS, SMALL = 64, 7, 9, 100_000
+ADDED = ("mix_tokens", "mix_block", "mix_order")
 
 
 def n_words(text: Column) -> Column:
@@ -62,48 +68,55 @@ def solve(tokens: DataFrame, budget: int, total: int, entropy: float | None, rep
     return alpha
 
 
-def temperature_mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None, repeats: float | None = MAX_REPEATS, seed: int = SEED, entropy_share: float | None = ENTROPY_SHARE) -> DataFrame:
+def temperature_mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None, repeats: float | None = MAX_REPEATS, seed: int = SEED, towards: float | None = TOWARDS) -> DataFrame:
     """The mixture: a row for each copy, with the columns of ``docs`` and mix_tokens,
     mix_block (which pass over the source) and mix_order (the place within the block).
 
     budget: tokens in all; by default those of ``docs``.  entropy: in nats; by default
-    ``entropy_share`` of the largest possible."""
+    ``towards`` of the way from that of the shares to that of equal weights."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    source, size = F.coalesce(F.col("source").cast("string"), F.lit("")), n_words(F.col("text"))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    bucket = F.shiftrightunsigned(place, 64 - BUCKET_BITS).cast("int")
-    sums = scratch.write(docs.select(source.alias("s"), bucket.alias("k"), size.alias("t")).groupBy("s", "k").agg(F.sum("t").alias("t")), "sums")
+    at = {c: F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "source", "text")}
+    out = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c not in ADDED]
+    place = F.xxhash64(F.lit(seed), at["doc_id"])
+    rows = plain(docs).select(
+        *(c for c, _ in out), F.coalesce(at["source"].cast("string"), F.lit("")).alias("s"), n_words(at["text"]).alias("t"),
+        F.shiftrightunsigned(place, 64 - BUCKET_BITS).cast("int").alias("k"), place.alias("o"), at["doc_id"].alias("i"),
+    )
+    names = [c for _, c in out] + list(ADDED)
+    sums = scratch.write(rows.groupBy("s", "k").agg(F.sum("t").alias("t")), "sums")
     by_source = scratch.write(sums.groupBy("s").agg(F.sum("t").alias("tokens")), "sources")
     total, n = by_source.agg(F.sum("tokens"), F.count_if(F.col("tokens") > 0)).first()
-    extra = [F.lit(0).cast("long").alias("mix_tokens"), F.lit(0).cast("int").alias("mix_block"), F.lit(0).cast("long").alias("mix_order")]
     if not total:
-        return docs.select(*docs.columns, *extra).limit(0)
+        return rows.limit(0).select(*(c for c, _ in out), "t", F.lit(0).alias("b"), "o").toDF(*names)
     budget = total if budget is None else budget
-    if entropy is None and entropy_share is not None:
-        entropy = max(entropy_share * math.log(n), _entropy_of(by_source, total)) if n > 1 else None
+    if entropy is None and towards is not None and n > 1:
+        own = _entropy_of(by_source, total)
+        entropy = own + towards * (math.log(n) - own)
     alpha = solve(by_source, budget, total, entropy, repeats)
     power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(total), F.lit(alpha))).otherwise(0.0)
     z = by_source.agg(F.sum(power)).first()[0]
     goal = F.floor(F.lit(float(budget)) * F.round(power / F.lit(z), DIGITS + 3)).cast("long")
     goals = by_source.select("s", F.when(F.col("tokens") > 0, F.floor(goal / F.col("tokens"))).otherwise(0).cast("int").alias("blocks"), F.when(F.col("tokens") > 0, goal % F.col("tokens")).otherwise(0).alias("left"))
-    before = F.sum("t").over(Window.partitionBy("s").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-    plan = scratch.write(sums.select("s", "k", "t", F.coalesce(before, F.lit(0)).alias("base")).join(goals, "s"), "plan")
-    # bucket by bucket the prefix takes all, nothing, or (in one bucket a source) some
-    edge = plan.where("left > base and left < base + t").select("s", "k", "base", "left")
-    inner = docs.select("doc_id", source.alias("s"), bucket.alias("k"), place.alias("o"), size.alias("t")).join(F.broadcast(edge) if _small(edge) else edge, ["s", "k"])
-    run = F.sum("t").over(Window.partitionBy("s", "k").orderBy("o", "doc_id"))
-    cut = inner.select("s", "k", "o", "doc_id", (F.col("base") + run).alias("upto"), "left").where("upto <= left").groupBy("s").agg(F.max(F.struct("o", "doc_id")).alias("last"))
-    steps = plan.join(cut, "s", "left").select("s", "k", "blocks", F.when(F.expr("left <= base"), 0).when(F.expr("left >= base + t"), 1).otherwise(2).alias("part"), "last")
-    steps = scratch.write(steps, "steps")
-    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}  # no clash with any extra column
-    held = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in names.items()), source.alias("s"), bucket.alias("k"), size.alias("t"), place.alias("o"), F.col("doc_id").alias("i"))
-    held = held.join(F.broadcast(steps) if _small(steps) else steps, ["s", "k"])
-    taken = F.when(F.col("part") == 2, F.coalesce(F.struct("o", F.col("i").alias("doc_id")) <= F.col("last"), F.lit(False)).cast("int")).otherwise(F.col("part"))
-    rows = held.withColumn("copies", F.col("blocks") + taken).where("copies > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    before = F.sum("t").over(Window.partitionBy("s").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))  # of 4096 sums a source at most
+    plan = sums.select("s", "k", "t", F.coalesce(before, F.lit(0)).alias("base")).join(goals, "s")
+    # bucket by bucket the prefix takes all, nothing, or (in one bucket a source, the edge) some
+    edge = plan.groupBy("s").agg(
+        F.first("blocks").alias("blocks"), F.first("left").alias("left"), F.max(F.when(F.expr("left >= base + t"), F.col("k"))).alias("whole"),
+        F.max(F.when(F.expr("left > base and left < base + t"), F.col("k"))).alias("edge"), F.max(F.when(F.expr("left > base and left < base + t"), F.col("base"))).alias("base"),
+    )
+    edge = scratch.write(edge, "edge")
+    cuts = edge.where("edge is not null").select("s", F.col("edge").alias("k"), "base", "left")
+    inner = rows.select("s", "k", "o", "i", "t").join(_sent(cuts), ["s", "k"])
+    run = F.sum("t").over(Window.partitionBy("s", "k").orderBy("o", "i"))
+    last = inner.select("s", "o", "i", (F.col("base") + run).alias("upto"), "left").where("upto <= left").groupBy("s").agg(F.max(F.struct("o", "i")).alias("last"))
+    steps = scratch.write(edge.join(last, "s", "left").select("s", "blocks", "left", "whole", "edge", "last"), "steps")
+    held = rows.join(_sent(steps), "s")
+    # the places of one bucket share their first bits, so o orders them
+    within = (F.col("left") > 0) & F.when(F.col("k") == F.col("edge"), F.coalesce(F.struct("o", "i") <= F.col("last"), F.lit(False))).otherwise(F.coalesce(F.col("k") <= F.col("whole"), F.lit(False)))
+    taken = held.withColumn("copies", F.col("blocks") + within.cast("int")).where("copies > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     order = F.when(F.col("b") == F.col("blocks"), F.col("o")).otherwise(F.xxhash64(F.lit(seed), F.col("i"), F.col("b")))
-    out = [c for c in docs.columns if c not in {"mix_tokens", "mix_block", "mix_order"}]
-    return rows.select(*(F.col(names[c]).alias(c) for c in out), F.col("t").alias("mix_tokens"), F.col("b").alias("mix_block"), order.alias("mix_order"))
+    return taken.select(*(c for c, _ in out), "t", "b", order).toDF(*names)
 
 
 def _entropy_of(by_source: DataFrame, total: int) -> float:
@@ -111,6 +124,6 @@ def _entropy_of(by_source: DataFrame, total: int) -> float:
     return by_source.where("tokens > 0").agg(-F.sum(p * F.log(p))).first()[0]
 
 
-def _small(table: DataFrame, most: int = 200_000) -> bool:
-    """A table of at most this many narrow rows is safe to send to every executor."""
-    return table.count() <= most
+def _sent(table: DataFrame) -> DataFrame:
+    """A table of narrow rows, sent to every executor if it has at most ``SMALL`` of them."""
+    return F.broadcast(table) if table.count() <= SMALL else table
