@@ -2,7 +2,10 @@
 
 Association rules: the labelled URLs' tokens (host labels, path segments, query names) are
 transactions, those of bad ones with one more item; FP-growth finds the frequent sets, and rules
-that lead to that item with enough support, confidence and lift are kept.  A rule that holds
+that lead to that item with enough support, confidence and lift are kept.  Support is at least
+``COUNT`` bad URLs, however few labels there are.  Confidence is smoothed: ``WEIGHT`` more URLs of the
+labels' own rate of bad ones count with each rule, so a rule seen a few times must be surer than
+one seen often.  A rule that holds
 whenever a kept rule with fewer tokens does is pruned.  Rules are found by an inverted index on
 the rarest token of each, and a candidate must hold all of the rule's tokens.  DataFrame and
 MLlib operations only.
@@ -24,7 +27,7 @@ from .common import Scratch
 
 #: Verdict, host and path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-SUPPORT, CONFIDENCE, LIFT = 0.005, 0.75, 1.2
+SUPPORT, CONFIDENCE, LIFT, COUNT, WEIGHT = 0.005, 0.75, 1.2, 5, 2.0
 BAD = "#bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -63,9 +66,13 @@ def mine(pages: DataFrame, labels: DataFrame, scratch: Scratch, support: float =
     rows = pages.select("page_id", "url").join(known, "page_id")
     items = rows.select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     items = scratch.write(items.where(F.size("items") > 0), "items")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    n, bad = items.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, COUNT / max(n, 1))), minConfidence=confidence).fit(items)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= LIFT))
-    found = scratch.write(found.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("rule_id", F.xxhash64("tokens")), "found")
+    hits = F.round(F.col("support") * n)
+    sure = (hits + WEIGHT * bad / max(n, 1)) / (hits / F.col("confidence") + WEIGHT)
+    found = found.select(F.array_sort("antecedent").alias("tokens"), hits.alias("hits"), sure.alias("confidence")).where((F.col("hits") >= COUNT) & (F.col("confidence") >= confidence))
+    found = scratch.write(found.withColumn("rule_id", F.xxhash64("tokens")), "found")
     often = scratch.write(model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq"), "often")
     anchor = found.select("rule_id", F.explode("tokens").alias("token")).join(often, "token").groupBy("rule_id").agg(F.min(F.struct("freq", "token")).alias("a"))
     kept = scratch.write(found.join(anchor, "rule_id").select("rule_id", "tokens", "confidence", F.col("a.token").alias("anchor")), "rules")

@@ -531,14 +531,16 @@ def test_mixing_meets_its_targets(spark, sf, texts, docs):
     def entropy(alpha):
         return -sum(w * math.log(w) for w in shares(alpha).values())
 
-    goal = max(mixing.ENTROPY_SHARE * math.log(len(tokens)), entropy(1.0))
+    goal = entropy(1.0) + mixing.TOWARDS * (math.log(len(tokens)) - entropy(1.0))
+    assert entropy(0.0) > goal > entropy(1.0)  # the target binds
     low, high = 0.0, 1.0
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (low, mid) if entropy(mid) <= goal else (mid, high)
     w = shares(high)
     top = max(w[s] * total / tokens[s] for s in tokens)
-    assert top <= mixing.MAX_REPEATS
+    assert top <= mixing.MAX_REPEATS and 0 < high < 1
+    assert max(abs(w[s] - tokens[s] / total) * len(tokens) for s in tokens) > 0.1  # and moves weight
     for s in tokens:
         assert -1 <= w[s] * total - taken[s] <= longest[s] + 1  # goals are rounded
     # blocks: copies within a source differ by one at most, and blocks are numbered from 0
@@ -554,10 +556,10 @@ def test_mixing_meets_its_targets(spark, sf, texts, docs):
 def test_mixing_repetition_limit(spark):
     rows = [(i, "big", "a b c d e f g h") for i in range(1000)] + [(5000 + i, "small", "a b") for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = mixing.temperature_mix(df, entropy_share=1.0, repeats=3.0)
+    got = mixing.temperature_mix(df, towards=1.0, repeats=3.0)
     n = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert 11 <= n["small"] <= 12 and n["big"] >= 990
-    again = mixing.temperature_mix(df.repartition(7), entropy_share=1.0, repeats=3.0)
+    again = mixing.temperature_mix(df.repartition(7), towards=1.0, repeats=3.0)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
 
 
@@ -566,6 +568,19 @@ def test_mixing_odd(odd):
     assert got.columns == [*odd.columns, "mix_tokens", "mix_block", "mix_order"] and got.count() > 0
     assert mixing.temperature_mix(odd.limit(0)).count() == 0
     assert mixing.temperature_mix(odd.where("doc_id < 4")).count() == 0  # no word anywhere
+    clash = odd.withColumn("mix_tokens", F.lit("old")).withColumn("a.b", F.lit(1)).withColumn("s", F.lit("s")).withColumn("left", F.lit(2))
+    want = [*odd.columns, "a.b", "s", "left", "mix_tokens", "mix_block", "mix_order"]
+    assert mixing.temperature_mix(clash).columns == want and mixing.temperature_mix(clash.limit(0)).columns == want
+    assert mixing.temperature_mix(clash).where("mix_tokens is null").count() == 0
+
+
+def test_stages_pass_odd_columns_through(odd):
+    """Names with dots, and those that the operators use themselves."""
+    wide = odd.toDF("doc_id", "text", "lang", "source", "n_chars", "a.b", "id", "h").withColumn("label", F.lit(1)).withColumn("removed", F.lit(2)).withColumn("m", F.lit(3))
+    bench = wide.sparkSession.createDataFrame([(9, "one two three four five six")], "item_id long, text string")
+    for stage in (linededup.clean, quality.keep_good, minhash.deduplicate, lambda d: decontam.decontaminate(d, bench)):
+        got = stage(wide)
+        assert got.columns == wide.columns and got.count() <= len(ODD)
 
 
 # --------------------------------------------------------------------------- personal data
@@ -604,6 +619,8 @@ def test_personal_data(spark, sf, texts):
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == i for _, k, _ in base) for i in range(4)]
         assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
         assert set(said) <= set(r["spans"].split(",")) if said else True
+        secrets = [f"secret:{m.start()}:{m.end()}" for m in re.finditer(r"\b(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}\b", texts[r["doc_id"]] or "")]
+        assert set(secrets) <= set(r["spans"].split(",")) if secrets else r["n_secret"] == 0
 
 
 def test_contexts_discover_new_identifiers(spark):
@@ -615,11 +632,61 @@ def test_contexts_discover_new_identifiers(spark):
     assert all(got[200 + i]["spans"] == "" for i in range(5)) and all(got[i]["n_phone"] == 1 and got[i]["n_added"] == 0 for i in range(12))
 
 
+def test_trusted_patterns_propose_and_common_words_do_not(spark):
+    """Secrets in sure contexts are found whatever they look like; a word before a few seeds and many other words is no pattern."""
+    rng = random.Random(22)
+    hexes = lambda n: "0a" + "".join(rng.choice("0123456789abcdef") for _ in range(n - 2))
+    rows = [(i, f'settings: \u00e9t\u00e9 api_token = "{hexes(40)}" end of the 4{i}th line') for i in range(10)]
+    rows += [(100 + i, f'more: \u00e9t\u00e9 api_token = "Zq{i}-unseen_{i}" end of the line') for i in range(6)]
+    rows += [(200 + i, f"we saw the {hexes(36)} there") for i in range(4)] + [(300 + i, f"we saw the number10{i} and the tree by the house {i}") for i in range(30)]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        text = dict(rows)[100 + i]
+        a = text.index("Zq")
+        assert got[100 + i]["spans"] == f"secret:{a}:{text.index(chr(34), a)}"
+    assert all(got[i]["n_secret"] == 1 for i in (*range(10), *range(200, 204))) and all(got[300 + i]["spans"] == "" for i in range(30))
+
+
+def bootstrap_by_force(edges, against):
+    """The graph's scores by plain dictionaries."""
+    seed = {(k, i): False for k, _, i, _ in edges}
+    for k, _, i, b in edges:
+        seed[k, i] |= b
+    own = {}
+    for k, p, i, b in edges:
+        own[k, p, i] = own.get((k, p, i), False) or b
+    score = {e: 1.0 if b else 0.0 for e, b in own.items()}
+    for n in range(pii.ROUNDS):
+        by = defaultdict(list)
+        for k, p, i in own:
+            by[k, p].append((k, p, i))
+        conf = {kp: sum(score[e] for e in es) / (len(es) + against.get(kp, 0) + pii.PRIOR) for kp, es in by.items()}
+        seeds = {kp: sum(own[e] for e in es) for kp, es in by.items()}
+        if n == pii.ROUNDS - 1:
+            break
+        miss = defaultdict(lambda: 1.0)
+        for k, p, i in own:
+            miss[k, i] *= 1 - (min(conf[k, p], 0.999) if seeds[k, p] else 0.0)
+        score = {(k, p, i): 1.0 if any(own[k, q, i] for q in {e[1] for e in own if e[0] == k and e[2] == i}) else 1 - miss[k, i] for k, p, i in own}
+    return {kp: c for kp, c in conf.items() if c >= pii.CONFIDENCE and seeds[kp] >= pii.SEEDS}
+
+
+def test_bootstrap_by_force(spark):
+    rng = random.Random(23)
+    edges = [(rng.randint(0, 1), rng.randint(0, 12), f"i{rng.randint(0, 60)}", rng.random() < 0.6) for _ in range(400)]
+    against = {(k, p): rng.randint(0, 12) for k in (0, 1) for p in range(0, 12, 3)}
+    df = spark.createDataFrame(edges, "kind int, pattern long, instance string, base boolean")
+    no = spark.createDataFrame([(*kp, n) for kp, n in against.items()], "kind int, pattern long, n long")
+    got = {(r["kind"], r["pattern"]): r["confidence"] for r in pii.bootstrap(common.Scratch(spark), df, no).collect()}
+    want = bootstrap_by_force(edges, against)
+    assert got.keys() == want.keys() and want and all(got[k] == pytest.approx(c) for k, c in want.items())
+
+
 def test_personal_data_odd(spark, odd):
     assert all(r["spans"] == "" for r in pii.find(odd).collect()) and pii.find(odd).count() == len(ODD)
     assert pii.find(odd.limit(0)).count() == 0
-    long = [(1, "@" * 200000), (2, "1" * 200000), (3, "1." * 100000), (4, "a" * 200000 + "@"), (5, "+1 " * 70000), (6, "1 " * 100000)]
-    assert pii.find(spark.createDataFrame(long, "doc_id long, text string")).count() == 6  # in linear time
+    long = [(1, "@" * 200000), (2, "1" * 200000), (3, "1." * 100000), (4, "a" * 200000 + "@"), (5, "+1 " * 70000), (6, "1 " * 100000), (7, "x@ " * 400000), (8, "0" * 100000 + "a" * 100000)]
+    assert pii.find(spark.createDataFrame(long, "doc_id long, text string")).count() == 8  # in linear time
 
 
 # --------------------------------------------------------------------------- language
