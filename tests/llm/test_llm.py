@@ -762,27 +762,60 @@ def test_base_scores(spark, sf, texts):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)  # histories help on unseen documents
 
 
-def test_automaton_walk_and_mass(spark):
+class PlainModel:
+    """The model by plain dictionaries, straight from its definition."""
+
+    def __init__(self, texts, least):
+        toks = [["<s>", *WORD.findall((x or "").translate(LOW)), "</s>"] for x in texts]
+        self.c = [Counter(tuple(t[i : i + n]) for t in toks for i in range(len(t) - n + 1)) for n in (1, 2, 3)]
+        self.kept = [Counter({g: k for g, k in c.items() if k >= least}) for c in self.c[1:]]
+        self.n = sum(k for g, k in self.c[0].items() if g != ("<s>",))
+        self.v = len(self.c[0]) - 1 if texts else 0
+        self.left = [defaultdict(float), defaultdict(float)]
+        for i, kept in enumerate(self.kept):
+            for g, k in kept.items():
+                self.left[i][g[:-1]] += k - lmscore.DISCOUNT
+
+    def p(self, w, past):
+        if not past:
+            return (self.c[0][w,] + 0.5) / (self.n + 0.5 * (self.v + 1))
+        i = len(past) - 1
+        low = self.p(w, past[1:])
+        if past not in self.left[i]:
+            return low
+        n = self.c[i][past]
+        own = (self.kept[i][*past, w] - lmscore.DISCOUNT) / n if (*past, w) in self.kept[i] else 0.0
+        return own + (1 - self.left[i][past] / n) * low
+
+    def score(self, text):
+        t = ["<s>", *WORD.findall((text or "").translate(LOW)), "</s>"]
+        return sum(math.log10(self.p(t[i], tuple(t[max(0, i - 2) : i]))) for i in range(1, len(t)))
+
+
+def test_scores_by_a_plain_model(spark, monkeypatch):
     rng = random.Random(12)
-    text = lambda: " ".join(rng.choices(["a", "b", "c", "d", "e"], [8, 4, 2, 1, 1], k=30))
-    df = spark.createDataFrame([(text(),) for _ in range(200)], "text string")
-    auto, words = lmscore.train(common.Scratch(spark), df, 1e-4, 1e-3)
-    head = auto.head
-    root = head.floor(head.counts)
-    h, first = lmscore.with_ends(common.Tokens.of(pa.array([text(), "a zz b", "", "zz"])))
-    ids, one, two = head.histories(h, first)
-    logs, todo = auto.logs(ids, one, two)
-    unseen = float(head.floor(0))
-    logs = logs + np.where(todo, np.where(ids >= 0, root[ids], unseen), 0)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        part = ids[a:b].tolist()
-        assert auto.walk(part, lambda i, p=part: root[p[i]] if p[i] >= 0 else unseen) == pytest.approx(logs[a:b].sum())
-    # after any history the probabilities of all words and of an unseen one add up to 1
-    every = np.append(np.arange(len(head.words)), -1)
-    for o, t in ((head.start, -2), (0, head.start), (0, 1), (1, 0), (-1, 0)):
-        got, todo = auto.logs(every.astype(np.int64), np.full(len(every), o), np.full(len(every), t))
-        got = got + np.where(todo, np.where(every >= 0, root[every], unseen), 0)
-        assert (10**got).sum() == pytest.approx(1, abs=1e-6)
+    word = ["a", "b", "c", "d", "e", "f", "g"]
+    text = lambda: " ".join(rng.choices(word, [8, 4, 2, 1, 1, 1, 1], k=rng.choice([0, 1, 2, 3, 40, 200])))
+    rows = [(i, text(), i % 4 == 0) for i in range(200)] + [(900, "a zz b", True), (901, None, True), (902, "b c d " * 100, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, out boolean").repartition(3)
+    monkeypatch.setattr(lmscore, "FLUSH", 1500)
+    for least in (2, 5):
+        model = PlainModel([x for _, x, out in rows if not out], least)
+        got = {r["doc_id"]: r for r in lmscore.score(df, F.col("out"), least).collect()}
+        assert len(got) == len(rows)
+        for i, x, out in rows:
+            assert got[i]["held_out"] == out and got[i]["score"] == pytest.approx(model.score(x), rel=1e-9), (i, x)
+        # after any history the probabilities of all words and of an unseen one add up to 1
+        for past in ((), ("a",), ("<s>",), ("a", "b"), ("b", "c"), ("zz",)):
+            assert sum(model.p(w, past) for w in [*word, "</s>", "unseen"] + (["zz"] if model.c[0]["zz",] else [])) == pytest.approx(1)
+
+
+def test_scores_on_the_tables_by_a_plain_model(spark, sf, texts):
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    model = PlainModel([x for i, x in texts.items() if not held[i]], lmscore.LEAST)
+    for r in rows_of(queries.op5_backoff_automaton(spark, sf)):
+        assert r["score"] == pytest.approx(model.score(texts[r["doc_id"]]), rel=1e-9)
+    assert sum(map(len, model.kept)) > 200
 
 
 def test_language_model_odd(odd):
