@@ -42,6 +42,13 @@ def is_subsequence(needle: Column, hay: Column) -> Column:
     return F.regexp_like(hay, pattern)
 
 
+def letters_of(text: Column) -> Column:
+    """A number with a bit for each character that occurs: a text whose characters all occur in
+    another one's has none of its bits missing there."""
+    bits = F.transform(F.filter(F.split(text, ""), lambda c: (c != "") & (c != " ")), lambda c: F.expr("1L") * F.pow(F.lit(2.0), F.pmod(F.xxhash64(c), F.lit(61))).cast("long"))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
+
+
 def match_strength(query: Column, name: Column, options: RankingOptions | None = None, initials: bool = True) -> tuple[Column, Column]:
     """Strength of a literal match and its reason (null without a match)."""
     o = options or RankingOptions()

@@ -57,7 +57,7 @@ def adds_information(name: Column, candidate: Column) -> Column:
     """Two words at least that are neither the name's nor generic, no identifiers, and nothing
     about shortcuts."""
     known = F.array_union(word_set(name), F.array(*map(F.lit, UNINFORMATIVE)))
-    new = F.filter(F.array_except(word_set(candidate), known), lambda w: F.length(w) > 1)
+    new = F.filter(F.array_except(word_set(candidate), known), lambda w: F.length(w) > 2)
     noisy = F.exists(F.split(candidate, r"[\s,;:()\[\]]+"), coded)
     low = F.lower(candidate)
     shelf = F.exists(F.array(*map(F.lit, SHELF)), lambda m: low.contains(m))
@@ -152,7 +152,7 @@ def synthesize(entities: DataFrame, documents: DataFrame) -> DataFrame:
     name, meta = F.col("display_name"), F.col("raw_metadata")
     first = lambda p: F.get(F.filter("docs", lambda d: F.lower(d["provider"]) == p), 0)["text"]
     # candidates in order: each is cleaned and judged as one element, not written out again
-    own = F.transform(F.array(*(F.try_element_at(meta, F.lit(k)) for k in ("description", "fileDescription", "comment"))), plain_text)
+    own = F.array(*(plain_text(F.try_element_at(meta, F.lit(k))) for k in ("description", "fileDescription", "comment")))
     lines = F.transform(F.array(*map(first, DESCRIBERS)), useful_line)
     described = F.get(F.filter(F.concat(own, lines), lambda c: adds_information(name, c)), 0)
     rows = rows.withColumn("described", described).withColumn("file", F.coalesce(F.try_element_at(meta, F.lit("fileName")), F.nullif(F.regexp_extract("launch_target", r"([^\\/]+)$", 1), F.lit(""))))
@@ -163,7 +163,7 @@ def synthesize(entities: DataFrame, documents: DataFrame) -> DataFrame:
         by_kind = F.when(F.col("kind") == k, F.lit(said)).otherwise(by_kind)
     told = F.flatten(F.transform("docs", lambda d: labelled_phrases(d["text"], "Tasks")))
     tasks = distinctive(F.concat(told, intents(F.concat_ws(" ", name, "described")), F.array(by_kind)))
-    texts = F.transform(F.array(*map(first, DETAILERS)), plain_text)
+    texts = F.array(*(plain_text(first(p)) for p in DETAILERS))
     details = F.get(F.filter(texts, lambda c: F.coalesce((F.length(c) >= MIN_DETAILS) & is_prose(c) & ~is_listing(F.substring(c, 1, 200)), F.lit(False))), 0)
     return rows.select(
         F.col("id").alias("entity_id"), summary.alias("summary"), tasks.alias("tasks"), synonyms(name, F.col("file"), F.col("launch_target"), F.col("docs")).alias("synonyms"),

@@ -1,11 +1,16 @@
-"""Scalar text functions as Column expressions; all run inside the JVM."""
+"""Scalar text functions as Column expressions; all run inside the JVM but the decoding of
+character references, which Arrow batches do."""
 
 from __future__ import annotations
 
+import html
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 # The words that a query's lexical form drops.
 STOPWORDS = tuple(
@@ -124,8 +129,9 @@ MARKDOWN = (
     (r"\[([^\]]+)\]\([^\)]+\)", "$1"),
     (r"(?m)^[#>*\-\s]+", ""),
 )
-# Entities decoded without a table.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# Phrases of page furniture.
+FURNITURE = ("Skip to main content", "Summarize this article for me", "In this article", r"Was this page helpful\??", "Feedback", "Additional resources", "Previous Versions")
+_REFERENCE = re.compile(r"&(?:#[xX]([0-9A-Fa-f]+)|#([0-9]+)|([A-Za-z][A-Za-z0-9]*));")
 
 
 def _chain(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
@@ -141,49 +147,128 @@ def scrub(text: Column) -> Column:
     return squeeze(_chain(text, SCRUB))
 
 
-def decode_entities(text: Column) -> Column:
-    return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), ENTITIES, text)
+def _decoded(text: str) -> str:
+    """Character references by number, and those that HTML 4 and XML name; others stay."""
 
+    def one(m: re.Match) -> str:
+        if m[3]:
+            code = html.entities.name2codepoint.get(m[3], 39 if m[3] == "apos" else 0)
+        else:
+            code = int(m[1], 16) if m[1] else int(m[2])
+        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else m[0]
 
-def strip_html(html: Column, decode: bool = True) -> Column:
-    bare = _chain(html, HTML)
-    return squeeze(decode_entities(bare) if decode else bare)
+    return _REFERENCE.sub(one, text)
+
+
+def decode_entities(text: Column, times: int = 1) -> Column:
+    def decode(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts.to_pylist():
+            for _ in range(times if x and "&" in x else 0):
+                x = _decoded(x)
+            out.append(x)
+        return pa.array(out, pa.string())
+
+    return arrow_udf(decode, "string")(text)
+
+
+def strip_html(page: Column, decode: bool = True) -> Column:
+    bare = _chain(page, HTML)
+    return squeeze(decode_entities(bare, 2) if decode else bare)
 
 
 def strip_markdown(text: Column) -> Column:
-    return squeeze(_chain(text, MARKDOWN))
+    return plain_text(_chain(text, MARKDOWN))
 
 
 def looks_like_html(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(r"(?is)<(?:p|div|span|body|head|script|style|meta|title|h[1-6]|br|ul|ol|li|table)\b"))
+    return F.regexp_like(text, F.lit(r"(?is)<!DOCTYPE|<html|</|<(?:p|div|span|body|head|script|style|meta|title|h[1-6]|br|ul|ol|li|table)\b"))
 
 
 def plain_text(text: Column, most: int = 12288) -> Column:
     """Plain text of a page or a note, scrubbed and cut."""
-    return F.substring(scrub(F.when(looks_like_html(text), strip_html(text)).otherwise(decode_entities(text))), 1, most)
+    bare = F.when(looks_like_html(text), strip_html(text)).otherwise(decode_entities(text))
+    bare = F.regexp_replace(bare, r"(?im)^\s*(html|xml)\s*:\s*", " ")
+    bare = F.regexp_replace(bare, rf"(?i)\b({'|'.join(FURNITURE)})\b", " ")
+    return F.substring(scrub(F.coalesce(bare, F.lit(""))), 1, most)
+
+
+def markup_line(line: Column) -> Column:
+    """Whether a line is mark-up or a style rule rather than text."""
+    value = F.trim(F.coalesce(line, F.lit("")))
+    return (
+        F.regexp_like(value, F.lit(r"(?i)^(?:html|xml):"))
+        | F.regexp_like(value, F.lit(r"(?i)<\s*(?:!doctype|/?html|/?head|/?body|/?script|/?style|/?div|/?span|/?p|/?a|/?meta|/?link)\b"))
+        | (F.regexp_like(value, F.lit(r"(?i)&(?:lt|gt|nbsp|quot|apos|amp);")) & F.regexp_like(decode_entities(value), F.lit(r"<[^>]+>")))
+        | F.regexp_like(value, F.lit(r"(?i)^\s*(?:\.|#|body\b|html\b)[\w\s.#:-]*\{.*\}\s*$"))
+    )
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """Value of an attribute in quotes of either kind or in none; null if it isn't there."""
+    pattern = rf"""(?i)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+    found = F.concat(*(F.coalesce(F.regexp_extract(attributes, pattern, i), F.lit("")) for i in (1, 2, 3)))
+    return F.when(F.regexp_like(attributes, F.lit(pattern)), found)
+
+
+def meta_description(page: Column) -> Column:
+    """The first description with content among the page's meta elements, as plain text."""
+    tags = F.regexp_extract_all(page, F.lit(r"(?i)<meta\b([^>]+)>"), 1)
+    wanted = F.filter(tags, lambda t: F.lower(F.coalesce(_attribute(t, "name"), _attribute(t, "property"))).isin("description", "og:description", "twitter:description") & (F.length(F.trim(_attribute(t, "content"))) > 0))
+    return F.nullif(plain_text(decode_entities(_attribute(F.get(wanted, 0), "content"))), F.lit(""))
+
+
+def page_title(page: Column) -> Column:
+    return F.nullif(F.trim(decode_entities(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+
+
+def json_ld_description(page: Column, least: int = 25) -> Column:
+    """The first description of ``least`` characters in the page's linked data."""
+    blocks = F.regexp_extract_all(page, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1)
+    raw = F.transform(blocks, lambda b: F.regexp_extract(b, r"""(?i)"description"\s*:\s*"((?:[^"\\]|\\.)*)\"""", 1))
+    said = F.transform(raw, lambda d: F.trim(F.from_json(F.concat(F.lit('{"d":"'), d, F.lit('"}')), "d string")["d"]))
+    return F.get(F.filter(said, lambda d: F.length(d) >= least), 0)
+
+
+def meta_content(page: Column, key: str, attribute: str) -> Column:
+    """Content of the meta element whose attribute has the key, in either order."""
+    first = F.regexp_extract(page, rf"""(?i)<meta\s+[^>]*{attribute}\s*=\s*["']{key}["'][^>]*content\s*=\s*["']([^"']*)["']""", 1)
+    other = F.regexp_extract(page, rf"""(?i)<meta\s+[^>]*content\s*=\s*["']([^"']*)["'][^>]*{attribute}\s*=\s*["']{key}["']""", 1)
+    return F.nullif(F.trim(decode_entities(F.coalesce(F.nullif(first, F.lit("")), other))), F.lit(""))
+
+
+def shares_lead(a: Column, b: Column) -> Column:
+    """Whether one begins with the other, up to a bar or dash and but for punctuation."""
+    bare = lambda x: F.lower(F.trim(F.regexp_replace(F.substring_index(F.substring_index(x, "|", 1), "-", 1), r"\W+", " ")))
+    x, y = bare(a), bare(b)
+    return (F.length(x) > 0) & (F.length(y) > 0) & (x.startswith(y) | y.startswith(x))
+
+
+def structured_description(page: Column, least: int = 25) -> Column:
+    """What a page says of itself: linked data, then its meta elements; no echo of its title."""
+    title = page_title(page)
+    said = F.array(json_ld_description(page), meta_content(page, "og:description", "property"), meta_content(page, "description", "name"))
+    return F.get(F.filter(said, lambda d: (F.length(d) >= least) & ~F.coalesce(shares_lead(d, title), F.lit(False))), 0)
 
 
-def meta_description(html: Column) -> Column:
-    """The first description among the page's meta elements."""
-    tag = F.regexp_extract(html, r"(?is)<meta\b([^>]*(?:name|property)\s*=\s*[\"']?(?:description|og:description|twitter:description)[\"']?[^>]*)>", 1)
-    value = F.regexp_extract(tag, r"(?is)(?:^|\s)content\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
-    return F.nullif(squeeze(decode_entities(value)), F.lit(""))
+def _function_words(text: Column, blank: str) -> Column:
+    signs = r"""[.,;:()"'!?]*+"""
+    return F.regexp_count(text, F.lit(rf"(?i)(?<![^{blank}]){signs}(?:{'|'.join(FUNCTION_WORDS)}){signs}(?![^{blank}])"))
 
 
-def is_listing(text: Column) -> Column:
-    """Ten words or more of which few are function words."""
-    w = words(text, r"[\p{L}\p{Nd}']+")
-    common = F.size(F.filter(w, lambda x: x.isin(*FUNCTION_WORDS)))
-    return (F.size(w) >= 10) & (100 * common < 6 * F.size(w))
+def is_listing(line: Column) -> Column:
+    """Ten tokens or more of which few are function words."""
+    line = F.coalesce(line, F.lit(""))
+    n = F.regexp_count(line, F.lit(r"[^ \t]+"))
+    return (n >= 10) & (100 * _function_words(line, r" \t") < 6 * n)
 
 
 def is_prose(text: Column) -> Column:
     """Eight tokens or more, few of them like identifiers, enough function words."""
-    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
-    coded = F.size(F.filter(tokens, lambda x: x.rlike(r"[A-Za-z][0-9]|[0-9][A-Za-z]|_|[a-z][A-Z]")))
-    common = F.size(F.filter(tokens, lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}']", "")).isin(*FUNCTION_WORDS)))
-    n = F.size(tokens)
-    return (n >= 8) & (100 * coded < 15 * n) & (100 * common >= 6 * n)
+    text = F.coalesce(text, F.lit(""))
+    n = F.regexp_count(text, F.lit("[^ ]+"))
+    coded = F.regexp_count(text, F.lit(r"(?<![^ ])[^ :_\\]*+[:_\\][^ ]*+")) + F.regexp_count(text, F.lit(r"(?<![^ ])\p{Ll}{15,}+(?![^ ])"))
+    return (n >= 8) & (100 * coded < 15 * n) & (100 * _function_words(text, " ") >= 6 * n)
 
 
 def file_size(size: Column) -> Column:

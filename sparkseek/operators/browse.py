@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ENTITY_KINDS
+from ..sources.scratch import scratch_table
 from .fusion import usage_boost
 
 
@@ -52,17 +53,42 @@ def get_entity(entities: DataFrame, wanted: str, with_launch: bool = False, with
 
 
 def documents_within(documents: DataFrame, key: str, order: list[str], budget: int = 12_000, provider: str | None = None, online: bool | None = None) -> DataFrame:
-    """Each entity's documents in order while characters are left; the last is cut."""
+    """Each entity's documents in order while characters are left; the last is cut.
+
+    Every document takes a character at least, so only the first ``budget`` of an entity can be
+    shown: those are kept by each task before an entity's rows meet.  The lengths alone are
+    added up; texts are joined to what they show."""
     budget = clamp(budget, 1, 50_000)
-    rows = documents
+    rows = documents.where(F.length("text") > 0)
     if provider:
         rows = rows.where(F.upper("provider") == provider.upper())
     if online is not None:
         rows = rows.where(F.col("is_online") == online)
-    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.lit(budget) - F.col("before")
-    rows = rows.withColumn("before", before).where(F.col("before") < budget)
-    return rows.withColumn("truncated", F.length("text") > left).withColumn("text", F.expr(f"substring(text, 1, cast({budget} - before as int))")).drop("before")
+    w = Window.partitionBy(key).orderBy(*order)
+    sizes = rows.select(key, *order, F.length("text").alias("size")).withColumn("at", F.row_number().over(w)).where(F.col("at") <= budget)
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shown = sizes.withColumn("before", before).where(F.col("before") < budget).select(key, *order, "before")
+    rows = rows.join(shown, [key, *order])
+    return rows.withColumn("truncated", F.length("text") > F.lit(budget) - F.col("before")).withColumn("text", F.expr(f"substring(text, 1, cast({budget} - before as int))")).drop("before")
+
+
+def upper_percentiles(rows: DataFrame, group: str, value: str, at: dict[str, str]) -> DataFrame:
+    """Order statistics of each group.  at: name -> place (from 1) as SQL over n, the group's size.
+
+    Values are counted first, so equal ones weigh once; then ranges of values, from a sample of
+    them, are summed up and only the range that holds a place is looked into.  No group is sorted
+    in one task."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    ranged = scratch_table(counts.repartitionByRange(F.col(group), F.col(value)).withColumn("part", F.spark_partition_id()), "percentiles")
+    parts = ranged.groupBy(group, "part").agg(F.sum("c").alias("c"))
+    w = Window.partitionBy(group)
+    parts = parts.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy("part")))  # one row a range
+    wanted = parts.select(group, "part", (F.col("upto") - F.col("c")).alias("before"), "upto", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.expr(e).cast("long").alias("place")) for k, e in at.items()))).alias("x"))
+    wanted = wanted.select(group, "part", "before", "upto", "x.*").where("place > before and place <= upto")
+    inner = ranged.join(wanted, [group, "part"])
+    run = F.sum("c").over(Window.partitionBy(group, "part", "name").orderBy(value))
+    hit = inner.withColumn("run", F.col("before") + run).where("run >= place and run - c < place")
+    return hit.groupBy(group).agg(*(F.max(F.when(F.col("name") == k, F.col(value))).alias(k) for k in at))
 
 
 def all_with_profiles(entities: DataFrame, profiles: DataFrame) -> DataFrame:

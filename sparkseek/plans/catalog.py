@@ -182,16 +182,23 @@ def scrub_text(spark, sf):
 _FUNC = ", ".join(f"'{w}'" for w in text.FUNCTION_WORDS)
 
 
+_TOKENS = lambda split: f"list_filter(regexp_split_to_array(text, '{split}'), lambda x: x <> '')"
+_COMMON = f"""len(list_filter(t, lambda x: list_contains([{_FUNC}], lower(trim(x, '.,;:()"''!?')))))"""
+
+
 @query(
-    rf"""SELECT doc_id, len(t) >= 8 AND 100 * coded < 15 * len(t) AND 100 * common >= 6 * len(t) AS prose FROM (SELECT doc_id, t,
- len(list_filter(t, lambda x: regexp_matches(x, '[A-Za-z][0-9]|[0-9][A-Za-z]|_|[a-z][A-Z]'))) AS coded,
- len(list_filter(t, lambda x: list_contains([{_FUNC}], lower(regexp_replace(x, '[^\p{{L}}'']', '', 'g'))))) AS common
- FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM documents))"""
+    rf"""SELECT doc_id, len(t) >= 8 AND 100 * coded < 15 * len(t) AND 100 * common >= 6 * len(t) AS prose FROM (SELECT doc_id, t, {_COMMON} AS common,
+ len(list_filter(t, lambda x: regexp_matches(x, '[:_\\]') OR regexp_full_match(x, '\p{{Ll}}{{15,}}'))) AS coded FROM (SELECT doc_id, {_TOKENS(' +')} AS t FROM documents))"""
 )
 def is_prose(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.is_prose(F.col("text")).alias("prose"))
 
 
+@query(rf"SELECT doc_id, len(t) >= 10 AND 100 * {_COMMON} < 6 * len(t) AS listing FROM (SELECT doc_id, {_TOKENS('[ \t]+')} AS t FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents))")
+def is_listing(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.is_listing(F.substring_index("text", "\n", 1)).alias("listing"))
+
+
 @query("SELECT doc_id, n_chars, CASE WHEN k >= 1024 THEN format('{:.0f}', round_even(k / 1024, 0)) || ' MB' ELSE format('{:.1f}', round_even(k, 1)) || ' KB' END AS size FROM (SELECT doc_id, n_chars, n_chars / 1024.0 AS k FROM documents)")
 def file_size(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars", text.file_size(F.col("n_chars")).alias("size"))
@@ -219,13 +226,15 @@ def inverse_document_frequency(spark, sf):
     return lexical.document_frequency(rows, F.col("m")).select("word", F.round(lexical.idf(F.col("df"), total), 6).alias("idf"))
 
 
-def _bm25_sql(prefix: str) -> str:
+def _bm25_sql(prefix: str, stem: str | None = None) -> str:
+    """BM25 over name, summary and details.  stem: SQL table (word, stem) that words are looked up in."""
     words = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
-    return f"""WITH {ENTITIES_SQL}, {_LEX},
- tok AS (SELECT doc_id, unnest({words('display_name')}) AS term, 1.0 AS w FROM ents UNION ALL SELECT doc_id, unnest({words('summary')}), 3.0 FROM ents UNION ALL SELECT doc_id, unnest({words('details')}), 0.25 FROM ents),
+    tokens = f"raw AS (SELECT doc_id, unnest({words('display_name')}) AS word, 1.0 AS w FROM ents UNION ALL SELECT doc_id, unnest({words('summary')}), 3.0 FROM ents UNION ALL SELECT doc_id, unnest({words('details')}), 0.25 FROM ents)"
+    look = ", tok AS (SELECT doc_id, word AS term, w FROM raw)" if stem is None else f", stems AS ({stem}), tok AS (SELECT doc_id, stem AS term, w FROM raw JOIN stems USING (word)), said AS (SELECT qid, i, stem AS term, prefix FROM phrases JOIN stems ON word = term)"
+    return f"""WITH {ENTITIES_SQL}, {_LEX}, {tokens}{look},
  size AS (SELECT doc_id, len({words('display_name')}) + len({words('summary')}) + len({words('details')}) AS d FROM ents),
  hits AS (SELECT term, doc_id, sum(w) AS w FROM tok GROUP BY ALL),
- f AS (SELECT qid, i, doc_id, sum(w) AS f FROM phrases p JOIN hits h ON {prefix} GROUP BY ALL),
+ f AS (SELECT qid, i, doc_id, sum(w) AS f FROM {'phrases' if stem is None else 'said'} p JOIN hits h ON {prefix} GROUP BY ALL),
  n AS (SELECT qid, i, count(*) AS n FROM f GROUP BY ALL),
  s AS (SELECT f.qid, f.doc_id, sum(CASE WHEN ln(((SELECT count(*) FROM ents) - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln(((SELECT count(*) FROM ents) - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / (SELECT avg(d) FROM size)))) AS score
   FROM f JOIN n USING (qid, i) JOIN size USING (doc_id) GROUP BY ALL),
@@ -233,14 +242,12 @@ def _bm25_sql(prefix: str) -> str:
  SELECT qid, doc_id, score, place FROM r WHERE place <= 100"""
 
 
-def _bm25(spark, sf, prefix: bool):
+def _bm25(spark, sf, prefix: bool, stem: bool = False):
     rows = views.entities(spark, sf).select("doc_id", F.col("display_name").alias("name"), "summary", "details")
-    hits, sizes = lexical.postings(rows, "doc_id", ["name", "summary", "details"])
-    phrases = lexical.query_phrases(views.queries(spark, sf))
+    postings = lexical.Postings(rows, "doc_id", ["name", "summary", "details"], stem)
+    phrases = lexical.query_phrases(views.queries(spark, sf), stem)
     phrases = phrases if prefix else phrases.withColumn("prefix", F.lit(False))
-    every = lexical.bm25(hits, sizes, phrases, "doc_id", None).select("qid", "doc_id", F.round("score", 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
-    return every.withColumn("place", long(place)).where("place <= 100")
+    return lexical.bm25(postings, phrases, 100, 6).select("qid", "doc_id", "score", long("place", "place"))
 
 
 @query(_bm25_sql("h.term = p.term"))
@@ -255,9 +262,31 @@ def bm25_prefix(spark, sf):
 
 @query()
 def bm25_stemmed(spark, sf):
-    rows = views.entities(spark, sf).select("doc_id", F.col("display_name").alias("name"), "summary", "details")
-    hits, sizes = lexical.postings(rows, "doc_id", ["name", "summary", "details"], stem=True)
-    return lexical.bm25(hits, sizes, lexical.query_phrases(views.queries(spark, sf), True), "doc_id").select("qid", "doc_id", F.round("score", 6).alias("score"), long("place", "place"))
+    return _bm25(spark, sf, True, True)
+
+
+@query(
+    f"""WITH {ENTITIES_SQL}, w AS (SELECT doc_id, 'name' AS field, unnest(range(1, len(t))) AS i, t FROM (SELECT doc_id, regexp_extract_all(lower(display_name), '[\\p{{L}}\\p{{N}}]+') AS t FROM ents)
+ UNION ALL SELECT doc_id, 'details', unnest(range(1, len(t))), t FROM (SELECT doc_id, regexp_extract_all(lower(details), '[\\p{{L}}\\p{{N}}]+') AS t FROM ents)),
+ q AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM benchmark), pairs AS (SELECT qid, t[1] AS a, t[2] AS b FROM q)
+ SELECT qid, doc_id, round(sum(CASE field WHEN 'name' THEN 1.0 ELSE 0.25 END), 6) AS f FROM pairs JOIN w ON w.t[w.i] = a AND starts_with(w.t[w.i + 1], b) GROUP BY ALL""".replace("\\\\", "\\")
+)
+def phrase_positions(spark, sf):
+    """The first two words of each query as one phrase, the second as a prefix."""
+    w = F.regexp_extract_all(F.lower("query"), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    asked = views.queries(spark, sf).select("qid", F.concat(F.get(w, 0), F.lit("_"), F.get(w, 1)).alias("query"))
+    rows = views.entities(spark, sf).select("doc_id", F.col("display_name").alias("name"), "details")
+    hits = lexical.phrase_hits(lexical.Postings(rows, "doc_id", ["name", "details"]), lexical.query_phrases(asked))
+    return hits.select("qid", "doc_id", F.round("f", 6).alias("f"))
+
+
+@query(
+    f"""WITH {ENTITIES_SQL}, s AS (SELECT *, {_SHOWN} AS shown, list_filter(tasks, lambda t: len(list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{Nd}}]+'), lambda w: NOT list_contains(list_concat(regexp_extract_all(lower(display_name), '[\\p{{L}}\\p{{Nd}}]+'), [{_FRAMING}]), w))) > 0) AS do_more FROM ents)
+ SELECT id, display_name AS name, coalesce(shown, '') AS summary, array_to_string(do_more, '. ') AS tasks, array_to_string(synonyms, ', ') AS synonyms, publisher, features FROM s"""
+)
+def index_projection(spark, sf):
+    rows = lexical.projection(views.entities(spark, sf), "id")
+    return rows.select("id", "name", "summary", "tasks", "synonyms", "publisher", "features")
 
 
 # --------------------------------------------------------------------------- names
@@ -339,7 +368,7 @@ def rrf_penalised(spark, sf):
 
 @query(
     f"""WITH {_ARMS}, s AS (SELECT qid, vec_id, round(score, 9) AS score, vec_id % 3 = 0 AS component FROM f), b AS (SELECT *, CASE WHEN max(score) OVER w > 0 THEN floor(score / (max(score) OVER w * 0.01)) ELSE 0 END AS band FROM s WINDOW w AS (PARTITION BY qid)),
- r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY band DESC, component, score DESC, vec_id) AS place FROM b) SELECT qid, vec_id, band::BIGINT AS band, place FROM r WHERE place <= 20"""
+ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY band DESC, component DESC, score DESC, vec_id) AS place FROM b) SELECT qid, vec_id, band::BIGINT AS band, place FROM r WHERE place <= 20"""
 )
 def score_band_order(spark, sf):
     rows = _two_arms(spark, sf).select("qid", "vec_id", F.round("score", 9).alias("score"), (F.col("vec_id") % 3 == 0).alias("component"))
@@ -349,7 +378,7 @@ def score_band_order(spark, sf):
 @query(
     f"""WITH {ENTITIES_SQL}, {_MATCH}, {_DF}, {_TERMS}, one AS (SELECT qid, terms FROM terms WHERE len(terms) >= 2),
  t AS (SELECT qid, term, ln(1 + (SELECT count(*) FROM ents) / (1.0 + coalesce(df, 0))) AS w FROM (SELECT qid, unnest(terms) AS term FROM one) LEFT JOIN df ON word = term)
- SELECT qid, id, round(greatest(0.2, sum(CASE WHEN contains(m, term) THEN w ELSE 0 END) / sum(w)), 6) AS coverage FROM t, said WHERE said.id IN (SELECT id FROM ents WHERE doc_id % 100 = 0) GROUP BY qid, id"""
+ SELECT qid, id, round(greatest(0.2, sum(CASE WHEN contains(m, term) THEN w ELSE 0 END) / sum(w)), 6) AS coverage FROM t, said GROUP BY qid, id"""
 )
 def term_coverage(spark, sf):
     rows = _match(spark, sf)
@@ -358,11 +387,11 @@ def term_coverage(spark, sf):
     df = lexical.document_frequency(rows, F.col("m")).withColumnRenamed("word", "t")
     w = q.select("qid", F.explode("terms").alias("t")).join(df, "t", "left").select("qid", "t", lexical.idf(F.coalesce("df", F.lit(0)), total).alias("w"))
     q = q.join(w.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("idf")), "qid")
-    both = rows.select("id", "m").crossJoin(q)  # every entity has a row for every query
+    both = rows.select("id", "m").crossJoin(F.broadcast(q))  # the stated queries against all rows: at most twelve terms each
     return both.select("qid", "id", F.round(fusion.coverage(F.col("terms"), F.col("m"), F.col("idf")), 6).alias("coverage"))
 
 
-@query("SELECT doc_id, CASE WHEN n >= 3 THEN NULL ELSE d END AS details FROM (SELECT doc_id, d, count(*) OVER (PARTITION BY substring(d, 1, 120)) AS n FROM (SELECT doc_id, substring(text, 1, 300) AS d FROM documents))")
+@query("SELECT doc_id, CASE WHEN n >= 3 THEN NULL ELSE d END AS details FROM (SELECT doc_id, d, count(*) OVER (PARTITION BY substring(d, 1, 120)) AS n FROM (SELECT doc_id, text AS d FROM documents))")
 def shared_details(spark, sf):
     return fusion.shared_details(table(spark, sf, "documents").select("doc_id", F.col("text").alias("details")), "details", "doc_id")
 
@@ -395,9 +424,14 @@ def surface_floors(spark, sf):
     return fusion.leaders(_candidates(spark, sf)).select("qid", long("k", "k"), fusion.surfaces().alias("shown"))
 
 
-@query(f"WITH {_CAND}, c AS (SELECT qid, k, coalesce(literal, 0) AS li, coalesce(cosine, 0) AS v, coalesce(lexical, 0) / 10 AS le FROM cand) SELECT qid, k::BIGINT AS k, CASE WHEN li > 0 AND li >= v AND li >= le THEN 'literal' WHEN v > 0 AND le > 0 THEN 'hybrid' WHEN v > 0 THEN 'semantic' WHEN le > 0 THEN 'lexical' WHEN li > 0 THEN 'literal' ELSE 'usage' END AS reason FROM c")
+@query(
+    f"""WITH {_CAND}, c AS (SELECT *, CASE WHEN literal > 0 THEN 'name prefix' END AS reason, literal / 20 AS li, CASE WHEN cosine >= 0.2 THEN cosine / 10 ELSE 0 END AS v, CASE WHEN lexical >= 2 THEN lexical / 100 ELSE 0 END AS le FROM cand)
+ SELECT qid, k::BIGINT AS k, CASE WHEN reason IS NOT NULL AND li >= v AND li >= le THEN reason WHEN cosine IS NOT NULL AND lexical IS NOT NULL THEN 'hybrid semantic+lexical' WHEN cosine IS NOT NULL THEN 'semantic' WHEN lexical IS NOT NULL THEN 'lexical' ELSE coalesce(reason, 'usage') END AS reason FROM c"""
+)
 def explain_match(spark, sf):
-    return _candidates(spark, sf).select("qid", long("k", "k"), fusion.explain(F.col("literal"), F.col("cosine"), F.col("lexical") / 10, F.lit(1.0)).alias("reason"))
+    c = F.col
+    why = fusion.explain(F.when(c("literal") > 0, "name prefix"), c("literal") / 20, F.when(c("cosine") >= 0.2, c("cosine") / 10), F.when(c("lexical") >= 2, c("lexical") / 100), c("cosine"), c("lexical"))
+    return _candidates(spark, sf).select("qid", long("k", "k"), why.alias("reason"))
 
 
 def _index(spark, sf):
@@ -420,18 +454,64 @@ def hybrid_search(spark, sf):
     return _hits(spark, sf).select("qid", "key", long("place", "place"), F.round("score", 6).alias("score"), "why")
 
 
+def _named(spark, sf, asked):
+    return _hits(spark, sf, asked).join(_index(spark, sf).select("key", F.col("display_name").alias("name")), "key").select("qid", "name", "place")
+
+
+def _cases(spark, sf):
+    """A case for each query: the name of its own number is acceptable; some forbid or require names,
+    expect nothing or limit the number of hits."""
+    own = table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), "p_name")
+    none, q = F.array().cast("array<string>"), F.col("qid")
+    said = _asked(spark, sf).join(own, "qid").withColumn("query", F.when(q % 3 == 0, F.col("p_name")).otherwise(F.col("query")))
+    return said.select(
+        "qid", "query", "embedding", F.when(q % 7 == 0, none).otherwise(F.array("p_name")).alias("acceptable"), F.when(q % 5 == 0, F.array("p_name")).otherwise(none).alias("forbidden"), F.when(q % 4 == 0, F.array("p_name")).otherwise(none).alias("required"),
+        (q % 7 == 0).alias("expect_no_results"), F.when(q % 6 == 0, 5).alias("max_results"), F.lit(3).alias("within_top_n"),
+    )
+
+
+@query()
+def eval_outcomes(spark, sf):
+    cases = _cases(spark, sf)
+    done = search.evaluate(_named(spark, sf, cases.select("qid", "query", "embedding")), cases)
+    return done.select("qid", "passed", long("matched_rank", "matched_rank"), long("n_hits", "n_hits"))
+
+
 @query()
 def eval_report(spark, sf):
-    hits = _hits(spark, sf).join(_index(spark, sf).select("key", F.col("display_name").alias("name")), "key").select("qid", "name", "place")
-    own = table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), "p_name")
-    none = F.array().cast("array<string>")
-    cases = views.queries(spark, sf).join(own, "qid").select("qid", F.array("p_name").alias("acceptable"), none.alias("forbidden"), none.alias("required"), F.lit(False).alias("expect_no_results"), F.lit(None).cast("int").alias("max_results"), F.lit(3).alias("within_top_n"))
-    return search.report(search.evaluate(hits, cases))
+    cases = _cases(spark, sf)
+    return search.report(search.evaluate(_named(spark, sf, cases.select("qid", "query", "embedding")), cases))
+
+
+_EVAL_HITS = "hits AS (SELECT s_suppkey % 40 AS qid, p_name AS name, row_number() OVER (PARTITION BY s_suppkey % 40 ORDER BY s_suppkey, p_partkey) AS place FROM supplier JOIN part ON p_partkey % 1000 = s_suppkey % 1000), top AS (SELECT * FROM hits WHERE place <= 10)"
+_EVAL_SQL = f"""WITH {_EVAL_HITS}, w AS (SELECT qid, name, place, list_distinct(list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM top),
+ cases AS (SELECT c_custkey AS qid, p_name AS want, list_distinct(string_split(p_name, ' ')) AS a, c_custkey % 5 = 0 AS forbids, c_custkey % 4 = 0 AS requires, c_custkey % 7 = 0 AS nothing, CASE WHEN c_custkey % 6 = 0 THEN 5 END AS most FROM customer JOIN part ON p_partkey = c_custkey WHERE c_custkey < 40),
+ j AS (SELECT c.*, name, place, name IS NOT NULL AND (len(list_intersect(w, a)) = len(w) OR len(list_intersect(w, a)) = len(a)) AS hit, lower(name) = lower(want) AS same FROM cases c LEFT JOIN w USING (qid)),
+ g AS (SELECT qid, any_value(forbids) AS forbids, any_value(requires) AS requires, any_value(nothing) AS nothing, any_value(most) AS most, min(place) FILTER (hit AND NOT nothing) AS matched_rank, count(name) AS n_hits, count(*) FILTER (hit AND place <= 8) AS near, count(*) FILTER (same) AS banned FROM j GROUP BY qid)
+ SELECT qid, (CASE WHEN nothing THEN n_hits = 0 ELSE coalesce(matched_rank <= 3, false) END) AND NOT (requires AND near = 0) AND NOT (forbids AND banned > 0) AND coalesce(n_hits <= most, true) AS passed, matched_rank, n_hits FROM g"""
+
+
+@query(_EVAL_SQL)
+def evaluate_cases(spark, sf):
+    """The harness over hits made from keys, with cases of all five kinds."""
+    part = table(spark, sf, "part")
+    made = table(spark, sf, "supplier").join(part, F.col("p_partkey") % 1000 == F.col("s_suppkey") % 1000)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("s_suppkey", "p_partkey"))
+    hits = made.withColumn("qid", F.col("s_suppkey") % 40).withColumn("place", place).where("place <= 10").select("qid", F.col("p_name").alias("name"), "place")
+    none, q = F.array().cast("array<string>"), F.col("qid")
+    cases = table(spark, sf, "customer").where("c_custkey < 40").join(part, F.col("p_partkey") == F.col("c_custkey")).select(
+        F.col("c_custkey").alias("qid"), "p_name",
+    ).select(
+        "qid", F.when(q % 7 == 0, none).otherwise(F.array("p_name")).alias("acceptable"), F.when(q % 5 == 0, F.array("p_name")).otherwise(none).alias("forbidden"), F.when(q % 4 == 0, F.array("p_name")).otherwise(none).alias("required"),
+        (q % 7 == 0).alias("expect_no_results"), F.when(q % 6 == 0, 5).alias("max_results"), F.lit(3).alias("within_top_n"),
+    )
+    return search.evaluate(hits, cases).select("qid", "passed", long("matched_rank", "matched_rank"), long("n_hits", "n_hits"))
 
 
 @query()
 def typing_stability(spark, sf):
-    return search.typing_stability(lambda q: _hits(spark, sf, q), _asked(spark, sf), 2)
+    cases = _cases(spark, sf).where("qid % 3 = 0 and qid % 7 <> 0")
+    return search.typing_stability(lambda q: _named(spark, sf, q), cases, 2).select("qid", long("dropped", "dropped"), "passed")
 
 
 # --------------------------------------------------------------------------- browse and store
@@ -486,11 +566,7 @@ def debounce_sessions(spark, sf):
 
 @query("SELECT event_type, sorted[(len(sorted) // 2 + 1)::BIGINT] AS median, sorted[greatest(1, ceil(0.95 * len(sorted)))::BIGINT] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS sorted FROM events GROUP BY event_type)")
 def latency_percentiles(spark, sf):
-    # ranks instead of lists: a group of any size is counted, not collected
-    w = Window.partitionBy("event_type")
-    rows = table(spark, sf, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("i"), F.count("*").over(w).alias("n"))
-    pick = lambda at: F.max(F.when(F.col("i") == at, F.col("value")))
-    return rows.groupBy("event_type").agg(pick(F.floor(F.col("n") / 2) + 1).alias("median"), pick(F.greatest(F.lit(1), F.ceil(F.lit(0.95) * F.col("n")))).alias("p95"))
+    return browse.upper_percentiles(table(spark, sf, "events"), "event_type", "value", {"median": "floor(n / 2) + 1", "p95": "greatest(1, ceil(0.95 * n))"})
 
 
 # --------------------------------------------------------------------------- build
@@ -557,7 +633,7 @@ def provider_plan(spark, sf):
     return build.provider_plan(d, d.select(F.col("id").alias("entity_id"), "provider"), ["src1", "src2", "src3"], ["src2"])
 
 
-@query("WITH u AS (SELECT DISTINCT source AS entity_id, lang AS provider, doc_id % 2 = 0 AS is_online, substring(regexp_replace(text, '\\s+', ' ', 'g'), 1, 12) AS text FROM documents) SELECT entity_id, count(DISTINCT (provider, trim(text))) AS n FROM u WHERE trim(text) <> '' GROUP BY entity_id")
+@query("WITH u AS (SELECT DISTINCT source AS entity_id, lang AS provider, doc_id % 2 = 0 AS is_online, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM documents) SELECT entity_id, count(DISTINCT (provider, trim(text))) AS n FROM u WHERE trim(text) <> '' GROUP BY entity_id")
 def merge_documents(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("entity_id"), F.col("lang").alias("provider"), (F.col("doc_id") % 2 == 0).alias("is_online"), "text")
     return build.merge_documents(d.where("is_online"), d.where("not is_online")).groupBy("entity_id").agg(F.count("*").alias("n"))
@@ -578,7 +654,7 @@ def near_duplicate_phrases(spark, sf):
 @query()
 def synthesize_profile(spark, sf):
     ents = views.entities(spark, sf)
-    rows = ents.select("id", "display_name", "kind", F.concat(F.lit("C:\\Tools\\"), F.regexp_replace("display_name", " ", ""), F.lit(".exe")).alias("launch_target"), F.create_map(F.lit("description"), F.substring("summary", 1, 200)).alias("raw_metadata"))
+    rows = ents.select("id", "display_name", "kind", F.concat(F.lit("C:\\Tools\\"), F.regexp_replace("display_name", " ", ""), F.lit(".exe")).alias("launch_target"), F.create_map(F.lit("description"), F.col("summary")).alias("raw_metadata"))
     said = ents.select(F.col("id").alias("entity_id"), F.lit("learn").alias("provider"), F.lit(True).alias("is_online"), F.concat(F.lit("Tags: "), F.col("category"), F.lit("; "), F.col("publisher"), F.lit(" Summary: "), F.col("details")).alias("text"))
     return synthesis.synthesize(rows, said).select("entity_id", "summary", F.array_join("tasks", "|").alias("tasks"), F.array_join("synonyms", "|").alias("synonyms"), "category", "details")
 

@@ -2,71 +2,120 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import match_strength
-from ..functions.text import adjacent_pairs, content_terms, indexable_summary, normalize_name
+from ..functions.names import image_name, letters_of, match_strength, partial_credibility
+from ..functions.text import adjacent_pairs, content_terms, indexable_summary, indexable_tasks, normalize_name
 from ..operators import fusion, lexical, vector
 from ..schema import RankingOptions
 from ..sources.scratch import scratch_table
 
 
-def match_text(name: Column, summary: Column) -> Column:
-    return F.concat(F.lit(" "), F.lower(F.concat_ws(" ", name, F.coalesce(summary, F.lit("")))), F.lit(" "))
-
-
-def literal_arm(queries: DataFrame, entities: DataFrame, o: RankingOptions) -> DataFrame:
-    """(qid, key, strength, literal): all name matches, ranked plainly.
-
-    Queries meet distinct names, not entities: a name that matches must share a first letter
-    with some word of the query, which gives the join its key."""
-    q = queries.select("qid", "query", normalize_name(F.col("query")).alias("q")).where("q <> ''")
-    names = entities.select("display_name").distinct().select("display_name", normalize_name(F.col("display_name")).alias("n"))
-    # every kind of match begins with a word of the name that begins with the query's first letter,
-    # or (a subsequence) with that letter anywhere in the name
-    letters = F.array_distinct(F.filter(F.split("n", ""), lambda c: (c != "") & (c != " ")))
-    near = q.withColumn("c", F.substring("q", 1, 1)).join(names.withColumn("c", F.explode(letters)), "c").where("length(q) <= length(n)")  # no kind of match is shorter than its query
-    strength, reason = match_strength(F.col("query"), F.col("display_name"), o)
-    found = near.select("qid", "display_name", strength.alias("strength"), reason.alias("reason")).where("strength > 0")
-    hits = found.join(entities.select("key", "display_name"), "display_name")
+#: Columns of entities that may be left out.
+OPTIONAL = {
+    "summary": "string", "tasks": "array<string>", "synonyms": "array<string>", "details": "string", "features": "string", "publisher": "string", "source": "string", "kind": "int",
+    "launch_kind": "int", "launch_target": "string", "icon_source": "string", "embedding": "array<float>", "launch_count": "bigint", "last_launched_at": "timestamp",
+}
+FIELDS = ["name", "summary", "tasks", "synonyms", "details", "publisher", "features"]
+#: Queries of one block of the literal arm.
+BLOCK = 20_000
+
+
+def complete(entities: DataFrame) -> DataFrame:
+    """Entities with all columns that the search reads."""
+    return entities.select("key", "display_name", *(F.col(c) if c in entities.columns else F.lit(None).cast(t).alias(c) for c, t in OPTIONAL.items()))
+
+
+def match_text(name: Column, summary: Column, tasks: Column | None = None, synonyms: Column | None = None) -> Column:
+    """What says what a thing is for, lower-cased; the summary as it is."""
+    lists = [F.array_join(x, " ") for x in (tasks, synonyms) if x is not None]
+    return F.concat(F.lit(" "), F.lower(F.concat_ws(" ", name, F.coalesce(summary, F.lit("")), *lists)), F.lit(" "))
+
+
+def name_matches(queries: DataFrame, names: DataFrame, o: RankingOptions) -> DataFrame:
+    """(qid, name, strength, reason) of the names (name) that a query matches.
+
+    Every kind of match needs all the query's characters in the name, and no more characters than
+    it has.  The queries go out in blocks of bounded size against all names, each pair is tested
+    for that by two numbers, and only what passes is matched."""
+    q = queries.select("qid", "query", normalize_name(F.col("query")).alias("q")).where("q <> ''").withColumn("qm", letters_of(F.col("q")))
+    n = names.distinct().withColumn("n", normalize_name(F.col("name"))).where("n <> ''").withColumn("nm", letters_of(F.col("n")))
+    parts = max(1, -(-q.count() // BLOCK))
+    blocks = [q if parts == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts)]
+    near = reduce(DataFrame.unionByName, [n.join(F.broadcast(block), F.expr("length(q) <= length(n) and (qm & ~nm) = 0")) for block in blocks])
+    strength, reason = match_strength(F.col("query"), F.col("name"), o)
+    return near.select("qid", "name", strength.alias("strength"), reason.alias("reason")).where("strength > 0")
+
+
+def literal_arm(queries: DataFrame, entities: DataFrame, o: RankingOptions, df: DataFrame | None = None, total: int = 0) -> DataFrame:
+    """(qid, key, strength, reason, literal): all matches of names, and of the names of the images
+    that entities run, ranked plainly; the better of the two counts.  df (t, df) of ``total`` rows: a
+    partial match of one common word is damped."""
+    called = entities.select("key", "display_name", F.col("display_name").alias("name"), F.lit(0).alias("by"))
+    if {"launch_kind", "launch_target"} <= set(entities.columns):
+        image = F.when(F.coalesce(F.col("launch_kind") != 3, F.lit(True)), image_name(F.col("launch_target"), F.col("display_name")))
+        called = called.union(entities.select("key", "display_name", image.alias("name"), F.lit(1).alias("by")).where("name is not null"))
+    found = name_matches(queries, called.select("name"), o)
+    hits = found.join(called, "name").groupBy("qid", "key", "display_name").agg(F.max(F.struct("strength", -F.col("by"), "reason")).alias("best")).select("qid", "key", "display_name", "best.strength", "best.reason")
+    if df is not None:
+        word = normalize_name(F.col("query"))
+        often = queries.select("qid", "query", word.alias("t")).join(df, "t").select("qid", partial_credibility(F.col("query"), F.col("df"), F.lit(float(total)), o).alias("credible"))
+        damped = F.when(F.col("reason").isin("word prefix", "subsequence"), F.col("strength") * F.coalesce("credible", F.lit(1.0))).otherwise(F.col("strength"))
+        hits = hits.join(F.broadcast(often), "qid", "left").withColumn("strength", damped).drop("credible").where("strength > 0")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("strength"), F.upper("display_name"), "key")) - 1
     power = F.least(F.col("strength") / o.exact_match_boost, F.lit(1.0))
     return hits.withColumn("place", place).select("qid", "key", "strength", "reason", (power * fusion.reciprocal(o.literal_arm_weight, F.col("place"), o.rrf_k)).alias("literal"))
 
 
-def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False) -> DataFrame:
+def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False, root: str = "C:\\Windows") -> DataFrame:
     """(qid, key, place, score, band, reason, ...) of the entities shown.
 
-    entities: key, display_name, summary, details, publisher, source, embedding (unit length or
-    null), launch_count, last_launched_at.  queries: qid, query, embedding."""
+    entities: key, display_name and the columns of ``OPTIONAL`` (embedding of unit length or null).
+    queries: qid, query, embedding.  root: where the system's own files lie."""
     o = options or RankingOptions()
-    own = entities.where("embedding is not null")
-    near = vector.scores(own, queries.where("embedding is not null"), "key", "embedding", floor=max(o.min_vector_score, 1e-9), k=o.candidates_per_arm)
+    entities = complete(entities)
+    own = entities.where("embedding is not null").select("key", "embedding")
+    asked = queries.where("embedding is not null").select("qid", "embedding")
+    near = vector.scores(own, asked, "key", "embedding", floor=max(o.min_vector_score, 1e-9), k=o.candidates_per_arm)
     vec = fusion.tiered_ranks(near, "key", o.rank_tier_tolerance)
-    vec = vec.select("qid", "key", F.col("score").alias("cosine"), (fusion.reciprocal(o.vector_arm_weight, F.col("tier"), o.rrf_k) + o.vector_magnitude_weight * F.col("score")).alias("vector"))
-    text = entities.select("key", F.col("display_name").alias("name"), indexable_summary(F.col("summary"), F.col("display_name")).alias("summary"), "details", "publisher")
-    hits, sizes = lexical.postings(text, "key", ["name", "summary", "details", "publisher"], stem)
-    bm = lexical.bm25(hits, sizes, lexical.query_phrases(queries, stem), "key", o.candidates_per_arm)
+    vec = vec.select("qid", "key", F.lit(True).alias("vector_ranked"), (fusion.reciprocal(o.vector_arm_weight, F.col("tier"), o.rrf_k) + o.vector_magnitude_weight * F.col("score")).alias("vector"))
+    bm = lexical.bm25(lexical.Postings(lexical.projection(entities, "key"), "key", FIELDS, stem), lexical.query_phrases(queries, stem), o.candidates_per_arm)
     lex = fusion.tiered_ranks(bm, "key", o.rank_tier_tolerance).select("qid", "key", F.col("score").alias("lexical"), "tier")
-    # each arm is used several times below: it is computed once
-    vec, lex, names = scratch_table(vec, "vector-arm"), scratch_table(lex, "lexical-arm"), scratch_table(literal_arm(queries, entities, o), "literal-arm")
-    arms = vec.select("qid", "key").union(lex.select("qid", "key")).union(names.select("qid", "key")).distinct()
-    said = entities.select("key", "display_name", match_text(F.col("display_name"), F.col("summary")).alias("match"), "summary", "details", "source", "launch_count", "last_launched_at")
-    terms = queries.select("qid", content_terms(F.col("query")).alias("terms_list"))
     # weights of the queries' terms alone: a map per query
+    said = entities.withColumn("match", match_text(F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms")))
     total = entities.count()
-    df = lexical.document_frequency(said, F.col("match")).withColumnRenamed("word", "t")
+    terms = queries.select("qid", "query", content_terms(F.col("query")).alias("terms_list"))
+    wanted = terms.select(F.explode("terms_list").alias("t")).union(terms.select(normalize_name(F.col("query")))).distinct()
+    df = scratch_table(lexical.document_frequency(said, F.col("match")).withColumnRenamed("word", "t").join(F.broadcast(wanted), "t"), "df")
     weights = terms.select("qid", F.explode("terms_list").alias("t")).join(df, "t", "left").select("qid", "t", lexical.idf(F.coalesce("df", F.lit(0)), total).alias("w"))
     weights = weights.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("idf"))
-    rows = arms.join(vec, ["qid", "key"], "left").join(lex, ["qid", "key"], "left").join(names, ["qid", "key"], "left").join(said, "key").join(terms, "qid").join(weights, "qid", "left")
-    idf = F.coalesce("idf", F.create_map().cast("map<string,double>"))
-    rows = rows.withColumn("coverage", fusion.coverage(F.col("terms_list"), F.col("match"), idf)).withColumn("terms", F.size("terms_list"))
+    terms = terms.select("qid", "terms_list").join(weights, "qid", "left").withColumn("idf", F.coalesce("idf", F.create_map().cast("map<string,double>")))
+    # each arm is used several times below: it is computed once
+    vec, lex, names = scratch_table(vec, "vector-arm"), scratch_table(lex, "lexical-arm"), scratch_table(literal_arm(queries, entities, o, df, total), "literal-arm")
+    arms = vec.select("qid", "key").union(lex.select("qid", "key")).union(names.select("qid", "key")).distinct()
+    rows = arms.join(vec, ["qid", "key"], "left").join(lex, ["qid", "key"], "left").join(names, ["qid", "key"], "left").join(said, "key").join(F.broadcast(terms), "qid")
+    # every candidate's cosine counts as evidence, whether the arm ranked it or not
+    cosine = F.round(vector.dot(F.col("embedding"), F.col("asked")), 6)
+    rows = rows.join(asked.withColumnRenamed("embedding", "asked"), "qid", "left").withColumn("cosine", cosine).drop("embedding", "asked").withColumn("vector_ranked", F.coalesce("vector_ranked", F.lit(False)))
+    pairs = adjacent_pairs(F.col("terms_list"))
+    everything = F.concat_ws(". ", "display_name", "summary", "details", "features", F.array_join("tasks", ". "), F.array_join("synonyms", ". "))
+    rows = rows.withColumn("stated", F.when(F.size("terms_list") >= 2, fusion.stated_pairs(pairs, fusion.segments(everything))))
+    found = F.col("lexical").isNotNull()
+    rows = rows.withColumn("coverage", F.when(found, fusion.coverage(F.col("terms_list"), F.col("match"), F.col("idf"), F.coalesce(fusion.phrased_terms(F.col("stated")), F.array().cast("array<string>")))).otherwise(1.0)).withColumn("terms", F.size("terms_list"))
+    rows = rows.withColumn("name_only_lexis", found & fusion.name_only_lexis(F.col("terms_list"), F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"), F.col("details")))
+    name = F.col("display_name")
+    tasks = F.size(F.coalesce(indexable_tasks(F.col("tasks"), name), F.array().cast("array<string>")))
+    rows = rows.withColumn("name_only_semantics", indexable_summary(F.col("summary"), name).isNull() & (tasks == 0) & (F.coalesce(F.trim("details"), F.lit("")) == ""))
+    rows = rows.withColumn("component", fusion.system_component(F.col("kind"), F.col("launch_kind"), F.col("launch_target"), F.col("icon_source"), root))
     top = Window.partitionBy("qid")
-    rows = rows.withColumn("lead_lex", F.max("lexical").over(top)).withColumn("lead_cos", F.max("cosine").over(top))
+    rows = rows.withColumn("lead_lex", F.max("lexical").over(top)).withColumn("lead_cos", F.coalesce(F.max("cosine").over(top), F.lit(0.0)))
     rows = rows.withColumn("lex_part", F.when(F.col("lexical") >= o.min_lexical_contribution_ratio * F.col("lead_lex"), F.col("coverage") * fusion.reciprocal(o.lexical_arm_weight, F.col("tier"), o.rrf_k)))
-    pairs = fusion.adjacency_strength(adjacent_pairs(F.col("terms_list")), F.concat_ws(". ", "display_name", "summary", "details"), idf)
-    rows = rows.withColumn("adjacent", F.when(F.col("terms") >= 2, pairs * F.when(F.col("lead_cos") > 0, F.least(F.greatest(F.coalesce("cosine", F.lit(0.0)) / F.col("lead_cos"), F.lit(0.0)), F.lit(1.0))).otherwise(1.0)).otherwise(0.0))
+    agreed = F.when(F.col("lead_cos") > 0, F.least(F.greatest(F.coalesce("cosine", F.lit(0.0)) / F.col("lead_cos"), F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
+    rows = rows.withColumn("adjacent", F.when(F.col("terms") >= 2, fusion.adjacency_strength(pairs, F.col("stated"), F.col("idf")) * agreed).otherwise(0.0))
+    rows = rows.drop("match", "idf", "stated", "terms_list", "tasks", "synonyms", "features", "details", "summary", "launch_target", "icon_source")
     rows = scratch_table(rows, "candidates")
     adj = fusion.tiered_ranks(rows.where("adjacent > 0").select("qid", "key", F.col("adjacent").alias("score")), "key", o.rank_tier_tolerance).select("qid", "key", F.col("tier").alias("adj_tier"))
     rows = rows.join(adj, ["qid", "key"], "left")
@@ -74,14 +123,21 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     score = zero("vector") + zero("lex_part") + zero("literal") + zero(F.when(F.col("adj_tier").isNotNull(), F.col("adjacent") * fusion.reciprocal(o.adjacency_arm_weight, F.col("adj_tier"), o.rrf_k)))
     rows = rows.withColumn("usage", zero(usage)).withColumn("score", fusion.penalised(score, F.col("source"), F.col("usage"), o))
-    blank = F.coalesce(F.trim("summary"), F.lit("")) == ""
-    rows = rows.withColumn("name_only_semantics", blank & (F.coalesce(F.trim("details"), F.lit("")) == "")).withColumn("name_only_lexis", F.lit(False)).withColumn("vector_ranked", F.col("cosine").isNotNull())
     arm = rows.withColumnRenamed("literal", "literal_part").withColumn("literal", F.col("strength"))
     shown = fusion.leaders(arm).withColumn("shown", fusion.surfaces(o))
     shown = shown if order_all else shown.where("shown")
-    shown = shown.withColumn("why", F.coalesce(F.when(F.col("literal_part") > 0, F.col("reason")), fusion.explain(F.col("literal_part"), F.col("vector"), F.col("lex_part"), F.col("usage"))))
-    out = fusion.final_order(shown.withColumn("component", F.lit(False)), F.col("display_name"), limit, o=o)
-    return out.select("qid", "key", "place", "score", "band", "cosine", "lexical", "coverage", "strength", "why")
+    shown = shown.withColumn("why", fusion.explain(F.col("reason"), F.col("literal_part"), F.col("vector"), F.col("lex_part"), F.col("cosine"), F.col("lexical")))
+    out = fusion.final_order(shown, F.col("display_name"), limit, o=o)
+    return out.select("qid", "key", "place", "score", "band", "cosine", "lexical", "coverage", "strength", "component", "why")
+
+
+def with_text(hits: DataFrame, entities: DataFrame) -> DataFrame:
+    """Hits with what is shown of them: tasks that say more than the name, details that are no
+    boilerplate of the index."""
+    entities = complete(entities)
+    told = fusion.shared_details(entities, "details", "key")
+    shown = entities.select("key", "display_name", "summary", indexable_tasks(F.col("tasks"), F.col("display_name")).alias("tasks"))
+    return hits.join(shown, "key").join(told, "key")
 
 
 def evaluate(hits: DataFrame, cases: DataFrame) -> DataFrame:
@@ -114,9 +170,17 @@ def exit_code(pass_rate: float, gate: float = 0.7) -> int:
     return 0 if pass_rate >= gate else 2
 
 
-def typing_stability(search, queries: DataFrame, most: int = 3) -> DataFrame:
-    """(qid, dropped, key): the first hit of each query with 0..most trailing characters
-    dropped.  search: queries -> hits."""
-    cut = queries.select("qid", "query", "embedding", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("dropped")).where(F.length("query") - F.col("dropped") >= 2)
-    cut = cut.select((F.col("qid") * 100 + F.col("dropped")).alias("qid"), F.expr("substring(query, 1, length(query) - dropped)").alias("query"), "embedding")
-    return search(cut).where("place = 1").select(F.expr("qid div 100").alias("qid"), (F.col("qid") % 100).cast("int").alias("dropped"), "key")
+def typing_stability(search, cases: DataFrame, most: int = 3) -> DataFrame:
+    """(qid, dropped, passed): whether each case's query still recalls what it must with 1..most
+    trailing characters dropped (two characters at least stay).  cases: as :func:`evaluate`
+    takes them, with query and embedding.  search: queries -> hits (qid, name, place)."""
+    cut = cases.select("*", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("dropped")).where(F.length("query") - F.col("dropped") >= 2)
+    cut = cut.withColumn("case", F.col("qid")).withColumn("qid", F.col("qid") * 100 + F.col("dropped")).withColumn("query", F.expr("substring(query, 1, length(query) - dropped)"))
+    only = cut.withColumn("forbidden", F.array().cast("array<string>")).withColumn("max_results", F.lit(None).cast("int"))
+    done = evaluate(search(cut.select("qid", "query", "embedding")), only)
+    return done.select(F.expr("qid div 100").alias("qid"), (F.col("qid") % 100).cast("int").alias("dropped"), "passed")
+
+
+def first_unstable(outcomes: DataFrame) -> DataFrame:
+    """(qid, dropped): the fewest characters whose loss breaks a case."""
+    return outcomes.where("not passed").groupBy("qid").agg(F.min("dropped").alias("dropped"))

@@ -11,17 +11,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, doc_id, source, display_name, category, publisher, kind, summary, details, text."""
+    """id, doc_id, source, display_name, category, publisher, kind, launch_kind, launch_target, summary, tasks,
+    synonyms, details, features, text; the details are the whole text."""
     d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "part")
     both = d.join(p, d.doc_id == p.p_partkey)
+    squashed = F.regexp_replace("p_name", " ", "")
     return both.select(
         F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("id"), "doc_id", "source", F.col("p_name").alias("display_name"), F.col("p_type").alias("category"), F.col("p_brand").alias("publisher"),
-        (F.col("p_size") % 8).alias("kind"), F.regexp_extract("text", r"^([^.\n]*)", 1).alias("summary"), F.substring("text", 1, 600).alias("details"), "text",
+        (F.col("p_size") % 8).alias("kind"), (F.col("p_size") % 6).alias("launch_kind"), F.concat(F.when(F.col("p_size") % 5 == 0, "C:\\Windows\\").otherwise("D:\\Tools\\"), squashed, F.lit(".exe")).alias("launch_target"),
+        F.regexp_extract("text", r"^([^.\n]*)", 1).alias("summary"), F.array(F.lower("p_type"), F.concat(F.lit("open "), "p_name")).alias("tasks"), F.array("p_brand", F.col("lang")).alias("synonyms"),
+        F.col("text").alias("details"), F.concat_ws(", ", "p_type", "p_brand").alias("features"), "text",
     )
 
 
-ENTITIES_SQL = r"""ents AS (SELECT d.source || ':' || d.doc_id AS id, d.doc_id, d.source, p.p_name AS display_name, p.p_type AS category, p.p_brand AS publisher,
- p.p_size % 8 AS kind, regexp_extract(d.text, '^([^.\n]*)', 1) AS summary, substring(d.text, 1, 600) AS details, d.text FROM documents d JOIN part p ON p.p_partkey = d.doc_id)"""
+ENTITIES_SQL = r"""ents AS (SELECT d.source || ':' || d.doc_id AS id, d.doc_id, d.source, p.p_name AS display_name, p.p_type AS category, p.p_brand AS publisher, p.p_size % 8 AS kind, p.p_size % 6 AS launch_kind,
+ CASE WHEN p.p_size % 5 = 0 THEN 'C:\Windows\' ELSE 'D:\Tools\' END || replace(p.p_name, ' ', '') || '.exe' AS launch_target, regexp_extract(d.text, '^([^.\n]*)', 1) AS summary,
+ [lower(p.p_type), 'open ' || p.p_name] AS tasks, [p.p_brand, d.lang] AS synonyms, d.text AS details, p.p_type || ', ' || p.p_brand AS features, d.text FROM documents d JOIN part p ON p.p_partkey = d.doc_id)"""
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
