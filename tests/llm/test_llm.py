@@ -331,6 +331,25 @@ def test_large_groups_make_few_pairs(spark):
     assert [r["doc_id"] for r in got] == [0]
 
 
+def test_keys_of_many_lines_lose_no_pair(spark):
+    """Families of lines with 0 to 8 of 30 words changed, more than are paired at once, against all pairs."""
+    rng = random.Random(24)
+    texts, i = {}, 0
+    for f in range(3):
+        base = [f"f{chr(97 + f)}{chr(97 + k)}w" for k in range(30)]
+        for _ in range(90):
+            line = list(base)
+            for at in rng.sample(range(30), rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8])):
+                line[at] = f"n{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"
+            if rng.random() < 0.3:
+                line.insert(rng.randrange(30), "more")
+            texts[i] = " ".join(line)
+            i += 1
+    gone = lines_by_force(texts)
+    got = {r["doc_id"]: r["removed"] for r in linededup.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {k: sorted(gone[k]) for k in texts} and any(got.values()) and len(texts) - sum(map(len, got.values())) > 3
+
+
 def test_fuzzy_lines_odd(odd):
     got = linededup.clean(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
