@@ -83,7 +83,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 # --------------------------------------------------------------------------- batches
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the text of each piece is about ``most`` bytes; one longer
     text makes a piece by itself."""
     if not batch.num_rows:
