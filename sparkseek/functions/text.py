@@ -247,8 +247,8 @@ def shares_lead(a: Column, b: Column) -> Column:
 def structured_description(page: Column, least: int = 25) -> Column:
     """What a page says of itself: linked data, then its meta elements; no echo of its title."""
     title = page_title(page)
-    said = F.array(json_ld_description(page), meta_content(page, "og:description", "property"), meta_content(page, "description", "name"))
-    return F.get(F.filter(said, lambda d: (F.length(d) >= least) & ~F.coalesce(shares_lead(d, title), F.lit(False))), 0)
+    good = lambda d: F.when((F.length(d) >= least) & ~F.coalesce(shares_lead(d, title), F.lit(False)), d)
+    return F.coalesce(good(json_ld_description(page)), good(meta_content(page, "og:description", "property")), good(meta_content(page, "description", "name")))
 
 
 def _function_words(text: Column, blank: str) -> Column:

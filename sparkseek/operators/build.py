@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +45,11 @@ def exe_key(runs: Column, shared: Column, path: Column, arguments: Column) -> Co
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """Of the rows of each key the first by precedence."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """Of the rows of each key the first by precedence; each task keeps its own first before the
+    rows of a key meet, so a key of any number of rows costs one a task."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct(*order)).alias("__first"))
+    return first.select(*keys, *(F.col("__first").getField(c).alias(c) for c in rest)).select(*rows.columns)
 
 
 def greedy_groups(rows: DataFrame, order: list[str], keys: str = "keys") -> DataFrame:
@@ -65,19 +67,22 @@ def greedy_groups(rows: DataFrame, order: list[str], keys: str = "keys") -> Data
     group = connected(links)
     held = rows.join(group, rows.id == group.node, "left").withColumn("root", F.coalesce("root", "id")).select("root", "id", F.col(keys).alias("keys"), F.struct(*order).alias("o"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner: dict[str, str] = {}
-        out = []
-        pdf = pdf.assign(o=[tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in pdf["o"]])
-        for _, row in pdf.sort_values("o", kind="stable").iterrows():
-            claimed = next((owner[k] for k in row["keys"] if k in owner), None)
-            survivor = claimed or row["id"]
-            for k in row["keys"]:
-                owner.setdefault(k, survivor)
-            out.append((row["id"], survivor))
-        return pd.DataFrame(out, columns=["id", "survivor"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by component and order stream by; only the keys' owners are held."""
+        now, owner = None, {}
+        for batch in batches:
+            out = []
+            for root, id_, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if root != now:
+                    now, owner = root, {}
+                survivor = next((owner[k] for k in keys if k in owner), None) or id_
+                for k in keys:
+                    owner.setdefault(k, survivor)
+                out.append(survivor)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string())], ["id", "survivor"])
 
-    return held.groupBy("root").applyInPandas(fold, "id string, survivor string")
+    ordered = held.repartition("root").sortWithinPartitions("root", "o").select("root", "id", "keys")
+    return ordered.mapInArrow(fold, "id string, survivor string")
 
 
 def absorb(survivor: Column, loser: Column) -> Column:
@@ -144,15 +149,3 @@ def index_result(plan: DataFrame, failed: int = 0) -> DataFrame:
     """One row of counters."""
     count = lambda s: F.count_if(F.col("state") == s)
     return plan.agg(F.count_if(F.col("state") != "stale").alias("discovered"), count("added").alias("added"), count("updated").alias("updated"), count("unchanged").alias("unchanged"), count("stale").alias("removed"), F.lit(failed).cast("long").alias("failed"))
-
-
-def chunks(rows: Iterator, size: int = 8) -> Iterator[list]:
-    """Batches of at most ``size`` for an embedder."""
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held

@@ -51,7 +51,8 @@ PROFILES = T.StructType(
     ]
 )
 USAGE = T.StructType([T.StructField("entity_id", T.StringType(), False), T.StructField("launch_count", T.IntegerType()), T.StructField("last_launched_at", T.TimestampType())])
-TABLES = {"entities": ENTITIES, "documents": DOCUMENTS, "profiles": PROFILES, "usage_stats": USAGE}
+VECTORS = T.StructType([T.StructField("vector_ordinal", T.IntegerType(), False), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+TABLES = {"entities": ENTITIES, "documents": DOCUMENTS, "profiles": PROFILES, "vectors": VECTORS, "usage_stats": USAGE}
 SCHEMA_VERSION = 5
 
 

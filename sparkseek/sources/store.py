@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.browse import record_launches
 from ..schema import SCHEMA_VERSION, TABLES, USAGE
+from .scratch import scratch_table
 
 CONTENT = ("entities", "documents", "profiles", "vectors")
 
@@ -65,7 +66,9 @@ class IndexStore:
         if table == "usage_stats":
             fs, path = self._fs(f"{self.root}/usage_stats")
             return self.spark.read.schema(USAGE).parquet(f"{self.root}/usage_stats") if fs.exists(path) else self.spark.createDataFrame([], USAGE)
-        said = self.manifest()
+        return self._table(self.manifest(), table)
+
+    def _table(self, said: dict | None, table: str) -> DataFrame:
         if said is None or table not in said["tables"]:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.parquet(f"{self.root}/snapshot={said['snapshot']}/{table}")
@@ -83,15 +86,36 @@ class IndexStore:
         self._point(said | {"snapshot": after, "tables": sorted(set(said["tables"]) | set(tables))})
         return after
 
-    def upsert(self, entities: DataFrame, documents: DataFrame, profiles: DataFrame) -> int:
-        """Replaces the given entities with their documents and profiles; an absent vector
-        ordinal keeps the stored one."""
+    def upsert(self, entities: DataFrame, documents: DataFrame, profiles: DataFrame, vectors: DataFrame | None = None) -> int:
+        """Replaces the given entities with their documents and profiles.
+
+        vectors: (id, embedding).  An entity with a vector keeps its ordinal or gets the next
+        free one; one without keeps the ordinal it has."""
         ids = entities.select("id")
         old = self.read("entities")
         kept = old.join(ids, "id", "left_anti")
         ordinals = old.select("id", F.col("vector_ordinal").alias("was"))
-        new = entities.join(ordinals, "id", "left").withColumn("vector_ordinal", F.coalesce("vector_ordinal", "was")).select(*kept.columns)
-        out = {"entities": kept.unionByName(new)}
+        new = entities.drop("vector_ordinal").join(ordinals, "id", "left")
+        out = {}
+        if vectors is not None:
+            given = scratch_table(vectors.join(ids, "id", "left_semi").join(ordinals, "id", "left"), "given")
+            free = (old.agg(F.max("vector_ordinal")).first()[0] if "entities" in (self.manifest() or {}).get("tables", []) else None)
+            fresh = given.where("was is null").select("id")
+            # numbered by ranges of ids: counts of the ranges first, then places within each
+            ranged = scratch_table(fresh.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "fresh")
+            upto = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+            place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+            numbered = ranged.withColumn("place", place).join(F.broadcast(upto), "part").select("id", (F.col("place") + F.col("base") + F.lit(-1 if free is None else free)).cast("int").alias("next"))
+            numbered = scratch_table(numbered, "ordinals")
+            own = given.join(numbered, "id", "left").select("id", F.coalesce("was", "next").alias("vector_ordinal"), F.col("embedding").cast("array<float>").alias("embedding"))
+            own = scratch_table(own, "vectors")
+            stays = self.read("vectors").join(own.select("vector_ordinal"), "vector_ordinal", "left_anti")
+            out["vectors"] = stays.unionByName(own.select(*stays.columns))
+            new = new.join(own.select("id", F.col("vector_ordinal").alias("got")), "id", "left")
+        else:
+            new = new.withColumn("got", F.lit(None).cast("int"))
+        new = new.withColumn("vector_ordinal", F.coalesce("got", "was")).select(*kept.columns)
+        out["entities"] = kept.unionByName(new)
         for name, rows in (("documents", documents), ("profiles", profiles)):
             rest = self.read(name).join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_anti")
             out[name] = rest.unionByName(rows.select(*rest.columns))
@@ -108,6 +132,36 @@ class IndexStore:
     def purge_online(self) -> int:
         return self.publish(documents=self.read("documents").where("not is_online"))
 
+    def documents_by_entity(self) -> DataFrame:
+        """(entity_id, documents): all of each entity, by provider and text."""
+        rows = self.read("documents")
+        return rows.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("provider", "text", "is_online", "source_uri", "retrieved_at"))).alias("documents"))
+
+    def documents_of(self, entity_id: str) -> DataFrame:
+        return self.read("documents").where(F.col("entity_id") == entity_id).orderBy("provider", "text")
+
+    def vector_matrix(self) -> DataFrame:
+        """(vector_ordinal, embedding) from 0 to the highest ordinal; what no entity has is zeros."""
+        have = self.read("vectors")
+        last = have.agg(F.max("vector_ordinal")).first()[0]
+        dims = (self.manifest() or {}).get("embedding_dimensions", 0)
+        every = self.spark.range(0 if last is None else last + 1).select(F.col("id").cast("int").alias("vector_ordinal"))
+        return every.join(have, "vector_ordinal", "left").select("vector_ordinal", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dims)).alias("embedding"))
+
+    def snapshot(self) -> dict[str, DataFrame]:
+        """All tables of the snapshot that is current now, and usage: one read of the manifest, so
+        a publication in between changes none of them."""
+        said = self.manifest()
+        out = {n: self._table(said, n) for n in CONTENT}
+        return out | {"usage_stats": self.read("usage_stats")}
+
+    def status(self) -> dict:
+        """Whether there is an index, of how many entities, by which model."""
+        said = self.manifest()
+        if said is None:
+            return {"available": False, "count": 0, "model": None, "dimensions": 0, "snapshot": None}
+        return {"available": True, "count": self.count(), "model": said["embedding_model"], "dimensions": said["embedding_dimensions"], "snapshot": said["snapshot"]}
+
     def content_hashes(self) -> DataFrame:
         return self.read("entities").where("content_hash is not null").select("id", "content_hash")
 
