@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Held, Scratch, Tokens, mix, powers, prefix_hash, signed, slices, text_buffer
+from .common import U64, Held, Scratch, Tokens, lean, mix, powers, prefix_hash, signed, slices, text_buffer
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = 4
@@ -183,7 +183,7 @@ def extract(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.string()), pa.array(found, pa.list_(FOUND)), pa.array(told, pa.list_(seed))], ["doc_id", "th", "base_sha256", "found", "seeds"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, base_sha256 string, found {SPANS}, seeds array<struct<kind:int,pattern:long,instance:string>>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(lean(run), f"doc_id {kind}, th long, base_sha256 string, found {SPANS}, seeds array<struct<kind:int,pattern:long,instance:string>>")
 
 
 def proposals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def proposals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["th", "start", "end", "pattern", "token", "n"])
 
-    return docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "th long, start int, end int, pattern long, token string, n long")
+    return docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text").mapInArrow(lean(run), "th long, start int, end int, pattern long, token string, n long")
 
 
 def _fits_kind() -> Column:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, free_shuffles, mix, powers, prefix_hash, signed, slices, text_buffer
+from .common import U64, Scratch, free_shuffles, lean, mix, powers, prefix_hash, signed, slices, text_buffer
 
 LEAST, GRAM, GROUP = 50, 20, 25_000
 SPAN = LEAST - GRAM + 1
@@ -219,7 +219,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(ids[row + done]), pa.array(at)], ["h", "doc", "at"])
                 done += piece.num_rows
 
-    return docs.select("doc", "text").mapInArrow(run, "h long, doc long, at long")
+    return docs.select("doc", "text").mapInArrow(lean(run), "h long, doc long, at long")
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([h, segs, piece.column(0).take(take), piece.column(1).take(take), pa.array(begin), pa.array(count), pa.array((at >> 6) & 63)], ["h", "seg", "doc", "th", "begin", "n", "a"])
                 yield out if fits.all() else out.filter(pa.array(fits))
 
-    return docs.select("doc", "th", "text", "runs").mapInArrow(run, "h long, seg binary, doc long, th long, begin long, n long, a long")
+    return docs.select("doc", "th", "text", "runs").mapInArrow(lean(run), "h long, seg binary, doc long, th long, begin long, n long, a long")
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +350,7 @@ def marks(scratch: Scratch, docs: DataFrame, group: int = GROUP) -> DataFrame:
         small = segments
         if not large.isEmpty():
             small = segments.join(large, "h", "left_anti")
-        found = small.select("h", "s", "doc", "seg", "a").repartition("h").sortWithinPartitions("h").mapInArrow(_index, "h long, s long, first long, mask long")
+        found = small.select("h", "s", "doc", "seg", "a").repartition("h").sortWithinPartitions("h").mapInArrow(lean(_index), "h long, s long, first long, mask long")
         if small is not segments:
             found = found.unionByName(_one_by_one(segments.join(large, "h", "left_semi")))
         return scratch.write(found, "found")
@@ -380,4 +380,4 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("th", F.xxhash64("text"))
     found = marks(scratch, keyed.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LEAST)), group)
-    return keyed.join(found, ["doc", "th"], "left").select("doc", "text", "marks").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return keyed.join(found, ["doc", "th"], "left").select("doc", "text", "marks").mapInArrow(lean(_finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
