@@ -137,3 +137,16 @@ def status_line(indexing: Column, count: Column, query: Column, hits: Column) ->
         .when(count == 0, "The index is empty")
         .otherwise("No match")
     )
+
+
+def json_map(text: Column) -> Column:
+    """A map of strings from JSON; null and what is no object give an empty one."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def to_hits(rows: DataFrame, limit: int = 8, most: int = 50) -> DataFrame:
+    """(id, hit): the first rows by place (or id) as JSON without nulls, ``most`` at most; the limit
+    of a service is clamped to 1..50, larger ones are for whole exports."""
+    limit = clamp(limit, 1, most) if limit <= 10_000 else limit
+    order = "place" if "place" in rows.columns else "id"
+    return rows.orderBy(order).limit(limit).select("id", F.to_json(F.struct(*rows.columns)).alias("hit"))

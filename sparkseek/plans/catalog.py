@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, synthesis, text
-from ..operators import browse, build, fusion, lexical, vector
-from ..schema import RankingOptions
+from ..operators import browse, build, embed, fusion, lexical, vector
+from ..schema import DOCUMENTS, PROFILES, RankingOptions
+from ..sources import catalogues, collectors
+from ..sources.scratch import scratch_path
+from ..sources.store import IndexStore
 from ..streaming import usage as streams
 from . import search, views
 from .views import AS_OF, ENTITIES_SQL, USAGE_SQL, table
@@ -662,3 +665,189 @@ def synthesize_profile(spark, sf):
 @query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'explorer.exe ' || q(concat('shell:AppsFolder\\', p_name)) WHEN 3 THEN p_name WHEN 4 THEN 'control.exe ' || q(p_name) WHEN 5 THEN 'mmc.exe ' || q(p_name) ELSE q(p_name) || ' /' || p_brand END AS line FROM part".replace("q(p_name)", "'\"' || p_name || '\"'").replace("q(concat('shell:AppsFolder\\', p_name))", "'\"shell:AppsFolder\\' || p_name || '\"'"))
 def launch_command(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.launch_command(F.col("p_partkey") % 6, F.col("p_name"), F.concat(F.lit("/"), "p_brand")).alias("line"))
+
+
+# --------------------------------------------------------------------------- collectors
+
+
+def _values(rows, *columns: int) -> str:
+    return ", ".join("(" + ", ".join("'" + str(r[c]).replace("'", "''") + "'" for c in columns) + ")" for r in rows)
+
+
+@query(f"SELECT 'mssettings:' || lower(uri) AS id, name AS display_name, uri AS launch_target, d AS description FROM (VALUES {_values(catalogues.SETTINGS_PAGES, 0, 1, 2)}) t(name, uri, d)")
+def settings_pages(spark, sf):
+    return collectors.settings_pages(spark).select("id", "display_name", "launch_target", F.col("raw_metadata")["description"].alias("description"))
+
+
+@query(f"SELECT 'powertoys:' || lower(name) AS id, name AS display_name, '--open-settings=' || page AS launch_arguments, 'https://learn.microsoft.com/en-us/windows/powertoys/' || article AS article, CASE WHEN merged = 'False' THEN 'Microsoft PowerToys' END AS scope FROM (VALUES {_values(catalogues.SUITE_UTILITIES, 0, 1, 2, 4)}) t(name, page, article, merged)")
+def suite_utilities(spark, sf):
+    m = F.col("raw_metadata")
+    return collectors.suite_utilities(spark, "C:\\PT\\Run.exe").select("id", "display_name", "launch_arguments", m["learnArticle"].alias("article"), F.try_element_at(m, F.lit("dedupeScope")).alias("scope"))
+
+
+@query(f"SELECT c.c_custkey, t.name AS display_name, t.d AS description FROM customer c JOIN (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {_values(catalogues.SYSTEM_TOOLS, 0, 1, 2)}) v(f, name, d)) t ON c.c_custkey % 60 = t.i")
+def system_tools(spark, sf):
+    """Files named after the known tools, and some that are none."""
+    named = F.array(*(F.lit(f.upper()) for f, _, _ in catalogues.SYSTEM_TOOLS))
+    files = table(spark, sf, "customer").select(F.concat(F.lit("C:\\S\\"), F.col("c_custkey").cast("string"), F.lit("\\"), F.coalesce(F.get(named, (F.col("c_custkey") % 60).cast("int")), F.lit("none.exe"))).alias("path"))
+    got = collectors.system_tools(spark, files)
+    return got.select(long(F.regexp_extract("launch_target", r"([0-9]+)", 1), "c_custkey"), "display_name", F.col("raw_metadata")["description"].alias("description"))
+
+
+_CONTROL = ", ".join(f"('{k}', '{v}')" for k, v in catalogues.CONTROL_NAMES.items())
+
+
+@query(f"WITH k AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {_CONTROL}) v(f, name)), s AS (SELECT s_suppkey, coalesce(f, 'odd' || s_suppkey || '.msc') AS f, name, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS said FROM supplier LEFT JOIN k ON s_suppkey % 40 = i) SELECT s_suppkey, coalesce(name, said, regexp_replace(f, '[.][^.]*$', '')) AS display_name, CASE WHEN ends_with(f, '.cpl') THEN 3 ELSE 4 END::BIGINT AS kind FROM s")
+def control_items(spark, sf):
+    named = F.array(*map(F.lit, catalogues.CONTROL_NAMES))
+    key = F.col("s_suppkey")
+    file = F.coalesce(F.get(named, (key % 40).cast("int")), F.concat(F.lit("odd"), key.cast("string"), F.lit(".msc")))
+    files = table(spark, sf, "supplier").select(F.concat(F.lit("C:\\S\\"), key.cast("string"), F.lit("\\"), file).alias("path"), F.when(key % 3 == 0, F.col("s_name")).alias("file_description"))
+    return collectors.control_items(spark, files).select(long(F.regexp_extract("launch_target", r"S.([0-9]+)", 1), "s_suppkey"), "display_name", long("kind", "kind"))
+
+
+@query("""WITH p AS (SELECT *, 'D:\\f' || p_size AS dir, regexp_replace(p_name, ' .*', '') || '.exe' AS f FROM part), c AS (SELECT dir FROM p GROUP BY dir HAVING count(*) > 512),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lower(f) ORDER BY p_size, f, p_partkey) AS n FROM p WHERE dir NOT IN (SELECT dir FROM c))
+ SELECT dir || '\\' || f AS launch_target, CASE WHEN length(p_name) <= 64 AND contains(lower(p_name), lower(regexp_replace(f, '.exe$', ''))) THEN p_name ELSE regexp_replace(f, '.exe$', '') END AS display_name, CASE WHEN p_partkey % 4 = 3 THEN 6 ELSE 0 END::BIGINT AS kind FROM r WHERE n = 1 AND p_partkey % 7 > 0""".replace("\\\\", "\\"))
+def path_entities(spark, sf):
+    key = F.col("p_partkey")
+    files = table(spark, sf, "part").select(F.concat(F.lit("D:\\f"), F.col("p_size").cast("string")).alias("directory"), (F.col("p_size").cast("long") * 1_000_000_000).alias("base"), key, F.concat(F.substring_index("p_name", " ", 1), F.lit(".exe")).alias("file"), (key % 7).alias("size"), F.col("p_name").alias("product"), F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("file_description"), (key % 4).alias("subsystem"))
+    files = files.withColumn("position", F.col("base") + key).drop("base", "p_partkey")
+    return collectors.path_entities(files).select("launch_target", "display_name", long("kind", "kind"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, p_name AS display_name, p_partkey % 11 = 0 AS component, CASE WHEN p_partkey % 2 = 0 THEN 'C:\\i\\' || p_partkey || '.exe' END AS icon, p_partkey % 4 = 0 AS there, CASE WHEN p_partkey % 3 = 0 THEN 'C:\\u\\' || p_partkey || '.exe' END AS un FROM part)
+ SELECT 'uninstall:hk\\' || k AS id, display_name, coalesce(CASE WHEN there THEN icon END, un, icon, display_name) AS launch_target FROM r WHERE NOT component""".replace("\\\\", "\\"))
+def uninstall_records(spark, sf):
+    k = F.col("p_partkey")
+    at = lambda d: F.concat(F.lit(f"C:\\{d}\\"), k.cast("string"), F.lit(".exe"))
+    none = F.lit(None).cast("string")
+    part = table(spark, sf, "part")
+    rows = part.select(F.lit("hk").alias("root"), k.cast("string").alias("key"), F.col("p_name").alias("display_name"), (k % 11 == 0).cast("int").alias("system_component"), F.when(k % 2 == 0, F.concat(F.lit('"'), at("i"), F.lit('",0'))).alias("display_icon"), F.col("p_brand").alias("publisher"), none.alias("install_location"), none.alias("display_version"), F.when(k % 3 == 0, F.concat(F.lit('"'), at("u"), F.lit('" /S'))).alias("uninstall_string"))
+    got = collectors.uninstall_records(rows, part.where(k % 4 == 0).select(at("i").alias("path")))
+    return got.select("id", "display_name", "launch_target")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Fam' || p_size ELSE NULL END AS family, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN p_brand END AS app FROM part")
+def model_ids(spark, sf):
+    size = F.col("p_size")
+    said = F.when(size % 3 == 0, F.concat(F.lit("shell:AppsFolder\\Fam"), size.cast("string"), F.when(size % 2 == 0, F.concat(F.lit("!"), "p_brand")).otherwise("!")))
+    family, app = collectors.model_id_parts(said)
+    return table(spark, sf, "part").select("p_partkey", family.alias("family"), app.alias("app"))
+
+
+# --------------------------------------------------------------------------- store
+
+
+def _store(spark, sf) -> IndexStore:
+    """An index of the parts in a scratch folder, then changed: some entities again, some gone."""
+    store = IndexStore(spark, scratch_path(spark, "store"))
+    store.initialize("m", 2)
+    part = table(spark, sf, "part")
+    made = lambda rows: collectors.conform(rows.select(F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("display_name"), F.col("p_brand").alias("publisher"), F.lit(0).alias("kind")), "s")
+    said = lambda rows, word: rows.select(F.concat(F.lit("s:"), F.col("p_partkey").cast("string")).alias("entity_id"), F.lit("p").alias("provider"), (F.col("p_partkey") % 2 == 0).alias("is_online"), F.concat(F.lit(word), "p_type").alias("text"), F.lit(None).cast("string").alias("source_uri"), F.lit(None).cast("timestamp").alias("retrieved_at")).select(*DOCUMENTS.names)
+    vectors = lambda rows: rows.select(F.concat(F.lit("s:"), F.col("p_partkey").cast("string")).alias("id"), F.array(F.col("p_partkey").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    none = spark.createDataFrame([], PROFILES)
+    store.upsert(made(part), said(part, "old "), none, vectors(part.where("p_partkey % 3 <> 0")))
+    again = part.where("p_partkey % 5 = 0")
+    store.upsert(made(again).withColumn("publisher", F.lit("new")), said(again, "new "), none, vectors(again))
+    store.remove(part.where("p_partkey % 7 = 0").select(F.concat(F.lit("s:"), F.col("p_partkey").cast("string")).alias("id")))
+    store.purge_online()
+    return store
+
+
+@query("SELECT 's:' || p_partkey AS id, p_name AS display_name, CASE WHEN p_partkey % 5 = 0 THEN 'new' ELSE p_brand END AS publisher, p_partkey % 3 <> 0 OR p_partkey % 5 = 0 AS has_vector FROM part WHERE p_partkey % 7 <> 0")
+def store_entities(spark, sf):
+    return _store(spark, sf).read("entities").select("id", "display_name", "publisher", F.col("vector_ordinal").isNotNull().alias("has_vector"))
+
+
+@query("SELECT 's:' || p_partkey AS entity_id, 1::BIGINT AS n, CASE WHEN p_partkey % 5 = 0 THEN 'new ' ELSE 'old ' END || p_type AS text FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 2 <> 0")
+def store_documents(spark, sf):
+    rows = _store(spark, sf).documents_by_entity()
+    return rows.select("entity_id", long(F.size("documents"), "n"), F.get("documents", 0)["text"].alias("text"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY 's:' || p_partkey) - 1 AS o FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS k, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY 's:' || p_partkey) - 1 AS o FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 = 0)
+ SELECT o::BIGINT AS vector_ordinal, k::DOUBLE AS x FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+def store_vectors(spark, sf):
+    return _store(spark, sf).vector_matrix().select(long("vector_ordinal", "vector_ordinal"), F.get("embedding", 0).cast("double").alias("x"))
+
+
+# --------------------------------------------------------------------------- small rules
+
+
+@query("SELECT id, kind IN (2, 3, 4, 5, 6) OR launch_kind IN (4, 5) OR (launch_kind <> 3 AND starts_with(launch_target, 'C:\\Windows\\')) AS component FROM ents".replace("SELECT id", f"WITH {ENTITIES_SQL} SELECT id", 1).replace("\\\\", "\\"))
+def system_components(spark, sf):
+    e = views.entities(spark, sf)
+    return e.select("id", fusion.system_component(F.col("kind"), F.col("launch_kind"), F.col("launch_target"), F.lit(None).cast("string")).alias("component"))
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT id, CASE WHEN lower(replace(display_name, ' ', '')) <> lower(display_name) THEN replace(display_name, ' ', '') END AS image FROM ents")
+def image_names(spark, sf):
+    e = views.entities(spark, sf)
+    return e.select("id", names.image_name(F.col("launch_target"), F.col("display_name")).alias("image"))
+
+
+@query(
+    f"""WITH {ENTITIES_SQL}, {_TERMS}, q AS (SELECT qid, terms FROM terms WHERE len(terms) >= 2), x AS (SELECT e.doc_id, q.qid, q.terms, lower(display_name) AS name,
+ ' ' || lower(concat_ws(' ', summary, array_to_string(tasks, ' '), array_to_string(list_filter(synonyms, lambda s: NOT contains(lower(display_name), lower(s))), ' '), summary)) AS said FROM ents e JOIN q ON e.doc_id % 40 = q.qid % 40)
+ SELECT doc_id, qid, len(list_filter(terms, lambda t: contains(name, t))) > 0 AND len(list_filter(terms, lambda t: regexp_matches(said, '(^|[^\\p{{L}}])' || t))) = 0 AS own FROM x""".replace("\\\\", "\\")
+)
+def name_only_lexis(spark, sf):
+    q = views.queries(spark, sf).select("qid", text.content_terms(F.col("query")).alias("terms")).where(F.size("terms") >= 2)
+    e = views.entities(spark, sf).withColumn("m", F.col("doc_id") % 40)
+    both = e.join(q.withColumn("m", F.col("qid") % 40), "m")
+    own = fusion.name_only_lexis(F.col("terms"), F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"), F.col("summary"))
+    return both.select("doc_id", "qid", own.alias("own"))
+
+
+@query(r"SELECT page_id, regexp_matches(line, '(?i)^(?:html|xml):') OR regexp_matches(line, '(?i)<\s*(?:!doctype|/?html|/?head|/?body|/?script|/?style|/?div|/?span|/?p|/?a|/?meta|/?link)\b') OR regexp_matches(line, '(?i)^\s*(?:\.|#|body\b|html\b)[\w\s.#:-]*\{.*\}\s*$') AS markup FROM (SELECT page_id, trim(split_part(html, chr(10), 2)) AS line FROM pages)".replace("\\\\", "\\"))
+def markup_lines(spark, sf):
+    line = F.get(F.split("html", "\n"), 1)
+    return table(spark, sf, "pages").select("page_id", text.markup_line(line).alias("markup"))
+
+
+@query(r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
+def page_titles(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.page_title(F.col("html")).alias("title"))
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity::BIGINT AS a, l_partkey AS b, 0::BIGINT AS c FROM lineitem")
+def version_numbers(spark, sf):
+    said = F.concat_ws(".", F.col("l_quantity").cast("long").cast("string"), F.col("l_partkey").cast("string"), F.lit("x-7-9"))
+    parts = text.version_parts(said)
+    return table(spark, sf, "lineitem").select("l_orderkey", long("l_linenumber", "l_linenumber"), *(long(F.get(parts, i), n) for i, n in enumerate("abc")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 3 = 0 THEN 'Building the index' WHEN o_orderkey % 2 = 0 THEN 'Refreshing the index' WHEN o_custkey % 5 > 0 THEN '' WHEN o_custkey % 7 = 0 THEN 'Type to search' WHEN o_custkey % 3 = 0 THEN 'The index is empty' ELSE 'No match' END AS line FROM orders")
+def status_lines(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf, "orders").select("o_orderkey", browse.status_line(k % 2 == 0, c % 3, F.when(c % 7 == 0, " ").otherwise("q"), c % 5).alias("line"))
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(text, s) THEN nullif(trim(substring(text, length(s) + 1)), '') ELSE text END AS details, CASE WHEN contains(upper(source), upper(lang)) OR contains(upper(lang), upper(source)) THEN NULL ELSE source END AS category FROM (SELECT *, split_part(text, chr(10), 1) AS s FROM documents)")
+def shown_details(spark, sf):
+    details, category = browse.details_shown(F.substring_index("text", "\n", 1), F.col("text"), F.col("source"), F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", details.alias("details"), category.alias("category"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, json_extract_string(props, '$.k') IS NOT NULL AS has FROM events")
+def json_maps(spark, sf):
+    m = browse.json_map(F.col("props"))
+    return table(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(m, F.lit("k")), F.lit("")).alias("k"), F.try_element_at(m, F.lit("k")).isNotNull().alias("has"))
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT id, '{{\"id\":\"' || id || '\",\"name\":\"' || display_name || '\"' || CASE WHEN doc_id % 2 = 0 THEN ',\"publisher\":\"' || publisher || '\"' ELSE '' END || '}}' AS hit FROM ents WHERE doc_id <= 50")
+def search_projection(spark, sf):
+    rows = views.entities(spark, sf).where("doc_id <= 50").select("id", F.col("display_name").alias("name"), F.when(F.col("doc_id") % 2 == 0, F.col("publisher")).alias("publisher"))
+    return browse.to_hits(rows, 100_000_000).select("id", "hit")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (unit) AS unit, count(*) FILTER (same) AS same FROM (SELECT true AS unit, true AS same FROM part WHERE p_name <> '')")
+def embedding_batches(spark, sf):
+    """Vectors of all names by the hashing embedder: unit length, and the same in any batch."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_name")
+    one = embed.embed(rows, "p_partkey", "p_name", embed.HashEmbedder(32))
+    other = embed.embed(rows.repartition(5), "p_partkey", "p_name", embed.HashEmbedder(32), 3).select("p_partkey", F.col("embedding").alias("e2"))
+    norm = vector.dot(F.col("embedding"), F.col("embedding"))
+    return one.join(other, "p_partkey").agg(F.count("*").alias("n"), F.count_if(F.abs(norm - 1) < 1e-5).alias("unit"), F.count_if(F.col("embedding") == F.col("e2")).alias("same"))

@@ -9,10 +9,9 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir and return a reader of it; the table goes when the
-    program ends.  A local folder stands in for the setting in a local session only."""
-    spark = df.sparkSession
+def scratch_path(spark, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which goes when the program ends.  A local folder
+    stands in for the setting in a local session only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -20,9 +19,15 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a scratch folder and return a reader of it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark, path: str) -> None:
