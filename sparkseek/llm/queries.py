@@ -60,4 +60,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+
+
+# --------------------------------------------------------------------------- what SQL can say
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of :func:`op2_contextual_pii` by kind."""
+    return op2_contextual_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of the sets of :func:`op3_superminhash`."""
+    return minhash.signatures(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of :func:`op6_compression_bands`."""
+    return op6_compression_bands(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_fixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and fixed rule of :func:`op7_association_rules`."""
+    return op7_association_rules(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+for _f in (pii_base_counts, shingle_counts, quality_base, url_fixed_rules):
+    QUERIES[_f.__name__] = _f
+
+_FITS = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'" for h, p in (r[1].split("/", 1) for r in sorted(urlrules.RULES, key=lambda r: -len(r[1]))))
+ORACLE: dict[str, str] = {
+    "pii_base_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ c AS (SELECT doc_id, regexp_replace(m, '[^0-9]', '', 'g') AS m FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')) AS m FROM d)),
+ l AS (SELECT doc_id, list_sum(list_transform(range(1, length(m) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(m)[i]::INT ELSE reverse(m)[i]::INT * 2 - CASE WHEN reverse(m)[i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 AS luhn FROM c WHERE length(m) BETWEEN 12 AND 19),
+ k AS (SELECT doc_id, count(*) FILTER (luhn = 0) AS n FROM l GROUP BY doc_id)
+ SELECT d.doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+ len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: p::HUGEINT > 255)) = 0))::BIGINT AS n_ip, coalesce(k.n, 0) AS n_card,
+ len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15))::BIGINT AS n_phone FROM d LEFT JOIN k USING (doc_id)""".replace("\\\\", "\\"),
+    "shingle_counts": rf"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents), s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) AS g FROM w WHERE len(w) >= 5),
+ n AS (SELECT doc_id, count(DISTINCT g) AS n FROM s GROUP BY doc_id) SELECT w.doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE n END::BIGINT AS n_shingles FROM w LEFT JOIN n USING (doc_id)""",
+    "quality_base": rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+ g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3), h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS n FROM g),
+ r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS j FROM h WHERE n > 1) GROUP BY doc_id),
+ x AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM w)
+ SELECT doc_id, n_words, word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+ n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed FROM x LEFT JOIN r USING (doc_id)""",
+    "url_fixed_rules": rf"""WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u)
+ SELECT page_id, host, path, CASE {_FITS} END AS rule FROM p""",
+}
