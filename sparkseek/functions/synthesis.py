@@ -120,10 +120,13 @@ def distinct_ignoring_case(values: Column, most: int) -> Column:
 
 
 def action_verbs(words: Column, name: Column) -> Column:
-    """Verbs behind agent nouns: editor -> edit, manager -> manage, and undoubled."""
+    """Verbs behind agent nouns that the name doesn't have: debugger -> debug; editor -> edit, edite;
+    manager -> manag, manage."""
     agents = F.filter(words, lambda w: (F.length(w) >= 6) & w.rlike("(er|or)$") & ~F.array_contains(word_set(name), w))
-    stem = lambda w: F.regexp_replace(w, "(er|or)$", "")
-    return F.array_distinct(F.flatten(F.transform(agents, lambda w: F.array(stem(w), F.concat(stem(w), F.lit("e")), F.regexp_replace(stem(w), r"(.)\1$", "$1")))))
+    stems = F.filter(F.transform(agents, lambda w: F.substr(w, F.lit(1), F.length(w) - 2)), lambda s: F.length(s) >= 3)
+    doubled = lambda s: (F.length(s) > 3) & s.rlike(r"([^aeiou])\1$")
+    said = F.transform(stems, lambda s: F.when(doubled(s), F.array(F.substr(s, F.lit(1), F.length(s) - 1))).when(s.rlike("[aeiou]$"), F.array(s)).otherwise(F.array(s, F.concat(s, F.lit("e")))))
+    return F.array_distinct(F.flatten(said))
 
 
 def synonyms(name: Column, file: Column, target: Column, documents: Column) -> Column:
@@ -165,9 +168,16 @@ def synthesize(entities: DataFrame, documents: DataFrame) -> DataFrame:
     tasks = distinctive(F.concat(told, intents(F.concat_ws(" ", name, "described")), F.array(by_kind)))
     texts = F.array(*(plain_text(first(p)) for p in DETAILERS))
     details = F.get(F.filter(texts, lambda c: F.coalesce((F.length(c) >= MIN_DETAILS) & is_prose(c) & ~is_listing(F.substring(c, 1, 200)), F.lit(False))), 0)
+    rows = rows.withColumn("said", summary)
+    spoken = F.regexp_extract_all(F.lower("said"), F.lit(r"(\w+)"), 1)
+    known = distinct_ignoring_case(F.concat(synonyms(name, F.col("file"), F.col("launch_target"), F.col("docs")), action_verbs(spoken, name)), MAX_SYNONYMS)
+    labels = first("ui-resources")
+    captions = F.transform(F.split(F.when(F.instr(labels, ":") > 0, F.expr("substring(labels, instr(labels, ':') + 1)")).otherwise(F.col("labels")), ","), lambda c: F.regexp_replace(c, r"^[ .]+|[ .]+$", ""))
+    rows = rows.withColumn("labels", labels)
+    captions = F.array_distinct(F.filter(captions, lambda c: c != ""))
     return rows.select(
-        F.col("id").alias("entity_id"), summary.alias("summary"), tasks.alias("tasks"), synonyms(name, F.col("file"), F.col("launch_target"), F.col("docs")).alias("synonyms"),
-        category(F.col("kind"), F.col("launch_target"), F.col("file"), F.try_element_at(meta, F.lit("startMenuFolder"))).alias("category"), cut_sentence(details).alias("details"), F.lit("heuristic").alias("generator"),
+        F.col("id").alias("entity_id"), F.col("said").alias("summary"), tasks.alias("tasks"), known.alias("synonyms"),
+        category(F.col("kind"), F.col("launch_target"), F.col("file"), F.try_element_at(meta, F.lit("startMenuFolder"))).alias("category"), cut_sentence(details).alias("details"), F.when(F.col("labels").isNotNull(), features(captions, name, F.col("said"))).alias("features"), F.lit("heuristic").alias("generator"),
     )
 
 

@@ -164,8 +164,7 @@ def run_build(store: IndexStore, discovered: DataFrame, providers: list[Provider
 
 
 def _profiles(entities: DataFrame, documents: DataFrame) -> DataFrame:
-    made = synthesize(entities, documents)
-    return made.withColumn("features", F.lit(None).cast("string")).select("entity_id", "summary", "tasks", "synonyms", "category", "details", "features", "generator")
+    return synthesize(entities, documents).select("entity_id", "summary", "tasks", "synonyms", "category", "details", "features", "generator")
 
 
 def _texts(entities: DataFrame, profiles: DataFrame) -> DataFrame:
