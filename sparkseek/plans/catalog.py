@@ -13,7 +13,7 @@ from ..schema import DOCUMENTS, PROFILES, RankingOptions
 from ..sources import catalogues, collectors
 from ..sources.scratch import scratch_path
 from ..sources.store import IndexStore
-from ..streaming import usage as streams
+from ..streaming import state, usage as streams
 from . import search, views
 from .views import AS_OF, ENTITIES_SQL, USAGE_SQL, table
 
@@ -851,3 +851,35 @@ def embedding_batches(spark, sf):
     other = embed.embed(rows.repartition(5), "p_partkey", "p_name", embed.HashEmbedder(32), 3).select("p_partkey", F.col("embedding").alias("e2"))
     norm = vector.dot(F.col("embedding"), F.col("embedding"))
     return one.join(other, "p_partkey").agg(F.count("*").alias("n"), F.count_if((F.abs(norm - 1) < 1e-5) | (norm == 0)).alias("unit"), F.count_if(F.col("embedding") == F.col("e2")).alias("same"))
+
+
+# --------------------------------------------------------------------------- streams as tables
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS flush, lag(ts) OVER w AS p, lag(event_type = 'purchase') OVER w AS pf FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ g AS (SELECT *, sum(CASE WHEN p IS NULL OR pf OR ts >= p + INTERVAL 900 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM e),
+ l AS (SELECT *, row_number() OVER (PARTITION BY user_id, b ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id, b) AS n FROM g)
+ SELECT user_id, event_id AS query, n AS n_keys, flush AS flushed, CASE WHEN flush THEN ts ELSE ts + INTERVAL 900 SECOND END AS due FROM l WHERE r = 1""")
+def typed_bursts(spark, sf):
+    e = table(spark, sf, "events")
+    keys = e.select(F.col("user_id").alias("session_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_id").alias("query"), (F.col("event_type") == "purchase").alias("flush"), F.lit(None).cast("timestamp_ntz").alias("held_until"))
+    return state.typed_bursts(keys, 900_000).select(F.col("session_id").alias("user_id"), "query", "n_keys", "flushed", "due")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+ SELECT 'u' || user_id AS uri, event_id FROM r WHERE n = 1 AND (value >= 50 OR ts > (SELECT max(ts) FROM events) - INTERVAL 300 SECOND)""")
+def live_entries(spark, sf):
+    e = table(spark, sf, "events")
+    # events of one moment: the later id is the later entry
+    at = F.col("ts") + F.make_dt_interval(secs=F.lit(0))
+    cache = e.withColumn("last", F.row_number().over(Window.partitionBy("user_id", "ts").orderBy(F.desc("event_id")))).where("last = 1")
+    cache = cache.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uri"), at.alias("at"), F.when(F.col("value") >= 50, F.col("event_id").cast("string")).alias("body"), "event_id")
+    as_of = e.agg(F.max("ts")).first()[0]
+    live = state.live_entries(cache, F.lit(as_of))
+    return live.join(cache.select("uri", "at", "event_id"), ["uri", "at"]).select("uri", "event_id")
+
+
+@query("""WITH g AS (SELECT user_id, max(ts) AS since FROM events WHERE event_type <> 'view' GROUP BY user_id), b AS (SELECT e.user_id, count(*) AS n FROM events e LEFT JOIN g USING (user_id) WHERE event_type = 'view' AND (since IS NULL OR ts > since) GROUP BY e.user_id)
+ SELECT user_id AS host, n AS failures, least(pow(2, n - 1), 300)::BIGINT AS seconds FROM b""")
+def host_back_off(spark, sf):
+    return state.back_off(table(spark, sf, "events").select(F.col("user_id").alias("host"), F.col("ts").alias("at"), (F.col("event_type") != "view").alias("ok")))
