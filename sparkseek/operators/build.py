@@ -46,7 +46,11 @@ def exe_key(runs: Column, shared: Column, path: Column, arguments: Column) -> Co
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """Of the rows of each key the first by precedence; each task keeps its own first before the
-    rows of a key meet, so a key of any number of rows costs one a task."""
+    rows of a key meet, so a key of any number of rows costs one a task (by names, an aggregation;
+    by other orders, a window with a limit, which Spark applies in each task first)."""
+    if not all(isinstance(o, str) for o in order):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     rest = [c for c in rows.columns if c not in keys]
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct(*order)).alias("__first"))
     return first.select(*keys, *(F.col("__first").getField(c).alias(c) for c in rest)).select(*rows.columns)

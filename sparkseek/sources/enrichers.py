@@ -6,8 +6,14 @@ retrieved_at)."""
 
 from __future__ import annotations
 
+import json
+from urllib.parse import urljoin, urlsplit
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import is_listing, meta_description, plain_text, squash_name, strip_markdown, word_set
 from ..operators.build import first_wins
@@ -120,6 +126,92 @@ def articles(candidates: DataFrame) -> DataFrame:
     return documents(kept.select("entity_id", "text", F.col("url").alias("source_uri")), "learn", True)
 
 
+TOC_ENTRY = "array<struct<title:string,url:string,position:int>>"
+# Openings of titles that are left off in a second reading.
+TITLE_OPENINGS = r"(?i)^(using|use|about|what is|what's|overview of|overview|introduction to|intro to|working with|get started with|getting started with|the)\s+"
+
+
+def _toc_entries(trees: pa.Array, bases: pa.Array) -> pa.Array:
+    def walk(node, base: str, host: str, out: list) -> None:
+        todo = [node]
+        while todo:  # in the order of the text, without recursion
+            x = todo.pop()
+            if isinstance(x, dict):
+                title, href = x.get("toc_title"), x.get("href")
+                if isinstance(title, str) and isinstance(href, str) and title.strip() and href.strip() and not href.startswith("#") and "://" not in href:
+                    url = urlsplit(urljoin(base, href))
+                    if url.netloc.lower() == host:
+                        out.append({"title": " ".join(title.split()), "url": f"{url.scheme}://{url.netloc}{url.path}", "position": len(out)})
+                todo.extend(reversed(list(x.values())))
+            elif isinstance(x, list):
+                todo.extend(reversed(x))
+
+    rows = []
+    for tree, base in zip(trees.to_pylist(), bases.to_pylist(), strict=True):
+        out: list = []
+        try:
+            walk(json.loads(tree or "null"), base, urlsplit(base).netloc.lower(), out)
+        except ValueError:
+            out = []
+        rows.append(out)
+    return pa.array(rows, pa.list_(pa.struct([("title", pa.string()), ("url", pa.string()), ("position", pa.int32())])))
+
+
+def toc_entries(trees: DataFrame) -> DataFrame:
+    """(title, url, position) of tables of contents (root, base, json): pages of the base's own site, in
+    the order of the roots and of their text; a title counts without its opening, too.  Titles of
+    fewer than four letters and digits go."""
+    rows = trees.select("root", F.explode(arrow_udf(_toc_entries, TOC_ENTRY)("json", "base")).alias("e")).select("root", "e.*")
+    short = F.regexp_replace("title", TITLE_OPENINGS, "")
+    both = rows.withColumn("title", F.explode(F.array_distinct(F.array("title", short)))).withColumn("position", F.col("root").cast("long") * 10_000_000 + F.col("position"))
+    return both.where(F.length(squash_name(F.col("title"))) >= 4).select("title", "url", "position")
+
+
+MANIFEST = "struct<name:string,description:string,publisher:string,apps:array<struct<id:string,executable:string,name:string,description:string>>>"
+
+
+def _manifests(texts: pa.Array) -> pa.Array:
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    rows = []
+    for text in texts.to_pylist():
+        try:
+            root = ElementTree.fromstring(text or "")
+        except ElementTree.ParseError:
+            rows.append(None)
+            continue
+        first = lambda name, root=root: next((e.text for e in root.iter() if local(e) == name), None)
+        apps = []
+        for app in (e for e in root.iter() if local(e) == "Application"):
+            seen = next((e for e in app.iter() if local(e) == "VisualElements"), None)
+            of = (lambda k, seen=seen: None if seen is None else next((v for a, v in seen.attrib.items() if a.rsplit("}", 1)[-1] == k), None))
+            apps.append({"id": app.get("Id"), "executable": app.get("Executable"), "name": of("DisplayName"), "description": of("Description")})
+        rows.append({"name": first("DisplayName"), "description": first("Description"), "publisher": first("PublisherDisplayName"), "apps": apps})
+    app = pa.struct([(k, pa.string()) for k in ("id", "executable", "name", "description")])
+    return pa.array(rows, pa.struct([("name", pa.string()), ("description", pa.string()), ("publisher", pa.string()), ("apps", pa.list_(app))]))
+
+
+def manifest_parts(manifests: DataFrame) -> DataFrame:
+    """(family, m) of package manifests (family, xml); what is no XML gives null."""
+    return manifests.select("family", arrow_udf(_manifests, MANIFEST)("xml").alias("m"))
+
+
+def package_manifests(apps: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Documents of packaged applications (entity_id, family, app) by their package's manifest (family,
+    xml): what the package says, and the application of that id, or the only one.  References
+    to resources say nothing."""
+    rows = apps.join(manifest_parts(manifests).where("m is not null"), "family")
+    every = F.col("m.apps")
+    own = F.filter(every, lambda a: F.col("app").isNull() | (F.lower(a["id"]) == F.lower(F.col("app"))))
+    scope = F.when(F.size(own) > 0, own).when(F.size(every) == 1, every).otherwise(F.array().cast(dict(rows.select(every.alias("x")).dtypes)["x"]))
+    clean = lambda c: F.when(~F.lower(F.trim(c)).startswith("ms-resource:") & (F.trim(c) != ""), F.trim(F.regexp_replace(c, r"\s+", " ")))
+    line = lambda label, c: F.when(clean(c).isNotNull(), F.concat(F.lit(f"{label}: "), clean(c)))
+    seen = F.flatten(F.transform(scope, lambda a: F.array(line("Application description", a["description"]), line("Application display name", a["name"]))))
+    lines = F.concat(F.array(line("Display name", F.col("m.name")), line("Description", F.col("m.description")), line("Publisher", F.col("m.publisher"))), seen)
+    lines = F.filter(lines, lambda x: x.isNotNull())
+    lines = F.filter(lines, lambda x, i: F.array_position(F.transform(lines, F.upper), F.upper(x)) == i + 1)
+    return documents(rows.select("entity_id", F.array_join(lines, "\n").alias("text")), "msix-manifest", False)
+
+
 def toc_lookup(entities: DataFrame, toc: DataFrame) -> DataFrame:
     """(id, url): entries (title, url, position) of a table of contents by plain title; the
     first of equal titles counts."""

@@ -69,3 +69,21 @@ def test_launch_lines(spark):
     line = lambda k, t, a=None: spark.range(1).select(text.launch_command(F.lit(k), F.lit(t), F.lit(a).cast("string")).alias("x")).first()[0]
     assert line(0, "A!B") == "explorer.exe shell:AppsFolder\\A!B" and line(3, "ms-settings:x y") == "ms-settings:x y"
     assert line(1, "C:\\My App\\a.exe", "-x") == '"C:\\My App\\a.exe" -x' and line(5, "a.msc") == "mmc.exe a.msc" and line(1, " ") == ""
+
+
+def test_tables_of_contents(spark):
+    tree = '[{"toc_title": "Using Task Manager", "href": "tm?view=1#x", "children": [{"toc_title": "Out", "href": "https://other/x"}, {"toc_title": "Top", "href": "../top"}, {"toc_title": "Anchor", "href": "#a"}]}, {"toc_title": "Task Manager", "href": "other"}]'
+    trees = spark.createDataFrame([(1, "https://site/docs/", tree), (2, "https://site/b/", '{"toc_title": "Task Manager", "href": "late"}'), (3, "https://site/", "no json")], "root int, base string, json string")
+    toc = enrichers.toc_entries(trees)
+    assert {(r["title"], r["url"]) for r in toc.collect()} == {("Using Task Manager", "https://site/docs/tm"), ("Task Manager", "https://site/docs/tm"), ("Task Manager", "https://site/docs/other"), ("Task Manager", "https://site/b/late")}
+    found = enrichers.toc_lookup(spark.createDataFrame([("e", "task-manager")], "id string, display_name string"), toc)
+    assert [tuple(r) for r in found.collect()] == [("e", "https://site/docs/tm")]
+
+
+def test_package_manifests(spark):
+    xml = '<Package xmlns="urn:a" xmlns:u="urn:u"><Properties><DisplayName>Suite</DisplayName><PublisherDisplayName>Co</PublisherDisplayName><Description>ms-resource:d</Description></Properties><Applications><Application Id="One" Executable="one.exe"><u:VisualElements DisplayName="Tool One" Description="Does  one thing"/></Application><Application Id="Two" Executable="two.exe"><u:VisualElements DisplayName="suite" Description="Does two"/></Application></Applications></Package>'
+    apps = spark.createDataFrame([("a", "F", "one"), ("b", "F", "lost"), ("c", "G", None)], "entity_id string, family string, app string")
+    got = {r["entity_id"]: r["text"] for r in enrichers.package_manifests(apps, spark.createDataFrame([("F", xml), ("G", "<broken")], "family string, xml string")).collect()}
+    assert got == {"a": "Display name: Suite\nPublisher: Co\nApplication description: Does one thing\nApplication display name: Tool One", "b": "Display name: Suite\nPublisher: Co"}
+    parts = enrichers.manifest_parts(spark.createDataFrame([("F", xml)], "family string, xml string")).first()["m"]
+    assert [(a["id"], a["executable"]) for a in parts["apps"]] == [("One", "one.exe"), ("Two", "two.exe")]
