@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseek.functions import text
+from sparkseek.functions import registry, text
 from sparkseek.operators.embed import HashEmbedder, WordPieces, embed, pool
 from sparkseek.plans import index, search
 from sparkseek.sources import collectors
@@ -163,3 +163,9 @@ def test_page_descriptions(spark):
     for line, want in (("html: x", True), ("<div class=a>", True), ("&lt;b&gt;x", True), ("body { color: red }", True), ("Plain words & more", False), ("a < b", False), ("", False)):
         assert one(text.markup_line(F.lit(line))) == want, line
     assert one(text.decode_entities(F.lit("&eacute;&#x41;&#66;&apos;&nosuch;&amp;amp;"))) == "\u00e9AB'&nosuch;&amp;" and one(text.strip_html(F.lit("<p>a&amp;lt;b</p>"))) == ". a<b."
+
+
+def test_functions_of_sql(spark):
+    assert registry.register(spark, HashEmbedder(16)) == ["stem_terms", "decode_references", "initials_prefix", "embed_text"]
+    row = spark.sql("select stem_terms('Running cafés') as a, decode_references('a &amp; b') as b, initials_prefix('vsco', 'Visual Studio Code') as c, size(embed_text('some words')) as d").first()
+    assert row["a"] == ["run", "cafe"] and row["b"] == "a & b" and row["c"] and row["d"] == 16
