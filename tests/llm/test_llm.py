@@ -893,6 +893,26 @@ def test_association_rules(spark):
     assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(400))
 
 
+def test_association_rules_on_urls_held_out(spark):
+    """Rules mined from two thirds of noisy labels, judged on the others: few good urls are blocked, most bad ones are."""
+    rng = random.Random(25)
+    pages, bad = [], {}
+    for i in range(1500):
+        bad[i] = rng.random() < 0.3
+        host = rng.choice(["win.spam.test", "cheap.pills.test"]) if bad[i] and rng.random() < 0.9 else rng.choice(["news.good.test", "shop.good.test", "win.good.test"])
+        pages.append((i, f"http://{host}/{rng.choice(['a', 'b', 'win'])}/{i}?{rng.choice(['id', 'ref'])}=1"))
+    labels = [(i, 1, int(bad[i] != (rng.random() < 0.03))) for i in range(1000)]
+    got = {r["page_id"]: r["verdict"] == "block" for r in urlrules.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    blocked = [i for i in range(1000, 1500) if got[i]]
+    assert sum(bad[i] for i in blocked) >= 0.95 * len(blocked) and sum(bad[i] for i in blocked) >= 0.8 * sum(bad[i] for i in range(1000, 1500))
+
+
+def test_few_labels_make_no_rule(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.test/x") for i in range(40)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i < 4)) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in urlrules.judge(pages, labels).collect()} == {"allow"}
+
+
 # --------------------------------------------------------------------------- repeated strings
 
 
