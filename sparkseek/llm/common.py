@@ -349,12 +349,12 @@ def components(scratch: Scratch, links: DataFrame, name: str, rounds: int = 40)
                 x, y = find(x), find(y)
                 if x != y:
                     up[max(x, y)] = min(x, y)
-            if len(up) > 2_000_000:  # bounded memory: hand on this forest, begin another
+            if len(up) > 250_000:  # bounded memory: hand on this forest, begin another
                 yield spill()
                 up.clear()
         yield spill()
 
-    edges = scratch.write(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(forest, "a long, b long"), f"{name}-0")
+    edges = scratch.write(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(lean(forest), "a long, b long"), f"{name}-0")
     before = None
     for i in range(1, rounds + 1):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
