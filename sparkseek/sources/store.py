@@ -95,7 +95,7 @@ class IndexStore:
         old = self.read("entities")
         kept = old.join(ids, "id", "left_anti")
         ordinals = old.select("id", F.col("vector_ordinal").alias("was"))
-        new = entities.drop("vector_ordinal").join(ordinals, "id", "left")
+        new = entities.withColumnRenamed("vector_ordinal", "own").join(ordinals, "id", "left")
         out = {}
         if vectors is not None:
             given = scratch_table(vectors.join(ids, "id", "left_semi").join(ordinals, "id", "left"), "given")
@@ -114,7 +114,7 @@ class IndexStore:
             new = new.join(own.select("id", F.col("vector_ordinal").alias("got")), "id", "left")
         else:
             new = new.withColumn("got", F.lit(None).cast("int"))
-        new = new.withColumn("vector_ordinal", F.coalesce("got", "was")).select(*kept.columns)
+        new = new.withColumn("vector_ordinal", F.coalesce("got", "own", "was")).select(*kept.columns)
         out["entities"] = kept.unionByName(new)
         for name, rows in (("documents", documents), ("profiles", profiles)):
             rest = self.read(name).join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_anti")

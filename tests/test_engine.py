@@ -133,7 +133,7 @@ def test_catalogue(spark):
 
 
 def test_discover_rejects_unknown(spark):
-    rows = collectors.inline(spark, [("Display", "ms-settings:display", "Screens")], "mssettings", 2, 2)
+    rows = collectors.settings_pages(spark).where("display_name = 'Display'")
     assert collectors.discover({"mssettings": lambda: rows}).first()["id"] == "mssettings:ms-settings:display"
     with pytest.raises(ValueError):
         collectors.discover({"mssettings": lambda: rows}, ["other"])
