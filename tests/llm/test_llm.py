@@ -1020,3 +1020,17 @@ def test_pipeline_stages(spark, sf, docs, tmp_path):
             assert out.columns == docs.columns
         rows = out
     assert rows.count() > 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf, odd):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; an empty table gives an empty mixture."""
+    for rows in (odd, odd.limit(0)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, rows, sf)
+            n = out.count()
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == rows.columns and n <= rows.count()
+            elif not rows.isEmpty():
+                assert n >= 0
+            # every stage sees the odd rows, whatever the one before kept
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), sf).count() == 0
