@@ -101,8 +101,12 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     cosine = F.round(vector.dot(F.col("embedding"), F.col("asked")), 6)
     rows = rows.join(asked.withColumnRenamed("embedding", "asked"), "qid", "left").withColumn("cosine", cosine).drop("embedding", "asked").withColumn("vector_ranked", F.coalesce("vector_ranked", F.lit(False)))
     pairs = adjacent_pairs(F.col("terms_list"))
+    # an entity's stretches of words are cut once, not for every query that finds it
     everything = F.concat_ws(". ", "display_name", "summary", "details", "features", F.array_join("tasks", ". "), F.array_join("synonyms", ". "))
-    rows = rows.withColumn("stated", F.when(F.size("terms_list") >= 2, fusion.stated_pairs(pairs, fusion.segments(everything))))
+    cut = scratch_table(entities.join(arms.select("key").distinct(), "key", "left_semi").select("key", fusion.segments(everything).alias("cut")), "segments")
+    spoken = terms.where(F.size("terms_list") >= 2).select("qid", pairs.alias("pairs"))
+    stated = arms.join(F.broadcast(spoken), "qid").join(cut, "key").select("qid", "key", fusion.stated_pairs(F.col("pairs"), F.col("cut")).alias("stated"))
+    rows = rows.join(scratch_table(stated, "stated"), ["qid", "key"], "left")
     found = F.col("lexical").isNotNull()
     rows = rows.withColumn("coverage", F.when(found, fusion.coverage(F.col("terms_list"), F.col("match"), F.col("idf"), F.coalesce(fusion.phrased_terms(F.col("stated")), F.array().cast("array<string>")))).otherwise(1.0)).withColumn("terms", F.size("terms_list"))
     rows = rows.withColumn("name_only_lexis", found & fusion.name_only_lexis(F.col("terms_list"), F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"), F.col("details")))
