@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, lmscore, minhash, mixing, pii, quality, rlindex, urlrules
+from . import credentials, decontam, divergence, langid, linededup, lmscore, minhash, mixing, pii, quality, rlindex, urlrules, vectorcodes
 from .common import read
 
 
@@ -52,11 +52,24 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_term_block_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_spaced_seeds, op2_contextual_pii, op3_superminhash, op4_partial_matching, op5_backoff_automaton,
         op6_compression_bands, op7_association_rules, op8_temperature_mix, op9_run_length_index, op10_fuzzy_lines,
+        op11_term_block_audit, op12_exponion_codes, op13_credential_links,
     )
 }
 
@@ -88,7 +101,12 @@ def url_fixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_association_rules(spark, sf_dir).select("page_id", "host", "path", "rule")
 
 
-for _f in (pii_base_counts, shingle_counts, quality_base, url_fixed_rules):
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of :func:`op13_credential_links` by kind."""
+    return op13_credential_links(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+for _f in (pii_base_counts, shingle_counts, quality_base, url_fixed_rules, secret_base_counts):
     QUERIES[_f.__name__] = _f
 
 _FITS = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'" for h, p in (r[1].split("/", 1) for r in sorted(urlrules.RULES, key=lambda r: -len(r[1]))))
@@ -111,4 +129,45 @@ ORACLE: dict[str, str] = {
     "url_fixed_rules": rf"""WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
  p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u)
  SELECT page_id, host, path, CASE {_FITS} END AS rule FROM p""",
+    "secret_base_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+ SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+ len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+ len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex FROM d""",
+    "op11_term_block_audit": r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+ v AS (SELECT lang, source, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY lang) USING (lang)),
+ n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+ c AS MATERIALIZED (SELECT lang, source, term, coalesce(n, 0) AS n, v, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source)::HUGEINT AS t FROM (SELECT lang, source, v, term FROM v JOIN k USING (lang)) LEFT JOIN n USING (lang, source, term)),
+ p AS MATERIALIZED (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 2) // (t + 2 * v))::BIGINT AS p FROM c),
+ l AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v))::BIGINT AS q FROM (SELECT lang, term, any_value(v) AS v, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term)),
+ x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM v a JOIN v b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+ SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM y QUALIFY part = 'pair' OR rank <= 10""",
 }
+
+
+def _codes_sql() -> str:
+    """Each round as two tables: entries by part (b), and nearest entries (a).  Inner products of
+    integers are exact in doubles."""
+    parts, entries = vectorcodes.PARTS, vectorcodes.ENTRIES
+    sql = [
+        f"""e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vectorcodes.SCALE} * x::DOUBLE)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"x AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM e, (SELECT unnest(range({parts})) AS p))",
+        f"b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, v FROM x WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for k in range(vectorcodes.ROUNDS + 1):
+        far = "list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v)"
+        sql.append(f"a{k} AS MATERIALIZED (SELECT vec_id, p, any_value(x.v) AS v, min(({far}) * {entries} + i) AS best FROM x JOIN b{k} b USING (p) GROUP BY vec_id, p)")
+        if k < vectorcodes.ROUNDS:
+            sql.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.p, b.i, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT p, i, list(floor(s / n) ORDER BY j) AS v FROM (
+ SELECT p, best::BIGINT % {entries} AS i, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT p, best, v, unnest(range(1, len(v) + 1)) AS j FROM a{k}) GROUP BY ALL) GROUP BY p, i) m ON m.p = b.p AND m.i = b.i)""")
+    last = vectorcodes.ROUNDS
+    return f"""WITH {", ".join(sql)}, c AS (SELECT vec_id, string_agg(format('{{:02x}}', best::BIGINT % {entries}), '' ORDER BY p) AS code, sum(best::BIGINT // {entries})::BIGINT AS error FROM a{last} GROUP BY vec_id),
+ h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, i)) AS h FROM b{last})
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM c JOIN e USING (vec_id), h"""
+
+
+ORACLE["op12_exponion_codes"] = _codes_sql()
