@@ -1,20 +1,17 @@
-"""Full-text scoring: postings, document frequencies, weighted BM25 with phrases by prefix."""
+"""Full text: what is indexed, the phrases of queries, document frequencies.  Postings are in ``postings``."""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions import porter
 from ..functions.text import fold_compounds, indexable_summary, indexable_tasks, lexical_terms
 
-# BM25's constants, and the fields' weights.
-K1, B = 1.2, 0.75
+# The fields' weights.
 WEIGHTS = {"name": 1.0, "summary": 3.0, "tasks": 5.0, "synonyms": 2.0, "details": 0.25, "publisher": 0.75, "features": 1.9}
-#: Rows of a table that is sent to every executor at most.
-SMALL = 500_000
 #: Runs of letters, digits and marks; the plain form leaves marks out.
 TOKEN, PLAIN = r"([\p{L}\p{N}\p{Mn}\p{Mc}\p{Co}]+)", r"([\p{L}\p{N}]+)"
 
@@ -38,41 +35,6 @@ def projection(entities: DataFrame, key: str) -> DataFrame:
     )
 
 
-def token_rows(rows: DataFrame, key: str, fields: list[str], stem: bool = False) -> DataFrame:
-    """(key, field, pos, word, weight): every token; words are not stemmed yet."""
-    pattern = F.lit(TOKEN if stem else PLAIN)
-    listed = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(WEIGHTS[f]).alias("weight"), F.regexp_extract_all(F.lower(F.coalesce(F.col(f), F.lit(""))), pattern).alias("words")) for f in fields))
-    return rows.select(key, F.explode(listed).alias("x")).select(key, "x.field", "x.weight", F.posexplode("x.words").alias("pos", "word"))
-
-
-def _sent(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= SMALL else table
-
-
-class Postings:
-    """Terms of the rows.  Words are stemmed once each, over the distinct ones, not row by row."""
-
-    def __init__(self, rows: DataFrame, key: str, fields: list[str], stem: bool = False):
-        self.key, self.stem = key, stem
-        self.tokens = token_rows(rows, key, fields, stem)
-        pattern = F.lit(TOKEN if stem else PLAIN)
-        size = sum((F.regexp_count(F.lower(F.coalesce(F.col(f), F.lit(""))), pattern) for f in fields), F.lit(0))
-        self.sizes = rows.select(key, size.cast("long").alias("size"))
-
-    def vocabulary(self) -> DataFrame:
-        """(word, term) of every distinct word."""
-        words = self.tokens.select("word").distinct()
-        return words.select("word", stemmed(F.col("word")).alias("term") if self.stem else F.col("word").alias("term"))
-
-    def hits(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, key, weight) of all terms, or of the given ones (word, term)."""
-        if terms is None:
-            tokens = self.tokens.withColumn("term", F.col("word")) if not self.stem else self.tokens.join(self.vocabulary(), "word")
-        else:
-            tokens = self.tokens.join(_sent(terms.select("word", "term").distinct()), "word")
-        return tokens.groupBy("term", self.key).agg(F.sum("weight").alias("weight"))
-
-
 def query_phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, i, term, prefix, rest): terms of each query; the last is a prefix.  A term with
     underscores is a phrase: the words after its first are the rest."""
@@ -82,61 +44,7 @@ def query_phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
     each = found.select("qid", "i", F.col("n") == F.col("i") + 1, F.posexplode("words")).toDF("qid", "i", "prefix", "j", "word")
     each = each.withColumn("term", stemmed(F.col("word")) if stem else F.col("word"))
     lists = each.groupBy("qid", "i", "prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "term"))), lambda x: x["term"]).alias("terms"))
-    return lists.select("qid", "i", F.get("terms", 0).alias("term"), "prefix", F.slice("terms", 2, 100).alias("rest"))
-
-
-def resolve(vocabulary: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(qid, i, word, term): the words that each single-word phrase means.
-
-    A prefix meets the vocabulary, not the postings, and by equality: the vocabulary is cut to
-    the lengths that occur."""
-    lengths = [r[0] for r in phrases.where("prefix").select(F.length("term")).distinct().collect()]  # at most the longest word
-    exact = vocabulary.join(F.broadcast(phrases.where("not prefix").select("qid", "i", "term")), "term").select("qid", "i", "word", "term")
-    if not lengths:
-        return exact
-    cut = F.array_distinct(F.filter(F.array(*(F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths)), lambda x: x.isNotNull()))
-    begun = vocabulary.select("word", "term", F.explode(cut).alias("p")).join(F.broadcast(phrases.where("prefix").select("qid", "i", F.col("term").alias("p"))), "p")
-    return exact.unionByName(begun.select("qid", "i", "word", "term"))
-
-
-def phrase_hits(postings: Postings, phrases: DataFrame) -> DataFrame:
-    """(qid, i, key, f) of the phrases of several words: all side by side in one field."""
-    tokens = postings.tokens
-    tokens = tokens.join(postings.vocabulary(), "word") if postings.stem else tokens.withColumn("term", F.col("word"))
-    every = phrases.select("qid", "i", "prefix", F.concat(F.array("term"), "rest").alias("terms")).withColumn("n", F.size("terms"))
-    most = every.agg(F.max("n")).first()[0] or 0  # at most the words of one query term
-    met = None
-    for j in range(most):
-        here = every.where(F.col("n") > j).select("qid", "i", "n", F.get("terms", j).alias("said"), (F.col("prefix") & (F.col("n") == j + 1)).alias("open"))
-        found = tokens.join(F.broadcast(here), F.expr("term = said or (open and startswith(term, said))")).select("qid", "i", "n", postings.key, "field", "weight", (F.col("pos") - j).alias("at"))
-        before = None if met is None else met.where(F.col("n") > j)
-        done = None if met is None else met.where(F.col("n") == j)
-        met = found if met is None else before.join(found.drop("weight", "n"), ["qid", "i", postings.key, "field", "at"]).unionByName(done)
-    return met.groupBy("qid", "i", postings.key).agg(F.sum("weight").alias("f"))
-
-
-def bm25(postings: Postings, phrases: DataFrame, limit: int | None = 100, digits: int | None = None) -> DataFrame:
-    """(qid, key, score, place): the best of each query.
-
-    Only tokens that some phrase means are kept before anything is shuffled; the ranking window
-    keeps each task's own best before the queries' rows meet."""
-    key = postings.key
-    single = phrases.where(F.size("rest") == 0)
-    meant = resolve(postings.vocabulary(), single)
-    found = postings.hits(meant).join(_sent(meant.select("qid", "i", "term").distinct()), "term").groupBy("qid", "i", key).agg(F.sum("weight").alias("f"))
-    several = phrases.where(F.size("rest") > 0)
-    if not several.isEmpty():
-        found = found.unionByName(phrase_hits(postings, several))
-    total, mean = postings.sizes.agg(F.count("*"), F.avg("size")).first()
-    n = found.groupBy("qid", "i").agg(F.count("*").alias("n"))
-    idf = F.log((F.lit(float(total or 0)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.lit(float(mean or 1))))
-    score = F.sum(part) if digits is None else F.round(F.sum(part), digits)
-    scored = found.join(F.broadcast(n), ["qid", "i"]).join(postings.sizes, key).groupBy("qid", key).agg(score.alias("score"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
-    ranked = scored.withColumn("place", place)
-    return ranked if limit is None else ranked.where(F.col("place") <= limit)
+    return lists.select("qid", "i", F.get("terms", 0).alias("term"), "prefix", F.slice("terms", 2, F.size("terms")).alias("rest"))
 
 
 def document_frequency(rows: DataFrame, text: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import image_name, letters_of, match_strength, partial_credibility
 from ..functions.text import adjacent_pairs, content_terms, indexable_summary, indexable_tasks, normalize_name
 from ..operators import fusion, lexical, vector
+from ..operators.postings import Stored, indexed
 from ..schema import RankingOptions
 from ..sources.scratch import scratch_table
 
@@ -70,11 +71,12 @@ def literal_arm(queries: DataFrame, entities: DataFrame, o: RankingOptions, df:
     return hits.withColumn("place", place).select("qid", "key", "strength", "reason", (power * fusion.reciprocal(o.literal_arm_weight, F.col("place"), o.rrf_k)).alias("literal"))
 
 
-def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False, root: str = "C:\\Windows") -> DataFrame:
+def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False, root: str = "C:\\Windows", texts: Stored | None = None) -> DataFrame:
     """(qid, key, place, score, band, reason, ...) of the entities shown.
 
     entities: key, display_name and the columns of ``OPTIONAL`` (embedding of unit length or null).
-    queries: qid, query, embedding.  root: where the system's own files lie."""
+    queries: qid, query, embedding.  root: where the system's own files lie.  texts: the stored
+    postings of the entities' projection; without them the texts are indexed first."""
     o = options or RankingOptions()
     entities = complete(entities)
     own = entities.where("embedding is not null").select("key", "embedding")
@@ -82,7 +84,8 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     near = vector.scores(own, asked, "key", "embedding", floor=max(o.min_vector_score, 1e-9), k=o.candidates_per_arm)
     vec = fusion.tiered_ranks(near, "key", o.rank_tier_tolerance)
     vec = vec.select("qid", "key", F.lit(True).alias("vector_ranked"), (fusion.reciprocal(o.vector_arm_weight, F.col("tier"), o.rrf_k) + o.vector_magnitude_weight * F.col("score")).alias("vector"))
-    bm = lexical.bm25(lexical.Postings(lexical.projection(entities, "key"), "key", FIELDS, stem), lexical.query_phrases(queries, stem), o.candidates_per_arm)
+    texts = texts or indexed(lexical.projection(entities, "key"), "key", FIELDS, stem)
+    bm = texts.bm25(lexical.query_phrases(queries, stem), o.candidates_per_arm)
     lex = fusion.tiered_ranks(bm, "key", o.rank_tier_tolerance).select("qid", "key", F.col("score").alias("lexical"), "tier")
     # weights of the queries' terms alone: a map per query
     said = entities.withColumn("match", match_text(F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions import names, porter, text
 from sparkseek.operators import browse, build, fusion, lexical, vector
+from sparkseek.operators.postings import indexed
 from sparkseek.plans.search import literal_arm
 from sparkseek.schema import DOCUMENTS, ENTITIES, PROFILES, RankingOptions
 from sparkseek.sources import collectors
@@ -69,10 +70,10 @@ def test_bm25_equals_sqlite(spark):
     con.execute("create virtual table t using fts5(name, summary, tokenize='porter unicode61 remove_diacritics 2')")
     con.executemany("insert into t(rowid, name, summary) values (?, ?, ?)", rows)
     df = spark.createDataFrame(rows, "id long, name string, summary string")
-    postings = lexical.Postings(df, "id", ["name", "summary"], stem=True)
+    postings = indexed(df, "id", ["name", "summary"], stem=True)
     for query, match in (("running process", '"running" OR "process"*'), ("edit file", '"edit" OR "file"*'), ("list processe", '"list" OR "processe"*'), ("task_manager text_fil", '"task_manager" OR "text_fil"*'), ("manager_task", '"manager_task"*')):
         asked = spark.createDataFrame([(0, query)], "qid long, query string")
-        got = {r["id"]: r["score"] for r in lexical.bm25(postings, lexical.query_phrases(asked, True)).collect()}
+        got = {r["id"]: r["score"] for r in postings.bm25(lexical.query_phrases(asked, True)).collect()}
         want = dict(con.execute("select rowid, -bm25(t, 1.0, 3.0) from t where t match ?", (match,)).fetchall())
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -15,6 +15,7 @@ from sparkseek.functions.names import initials_prefix
 from sparkseek.functions.text import FRAMING_WORDS, MORE_STOPWORDS, STOPWORDS
 from sparkseek.operators import lexical
 from sparkseek.operators.lexical import WEIGHTS
+from sparkseek.operators.postings import indexed
 from sparkseek.plans import search
 from sparkseek.schema import RankingOptions
 
@@ -197,7 +198,7 @@ def plain_search(entities, query, vector, limit=10):
 SMALL = [
     (1, "Task Manager", "See what runs on the computer and end a process.", ["end a task", "see memory usage"], ["tm"], "It lists every running process with its memory usage and lets you end the process.", "End Task, Memory Usage", "Contoso", "startmenu", 0, 1, "C:\\Windows\\taskmgr.exe", unit(1, 0.2, 0), 3),
     (2, "Tasklist", None, None, None, None, None, None, "command", 0, 1, "C:\\Windows\\tasklist.exe", unit(0.9, 0.1, 0.4), None),
-    (3, "PipeList", "List the pipes of each process.", ["list pipes"], ["pipes"], "Lists named pipes in use by a process on this system.", None, "Contoso", "startmenu", 0, 1, "D:\\bin\pl.exe", unit(0.7, 0.6, 0), None),
+    (3, "PipeList", "List the pipes of each process.", ["list pipes"], ["pipes"], "Lists named pipes in use by a process on this system.", None, "Contoso", "startmenu", 0, 1, r"D:\bin\pl.exe", unit(0.7, 0.6, 0), None),
     (4, "LogonSessions", "List sessions and the processes running in them.", None, None, None, None, None, "path", 0, 1, "D:\\bin\\logonsessions.exe", unit(0.6, 0, 0.7), None),
     (5, "Text Editor", "Edit text files.", ["edit a file", "write notes"], ["notes"], "A plain editor with which you can write and edit a text file.", "Open File, Save-As", "Fabrikam", "startmenu", 0, 1, "D:\\bin\\notepad.exe", unit(0, 1, 0.1), 10),
     (6, "DebugView", "Watch debug output.", None, ["view", "debug"], None, "View, View Options", "Contoso", "startmenu", 0, 1, "D:\\bin\\dbgview.exe", unit(0.1, 0.1, 1), None),
@@ -239,9 +240,9 @@ def test_search_equals_the_plain_one(spark, small):
 
 def test_typing_does_not_change_the_lexical_scores(spark, small):
     """A last word that is still being typed means the same as the whole one."""
-    postings = lexical.Postings(lexical.projection(search.complete(small), "key"), "key", search.FIELDS, True)
+    postings = indexed(lexical.projection(search.complete(small), "key"), "key", search.FIELDS, True)
     got = {}
-    for r in lexical.bm25(postings, lexical.query_phrases(asked(spark, ASKED[:3]), True)).collect():
+    for r in postings.bm25(lexical.query_phrases(asked(spark, ASKED[:3]), True)).collect():
         got.setdefault(r["qid"], {})[r["key"]] = round(r["score"], 9)
     assert got[0] == got[1] == got[2] and 1 in got[0]
 
