@@ -49,6 +49,18 @@ def letters_of(text: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
 
 
+def ordered_pairs(text: Column) -> Column:
+    """The distinct pairs of characters (no blanks) of which the first occurs before the second, and its
+    distinct characters.  A text that holds another's characters in their order has all of that one's."""
+    every = F.filter(F.split(text, ""), lambda c: (c != "") & (c != " "))
+    each = F.array_distinct(every)
+    firsts = F.transform(each, lambda c: F.struct(c.alias("c"), F.array_position(every, c).alias("at")))
+    turned = F.reverse(every)
+    lasts = F.transform(each, lambda c: F.struct(c.alias("c"), (F.size(every) + 1 - F.array_position(turned, c)).alias("at")))
+    pairs = F.flatten(F.transform(firsts, lambda a: F.transform(F.filter(lasts, lambda b: b["at"] > a["at"]), lambda b: F.concat(a["c"], b["c"]))))
+    return F.array_union(pairs, each)
+
+
 def match_strength(query: Column, name: Column, options: RankingOptions | None = None, initials: bool = True) -> tuple[Column, Column]:
     """Strength of a literal match and its reason (null without a match)."""
     o = options or RankingOptions()

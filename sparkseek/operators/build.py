@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
+from ..sources.scratch import scratch_table
 
 
 def entity_id(source: Column, key: Column) -> Column:
@@ -60,33 +58,21 @@ def greedy_groups(rows: DataFrame, order: list[str], keys: str = "keys") -> Data
     """(id, survivor): discovery in order; a row whose key is claimed joins the survivor of
     its first claimed key, and its other keys are claimed for that survivor.
 
-    The outcome depends on the order, so rows must meet in order.  They need to meet only
-    with rows they are connected to by keys: components of the key graph are found first and
-    are the groups of the fold."""
-    from ..operators.graph import connected
-
-    edges = rows.select("id", F.explode(keys).alias("k"))
-    hub = edges.groupBy("k").agg(F.min("id").alias("hub"))
-    links = edges.join(hub, "k").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    group = connected(links)
-    held = rows.join(group, rows.id == group.node, "left").withColumn("root", F.coalesce("root", "id")).select("root", "id", F.col(keys).alias("keys"), F.struct(*order).alias("o"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by component and order stream by; only the keys' owners are held."""
-        now, owner = None, {}
-        for batch in batches:
-            out = []
-            for root, id_, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if root != now:
-                    now, owner = root, {}
-                survivor = next((owner[k] for k in keys if k in owner), None) or id_
-                for k in keys:
-                    owner.setdefault(k, survivor)
-                out.append(survivor)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string())], ["id", "survivor"])
-
-    ordered = held.repartition("root").sortWithinPartitions("root", "o").select("root", "id", "keys")
-    return ordered.mapInArrow(fold, "id string, survivor string")
+    A key is claimed by the first row that has it, so a row depends on one earlier row at most: the first
+    row of the first of its keys (as listed) that begins before it.  Those pointers form a forest, whose
+    roots are the survivors; they are found by doubling, among the rows that are pointed at alone.  No group
+    of rows meets in a task.  Rows of equal order go by id."""
+    each = rows.select("id", F.struct(*order, "id").alias("o"), F.posexplode(keys).alias("i", "k"))
+    first = each.groupBy("k").agg(F.min("o").alias("first"))
+    earlier = each.join(first, "k").where("first < o").groupBy("id").agg(F.min_by(F.col("first.id"), "i").alias("up"))
+    point = scratch_table(earlier, "pointers")
+    heads = point.select(F.col("up").alias("node")).distinct().join(point.withColumnRenamed("id", "node"), "node", "left")
+    jump = scratch_table(heads.select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNull().alias("done")), "heads")
+    while not jump.where("not done").isEmpty():
+        far = jump.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("done").alias("end"))
+        jump = scratch_table(jump.join(far, "up").select("node", F.col("far").alias("up"), F.col("end").alias("done")), "heads")
+    roots = jump.select(F.col("node").alias("up"), F.col("up").alias("root"))
+    return rows.select("id").join(point, "id", "left").join(roots, "up", "left").select("id", F.coalesce("root", "id").alias("survivor"))
 
 
 def absorb(survivor: Column, loser: Column) -> Column:

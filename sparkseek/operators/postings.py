@@ -37,7 +37,7 @@ K1, B = 1.2, 0.75
 #: Documents and tokens of a block at most (one larger document is a block by itself), and buckets of terms.
 DOCS, TOKENS, BUCKETS = 2048, 4_000_000, 16
 #: Rows that are sent to every executor at most; queries answered together; blocks in which a query is scored first.
-SMALL, QUERIES, FIRST = 500_000, 20_000, 4
+SMALL, QUERIES, FIRST = 500_000, 20_000, 16
 #: A place is a field's number and a position in it.
 FIELD_BITS = 40
 
@@ -148,6 +148,7 @@ def write(rows: DataFrame, key: str, fields: list[str], stem: bool, path: str, w
     blocks.where("term is null").select("block", "keys", "sizes").write.parquet(f"{path}/docs")
     terms = blocks.where("term is not null").drop("keys", "sizes").withColumn("bucket", bucket_of(F.col("term")))
     terms.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    blocks.where("term is not null").select("term").distinct().write.parquet(f"{path}/terms")
     return spark.read.parquet(f"{path}/docs").agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
 
 
@@ -204,10 +205,11 @@ class Held:
 @dataclass
 class Stored:
     """Stored postings of one or more segments.  docs: (block, keys, sizes, dead); postings: (block, bucket,
-    term, ..).  name: what the key is called in results."""
+    term, ..); vocabulary: (term) of each segment.  name: what the key is called in results."""
 
     docs: DataFrame
     postings: DataFrame
+    vocabulary: DataFrame
     stem: bool
     name: str = "key"
     weights: list[float] = field(default_factory=list)
@@ -229,7 +231,8 @@ class Stored:
             docs.append(d.select("block", "keys", "sizes", dead.alias("dead")))
             schema = "block long, term string, docs array<int>, f array<double>, counts array<int>, places array<long>, most double, least long, bucket int"
             terms.append(spark.read.schema(schema).parquet(f"{path}/postings").withColumn("block", here))
-        return cls(reduce(DataFrame.unionByName, docs), reduce(DataFrame.unionByName, terms), stem, name, weights or list(WEIGHTS.values()))
+        words = spark.read.schema("term string").parquet(*(f"{path}/terms" for path, _ in segments))
+        return cls(reduce(DataFrame.unionByName, docs), reduce(DataFrame.unionByName, terms), words, stem, name, weights or list(WEIGHTS.values()))
 
     def totals(self) -> tuple[int, float]:
         """Number and mean size of the live documents."""
@@ -238,9 +241,6 @@ class Stored:
         n, total = self.docs.agg(F.sum(F.size("keys") - F.size("dead")), F.sum(size)).first()
         return n or 0, (total or 0) / n if n else 0.0
 
-    def vocabulary(self) -> DataFrame:
-        return self.postings.select("term").distinct()
-
     def _selected(self, phrases: list[tuple[tuple, bool]]) -> DataFrame:
         """The postings that the phrases read."""
         spark = self.docs.sparkSession
@@ -250,11 +250,14 @@ class Stored:
         if begun:
             lengths = sorted({len(p) for p in begun})
             cut = F.array(*(F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths))
-            meant = self.vocabulary().select("term", F.explode(F.array_compact(cut)).alias("p")).join(F.broadcast(spark.createDataFrame([(p,) for p in begun], "p string")), "p", "left_semi")
+            meant = self.vocabulary.select("term", F.explode(F.array_compact(cut)).alias("p")).join(F.broadcast(spark.createDataFrame([(p,) for p in begun], "p string")), "p", "left_semi")
             terms = scratch_table(terms.union(meant.select("term")).distinct(), "terms")
         buckets = [r[0] for r in terms.select(bucket_of(F.col("term"))).distinct().collect()]
         small = terms.count() <= SMALL
-        return self.postings.where(F.col("bucket").isin(buckets)).drop("bucket").join(F.broadcast(terms) if small else terms, "term", "left_semi")
+        rows = self.postings.where(F.col("bucket").isin(buckets)).drop("bucket")
+        if all(len(t) == 1 for t, _ in phrases):  # places are read for phrases of several words alone
+            rows = rows.withColumns({"counts": F.lit(None).cast("array<int>"), "places": F.lit(None).cast("array<bigint>")})
+        return rows.join(F.broadcast(terms) if small else terms, "term", "left_semi")
 
     def _batches(self, phrases: DataFrame) -> Iterator[tuple[list[tuple[tuple, bool]], dict]]:
         """Distinct phrases, and the phrases of each query by number, for ``QUERIES`` queries at a time."""
@@ -291,7 +294,7 @@ class Stored:
 
     def phrase_hits(self, phrases: DataFrame) -> DataFrame:
         """(qid, i, key, f) of every phrase: the documents that have it, and its weight there."""
-        kind = dict(self.docs.dtypes)["keys"][6:-1]
+        kind, key = dict(self.docs.dtypes)["keys"][6:-1], self.name
         out = []
         for said, asked in self._batches(phrases):
             matched = self._selected(said)
@@ -304,9 +307,9 @@ class Stored:
                 got = [(pid, *held.find(words, prefix)[:2]) for pid, (words, prefix) in enumerate(said)] if held else []
                 where = np.concatenate([d for _, d, _ in got]) if got else np.zeros(0, np.int64)
                 pids = np.repeat([p for p, _, _ in got], [len(d) for _, d, _ in got]) if got else np.zeros(0)
-                return pa.table([pa.array(pids.astype(np.int32)), keys.take(pa.array(where)), pa.array(np.concatenate([f for _, _, f in got]) if got else np.zeros(0))], ["pid", self.name, "f"])
+                return pa.table([pa.array(pids.astype(np.int32)), keys.take(pa.array(where)), pa.array(np.concatenate([f for _, _, f in got]) if got else np.zeros(0))], ["pid", key, "f"])
 
-            hits = matched.groupBy("block").cogroup(self.docs.groupBy("block")).applyInArrow(found, f"pid int, `{self.name}` {kind}, f double")
+            hits = matched.groupBy("block").cogroup(self.docs.groupBy("block")).applyInArrow(found, f"pid int, `{key}` {kind}, f double")
             each = self._frame([(q, i, p) for q, x in asked.items() for i, p in x], phrases, "i int, pid int")
             out.append(hits.join(F.broadcast(each), "pid").select("qid", "i", self.name, "f"))
         return reduce(DataFrame.unionByName, out)

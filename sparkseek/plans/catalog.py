@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names, synthesis, text
 from ..operators import browse, build, embed, fusion, lexical, vector
+from ..operators.postings import indexed
 from ..schema import DOCUMENTS, PROFILES, RankingOptions
 from ..sources import catalogues, collectors
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, scratch_table
 from ..sources.store import IndexStore
 from ..streaming import state, usage as streams
 from . import search, views
@@ -229,15 +230,18 @@ def inverse_document_frequency(spark, sf):
     return lexical.document_frequency(rows, F.col("m")).select("word", F.round(lexical.idf(F.col("df"), total), 6).alias("idf"))
 
 
-def _bm25_sql(prefix: str, stem: str | None = None) -> str:
-    """BM25 over name, summary and details.  stem: SQL table (word, stem) that words are looked up in."""
+#: The seven fields as SQL, as they are stored without the projection.
+_FIELDS_SQL = {"name": "display_name", "summary": "summary", "tasks": "array_to_string(tasks, '. ')", "synonyms": "array_to_string(synonyms, ', ')", "details": "details", "publisher": "publisher", "features": "features"}
+
+
+def _bm25_sql(prefix: str) -> str:
+    """BM25 over all fields."""
     words = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
-    tokens = f"raw AS (SELECT doc_id, unnest({words('display_name')}) AS word, 1.0 AS w FROM ents UNION ALL SELECT doc_id, unnest({words('summary')}), 3.0 FROM ents UNION ALL SELECT doc_id, unnest({words('details')}), 0.25 FROM ents)"
-    look = ", tok AS (SELECT doc_id, word AS term, w FROM raw)" if stem is None else f", stems AS ({stem}), tok AS (SELECT doc_id, stem AS term, w FROM raw JOIN stems USING (word)), said AS (SELECT qid, i, stem AS term, prefix FROM phrases JOIN stems ON word = term)"
-    return f"""WITH {ENTITIES_SQL}, {_LEX}, {tokens}{look},
- size AS (SELECT doc_id, len({words('display_name')}) + len({words('summary')}) + len({words('details')}) AS d FROM ents),
- hits AS (SELECT term, doc_id, sum(w) AS w FROM tok GROUP BY ALL),
- f AS (SELECT qid, i, doc_id, sum(w) AS f FROM {'phrases' if stem is None else 'said'} p JOIN hits h ON {prefix} GROUP BY ALL),
+    tokens = " UNION ALL ".join(f"SELECT doc_id, unnest({words(c)}) AS term, {lexical.WEIGHTS[f]}::DOUBLE AS w FROM ents" for f, c in _FIELDS_SQL.items())
+    size = " + ".join(f"len({words(c)})" for c in _FIELDS_SQL.values())
+    return f"""WITH {ENTITIES_SQL}, {_LEX}, tok AS ({tokens}), size AS (SELECT doc_id, {size} AS d FROM ents),
+ hits AS MATERIALIZED (SELECT term, doc_id, sum(w) AS w FROM tok GROUP BY ALL),
+ f AS MATERIALIZED (SELECT qid, i, doc_id, sum(w) AS f FROM phrases p JOIN hits h ON {prefix} GROUP BY ALL),
  n AS (SELECT qid, i, count(*) AS n FROM f GROUP BY ALL),
  s AS (SELECT f.qid, f.doc_id, sum(CASE WHEN ln(((SELECT count(*) FROM ents) - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln(((SELECT count(*) FROM ents) - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / (SELECT avg(d) FROM size)))) AS score
   FROM f JOIN n USING (qid, i) JOIN size USING (doc_id) GROUP BY ALL),
@@ -246,11 +250,9 @@ def _bm25_sql(prefix: str, stem: str | None = None) -> str:
 
 
 def _bm25(spark, sf, prefix: bool, stem: bool = False):
-    rows = views.entities(spark, sf).select("doc_id", F.col("display_name").alias("name"), "summary", "details")
-    postings = lexical.Postings(rows, "doc_id", ["name", "summary", "details"], stem)
     phrases = lexical.query_phrases(views.queries(spark, sf), stem)
     phrases = phrases if prefix else phrases.withColumn("prefix", F.lit(False))
-    return lexical.bm25(postings, phrases, 100, 6).select("qid", "doc_id", "score", long("place", "place"))
+    return _stored(spark, sf, stem)[0].bm25(phrases, 100, 6).select("qid", F.col("key").alias("doc_id"), "score", long("place", "place"))
 
 
 @query(_bm25_sql("h.term = p.term"))
@@ -268,19 +270,19 @@ def bm25_stemmed(spark, sf):
     return _bm25(spark, sf, True, True)
 
 
+_W = " UNION ALL ".join(rf"SELECT doc_id, {lexical.WEIGHTS[f]}::DOUBLE AS weight, unnest(range(1, len(t))) AS i, t FROM (SELECT doc_id, regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+') AS t FROM ents)" for f, c in _FIELDS_SQL.items())
+
+
 @query(
-    f"""WITH {ENTITIES_SQL}, w AS (SELECT doc_id, 'name' AS field, unnest(range(1, len(t))) AS i, t FROM (SELECT doc_id, regexp_extract_all(lower(display_name), '[\\p{{L}}\\p{{N}}]+') AS t FROM ents)
- UNION ALL SELECT doc_id, 'details', unnest(range(1, len(t))), t FROM (SELECT doc_id, regexp_extract_all(lower(details), '[\\p{{L}}\\p{{N}}]+') AS t FROM ents)),
- q AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM benchmark), pairs AS (SELECT qid, t[1] AS a, t[2] AS b FROM q)
- SELECT qid, doc_id, round(sum(CASE field WHEN 'name' THEN 1.0 ELSE 0.25 END), 6) AS f FROM pairs JOIN w ON w.t[w.i] = a AND starts_with(w.t[w.i + 1], b) GROUP BY ALL""".replace("\\\\", "\\")
+    rf"""WITH {ENTITIES_SQL}, w AS ({_W}), q AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM benchmark), pairs AS (SELECT qid, t[1] AS a, t[2] AS b FROM q)
+ SELECT qid, doc_id, round(sum(weight), 6) AS f FROM pairs JOIN w ON w.t[w.i] = a AND starts_with(w.t[w.i + 1], b) GROUP BY ALL"""
 )
 def phrase_positions(spark, sf):
     """The first two words of each query as one phrase, the second as a prefix."""
     w = F.regexp_extract_all(F.lower("query"), F.lit(r"([\p{L}\p{N}]+)"), 1)
     asked = views.queries(spark, sf).select("qid", F.concat(F.get(w, 0), F.lit("_"), F.get(w, 1)).alias("query"))
-    rows = views.entities(spark, sf).select("doc_id", F.col("display_name").alias("name"), "details")
-    hits = lexical.phrase_hits(lexical.Postings(rows, "doc_id", ["name", "details"]), lexical.query_phrases(asked))
-    return hits.select("qid", "doc_id", F.round("f", 6).alias("f"))
+    hits = _stored(spark, sf, False)[0].phrase_hits(lexical.query_phrases(asked))
+    return hits.select("qid", F.col("key").alias("doc_id"), F.round("f", 6).alias("f"))
 
 
 @query(
@@ -300,7 +302,7 @@ _TYPED_SQL = ", ".join(f"('{q}')" for q in _TYPED)
 
 
 @query(
-    f"""WITH q AS (SELECT * FROM (VALUES {_TYPED_SQL}) t(query)), n AS (SELECT DISTINCT p_name AS name FROM part),
+    f"""WITH q AS (SELECT * FROM (VALUES {_TYPED_SQL}) t(query) UNION SELECT trim(substring(p_name, 1, 4)) FROM part), n AS (SELECT DISTINCT p_name AS name FROM part),
  b AS (SELECT query AS q, lower(name) AS n, name, string_split(lower(name), ' ') AS w FROM q, n),
  s AS (SELECT *, CASE WHEN q = n THEN 3.0 WHEN starts_with(n, q) THEN 1.5 WHEN len(list_filter(w, lambda x: starts_with(x, q))) > 0 THEN 0.6
   WHEN len(w) > 1 AND q = array_to_string(list_transform(w, lambda x: x[1]), '') THEN 0.9
@@ -309,10 +311,10 @@ _TYPED_SQL = ", ".join(f"('{q}')" for q in _TYPED)
  SELECT q AS query, name, strength::DOUBLE AS strength FROM s WHERE strength > 0"""
 )
 def name_match(spark, sf):
-    q = spark.createDataFrame([(x, x[0]) for x in _TYPED], "query string, c string")
-    n = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
-    near = n.select("name", F.explode(F.array_distinct(F.split(F.lower("name"), ""))).alias("c")).join(F.broadcast(q), "c")  # sixteen rows
-    return near.select("query", "name", names.match_strength(F.col("query"), F.col("name"))[0].alias("strength")).where("strength > 0")
+    n = table(spark, sf, "part").select(F.col("p_name").alias("name"))
+    typed = spark.createDataFrame([(x,) for x in _TYPED], "query string").union(n.select(F.expr("trim(substring(name, 1, 4))"))).distinct()
+    found = search.name_matches(typed.select(F.col("query").alias("qid"), "query"), n, O)
+    return found.select(F.col("qid").alias("query"), "name", "strength")
 
 
 @query("SELECT p_name AS name, n::BIGINT AS n, round(1 - least(greatest(n / (SELECT count(*) FROM part)::DOUBLE / 0.05, 0), 1) * 0.85, 6) AS credibility FROM (SELECT p_name, count(*) AS n FROM part GROUP BY p_name)")
@@ -448,8 +450,31 @@ def _asked(spark, sf):
     return views.queries(spark, sf).join(vecs, "qid", "left")
 
 
+_STORED: dict[tuple, tuple] = {}
+
+
+def _stored(spark, sf, stem: bool):
+    """The stored postings and stretches of these tables: written once a session, in its scratch folder, and
+    anew when a file of theirs has changed.  Without stems the seven fields are stored as they are."""
+    fs = lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    said = []
+    for name in ("documents", "part"):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        status = fs(where).getFileStatus(where)
+        for f in fs(where).listStatus(where) if status.isDirectory() else [status]:
+            said.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    key = (id(spark.sparkContext._jsc), stem, *sorted(said))
+    if key not in _STORED:
+        ents = search.complete(views.entities(spark, sf).withColumnRenamed("doc_id", "key"))
+        plain = ents.select("key", F.col("display_name").alias("name"), "summary", F.array_join("tasks", ". ").alias("tasks"), F.array_join("synonyms", ", ").alias("synonyms"), "details", "publisher", "features")
+        texts = indexed(lexical.projection(ents, "key") if stem else plain, "key", search.FIELDS, stem)
+        _STORED[key] = texts, scratch_table(search.stretches(ents), "stretches") if stem else None
+    return _STORED[key]
+
+
 def _hits(spark, sf, asked=None):
-    return search.hybrid_search(_index(spark, sf), asked if asked is not None else _asked(spark, sf), F.lit(AS_OF).cast("timestamp"), O)
+    texts, lines = _stored(spark, sf, True)
+    return search.hybrid_search(_index(spark, sf), asked if asked is not None else _asked(spark, sf), F.lit(AS_OF).cast("timestamp"), O, texts=texts, lines=lines)
 
 
 @query()
@@ -624,7 +649,13 @@ def absorb_metadata(spark, sf):
     return rows.select("doc_id", *(F.col("m")[k].alias(k) for k in "abc"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ENTITIES_SQL}, k AS (SELECT id, doc_id AS o, 1 AS i, 'name|' || lower(display_name) || '|' || publisher AS k FROM ents UNION ALL SELECT id, doc_id, 2, 'text|' || md5(text) FROM ents),
+ f AS (SELECT *, first_value(id) OVER w AS up, first_value(o) OVER w AS first FROM k WINDOW w AS (PARTITION BY k ORDER BY o, id)),
+ p AS MATERIALIZED (SELECT id, arg_min(up, i) AS up FROM f WHERE first < o GROUP BY id),
+ r AS (SELECT id, id AS head FROM ents UNION ALL SELECT r.id, p.up FROM r JOIN p ON p.id = r.head)
+ SELECT id, head AS survivor FROM r WHERE head NOT IN (SELECT id FROM p)"""
+)
 def greedy_dedupe(spark, sf):
     rows = views.entities(spark, sf).select("id", F.lit(0).alias("rank"), "doc_id", F.array(F.concat(F.lit("name|"), F.lower("display_name"), F.lit("|"), F.col("publisher")), F.concat(F.lit("text|"), F.md5("text"))).alias("keys"))
     return build.greedy_groups(rows, ["rank", "doc_id"])

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import image_name, letters_of, match_strength, partial_credibility
+from ..functions.names import image_name, letters_of, match_strength, ordered_pairs, partial_credibility
 from ..functions.text import adjacent_pairs, content_terms, indexable_summary, indexable_tasks, normalize_name
 from ..operators import fusion, lexical, vector
 from ..operators.postings import Stored, indexed
@@ -21,8 +19,8 @@ OPTIONAL = {
     "launch_kind": "int", "launch_target": "string", "icon_source": "string", "embedding": "array<float>", "launch_count": "bigint", "last_launched_at": "timestamp",
 }
 FIELDS = ["name", "summary", "tasks", "synonyms", "details", "publisher", "features"]
-#: Queries of one block of the literal arm.
-BLOCK = 20_000
+#: Rows that are sent to every executor at most.
+SMALL = 500_000
 
 
 def complete(entities: DataFrame) -> DataFrame:
@@ -39,14 +37,20 @@ def match_text(name: Column, summary: Column, tasks: Column | None = None, synon
 def name_matches(queries: DataFrame, names: DataFrame, o: RankingOptions) -> DataFrame:
     """(qid, name, strength, reason) of the names (name) that a query matches.
 
-    Every kind of match needs all the query's characters in the name, and no more characters than
-    it has.  The queries go out in blocks of bounded size against all names, each pair is tested
-    for that by two numbers, and only what passes is matched."""
+    Every kind of match has the query's characters in the name in their order (a beginning, initials
+    and chunks of words too).  So the pairs of characters that stand in order in the query do so in the name:
+    each query waits at its rarest pair, each name comes by at all of its pairs, and they meet by
+    equality.  What meets is tested by two numbers (length, a bit a character) and then matched."""
     q = queries.select("qid", "query", normalize_name(F.col("query")).alias("q")).where("q <> ''").withColumn("qm", letters_of(F.col("q")))
     n = names.distinct().withColumn("n", normalize_name(F.col("name"))).where("n <> ''").withColumn("nm", letters_of(F.col("n")))
-    parts = max(1, -(-q.count() // BLOCK))
-    blocks = [q if parts == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts)]
-    near = reduce(DataFrame.unionByName, [n.join(F.broadcast(block), F.expr("length(q) <= length(n) and (qm & ~nm) = 0")) for block in blocks])
+    longest = n.agg(F.max(F.length("n"))).first()[0] or 0
+    q = q.where(F.length("q") <= longest)
+    often = scratch_table(n.select(F.explode(ordered_pairs(F.col("n"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("names")), "pairs")
+    waits = q.select("qid", "query", "q", "qm", F.explode(ordered_pairs(F.col("q"))).alias("pair")).join(_sent(often), "pair", "left")
+    waits = waits.groupBy("qid", "query", "q", "qm").agg(F.min_by("pair", F.struct(F.coalesce("names", F.lit(0)), "pair")).alias("pair"))
+    waits = scratch_table(waits, "waits")
+    asked = _sent(waits)
+    near = n.select("name", "n", "nm", F.explode(ordered_pairs(F.col("n"))).alias("pair")).join(asked, "pair").where("length(q) <= length(n) and (qm & ~nm) = 0")
     strength, reason = match_strength(F.col("query"), F.col("name"), o)
     return near.select("qid", "name", strength.alias("strength"), reason.alias("reason")).where("strength > 0")
 
@@ -65,18 +69,29 @@ def literal_arm(queries: DataFrame, entities: DataFrame, o: RankingOptions, df:
         word = normalize_name(F.col("query"))
         often = queries.select("qid", "query", word.alias("t")).join(df, "t").select("qid", partial_credibility(F.col("query"), F.col("df"), F.lit(float(total)), o).alias("credible"))
         damped = F.when(F.col("reason").isin("word prefix", "subsequence"), F.col("strength") * F.coalesce("credible", F.lit(1.0))).otherwise(F.col("strength"))
-        hits = hits.join(F.broadcast(often), "qid", "left").withColumn("strength", damped).drop("credible").where("strength > 0")
+        hits = hits.join(_sent(often), "qid", "left").withColumn("strength", damped).drop("credible").where("strength > 0")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("strength"), F.upper("display_name"), "key")) - 1
     power = F.least(F.col("strength") / o.exact_match_boost, F.lit(1.0))
     return hits.withColumn("place", place).select("qid", "key", "strength", "reason", (power * fusion.reciprocal(o.literal_arm_weight, F.col("place"), o.rrf_k)).alias("literal"))
 
 
-def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False, root: str = "C:\\Windows", texts: Stored | None = None) -> DataFrame:
+def stretches(entities: DataFrame) -> DataFrame:
+    """(key, lines): the stretches of words of all that an entity says, in which neighbours are looked for."""
+    return entities.select("key", fusion.joined_segments(F.concat_ws(". ", "display_name", "summary", "details", "features", F.array_join("tasks", ". "), F.array_join("synonyms", ". "))).alias("lines"))
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A table that grows with the batch of queries, sent to every executor if it has at most ``SMALL`` rows."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
+def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False, root: str = "C:\\Windows", texts: Stored | None = None, lines: DataFrame | None = None) -> DataFrame:
     """(qid, key, place, score, band, reason, ...) of the entities shown.
 
     entities: key, display_name and the columns of ``OPTIONAL`` (embedding of unit length or null).
     queries: qid, query, embedding.  root: where the system's own files lie.  texts: the stored
-    postings of the entities' projection; without them the texts are indexed first."""
+    postings of the entities' projection; lines: their stored :func:`stretches`; without them the texts are
+    indexed, and cut, first."""
     o = options or RankingOptions()
     entities = complete(entities)
     own = entities.where("embedding is not null").select("key", "embedding")
@@ -92,23 +107,22 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     total = entities.count()
     terms = queries.select("qid", "query", content_terms(F.col("query")).alias("terms_list"))
     wanted = terms.select(F.explode("terms_list").alias("t")).union(terms.select(normalize_name(F.col("query")))).distinct()
-    df = scratch_table(lexical.document_frequency(said, F.col("match")).withColumnRenamed("word", "t").join(F.broadcast(wanted), "t"), "df")
+    df = scratch_table(lexical.document_frequency(said, F.col("match")).withColumnRenamed("word", "t").join(_sent(wanted), "t"), "df")
     weights = terms.select("qid", F.explode("terms_list").alias("t")).join(df, "t", "left").select("qid", "t", lexical.idf(F.coalesce("df", F.lit(0)), total).alias("w"))
     weights = weights.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("idf"))
     terms = terms.select("qid", "terms_list").join(weights, "qid", "left").withColumn("idf", F.coalesce("idf", F.create_map().cast("map<string,double>")))
     # each arm is used several times below: it is computed once
     vec, lex, names = scratch_table(vec, "vector-arm"), scratch_table(lex, "lexical-arm"), scratch_table(literal_arm(queries, entities, o, df, total), "literal-arm")
     arms = vec.select("qid", "key").union(lex.select("qid", "key")).union(names.select("qid", "key")).distinct()
-    rows = arms.join(vec, ["qid", "key"], "left").join(lex, ["qid", "key"], "left").join(names, ["qid", "key"], "left").join(said, "key").join(F.broadcast(terms), "qid")
+    rows = arms.join(vec, ["qid", "key"], "left").join(lex, ["qid", "key"], "left").join(names, ["qid", "key"], "left").join(said, "key").join(_sent(terms), "qid")
     # every candidate's cosine counts as evidence, whether the arm ranked it or not
     cosine = F.round(vector.dot(F.col("embedding"), F.col("asked")), 6)
     rows = rows.join(asked.withColumnRenamed("embedding", "asked"), "qid", "left").withColumn("cosine", cosine).drop("embedding", "asked").withColumn("vector_ranked", F.coalesce("vector_ranked", F.lit(False)))
     pairs = adjacent_pairs(F.col("terms_list"))
     # an entity's stretches of words are cut once, not for every query that finds it
-    everything = F.concat_ws(". ", "display_name", "summary", "details", "features", F.array_join("tasks", ". "), F.array_join("synonyms", ". "))
-    cut = scratch_table(entities.join(arms.select("key").distinct(), "key", "left_semi").select("key", fusion.segments(everything).alias("cut")), "segments")
+    cut = lines if lines is not None else scratch_table(stretches(entities.join(arms.select("key").distinct(), "key", "left_semi")), "stretches")
     spoken = terms.where(F.size("terms_list") >= 2).select("qid", pairs.alias("pairs"))
-    stated = arms.join(F.broadcast(spoken), "qid").join(cut, "key").select("qid", "key", fusion.stated_pairs(F.col("pairs"), F.col("cut")).alias("stated"))
+    stated = arms.join(_sent(spoken), "qid").join(cut, "key").select("qid", "key", fusion.stated_in(F.col("pairs"), F.col("lines")).alias("stated"))
     rows = rows.join(scratch_table(stated, "stated"), ["qid", "key"], "left")
     found = F.col("lexical").isNotNull()
     rows = rows.withColumn("coverage", F.when(found, fusion.coverage(F.col("terms_list"), F.col("match"), F.col("idf"), F.coalesce(fusion.phrased_terms(F.col("stated")), F.array().cast("array<string>")))).otherwise(1.0)).withColumn("terms", F.size("terms_list"))
