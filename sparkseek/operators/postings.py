@@ -2,8 +2,8 @@
 
 Documents are dealt into blocks of bounded size by the number of their tokens, so the documents of a block are
 about equally long.  A block has one row with its documents (keys in order, sizes), and one row for each of
-its terms: the documents that have it, their field-weighted counts, their places, and two bounds, the largest count and the
-least size.  The rows of terms are written by bucket of the term, sorted by it, so a query reads the buckets of its
+its terms: the documents that have it, their field-weighted counts, their places (packed as bytes), and two bounds, the largest
+count and the least size.  The rows of terms are written by bucket of the term, sorted by it, so a query reads the buckets of its
 terms and, within them, the row groups that can hold them.
 
 A batch of queries is answered in two steps over what its terms select.  The first counts the documents of
@@ -38,6 +38,8 @@ K1, B = 1.2, 0.75
 DOCS, TOKENS, BUCKETS = 2048, 4_000_000, 16
 #: Rows that are sent to every executor at most; queries answered together; blocks in which a query is scored first.
 SMALL, QUERIES, FIRST = 500_000, 20_000, 16
+#: What the packed columns hold.
+STORED_AS = {"docs": np.int32, "f": np.float64, "counts": np.int32, "places": np.int64}
 #: A place is a field's number and a position in it.
 FIELD_BITS = 40
 
@@ -78,10 +80,15 @@ def _block(block: int, keys: pa.Array, fields: list[pa.Array], weights: list[flo
         terms.append(lists.flatten())
     names = ["block", "term", "docs", "f", "counts", "places", "most", "least", "keys", "sizes"]
     none = lambda n, kind: pa.nulls(n, kind)
-    ints, longs, doubles = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64())
-    lists = lambda x, n, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(x, kind))
-    one = np.array([len(keys)])
-    own = [pa.array([block]), none(1, pa.string()), none(1, ints), none(1, doubles), none(1, ints), none(1, longs), none(1, pa.float64()), none(1, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys.take(order)), lists(sizes, one, pa.int64())]
+
+    def packed(x: np.ndarray, n: np.ndarray) -> pa.Array:
+        """The numbers of each row as bytes: no engine between here and a query looks into them."""
+        at = np.concatenate(([0], np.cumsum(n))) * x.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+    one = pa.array([0, len(keys)], pa.int32())
+    raw, longs = pa.binary(), pa.list_(pa.int64())
+    own = [pa.array([block]), none(1, pa.string()), *(none(1, raw) for _ in range(4)), none(1, pa.float64()), none(1, pa.int64()), pa.ListArray.from_arrays(one, keys.take(order)), pa.ListArray.from_arrays(one, pa.array(sizes))]
     yield pa.RecordBatch.from_arrays(own, names)
     said = pa.concat_arrays(terms).dictionary_encode()
     if not len(said):
@@ -99,7 +106,7 @@ def _block(block: int, keys: pa.Array, fields: list[pa.Array], weights: list[flo
     most, least = np.maximum.reduceat(f, begin), np.minimum.reduceat(sizes[doc[first]], begin)
     n = len(begin)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, block)), said.dictionary.take(by_name), lists(doc[first].astype(np.int32), n_docs, pa.int32()), lists(f, n_docs, pa.float64()), lists(counts.astype(np.int32), n_docs, pa.int32()), lists(place, n_places, pa.int64()), pa.array(most), pa.array(least), none(n, pa.list_(keys.type)), none(n, longs)], names,
+        [pa.array(np.full(n, block)), said.dictionary.take(by_name), packed(doc[first].astype(np.int32), n_docs), packed(f, n_docs), packed(counts.astype(np.int32), n_docs), packed(place, n_places), pa.array(most), pa.array(least), none(n, pa.list_(keys.type)), none(n, longs)], names,
     )
 
 
@@ -142,7 +149,7 @@ def write(rows: DataFrame, key: str, fields: list[str], stem: bool, path: str, w
             yield from full()
 
     kind = dict(told.dtypes)["key"]
-    schema = f"block long, term string, docs array<int>, f array<double>, counts array<int>, places array<long>, most double, least long, keys array<{kind}>, sizes array<long>"
+    schema = f"block long, term string, docs binary, f binary, counts binary, places binary, most double, least long, keys array<{kind}>, sizes array<long>"
     blocks = scratch_table(told.repartitionByRange("size", "key").sortWithinPartitions("size", "key").mapInArrow(run, schema), "blocks")
     spark = rows.sparkSession
     blocks.where("term is null").select("block", "keys", "sizes").write.parquet(f"{path}/docs")
@@ -159,13 +166,29 @@ def bucket_of(term: Column) -> Column:
 # --------------------------------------------------------------------------- reading
 
 
+def _numbers(col: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a packed column, and where each row begins."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64) // np.dtype(kind).itemsize
+    parts = [_bytes(c) for c in col.chunks]
+    return np.frombuffer(b"".join(parts) if len(parts) != 1 else parts[0], kind), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _bytes(col: pa.Array) -> memoryview | bytes:
+    _, offsets, data = col.buffers()
+    if data is None or not len(col):
+        return b""
+    wide = pa.types.is_large_binary(col.type)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1]
+    return memoryview(data)[int(at[0]) : int(at[-1])]
+
+
 class Held:
     """What a block has of the terms that a batch of queries selects."""
 
     def __init__(self, terms: pa.Table, dead: list[int] | None, n_docs: int, weights: list[float]):
         terms = terms.sort_by("term") if terms.num_rows else terms
         self.terms = terms.column("term").to_pylist()
-        self.rows = {c: terms.column(c).combine_chunks() for c in ("docs", "f", "counts", "places")}
+        self.rows = {c: _numbers(terms.column(c), kind) for c, kind in STORED_AS.items()}
         self.weights, self.n_docs = np.array(weights), n_docs
         self.live = np.ones(n_docs, bool)
         self.live[dead or []] = False
@@ -179,7 +202,8 @@ class Held:
         return range(low, high)
 
     def _of(self, column: str, i: int) -> np.ndarray:
-        return self.rows[column][i].values.to_numpy(zero_copy_only=False)
+        x, at = self.rows[column]
+        return x[at[i] : at[i + 1]]
 
     def find(self, terms: list[str], prefix: bool) -> tuple[np.ndarray, np.ndarray, float, int]:
         """Documents of a phrase, its weight in each, and the bounds of both (an upper one of the weight,
@@ -229,7 +253,7 @@ class Stored:
                 d = d.join(lost, "block", "left")
                 dead = F.coalesce("dead", dead)
             docs.append(d.select("block", "keys", "sizes", dead.alias("dead")))
-            schema = "block long, term string, docs array<int>, f array<double>, counts array<int>, places array<long>, most double, least long, bucket int"
+            schema = "block long, term string, docs binary, f binary, counts binary, places binary, most double, least long, bucket int"
             terms.append(spark.read.schema(schema).parquet(f"{path}/postings").withColumn("block", here))
         words = spark.read.schema("term string").parquet(*(f"{path}/terms" for path, _ in segments))
         return cls(reduce(DataFrame.unionByName, docs), reduce(DataFrame.unionByName, terms), words, stem, name, weights or list(WEIGHTS.values()))
@@ -256,7 +280,7 @@ class Stored:
         small = terms.count() <= SMALL
         rows = self.postings.where(F.col("bucket").isin(buckets)).drop("bucket")
         if all(len(t) == 1 for t, _ in phrases):  # places are read for phrases of several words alone
-            rows = rows.withColumns({"counts": F.lit(None).cast("array<int>"), "places": F.lit(None).cast("array<bigint>")})
+            rows = rows.withColumns({"counts": F.lit(None).cast("binary"), "places": F.lit(None).cast("binary")})
         return rows.join(F.broadcast(terms) if small else terms, "term", "left_semi")
 
     def _batches(self, phrases: DataFrame) -> Iterator[tuple[list[tuple[tuple, bool]], dict]]:
@@ -289,7 +313,7 @@ class Stored:
             return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["pid", "block", "n", "most", "least"])
 
         docs = self.docs.select("block", "dead", F.size("keys").alias("n"))
-        stats = matched.groupBy("block").cogroup(docs.groupBy("block")).applyInArrow(count, "pid int, block long, n long, most double, least long")
+        stats = _by_block(matched, docs).applyInArrow(count, "pid int, block long, n long, most double, least long")
         return matched, scratch_table(stats, "stats")
 
     def phrase_hits(self, phrases: DataFrame) -> DataFrame:
@@ -309,7 +333,7 @@ class Stored:
                 pids = np.repeat([p for p, _, _ in got], [len(d) for _, d, _ in got]) if got else np.zeros(0)
                 return pa.table([pa.array(pids.astype(np.int32)), keys.take(pa.array(where)), pa.array(np.concatenate([f for _, _, f in got]) if got else np.zeros(0))], ["pid", key, "f"])
 
-            hits = matched.groupBy("block").cogroup(self.docs.groupBy("block")).applyInArrow(found, f"pid int, `{key}` {kind}, f double")
+            hits = _by_block(matched, self.docs).applyInArrow(found, f"pid int, `{key}` {kind}, f double")
             each = self._frame([(q, i, p) for q, x in asked.items() for i, p in x], phrases, "i int, pid int")
             out.append(hits.join(F.broadcast(each), "pid").select("qid", "i", self.name, "f"))
         return reduce(DataFrame.unionByName, out)
@@ -362,7 +386,7 @@ class Stored:
             def scored(pairs: DataFrame, matched=matched, score=score) -> DataFrame:
                 held = self.docs.join(pairs.groupBy("block").agg(F.collect_list("qid").alias("asked")), "block")
                 rows = matched.join(pairs.select("block").distinct(), "block", "left_semi")
-                return rows.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(score, f"qid {dict(phrases.dtypes)['qid']}, `{key}` {kind}, score double")
+                return _by_block(rows, held).applyInArrow(score, f"qid {dict(phrases.dtypes)['qid']}, `{key}` {kind}, score double")
 
             rest = None if limit is None else bounds.where(F.col("rank") > FIRST)
             if rest is None or rest.isEmpty():
@@ -380,6 +404,12 @@ class Stored:
         return ranked if limit is None else ranked.where(F.col("place") <= limit)
 
 
+def _by_block(rows: DataFrame, docs: DataFrame):
+    """Both by block, over as many tasks as a shuffle has: what a batch selects is small, its work isn't."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "block").groupBy("block").cogroup(docs.repartition(n, "block").groupBy("block"))
+
+
 def indexed(rows: DataFrame, key: str, fields: list[str], stem: bool = False, path: str | None = None) -> Stored:
     """Rows indexed in a folder (a scratch one by default)."""
     from .lexical import WEIGHTS
