@@ -1,19 +1,10 @@
-"""Streams with state of their own: typing with flushes, the refresh clock, entries that expire, one
-run at a time."""
+"""Typing with flushes, cached answers that expire and back-off as plans over tables; ``timers`` has the
+streams of the same rules."""
 
 from __future__ import annotations
 
-import threading
-from collections.abc import Callable, Iterator
-from dataclasses import replace
-from datetime import datetime
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from .usage import RefreshState, refresh_due
 
 WAIT_MS, EXTENSIONS = 500, 20
 NEGATIVE_SECONDS, BACK_OFF_SECONDS = 300, 300
@@ -37,96 +28,6 @@ def typed_bursts(keys: DataFrame, wait_ms: int = WAIT_MS, extensions: int = EXTE
     return last.select("session_id", F.col("k.query").alias("query"), due.alias("due"), "n_keys", F.col("k.flush").alias("flushed"))
 
 
-def typed_stream(keys: DataFrame, wait_ms: int = WAIT_MS) -> DataFrame:
-    """(session_id, query, due, n_keys, flushed): :func:`typed_bursts` of a stream (session_id, at, query,
-    flush), with a timer in place of the next key."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        at, query, n = state.get if state.exists else (0, None, 0)
-        if state.hasTimedOut:
-            out.append((key[0], query, at + wait_ms, n, False))
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-            for row in rows.itertuples():
-                now = int(row.at.timestamp() * 1000)
-                if n and now >= at + wait_ms:
-                    out.append((key[0], query, at + wait_ms, n, False))
-                    n = 0
-                at, query, n = now, row.query, n + 1
-                if row.flush or wait_ms == 0:
-                    out.append((key[0], query, at, n, bool(row.flush)))
-                    n = 0
-            if n:
-                state.update((at, query, n))
-                state.setTimeoutDuration(max(1, wait_ms))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=["session_id", "query", "due", "n_keys", "flushed"])
-
-    got = keys.groupBy("session_id").applyInPandasWithState(step, "session_id string, query string, due long, n_keys long, flushed boolean", "at long, query string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-    return got.withColumn("due", F.timestamp_millis("due"))
-
-
-class RefreshClock:
-    """The scheduler's ticks: when to start, and what it remembers between them."""
-
-    def __init__(self, started: datetime, **known):
-        self.state = RefreshState(now=started, started=started, **known)
-
-    def changed(self, at: datetime) -> None:
-        self.state = replace(self.state, last_change=at)
-
-    def ended(self, at: datetime, count: int | None = None) -> None:
-        self.state = replace(self.state, running=False, last_end=at, last_change=None if self.state.last_change and self.state.last_change <= at else self.state.last_change, count=self.state.count if count is None else count)
-
-    def tick(self, now: datetime) -> bool:
-        """Whether a refresh starts now; it then counts as running until :meth:`ended`."""
-        self.state = replace(self.state, now=now)
-        if due := refresh_due(self.state):
-            self.state = replace(self.state, running=True)
-        return due
-
-
-class SingleFlight:
-    """One run at a time: who asks while one is in flight waits for it and shares its outcome."""
-
-    def __init__(self):
-        self._lock, self._done, self._result = threading.Lock(), None, None
-        self.status = "idle"
-
-    def run(self, work: Callable[[], object]):
-        with self._lock:
-            own = self._done is None
-            if own:
-                self._done, self.status = threading.Event(), "running"
-            done = self._done
-        if not own:
-            done.wait()
-            kind, value = self._result
-            if kind == "failed":
-                raise value
-            return value
-        try:
-            self._result = ("completed", work())
-        except InterruptedError as e:
-            self._result = ("failed", e)
-            self.status = "cancelled"
-            raise
-        except Exception as e:  # the waiting ones get it too
-            self._result = ("failed", e)
-            self.status = "failed"
-            raise
-        else:
-            self.status = "completed"
-            return self._result[1]
-        finally:
-            with self._lock:
-                self._done = None
-            done.set()
-
-
 def live_entries(cache: DataFrame, as_of: Column, negative: int = NEGATIVE_SECONDS) -> DataFrame:
     """The entries of a cache (uri, at, body) that still hold: answers always, failures (no body) for
     ``negative`` seconds; of each address the last."""

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import threading
-import time
 from datetime import datetime, timedelta
 
-import pytest
-
 from sparkseek.streaming import state
 
 T0 = datetime(2024, 1, 1, 9)
@@ -25,54 +21,3 @@ def test_bursts(spark):
     got = {(r["session_id"], r["query"]): (int((r["due"] - T0).total_seconds() * 1000), r["n_keys"], r["flushed"]) for r in state.typed_bursts(spark.createDataFrame(keys, KEYS)).collect()}
     assert got == {("a", "tas"): (1200, 3, False), ("a", "task"): (2000, 1, False), ("b", "x"): (500, 1, False), ("c", "gone"): (100, 2, True), ("c", "h"): (700, 1, False), ("d", "held"): (1200, 1, False), ("e", "held"): (10_500, 1, False)}
     assert state.typed_bursts(spark.createDataFrame(keys, KEYS), 0).count() == len(keys)
-
-
-def test_bursts_of_a_stream(spark, tmp_path):
-    rows = [("a", at(0), "t", False), ("a", at(300), "ta", False), ("a", at(2000), "b", False), ("c", at(0), "go", False), ("c", at(100), "gone", True)]
-    spark.createDataFrame(rows, "session_id string, at timestamp, query string, flush boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("session_id string, at timestamp, query string, flush boolean").parquet(f"{tmp_path}/in")
-    run = state.typed_stream(stream).writeStream.format("memory").queryName("typed").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
-    try:
-        for _ in range(60):
-            got = {(r["session_id"], r["query"], r["n_keys"], r["flushed"]) for r in spark.table("typed").collect()}
-            if len(got) == 3:
-                break
-            time.sleep(1)
-    finally:
-        run.stop()
-    assert got == {("a", "ta", 2, False), ("a", "b", 1, False), ("c", "gone", 2, True)}
-
-
-def test_refresh_clock():
-    clock = state.RefreshClock(T0, interval_minutes=30)
-    assert not clock.tick(T0 + timedelta(minutes=1)) and clock.tick(T0 + timedelta(minutes=2)) and not clock.tick(T0 + timedelta(minutes=3))
-    clock.ended(T0 + timedelta(minutes=5))
-    assert not clock.tick(T0 + timedelta(minutes=34)) and clock.tick(T0 + timedelta(minutes=35))
-    clock.ended(T0 + timedelta(minutes=36))
-    clock.changed(T0 + timedelta(minutes=37))
-    assert not clock.tick(T0 + timedelta(minutes=37, seconds=30)) and clock.tick(T0 + timedelta(minutes=37, seconds=45))
-
-
-def test_single_flight():
-    flight, ran, out = state.SingleFlight(), [], []
-    gate = threading.Event()
-
-    def work():
-        ran.append(1)
-        gate.wait(5)
-        return 7
-
-    threads = [threading.Thread(target=lambda: out.append(flight.run(work))) for _ in range(4)]
-    for t in threads:
-        t.start()
-    while not ran:
-        time.sleep(0.01)
-    time.sleep(0.2)
-    assert flight.status == "running"
-    gate.set()
-    for t in threads:
-        t.join()
-    assert out == [7] * 4 and len(ran) == 1 and flight.status == "completed"
-    with pytest.raises(ZeroDivisionError):
-        flight.run(lambda: 1 / 0)
-    assert flight.status == "failed" and flight.run(lambda: 1) == 1
