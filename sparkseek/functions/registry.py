@@ -1,49 +1,26 @@
-"""Extension points, and the functions that SQL can call."""
+"""The functions that SQL can call: scalars, a table function for manifests, and an aggregate."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import pandas_udf
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import arrow_udf, pandas_udf, udtf
 
 from ..operators.embed import BATCH, Embedder
+from ..sources.manifests import ManifestFields
 from . import porter
 from .names import initials_prefix
 from .text import _decoded
 
 
-class Collector(Protocol):
-    """A source of entities: rows of :data:`sparkseek.schema.ENTITIES`."""
-
-    source: str
-
-    def collect(self, spark: SparkSession) -> DataFrame: ...
-
-
-class Enricher(Protocol):
-    """A source of text: entities -> (entity_id, text)."""
-
-    name: str
-    online: bool
-
-    def enrich(self, entities: DataFrame) -> DataFrame: ...
-
-
-class Synthesizer(Protocol):
-    """Profiles of entities from their documents: rows of :data:`sparkseek.schema.PROFILES`."""
-
-    generator: str
-
-    def synthesize(self, entities: DataFrame, documents: DataFrame) -> DataFrame: ...
-
-
-def register(spark: SparkSession, embedder: Embedder | None = None) -> list[str]:
-    """Registers for SQL: stem_terms(text), decode_references(text), initials_prefix(query, name) and, with an
-    embedder, embed_text(text), which loads its model once a worker."""
+def register(spark: SparkSession, embedder: Embedder | None = None, tolerance: float = 0.05) -> list[str]:
+    """Registers for SQL: stem_terms(text), decode_references(text), initials_prefix(query, name); the table function
+    manifest_fields(text) (path, value, position); the aggregate tier_starts(score), the best score of each tier of a
+    query's candidates; and, with an embedder, embed_text(text), which loads its model once a worker."""
 
     @pandas_udf("array<string>")
     def stem_terms(texts: pd.Series) -> pd.Series:
@@ -57,7 +34,15 @@ def register(spark: SparkSession, embedder: Embedder | None = None) -> list[str]
     def initials(queries: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([initials_prefix((q or "").lower(), (n or "").lower().split()) for q, n in zip(queries, names, strict=True)])
 
-    made = {"stem_terms": stem_terms, "decode_references": decode_references, "initials_prefix": initials}
+    @arrow_udf("array<double>")
+    def tier_starts(scores: pa.Array) -> list[float]:
+        out: list[float] = []
+        for score in sorted((x for x in scores.to_pylist() if x is not None), reverse=True):
+            if not out or score < out[-1] * (1 - tolerance):
+                out.append(score)
+        return out
+
+    made = {"stem_terms": stem_terms, "decode_references": decode_references, "initials_prefix": initials, "tier_starts": tier_starts}
     if embedder is not None:
 
         @pandas_udf("array<float>")
@@ -69,4 +54,5 @@ def register(spark: SparkSession, embedder: Embedder | None = None) -> list[str]
         made["embed_text"] = embed_text
     for name, f in made.items():
         spark.udf.register(name, f)
-    return list(made)
+    spark.udtf.register("manifest_fields", udtf(ManifestFields, returnType="path string, value string, position int", useArrow=True))
+    return [*made, "manifest_fields"]

@@ -62,9 +62,10 @@ def greedy_groups(rows: DataFrame, order: list[str], keys: str = "keys") -> Data
     row of the first of its keys (as listed) that begins before it.  Those pointers form a forest, whose
     roots are the survivors; they are found by doubling, among the rows that are pointed at alone.  No group
     of rows meets in a task.  Rows of equal order go by id."""
-    each = rows.select("id", F.struct(*order, "id").alias("o"), F.posexplode(keys).alias("i", "k"))
+    place = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col("id").alias("who"))
+    each = rows.select("id", place.alias("o"), F.posexplode(keys).alias("i", "k"))
     first = each.groupBy("k").agg(F.min("o").alias("first"))
-    earlier = each.join(first, "k").where("first < o").groupBy("id").agg(F.min_by(F.col("first.id"), "i").alias("up"))
+    earlier = each.join(first, "k").where("first < o").groupBy("id").agg(F.min_by(F.col("first.who"), "i").alias("up"))
     point = scratch_table(earlier, "pointers")
     heads = point.select(F.col("up").alias("node")).distinct().join(point.withColumnRenamed("id", "node"), "node", "left")
     jump = scratch_table(heads.select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNull().alias("done")), "heads")

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, synthesis, text
+from ..functions import names, registry, synthesis, text
 from ..operators import browse, build, embed, fusion, lexical, vector
 from ..operators.postings import indexed
 from ..schema import DOCUMENTS, PROFILES, RankingOptions
-from ..sources import catalogues, collectors
+from ..sources import catalogues, collectors, enrichers, manifests
 from ..sources.scratch import scratch_path, scratch_table
 from ..sources.store import IndexStore
-from ..streaming import state, usage as streams
+from ..streaming import state, timers, usage as streams
 from . import search, views
 from .views import AS_OF, ENTITIES_SQL, USAGE_SQL, table
 
@@ -914,3 +914,88 @@ def live_entries(spark, sf):
  SELECT user_id AS host, n AS failures, least(pow(2, n - 1), 300)::BIGINT AS seconds FROM b""")
 def host_back_off(spark, sf):
     return state.back_off(table(spark, sf, "events").select(F.col("user_id").alias("host"), F.col("ts").alias("at"), (F.col("event_type") != "view").alias("ok")))
+
+
+@query("""WITH n AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) - 1 AS i FROM events)
+ SELECT user_id AS host, event_id AS id, (i * 60000 + max(ms - i * 60000) OVER (PARTITION BY user_id ORDER BY i))::BIGINT AS due FROM n""")
+def paced_requests(spark, sf):
+    asked = table(spark, sf, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    return state.paced(asked, 60_000).select("host", "id", F.unix_millis("due").alias("due"))
+
+
+def _events(spark, sf, kind, value):
+    e = table(spark, sf, "events")
+    return e.select("user_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").cast("string").alias("text"), value.alias("value"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS ms, event_type IN ('view', 'click') AS asks FROM events),
+ g AS (SELECT *, count(*) FILTER (NOT asks) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM e),
+ a AS (SELECT *, min(ms) OVER (PARTITION BY user_id, run) AS began FROM g WHERE asks)
+ SELECT a.user_id, a.event_id::VARCHAR AS who, a.began::BIGINT AS began, x.event_id::VARCHAR AS outcome, x.ms::BIGINT AS at FROM a JOIN g x ON x.user_id = a.user_id AND x.run = a.run AND NOT x.asks""")
+def shared_runs(spark, sf):
+    """Views and clicks ask for a run, other events end the one in flight."""
+    events = _events(spark, sf, F.when(F.col("event_type").isin("view", "click"), "ask").otherwise("ended"), F.lit(0))
+    return timers.over_table(timers.SharedRuns(), events, "user_id").select("user_id", "who", "began", "outcome", F.unix_millis("at").alias("at"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS ms, event_id % 2 = 1 AS held FROM events),
+ d AS (SELECT *, ms + 900000 * CASE WHEN held THEN 21 ELSE 1 END AS due, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS next FROM e),
+ r AS (SELECT *, coalesce(next, (SELECT max(ms) FROM e)) >= due AS runs FROM d),
+ g AS (SELECT *, coalesce(sum(runs::INT) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM r),
+ n AS (SELECT *, count(*) OVER (PARTITION BY user_id, b) AS n_keys FROM g)
+ SELECT user_id, event_id::VARCHAR AS query, n_keys::BIGINT AS n_keys, CASE WHEN held THEN 20 ELSE 0 END::BIGINT AS held, due::BIGINT AS due FROM n WHERE runs""")
+def held_typing(spark, sf):
+    """Every event a key; every second one is never let go."""
+    events = _events(spark, sf, F.lit("key"), F.col("event_id") % 2)
+    return timers.over_table(timers.Typing(900_000), events, "user_id").select("user_id", "query", "n_keys", "held", F.unix_millis("at").alias("due"))
+
+
+# --------------------------------------------------------------------------- functions of SQL
+
+
+def _manifests(spark, sf):
+    said = F.concat(
+        F.lit("# made\nPackageName: \""), F.col("p_name"), F.lit("\"\nPublisher: "), F.col("p_brand"), F.lit("\nTags:\n- "), F.lower("p_type"), F.lit(" # type\n- size "), F.col("p_size").cast("string"),
+        F.lit("\nInstallers:\n  - Architecture: x64\n    InstallerUrl: https://example.com/"), F.col("p_partkey").cast("string"), F.lit("#a\n  - Architecture: arm64\n    Switches:\n      Silent: /S"), F.col("p_size").cast("string"), F.lit("\nDescription: |-\n  "), F.col("p_type"), F.lit("\n    more\n"),
+    )
+    return table(spark, sf, "part").select("p_partkey", said.alias("text"))
+
+
+@query("""SELECT p_partkey, f.path AS path, f.value AS value, f.position AS position FROM (SELECT p_partkey, unnest([{'path': 'PackageName', 'value': p_name, 'position': 0}, {'path': 'Publisher', 'value': p_brand, 'position': 1}, {'path': 'Tags[0]', 'value': lower(p_type), 'position': 2},
+ {'path': 'Tags[1]', 'value': 'size ' || p_size, 'position': 3}, {'path': 'Installers[0].Architecture', 'value': 'x64', 'position': 4}, {'path': 'Installers[0].InstallerUrl', 'value': 'https://example.com/' || p_partkey || '#a', 'position': 5},
+ {'path': 'Installers[1].Architecture', 'value': 'arm64', 'position': 6}, {'path': 'Installers[1].Switches.Silent', 'value': '/S' || p_size, 'position': 7}, {'path': 'Description', 'value': p_type || chr(10) || '  more', 'position': 8}]) AS f FROM part)""")
+def manifest_fields(spark, sf):
+    """A table function of SQL over a manifest for each part."""
+    registry.register(spark)
+    return spark.sql("SELECT p_partkey, path, value, position FROM {m}, LATERAL manifest_fields(text)", m=_manifests(spark, sf))
+
+
+@query("SELECT p_partkey, p_name AS name, p_brand AS publisher, p_type || ' more Tags: ' || lower(p_type) || ', size ' || p_size || '.' AS text, 'https://example.com/' || p_partkey || '#a' AS url FROM part")
+def manifest_packages(spark, sf):
+    """What the package lookup reads of the manifests, and their first installer."""
+    found = manifests.fields(_manifests(spark, sf))
+    first = manifests.installers(found, "p_partkey").where("n = 0").select("p_partkey", "url")
+    return manifests.packages(found, "p_partkey").join(first, "p_partkey").select("p_partkey", "name", "publisher", "text", "url")
+
+
+@query(f"""WITH {_DOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS place FROM dots), s AS (SELECT qid, list_reduce(list([score::DOUBLE] ORDER BY score DESC), lambda a, x: CASE WHEN x[1] < a[len(a)] * 0.95 THEN list_concat(a, x) ELSE a END) AS tiers FROM r WHERE place <= 100 GROUP BY qid)
+ SELECT qid, len(tiers)::BIGINT AS tiers, round(tiers[len(tiers)], 6) AS last FROM s""")
+def tier_starts(spark, sf):
+    """An aggregate of SQL over the hundred best of each query."""
+    registry.register(spark)
+    near = vector.scores(table(spark, sf, "embeddings"), views.vector_queries(spark, sf), "vec_id", "embedding", k=O.candidates_per_arm)
+    return spark.sql("SELECT qid, CAST(size(t) AS BIGINT) AS tiers, round(element_at(t, -1), 6) AS last FROM (SELECT qid, tier_starts(score) AS t FROM {near} GROUP BY qid)", near=near)
+
+
+@query(r"""WITH u AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS bare FROM pages), d AS (SELECT *, regexp_extract(bare, '^(.*/)[^/]*$', 1) AS dir FROM u),
+ n AS (SELECT p_partkey AS id, dir, page_id - p_partkey AS position FROM part JOIN d ON page_id IN (p_partkey, p_partkey + 1, p_partkey + 2) WHERE len(list_filter(string_split(dir, '/'), lambda x: x <> '')) >= 3),
+ f AS (SELECT id, dir, row_number() OVER (PARTITION BY id ORDER BY min(position), dir) AS k FROM n GROUP BY id, dir),
+ s AS (SELECT p_partkey AS id, list_slice(list_distinct_kept, 1, 3) AS slugs FROM (SELECT p_partkey, CASE WHEN h = q THEN [h] ELSE [h, q] END AS list_distinct_kept FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS h, regexp_replace(lower(p_name), '[^\p{L}\p{Nd}]', '', 'g') AS q FROM part))),
+ t AS (SELECT f.id, dir || unnest(slugs) AS url, (k - 1) * 3 + unnest(range(len(slugs))) AS position FROM f JOIN s USING (id) WHERE k <= 2)
+ SELECT id AS entity_id, url, position::INT AS position FROM t WHERE url NOT IN (SELECT url FROM pages)""")
+def sibling_probe(spark, sf):
+    """Addresses to try for each part in the directories of three pages near it."""
+    p, part = table(spark, sf, "pages"), table(spark, sf, "part")
+    shift = part.select(F.col("p_partkey").alias("entity_id"), F.posexplode(F.array(*(F.col("p_partkey") + i for i in range(3)))).alias("position", "page_id"))
+    near = shift.join(p.select("page_id", "url"), "page_id").select("entity_id", "url", "position")
+    return enrichers.sibling_candidates(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("display_name")), near, p, parts=3)

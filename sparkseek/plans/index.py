@@ -21,12 +21,13 @@ from ..sources.store import IndexStore
 @dataclass
 class BuildOptions:
     """force: work on all that is there.  refresh: providers to run again.  sources: collectors to
-    rescan; the others' entities stay as they are."""
+    rescan; the others' entities stay as they are.  wave: entities that are published together, about."""
 
     force: bool = False
     refresh: list[str] = field(default_factory=list)
     sources: list[str] | None = None
     online: bool = False
+    wave: int = 100_000
 
 
 @dataclass(frozen=True)
@@ -94,12 +95,14 @@ def folded(entities: DataFrame) -> DataFrame:
     return rehashed(changed).select(*entities.columns)
 
 
-def run_build(store: IndexStore, discovered: DataFrame, providers: list[Provider], embedder: Embedder, options: BuildOptions | None = None, packages: DataFrame | None = None) -> dict:
+def run_build(store: IndexStore, discovered: DataFrame, providers: list[Provider], embedder: Embedder, options: BuildOptions | None = None, packages: DataFrame | None = None, after_wave: Callable[[int, int], None] | None = None) -> dict:
     """Builds the index and returns its counters, durations and first failure.
 
     discovered: entities with rank.  New entities are published first with what their name tells, no
     hash and no vector, so a search finds them at once and an interrupted build works on them again.
-    Documents of providers that don't run are carried over.  An entity whose text is unchanged keeps
+    The rest goes in waves by a hash of the id, each published by itself: a build that is
+    interrupted keeps the waves that are done, and the next one works on what has no hash yet.  after_wave: called with the
+    number of waves done and of all.  Documents of providers that don't run are carried over.  An entity whose text is unchanged keeps
     its vector; one whose text can't be embedded is kept without hash and vector and counted."""
     o, began = options or BuildOptions(), time.monotonic()
     named = {p.name for p in providers}
@@ -128,10 +131,28 @@ def run_build(store: IndexStore, discovered: DataFrame, providers: list[Provider
     if not seeds.isEmpty():
         blank = F.lit(None).cast("string")
         store.upsert(seeds.withColumn("content_hash", blank), no_text, _profiles(seeds, no_text))
-    # which providers run for which entity, and what is carried over
     usable = [p for p in providers if o.online or not p.online]
-    plan_p = build.provider_plan(work.select("id"), old_documents, [p.name for p in usable], o.refresh, reuse_all=False)
-    plan_p = scratch_table(plan_p, "providers")
+    waves = max(1, -(-todo.count() // o.wave))
+    failed, first, embedded = 0, None, 0
+    for n in range(waves):
+        part = work if waves == 1 else scratch_table(work.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == n), "wave")
+        done, bad, said = _wave(store, part, stored, old_documents, old_profiles, usable, embedder, o)
+        failed, embedded, first = failed + bad, embedded + done, first or said
+        if after_wave is not None:
+            after_wave(n + 1, waves)
+    gone = plan.where("state = 'stale'").select("id")
+    if not gone.isEmpty():
+        store.remove(gone)
+    counts = build.index_result(plan, failed).first().asDict()
+    return counts | {"first_failure": first, "discover_seconds": discovered_in, "build_seconds": time.monotonic() - began - discovered_in, "seconds": time.monotonic() - began, "embedded": embedded, "waves": waves}
+
+
+def _wave(store: IndexStore, work: DataFrame, stored: DataFrame, old_documents: DataFrame, old_profiles: DataFrame, usable: list[Provider], embedder: Embedder, o: BuildOptions) -> tuple[int, int, str | None]:
+    """Enriches, synthesises, embeds and publishes some entities; how many were embedded, how many could not be,
+    and the first reason."""
+    no_text = store.spark.createDataFrame([], DOCUMENTS)
+    # which providers run for which entity, and what is carried over
+    plan_p = scratch_table(build.provider_plan(work.select("id"), old_documents, [p.name for p in usable], o.refresh, reuse_all=False), "providers")
     fresh = no_text
     for p in usable:
         asked = work.join(plan_p.where((F.col("provider") == p.name) & (F.col("action") == "run")).select(F.col("entity_id").alias("id")), "id", "left_semi")
@@ -142,11 +163,10 @@ def run_build(store: IndexStore, discovered: DataFrame, providers: list[Provider
         carried = carried.where(~F.col("provider").isin(o.refresh))
     documents = scratch_table(build.merge_documents(carried, fresh).select(*DOCUMENTS.names), "documents")
     profiles = scratch_table(_profiles(work, documents), "profiles")
-    enriched_in = time.monotonic() - began - discovered_in
     # only texts that differ from the stored ones are embedded
     now = _texts(work, profiles)
     before = _texts(stored.where("vector_ordinal is not null"), old_profiles)
-    vectors = scratch_table(store.read("vectors"), "old-vectors")
+    vectors = store.read("vectors")
     due = scratch_table(build.needs_embedding(now, before), "due")
     done = scratch_table(embed(due, "id", "text", embedder), "embedded")
     failed = done.where("embedding is null")
@@ -156,11 +176,7 @@ def run_build(store: IndexStore, discovered: DataFrame, providers: list[Provider
     out = work.join(failed.select("id", F.lit(True).alias("bad")), "id", "left").withColumn("content_hash", F.when(F.col("bad").isNull(), F.col("content_hash"))).drop("bad").withColumn("indexed_at", F.current_timestamp())
     if not work.isEmpty():
         store.upsert(out, documents, profiles, good.unionByName(reused))
-    gone = plan.where("state = 'stale'").select("id")
-    if not gone.isEmpty():
-        store.remove(gone)
-    counts = build.index_result(plan, n_failed).first().asDict()
-    return counts | {"first_failure": first[0] if first else None, "discover_seconds": discovered_in, "enrich_seconds": enriched_in, "seconds": time.monotonic() - began, "embedded": done.count() - n_failed}
+    return done.count() - n_failed, n_failed, first[0] if first else None
 
 
 def _profiles(entities: DataFrame, documents: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import is_listing, meta_description, plain_text, squash_name, strip_markdown, word_set
+from ..functions.text import is_listing, meta_description, normalize_name, page_title, plain_text, squash_name, strip_markdown, word_set
 from ..operators.build import first_wins
 from ..schema import DOCUMENTS
 
@@ -126,6 +126,57 @@ def articles(candidates: DataFrame) -> DataFrame:
     return documents(kept.select("entity_id", "text", F.col("url").alias("source_uri")), "learn", True)
 
 
+#: Parts of the address of a directory (scheme, host, folders) at least; directories and names tried for an entity.
+DIRECTORY_PARTS, DIRECTORIES, SLUGS = 4, 2, 3
+
+
+def directory_of(url: Column) -> Column:
+    """The address up to and with the last slash of its path, without query and fragment."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"/+$", "")
+    return F.regexp_extract(bare, r"^(.*/)[^/]*$", 1)
+
+
+def url_templates(pages: DataFrame, support: int = 2, parts: int = DIRECTORY_PARTS) -> DataFrame:
+    """(directory, pages): directories in which ``support`` pages or more (url) differ by their last part
+    alone, so another article may stand there under its own name."""
+    last = F.regexp_extract(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"/+$", ""), r"([^/]*)$", 1)
+    rows = pages.select(directory_of(F.col("url")).alias("directory"), last.alias("last")).where(F.size(F.filter(F.split("directory", "/"), lambda x: x != "")) >= parts).distinct()
+    return rows.groupBy("directory").agg(F.count("*").alias("pages")).where(F.col("pages") >= support)
+
+
+def slugs(name: Column, *tokens: Column) -> Column:
+    """Names under which an article may stand: the words with hyphens, all in one, and other tokens; of four
+    letters or more."""
+    hyphens = F.lower(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9]+", "-"), r"^-+|-+$", ""))
+    every = F.array(hyphens, squash_name(name), *(squash_name(t) for t in tokens))
+    return F.slice(F.array_distinct(F.filter(every, lambda s: F.length(s) >= 4)), 1, SLUGS)
+
+
+def sibling_candidates(entities: DataFrame, neighbours: DataFrame, known: DataFrame, support: int = 1, parts: int = DIRECTORY_PARTS) -> DataFrame:
+    """(entity_id, url, position): addresses to try for entities (id, display_name) that no search resolved: the names
+    of an entity in the directories of pages that a search found near it (entity_id, url, position), less
+    what is known already (url).
+
+    A directory counts if ``support`` of all neighbours' pages stand in it; of each entity the first
+    ``DIRECTORIES`` by position are tried, so an entity has six addresses at most."""
+    rows = neighbours.withColumn("directory", directory_of(F.col("url"))).join(url_templates(neighbours, support, parts).select("directory"), "directory", "left_semi")
+    first = rows.groupBy("entity_id", "directory").agg(F.min("position").alias("position"))
+    w = Window.partitionBy("entity_id").orderBy("position", "directory")
+    near = first.withColumn("d", F.row_number().over(w)).where(F.col("d") <= DIRECTORIES)
+    named = entities.select(F.col("id").alias("entity_id"), F.posexplode(slugs(F.col("display_name"))).alias("s", "slug"))
+    tried = near.join(named, "entity_id").select("entity_id", F.concat("directory", "slug").alias("url"), ((F.col("d") - 1) * SLUGS + F.col("s")).cast("int").alias("position"))
+    return tried.join(known.select("url").distinct(), "url", "left_anti").select("entity_id", "url", "position")
+
+
+def probed_articles(entities: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(entity_id, url, how, html) of the first probed page (entity_id, url, position, html) whose title names its
+    entity: a site may answer any address with some page."""
+    title = page_title(F.col("html"))
+    words = lambda c: F.concat(F.lit(" "), normalize_name(c), F.lit(" "))
+    rows = fetched.join(entities.select(F.col("id").alias("entity_id"), "display_name"), "entity_id").where(words(title).contains(words(F.col("display_name"))))
+    return first_wins(rows.select("entity_id", "url", "position", "html"), ["entity_id"], ["position", "url"]).select("entity_id", "url", F.lit("slug").alias("how"), "html")
+
+
 TOC_ENTRY = "array<struct<title:string,url:string,position:int>>"
 # Openings of titles that are left off in a second reading.
 TITLE_OPENINGS = r"(?i)^(using|use|about|what is|what's|overview of|overview|introduction to|intro to|working with|get started with|getting started with|the)\s+"

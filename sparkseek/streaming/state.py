@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_table
+
 WAIT_MS, EXTENSIONS = 500, 20
 NEGATIVE_SECONDS, BACK_OFF_SECONDS = 300, 300
 
@@ -42,3 +44,22 @@ def back_off(answers: DataFrame, most: int = BACK_OFF_SECONDS) -> DataFrame:
     good = answers.where("ok").groupBy("host").agg(F.max("at").alias("since"))
     bad = answers.where("not ok").join(good, "host", "left").where(F.col("since").isNull() | (F.col("at") > F.col("since")))
     return bad.groupBy("host").agg(F.count("*").alias("failures")).select("host", "failures", F.least(F.pow(F.lit(2.0), F.least(F.col("failures") - 1, F.lit(30))), F.lit(float(most))).cast("long").alias("seconds"))
+
+
+def paced(requests: DataFrame, gap_ms: int) -> DataFrame:
+    """(host, id, at, due): when each request (host, id, at) is sent: in order, not before it is made and ``gap_ms``
+    after the one before it of its host.
+
+    The i-th of a host is due at the largest of at_j + (i - j) gaps over all j up to i, so this is a running maximum of
+    at_j - j gaps.  It is taken in ranges of (host, at, id) first, whose counts and maxima then run over
+    the ranges: a host of any number of requests is spread over the tasks."""
+    ms = F.unix_millis(F.col("at").cast("timestamp"))
+    ranged = scratch_table(requests.select("host", "id", "at", ms.alias("ms")).repartitionByRange("host", "ms", "id").withColumn("part", F.spark_partition_id()), "ranged")
+    inside = Window.partitionBy("part", "host").orderBy("ms", "id")
+    rows = ranged.withColumn("i", F.row_number().over(inside) - 1).withColumn("lead", F.max(F.col("ms") - F.col("i") * gap_ms).over(inside))
+    parts = ranged.withColumn("i", F.row_number().over(inside) - 1).groupBy("host", "part").agg(F.count("*").alias("n"), F.max(F.col("ms") - F.col("i") * gap_ms).alias("most"))
+    before = Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = parts.withColumn("reached", F.max(F.col("most") - F.col("base") * gap_ms).over(before)).select("host", "part", "base", "reached")
+    due = F.greatest(F.col("lead") - F.col("base") * gap_ms, "reached") + (F.col("base") + F.col("i")) * gap_ms
+    return rows.join(parts, ["host", "part"]).select("host", "id", "at", F.timestamp_millis(due).alias("due"))

@@ -166,6 +166,6 @@ def test_page_descriptions(spark):
 
 
 def test_functions_of_sql(spark):
-    assert registry.register(spark, HashEmbedder(16)) == ["stem_terms", "decode_references", "initials_prefix", "embed_text"]
+    assert registry.register(spark, HashEmbedder(16)) == ["stem_terms", "decode_references", "initials_prefix", "tier_starts", "embed_text", "manifest_fields"]
     row = spark.sql("select stem_terms('Running cafés') as a, decode_references('a &amp; b') as b, initials_prefix('vsco', 'Visual Studio Code') as c, size(embed_text('some words')) as d").first()
     assert row["a"] == ["run", "cafe"] and row["b"] == "a & b" and row["c"] and row["d"] == 16
