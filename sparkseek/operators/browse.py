@@ -144,9 +144,12 @@ def json_map(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def hit(columns: list[str]) -> Column:
+    """A row as JSON without nulls."""
+    return F.to_json(F.struct(*columns))
+
+
 def to_hits(rows: DataFrame, limit: int = 8, most: int = 50) -> DataFrame:
-    """(id, hit): the first rows by place (or id) as JSON without nulls, ``most`` at most; the limit
-    of a service is clamped to 1..50, larger ones are for whole exports."""
-    limit = clamp(limit, 1, most) if limit <= 10_000 else limit
+    """(id, hit): the first rows by place (or id) as JSON; a limit is always clamped to 1..``most``."""
     order = "place" if "place" in rows.columns else "id"
-    return rows.orderBy(order).limit(limit).select("id", F.to_json(F.struct(*rows.columns)).alias("hit"))
+    return rows.orderBy(order).limit(clamp(limit, 1, most)).select("id", hit(rows.columns).alias("hit"))

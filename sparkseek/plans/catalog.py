@@ -198,9 +198,11 @@ def is_prose(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.is_prose(F.col("text")).alias("prose"))
 
 
-@query(rf"SELECT doc_id, len(t) >= 10 AND 100 * {_COMMON} < 6 * len(t) AS listing FROM (SELECT doc_id, {_TOKENS('[ \t]+')} AS t FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents))")
+@query(rf"SELECT doc_id, n, len(t) >= 10 AND 100 * {_COMMON} < 6 * len(t) AS listing FROM (SELECT doc_id, n, {_TOKENS('[ \t]+')} AS t FROM (SELECT doc_id, unnest(range(len(x)))::BIGINT AS n, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)))")
 def is_listing(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.is_listing(F.substring_index("text", "\n", 1)).alias("listing"))
+    """Every line of every document."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.select("doc_id", long("n", "n"), text.is_listing(F.col("line")).alias("listing"))
 
 
 @query("SELECT doc_id, n_chars, CASE WHEN k >= 1024 THEN format('{:.0f}', round_even(k / 1024, 0)) || ' MB' ELSE format('{:.1f}', round_even(k, 1)) || ' KB' END AS size FROM (SELECT doc_id, n_chars, n_chars / 1024.0 AS k FROM documents)")
@@ -511,9 +513,9 @@ def eval_report(spark, sf):
     return search.report(search.evaluate(_named(spark, sf, cases.select("qid", "query", "embedding")), cases))
 
 
-_EVAL_HITS = "hits AS (SELECT s_suppkey % 40 AS qid, p_name AS name, row_number() OVER (PARTITION BY s_suppkey % 40 ORDER BY s_suppkey, p_partkey) AS place FROM supplier JOIN part ON p_partkey % 1000 = s_suppkey % 1000), top AS (SELECT * FROM hits WHERE place <= 10)"
+_EVAL_HITS = "hits AS (SELECT c_custkey AS qid, p_name AS name, row_number() OVER (PARTITION BY c_custkey ORDER BY s_suppkey, p_partkey) AS place FROM customer JOIN supplier ON s_nationkey = c_nationkey JOIN part ON p_partkey = s_suppkey + c_custkey % 50), top AS (SELECT * FROM hits)"
 _EVAL_SQL = f"""WITH {_EVAL_HITS}, w AS (SELECT qid, name, place, list_distinct(list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM top),
- cases AS (SELECT c_custkey AS qid, p_name AS want, list_distinct(string_split(p_name, ' ')) AS a, c_custkey % 5 = 0 AS forbids, c_custkey % 4 = 0 AS requires, c_custkey % 7 = 0 AS nothing, CASE WHEN c_custkey % 6 = 0 THEN 5 END AS most FROM customer JOIN part ON p_partkey = c_custkey WHERE c_custkey < 40),
+ cases AS (SELECT c_custkey AS qid, p_name AS want, list_distinct(string_split(p_name, ' ')) AS a, c_custkey % 5 = 0 AS forbids, c_custkey % 4 = 0 AS requires, c_custkey % 7 = 0 AS nothing, CASE WHEN c_custkey % 6 = 0 THEN 5 END AS most FROM customer JOIN part ON p_partkey = c_custkey),
  j AS (SELECT c.*, name, place, name IS NOT NULL AND (len(list_intersect(w, a)) = len(w) OR len(list_intersect(w, a)) = len(a)) AS hit, lower(name) = lower(want) AS same FROM cases c LEFT JOIN w USING (qid)),
  g AS (SELECT qid, any_value(forbids) AS forbids, any_value(requires) AS requires, any_value(nothing) AS nothing, any_value(most) AS most, min(place) FILTER (hit AND NOT nothing) AS matched_rank, count(name) AS n_hits, count(*) FILTER (hit AND place <= 8) AS near, count(*) FILTER (same) AS banned FROM j GROUP BY qid)
  SELECT qid, (CASE WHEN nothing THEN n_hits = 0 ELSE coalesce(matched_rank <= 3, false) END) AND NOT (requires AND near = 0) AND NOT (forbids AND banned > 0) AND coalesce(n_hits <= most, true) AS passed, matched_rank, n_hits FROM g"""
@@ -523,11 +525,12 @@ _EVAL_SQL = f"""WITH {_EVAL_HITS}, w AS (SELECT qid, name, place, list_distinct(
 def evaluate_cases(spark, sf):
     """The harness over hits made from keys, with cases of all five kinds."""
     part = table(spark, sf, "part")
-    made = table(spark, sf, "supplier").join(part, F.col("p_partkey") % 1000 == F.col("s_suppkey") % 1000)
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("s_suppkey", "p_partkey"))
-    hits = made.withColumn("qid", F.col("s_suppkey") % 40).withColumn("place", place).where("place <= 10").select("qid", F.col("p_name").alias("name"), "place")
+    customer, supplier = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    made = customer.join(supplier, customer.c_nationkey == supplier.s_nationkey).join(part, F.col("p_partkey") == F.col("s_suppkey") + F.col("c_custkey") % 50)
+    place = F.row_number().over(Window.partitionBy("c_custkey").orderBy("s_suppkey", "p_partkey"))
+    hits = made.select(F.col("c_custkey").alias("qid"), F.col("p_name").alias("name"), place.alias("place"))
     none, q = F.array().cast("array<string>"), F.col("qid")
-    cases = table(spark, sf, "customer").where("c_custkey < 40").join(part, F.col("p_partkey") == F.col("c_custkey")).select(
+    cases = customer.join(part, F.col("p_partkey") == F.col("c_custkey")).select(
         F.col("c_custkey").alias("qid"), "p_name",
     ).select(
         "qid", F.when(q % 7 == 0, none).otherwise(F.array("p_name")).alias("acceptable"), F.when(q % 5 == 0, F.array("p_name")).otherwise(none).alias("forbidden"), F.when(q % 4 == 0, F.array("p_name")).otherwise(none).alias("required"),
@@ -538,8 +541,7 @@ def evaluate_cases(spark, sf):
 
 @query()
 def typing_stability(spark, sf):
-    cases = _cases(spark, sf).where("qid % 3 = 0 and qid % 7 <> 0")
-    return search.typing_stability(lambda q: _named(spark, sf, q), cases, 2).select("qid", long("dropped", "dropped"), "passed")
+    return search.typing_stability(lambda q: _named(spark, sf, q), _cases(spark, sf)).select("qid", long("dropped", "dropped"), "passed")
 
 
 # --------------------------------------------------------------------------- browse and store
@@ -705,15 +707,28 @@ def _values(rows, *columns: int) -> str:
     return ", ".join("(" + ", ".join("'" + str(r[c]).replace("'", "''") + "'" for c in columns) + ")" for r in rows)
 
 
-@query(f"SELECT 'mssettings:' || lower(uri) AS id, name AS display_name, uri AS launch_target, d AS description FROM (VALUES {_values(catalogues.SETTINGS_PAGES, 0, 1, 2)}) t(name, uri, d)")
+def _launched(spark, sf, rows, names):
+    """Rows of a catalogue (display_name) with the number of events of the users that its place in it stands for."""
+    at = spark.createDataFrame(list(enumerate(names)), "i long, display_name string")
+    used = table(spark, sf, "events").groupBy((F.col("user_id") % len(names)).alias("i")).agg(F.count("*").alias("launches"))
+    return rows.join(at, "display_name").join(used, "i", "left").withColumn("launches", F.coalesce("launches", F.lit(0)))
+
+
+def _launched_sql(rows, columns: str, *places: int) -> str:
+    return f"(SELECT * FROM (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {_values(rows, *places)}) v({columns})) t LEFT JOIN (SELECT user_id % {len(rows)} AS i, count(*) AS n FROM events GROUP BY ALL) u USING (i))"
+
+
+@query(f"SELECT 'mssettings:' || lower(uri) AS id, name AS display_name, uri AS launch_target, d AS description, coalesce(n, 0)::BIGINT AS launches FROM {_launched_sql(catalogues.SETTINGS_PAGES, 'name, uri, d', 0, 1, 2)}")
 def settings_pages(spark, sf):
-    return collectors.settings_pages(spark).select("id", "display_name", "launch_target", F.col("raw_metadata")["description"].alias("description"))
+    rows = _launched(spark, sf, collectors.settings_pages(spark), [p[0] for p in catalogues.SETTINGS_PAGES])
+    return rows.select("id", "display_name", "launch_target", F.col("raw_metadata")["description"].alias("description"), "launches")
 
 
-@query(f"SELECT 'powertoys:' || lower(name) AS id, name AS display_name, '--open-settings=' || page AS launch_arguments, 'https://learn.microsoft.com/en-us/windows/powertoys/' || article AS article, CASE WHEN merged = 'False' THEN 'Microsoft PowerToys' END AS scope FROM (VALUES {_values(catalogues.SUITE_UTILITIES, 0, 1, 2, 4)}) t(name, page, article, merged)")
+@query(f"SELECT 'powertoys:' || lower(name) AS id, name AS display_name, '--open-settings=' || page AS launch_arguments, 'https://learn.microsoft.com/en-us/windows/powertoys/' || article AS article, CASE WHEN merged = 'False' THEN 'Microsoft PowerToys' END AS scope, coalesce(n, 0)::BIGINT AS launches FROM {_launched_sql(catalogues.SUITE_UTILITIES, 'name, page, article, merged', 0, 1, 2, 4)}")
 def suite_utilities(spark, sf):
     m = F.col("raw_metadata")
-    return collectors.suite_utilities(spark, "C:\\PT\\Run.exe").select("id", "display_name", "launch_arguments", m["learnArticle"].alias("article"), F.try_element_at(m, F.lit("dedupeScope")).alias("scope"))
+    rows = _launched(spark, sf, collectors.suite_utilities(spark, "C:\\PT\\Run.exe"), [u[0] for u in catalogues.SUITE_UTILITIES])
+    return rows.select("id", "display_name", "launch_arguments", m["learnArticle"].alias("article"), F.try_element_at(m, F.lit("dedupeScope")).alias("scope"), "launches")
 
 
 @query(f"SELECT c.c_custkey, t.name AS display_name, t.d AS description FROM customer c JOIN (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {_values(catalogues.SYSTEM_TOOLS, 0, 1, 2)}) v(f, name, d)) t ON c.c_custkey % 60 = t.i")
@@ -821,21 +836,25 @@ def image_names(spark, sf):
 
 @query(
     f"""WITH {ENTITIES_SQL}, {_TERMS}, q AS (SELECT qid, terms FROM terms WHERE len(terms) >= 2), x AS (SELECT e.doc_id, q.qid, q.terms, lower(display_name) AS name,
- ' ' || lower(concat_ws(' ', summary, array_to_string(tasks, ' '), array_to_string(list_filter(synonyms, lambda s: NOT contains(lower(display_name), lower(s))), ' '), summary)) AS said FROM ents e JOIN q ON e.doc_id % 40 = q.qid % 40)
+ ' ' || lower(concat_ws(' ', summary, array_to_string(tasks, ' '), array_to_string(list_filter(synonyms, lambda s: NOT contains(lower(display_name), lower(s))), ' '), details)) AS said FROM ents e JOIN q ON q.qid = e.doc_id % (SELECT 1 + max(item_id) FROM benchmark))
  SELECT doc_id, qid, len(list_filter(terms, lambda t: contains(name, t))) > 0 AND len(list_filter(terms, lambda t: regexp_matches(said, '(^|[^\\p{{L}}])' || t))) = 0 AS own FROM x""".replace("\\\\", "\\")
 )
 def name_only_lexis(spark, sf):
-    q = views.queries(spark, sf).select("qid", text.content_terms(F.col("query")).alias("terms")).where(F.size("terms") >= 2)
-    e = views.entities(spark, sf).withColumn("m", F.col("doc_id") % 40)
-    both = e.join(q.withColumn("m", F.col("qid") % 40), "m")
-    own = fusion.name_only_lexis(F.col("terms"), F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"), F.col("summary"))
+    """Every entity with one of the queries; each query meets as many entities as any other."""
+    q = views.queries(spark, sf).select("qid", text.content_terms(F.col("query")).alias("terms"))
+    n = q.agg(F.max("qid")).first()[0] + 1
+    both = views.entities(spark, sf).withColumn("qid", F.col("doc_id") % n).join(q.where(F.size("terms") >= 2), "qid")
+    own = fusion.name_only_lexis(F.col("terms"), F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"), F.col("details"))
     return both.select("doc_id", "qid", own.alias("own"))
 
 
-@query(r"SELECT page_id, regexp_matches(line, '(?i)^(?:html|xml):') OR regexp_matches(line, '(?i)<\s*(?:!doctype|/?html|/?head|/?body|/?script|/?style|/?div|/?span|/?p|/?a|/?meta|/?link)\b') OR regexp_matches(line, '(?i)^\s*(?:\.|#|body\b|html\b)[\w\s.#:-]*\{.*\}\s*$') AS markup FROM (SELECT page_id, trim(split_part(html, chr(10), 2)) AS line FROM pages)".replace("\\\\", "\\"))
+@query(r"""WITH l AS (SELECT page_id, unnest(range(len(x))) AS n, unnest(list_transform(x, lambda y: trim(y, ' '))) AS line FROM (SELECT page_id, string_split(html, chr(10)) AS x FROM pages))
+ SELECT page_id, n::BIGINT AS n, regexp_matches(line, '(?i)^(?:html|xml):') OR regexp_matches(line, '(?i)<\s*(?:!doctype|/?html|/?head|/?body|/?script|/?style|/?div|/?span|/?p|/?a|/?meta|/?link)\b')
+ OR (regexp_matches(line, '(?i)&(?:lt|gt|nbsp|quot|apos|amp);') AND regexp_matches(replace(replace(replace(line, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '<[^>]+>')) OR regexp_matches(line, '(?i)^\s*(?:\.|#|body\b|html\b)[\w\s.#:-]*\{.*\}\s*$') AS markup FROM l""")
 def markup_lines(spark, sf):
-    line = F.get(F.split("html", "\n"), 1)
-    return table(spark, sf, "pages").select("page_id", text.markup_line(line).alias("markup"))
+    """Every line of every page."""
+    lines = table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("n", "line"))
+    return lines.select("page_id", long("n", "n"), text.markup_line(F.col("line")).alias("markup"))
 
 
 @query(r"SELECT page_id, nullif(trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') AS title FROM pages")
@@ -868,10 +887,24 @@ def json_maps(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(m, F.lit("k")), F.lit("")).alias("k"), F.try_element_at(m, F.lit("k")).isNotNull().alias("has"))
 
 
-@query(f"WITH {ENTITIES_SQL} SELECT id, '{{\"id\":\"' || id || '\",\"name\":\"' || display_name || '\"' || CASE WHEN doc_id % 2 = 0 THEN ',\"publisher\":\"' || publisher || '\"' ELSE '' END || '}}' AS hit FROM ents WHERE doc_id <= 50")
+_HIT = """'{"id":"' || id || '","name":"' || display_name || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"publisher":"' || publisher || '"' ELSE '' END || '}' AS hit"""
+
+
+def _shown(spark, sf):
+    return views.entities(spark, sf).select("id", F.col("display_name").alias("name"), F.when(F.col("doc_id") % 2 == 0, F.col("publisher")).alias("publisher"))
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT id, {_HIT} FROM ents")
+def hit_projection(spark, sf):
+    """Every entity as a service shows it."""
+    rows = _shown(spark, sf)
+    return rows.select("id", browse.hit(rows.columns).alias("hit"))
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT id, {_HIT} FROM ents ORDER BY id LIMIT 50")
 def search_projection(spark, sf):
-    rows = views.entities(spark, sf).where("doc_id <= 50").select("id", F.col("display_name").alias("name"), F.when(F.col("doc_id") % 2 == 0, F.col("publisher")).alias("publisher"))
-    return browse.to_hits(rows, 100_000_000).select("id", "hit")
+    """A service's answer to a limit that is too large: clamped."""
+    return browse.to_hits(_shown(spark, sf), 100_000_000).select("id", "hit")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (unit) AS unit, count(*) FILTER (same) AS same FROM (SELECT true AS unit, true AS same FROM part WHERE p_name <> '')")

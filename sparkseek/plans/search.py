@@ -196,10 +196,11 @@ def typing_stability(search, cases: DataFrame, most: int = 3) -> DataFrame:
     trailing characters dropped (two characters at least stay).  cases: as :func:`evaluate`
     takes them, with query and embedding.  search: queries -> hits (qid, name, place)."""
     cut = cases.select("*", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("dropped")).where(F.length("query") - F.col("dropped") >= 2)
-    cut = cut.withColumn("case", F.col("qid")).withColumn("qid", F.col("qid") * 100 + F.col("dropped")).withColumn("query", F.expr("substring(query, 1, length(query) - dropped)"))
+    cut = cut.withColumn("case", F.struct("qid", "dropped")).withColumn("query", F.expr("substring(query, 1, length(query) - dropped)"))
+    cut = scratch_table(cut.withColumn("qid", F.concat_ws("-", F.col("dropped").cast("string"), F.col("qid").cast("string"))), "cut")  # a number leads, so no two are equal
     only = cut.withColumn("forbidden", F.array().cast("array<string>")).withColumn("max_results", F.lit(None).cast("int"))
     done = evaluate(search(cut.select("qid", "query", "embedding")), only)
-    return done.select(F.expr("qid div 100").alias("qid"), (F.col("qid") % 100).cast("int").alias("dropped"), "passed")
+    return done.join(cut.select("qid", "case"), "qid").select("case.qid", "case.dropped", "passed")
 
 
 def first_unstable(outcomes: DataFrame) -> DataFrame:
