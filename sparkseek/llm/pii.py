@@ -1,6 +1,6 @@
 """Personal data: base patterns, and bootstrapped contextual extraction on top.
 
-Base spans come from fixed patterns for four kinds; runs of 32 to 64 hexadecimal digits that are
+Base spans come from fixed patterns for four kinds; runs of 32 hexadecimal digits or more that are
 neither all digits nor all letters are seeds of a fifth kind, ``secret``, and spans as well.
 
 1. Seeds induce lexical patterns: the word before a seed with the signs between them (``token = "``),
@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++")
 CHAIN = re.compile(r"[0-9]++(?:\.[0-9]+)++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SECRET = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,64}+(?![0-9A-Za-z])")
+SECRET = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,}+(?![0-9A-Za-z])")
 #: Bytes that a word of a pattern, and a proposed token, don't hold; signs that a token doesn't end with.
 NO_WORD = np.ones(256, bool)
 NO_WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -51,8 +53,8 @@ NO_TOKEN = np.zeros(256, bool)
 NO_TOKEN[[*range(9, 14), *b" \"'<>()[]{},;|"]] = True
 END_SIGNS = np.zeros(256, bool)
 END_SIGNS[[*b".:!?="]] = True
-#: The most bytes between the words of a pattern, and between it and the token; bytes of an instance.
-GAP, SHORT, LONG = 6, 6, 64
+#: The most bytes between the words of a pattern, and between it and the token; the least of an instance.
+GAP, SHORT = 6, 6
 
 
 def luhn(digits: str) -> bool:
@@ -103,8 +105,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def seed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns and of the secrets that overlap none of them."""
     base = base_spans(text)
-    more = [(m.start(), 4, m.end()) for m in SECRET.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
-    return sorted(base + more)
+    free = Free(base)
+    return sorted(base + [(m.start(), 4, m.end()) for m in SECRET.finditer(text) if free(m.start(), m.end())])
+
+
+class Free:
+    """Whether a stretch overlaps none of the given spans, by two searches."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [a for a, _, _ in spans]
+        self.ends = list(accumulate((b for _, _, b in spans), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return not before or self.ends[before - 1] <= start
 
 
 class Contexts:
@@ -204,19 +218,18 @@ def proposals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                     against.append(p[hit & ~like])
                     rows += [(i, a, b, h) for i, a, b, h in zip(*(x[hit & like].tolist() for x in (row, begin, end, p.view(np.int64))), strict=True)]
                 out, small = [], []
-                texts: dict[int, tuple[str, list]] = {}
+                texts: dict[int, tuple[str, Free, np.ndarray]] = {}
                 for i, a, b, h in rows:
                     if i not in texts:
                         text = batch.column(1)[i].as_py()
-                        texts[i] = text, seed_spans(text)
-                    text, spans = texts[i]
-                    raw = c.buf[c.off[i] : c.off[i + 1]]
-                    # code points: bytes that continue none
-                    start = int(np.count_nonzero((raw[: a - c.off[i]] & 0xC0) != 0x80))
-                    stop = start + int(np.count_nonzero((raw[a - c.off[i] : b - c.off[i]] & 0xC0) != 0x80))
-                    if any(x < stop and start < y for x, _, y in spans):
+                        raw = c.buf[c.off[i] : c.off[i + 1]]
+                        # code points before each byte: bytes that continue none
+                        texts[i] = text, Free(seed_spans(text)), np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+                    text, free, points = texts[i]
+                    start, stop = int(points[a - c.off[i]]), int(points[b - c.off[i]])
+                    if not free(start, stop):
                         continue
-                    if not SHORT <= b - a <= LONG:
+                    if b - a < SHORT:
                         small.append(h)
                     else:
                         out.append((batch.column(0)[i].as_py(), start, stop, h, text[start:stop], None))
@@ -274,8 +287,9 @@ def _count(spans: Column, kind: int) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_added, n_found) of
-    every row: counts by kind of base spans, all spans, and how many are no base spans."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_added, n_found,
+    n_by_context) of every row: counts by kind of base spans, all spans, how many are no base spans, and how many of
+    those a trusted context found (the others are secrets by their form)."""
     scratch = Scratch(docs.sparkSession)
     told = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = scratch.write(extract(told), "found")
@@ -286,4 +300,4 @@ def find(docs: DataFrame) -> DataFrame:
     said = F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [_count(F.col("own"), i).alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])]
     more = F.size(spans) - F.size("own")
-    return out.select("doc_id", *counts, "base_sha256", said.alias("spans"), _count(spans, 4).alias("n_secret"), more.cast("long").alias("n_added"), F.size(spans).cast("long").alias("n_found"))
+    return out.select("doc_id", *counts, "base_sha256", said.alias("spans"), _count(spans, 4).alias("n_secret"), more.cast("long").alias("n_added"), F.size(spans).cast("long").alias("n_found"), F.size(F.coalesce("added", F.array().cast(SPANS))).cast("long").alias("n_by_context"))

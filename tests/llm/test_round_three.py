@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseek.llm import credentials, divergence, queries, vectorcodes
+from sparkseek.llm import credentials, divergence, pii, queries, urlrules, vectorcodes
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -266,3 +266,56 @@ def test_credentials_odd(spark):
     assert {r["spans"] for r in by[3] + by[None]} == {"identifier:0:14,secret:15:31"} and len(by[3]) == 2
     assert by[7][0]["n_secret"] == by[7][0]["n_identifier"] == 20_000
     assert credentials.find(docs.where("false")).count() == 0
+
+
+# --------------------------------------------------------------------------- earlier operators
+
+
+def test_many_secrets_in_one_text_take_linear_time(spark):
+    line = "token = 0123456789abcdef0123456789abcdef mail a@b.c 1.2.3.4 \n"
+    took = []
+    for n in (2_000, 8_000):
+        began = time.monotonic()
+        spans = pii.seed_spans(line * n)
+        took.append(time.monotonic() - began)
+        assert len(spans) == 3 * n
+    assert took[1] < 8 * took[0] + 0.5
+    docs = spark.createDataFrame([(1, line * 20_000), (2, "token = " + "0a" * 400)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows_of(pii.find(docs))}
+    assert got[1]["n_secret"] == 20_000 and got[2]["n_secret"] == 1 and {r["n_by_context"] for r in got.values()} == {0}
+
+
+def test_overlaps_by_two_searches():
+    rng = random.Random(4)
+    for _ in range(300):
+        spans = sorted((a := rng.randint(0, 60), 0, a + rng.randint(1, 15)) for _ in range(rng.randint(0, 6)))
+        free = pii.Free(spans)
+        for _ in range(20):
+            a = rng.randint(0, 70)
+            b = a + rng.randint(1, 10)
+            assert free(a, b) == (not any(x < b and a < y for x, _, y in spans))
+
+
+def test_labels_say_nothing_of_the_tables_urls(spark, sf):
+    """The test tables' labels were not made from their urls: no set of one or two tokens stands out against labels
+    that are dealt anew (so no rule is mined there, and none should be)."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", urlrules.tokens_of(F.col("url")).alias("t")).collect()
+    labels = {r["doc_id"]: int(r["toxic"] == 1 or r["quality"] == 0) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    known = [(set(r["t"]), labels[r["page_id"]]) for r in rows if r["page_id"] in labels]
+    holds = defaultdict(list)
+    for i, (tokens, _) in enumerate(known):
+        for a in tokens:
+            for b in tokens:
+                if a <= b:
+                    holds[a, b].append(i)
+    sets = [np.array(x) for x in holds.values() if len(x) >= urlrules.COUNT]
+    bad = np.array([b for _, b in known])
+    rng = np.random.default_rng(7)
+
+    def most(bad):
+        rate = bad.mean()
+        return max((bad[x].sum() - rate * len(x)) / math.sqrt(max(rate * (1 - rate) * len(x), 1e-9)) for x in sets)
+
+    dealt = [most(rng.permutation(bad)) for _ in range(200)]
+    assert np.mean([d >= most(bad) for d in dealt]) > 0.01
+    assert queries.op7_association_rules(spark, sf).where("association is not null").count() == 0
