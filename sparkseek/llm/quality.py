@@ -6,7 +6,9 @@ follow the table: of all documents that pass the base rules, the quartiles of th
 length class (half an octave of bytes) and of full chunks; a ratio further than ``FENCE`` times their
 distance below the first or above the third is an outlier.  Quartiles come from exact counts of
 ratios rounded to 1 / ``STEPS``, so they are the same however the table is cut.  A class of fewer
-than ``FEWEST`` ratios has fixed limits only.  A document goes if its own ratio is outside, or more
+than ``FEWEST`` ratios borrows what it lacks from its neighbours, nearest first (all that are equally near weigh alike, as
+much as is lacking), and what they lack, too, from the two ends of its fixed band; so one ratio more or less
+moves its limits a little, and a small table has the fixed limits only.  A document goes if its own ratio is outside, or more
 than ``SHARE`` of its chunks are.
 
 Defined results.  A null text is an empty text: no words, base failed, not kept.  Every
@@ -17,8 +19,10 @@ passed through by :func:`keep_good`."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pyarrow as pa
 import zstandard
@@ -115,10 +119,9 @@ def fences(measured: DataFrame) -> dict[int, tuple[float, float]]:
     for k, step, n in counts.collect():  # a class has at most some 1.5 * STEPS steps, and there are some 60 classes
         by.setdefault(k, []).append((step, n))
     out = {}
-    for k, steps in by.items():
-        total, ends, seen = sum(n for _, n in steps), [], 0
-        if total < FEWEST:
-            continue
+    for k in by:
+        steps = borrowed(by, k)
+        total, ends, seen = sum(n for _, n in steps), [], Fraction(0)
         for step, n in sorted(steps):
             seen += n
             while len(ends) < 2 and 4 * seen >= (1, 3)[len(ends)] * total:
@@ -127,6 +130,25 @@ def fences(measured: DataFrame) -> dict[int, tuple[float, float]]:
     return out
 
 
+def borrowed(by: dict[int, list[tuple[int, int]]], k: int) -> list[tuple[int, Fraction]]:
+    """The ratios of a class with their weights, ``FEWEST`` in all at least."""
+    out = [(step, Fraction(n)) for step, n in by[k]]
+    lacking = FEWEST - sum(n for _, n in out)
+    for far in range(1, 1 + max(abs(j - k) for j in by)) if k != FULL else ():
+        near = [x for j in (k - far, k + far) if j != FULL for x in by.get(j, [])]
+        if lacking <= 0:
+            break
+        if near:
+            share = min(Fraction(1), lacking / sum(n for _, n in near))
+            out += [(step, n * share) for step, n in near]
+            lacking -= share * sum(n for _, n in near)
+    if lacking > 0:
+        size = CHUNK if k == FULL else max(LEAST, math.ceil(2 ** (k / 2)))
+        _, low, high = max(b for b in BANDS if b[0] <= size)
+        out += [(round(edge * STEPS), lacking / 2) for edge in (low, high)]
+    return out
+
+
 def _outside(ratio: Column, size: Column, cls: Column, limits: dict[int, tuple[float, float]]) -> Column:
     band = [F.when(size >= n, F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))) for n, lo, hi in reversed(BANDS)]
     fixed = F.coalesce(*band)

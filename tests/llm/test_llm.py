@@ -474,11 +474,24 @@ def bands_by_force(texts):
             seen[math.floor(2 * math.log2(len(b)))].append(whole)
             seen["full"] += full
     fence = {}
-    for k, values in seen.items():
-        v = sorted(math.floor(x * 2000 + 0.5) for x in values)
-        if len(v) >= 50:
-            q1, q3 = v[math.ceil(len(v) / 4) - 1], v[math.ceil(3 * len(v) / 4) - 1]
-            fence[k] = (q1 - 3 * (q3 - q1)) / 2000, (q3 + 3 * (q3 - q1)) / 2000
+    steps = {k: sorted(math.floor(x * 2000 + 0.5) for x in v) for k, v in seen.items() if v}
+    for k, own in steps.items():
+        v = [(x, 1.0) for x in own]
+        lacking = 50 - len(own)
+        for d in range(1, 80):
+            near = [x for j in steps if j != "full" and k != "full" and abs(j - k) == d for x in steps[j]]
+            if lacking > 1e-9 and near:
+                w = min(1, lacking / len(near))
+                v += [(x, w) for x in near]
+                lacking -= w * len(near)
+        if lacking > 1e-9:
+            n, lo, hi = max(x for x in quality.BANDS if x[0] <= (2048 if k == "full" else max(64, 2 ** (k / 2))))
+            v += [(round(lo * 2000), lacking / 2), (round(hi * 2000), lacking / 2)]
+        v.sort()
+        total = sum(w for _, w in v)
+        quartile = lambda q, v=v, total=total: next(x for i, (x, _) in enumerate(v) if sum(w for _, w in v[: i + 1]) >= q * total - 1e-9)
+        q1, q3 = quartile(0.25), quartile(0.75)
+        fence[k] = (q1 - 3 * (q3 - q1)) / 2000, (q3 + 3 * (q3 - q1)) / 2000
 
     def bad(size, r, k):
         n, lo, hi = max(x for x in quality.BANDS if x[0] <= size)
