@@ -452,20 +452,25 @@ def _asked(spark, sf):
     return views.queries(spark, sf).join(vecs, "qid", "left")
 
 
+def _files(spark, sf, *names: str) -> list[tuple]:
+    """The files of these tables with their sizes and times."""
+    said = []
+    for name in names:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(where)
+        for f in fs.listStatus(where) if status.isDirectory() else [status]:
+            said.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(said)
+
+
 _STORED: dict[tuple, tuple] = {}
 
 
 def _stored(spark, sf, stem: bool):
     """The stored postings and stretches of these tables: written once a session, in its scratch folder, and
     anew when a file of theirs has changed.  Without stems the seven fields are stored as they are."""
-    fs = lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    said = []
-    for name in ("documents", "part"):
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
-        status = fs(where).getFileStatus(where)
-        for f in fs(where).listStatus(where) if status.isDirectory() else [status]:
-            said.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    key = (id(spark.sparkContext._jsc), stem, *sorted(said))
+    key = (id(spark.sparkContext._jsc), stem, *_files(spark, sf, "documents", "part"))
     if key not in _STORED:
         ents = search.complete(views.entities(spark, sf).withColumnRenamed("doc_id", "key"))
         plain = ents.select("key", F.col("display_name").alias("name"), "summary", F.array_join("tasks", ". ").alias("tasks"), F.array_join("synonyms", ", ").alias("synonyms"), "details", "publisher", "features")
@@ -785,8 +790,18 @@ def model_ids(spark, sf):
 # --------------------------------------------------------------------------- store
 
 
+_STORES: dict[tuple, IndexStore] = {}
+
+
 def _store(spark, sf) -> IndexStore:
-    """An index of the parts in a scratch folder, then changed: some entities again, some gone."""
+    """An index of the parts in a scratch folder, then changed: some entities again, some gone.  Made once a session."""
+    key = (id(spark.sparkContext._jsc), *_files(spark, sf, "part", "events"))
+    if key not in _STORES:
+        _STORES[key] = _stored_parts(spark, sf)
+    return _STORES[key]
+
+
+def _stored_parts(spark, sf) -> IndexStore:
     store = IndexStore(spark, scratch_path(spark, "store"))
     store.initialize("m", 2)
     part = table(spark, sf, "part")
@@ -799,9 +814,52 @@ def _store(spark, sf) -> IndexStore:
     store.upsert(made(again).withColumn("publisher", F.lit("new")), said(again, "new "), none, vectors(again))
     store.remove(part.where("p_partkey % 7 = 0").select(F.concat(F.lit("s:"), F.col("p_partkey").cast("string")).alias("id")))
     store.purge_online()
+    clicks = table(spark, sf, "events").where("event_type = 'click'").select(F.concat(F.lit("s:"), F.col("user_id").cast("string")).alias("entity_id"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+    for half in range(2):  # two commits; the counts add up
+        store.record(clicks.where(F.col("event_id") % 2 == half).select("entity_id", "at"))
     return store
 
 
+@query("SELECT 's:' || user_id AS entity_id, count(*)::BIGINT AS launches, (epoch_us(max(ts)) // 1000000)::BIGINT AS last FROM events WHERE event_type = 'click' GROUP BY ALL")
+def store_usage(spark, sf):
+    return _store(spark, sf).read("usage_stats").select("entity_id", long("launch_count", "launches"), F.unix_seconds("last_launched_at").alias("last"))
+
+
+_KEPT = "p_partkey % 7 <> 0"
+
+
+@query(f"SELECT 's:' || p_partkey AS id, sha256('' || length(p_name) || ':' || p_name || '|' || '1:0|' || '1:0|' || length('s:' || p_partkey) || ':s:' || p_partkey || '|') AS probe FROM part WHERE {_KEPT}")
+def store_content_hashes(spark, sf):
+    """Every entity has a hash; the probe is made of its stored columns."""
+    ids = _store(spark, sf).content_hashes().where(F.length("content_hash") == 64).select("id")
+    said = _store(spark, sf).read("entities").join(ids, "id", "left_semi")
+    return said.select("id", build.content_hash([F.col("display_name"), F.col("kind"), F.lit(0), F.col("id")]).alias("probe"))
+
+
+@query(f"SELECT 's:' || p_partkey AS entity_id, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN 'new ' ELSE 'old ' END || p_type AS text, coalesce(n, 0)::BIGINT AS launches FROM part LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY ALL) ON user_id = p_partkey WHERE {_KEPT} AND p_partkey % 2 <> 0")
+def store_snapshot(spark, sf):
+    """The tables of one snapshot, joined: entities with their documents and usage."""
+    s = _store(spark, sf).snapshot()
+    docs, used = s["documents"].select("entity_id", "text"), s["usage_stats"].select("entity_id", "launch_count")
+    rows = docs.join(s["entities"].select(F.col("id").alias("entity_id"), F.col("display_name").alias("name")), "entity_id").join(used, "entity_id", "left")
+    return rows.select("entity_id", "name", "text", long(F.coalesce("launch_count", F.lit(0)), "launches"))
+
+
+@query(f"SELECT count(*)::BIGINT AS n, count(*) FILTER (p_partkey % 5 = 0)::BIGINT AS updated, max('s:' || p_partkey) AS last FROM part WHERE {_KEPT}")
+def store_count(spark, sf):
+    store = _store(spark, sf)
+    rows = store.read("entities").agg(F.count("*").alias("n"), F.count_if(F.col("publisher") == "new").alias("updated"), F.max("id").alias("last"))
+    return rows.where(F.col("n") == store.count())
+
+
+@query("SELECT 's:1' AS id, true AS found, p_name AS display_name, CASE WHEN p_partkey % 5 = 0 THEN 'new' ELSE p_brand END AS publisher, 'old ' || p_type AS text FROM part WHERE p_partkey = 1")
+def entity_by_id(spark, sf):
+    """One entity, and the documents of it."""
+    store = _store(spark, sf)
+    one = browse.get_entity(store.read("entities"), "s:1")
+    return one.join(store.documents_of("s:1").select(F.col("entity_id").alias("id"), "text"), "id").select("id", "found", "display_name", "publisher", "text")
+
+
 @query("SELECT 's:' || p_partkey AS id, p_name AS display_name, CASE WHEN p_partkey % 5 = 0 THEN 'new' ELSE p_brand END AS publisher, p_partkey % 3 <> 0 OR p_partkey % 5 = 0 AS has_vector FROM part WHERE p_partkey % 7 <> 0")
 def store_entities(spark, sf):
     return _store(spark, sf).read("entities").select("id", "display_name", "publisher", F.col("vector_ordinal").isNotNull().alias("has_vector"))
@@ -1032,3 +1090,45 @@ def sibling_probe(spark, sf):
     shift = part.select(F.col("p_partkey").alias("entity_id"), F.posexplode(F.array(*(F.col("p_partkey") + i for i in range(3)))).alias("position", "page_id"))
     near = shift.join(p.select("page_id", "url"), "page_id").select("entity_id", "url", "position")
     return enrichers.sibling_candidates(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("display_name")), near, p, parts=3)
+
+
+# --------------------------------------------------------------------------- parts of the search
+
+_SEGMENTS = r"""list_transform(regexp_split_to_array(lower(summary), '[,.;:!?()\[\]{}"|/\\\r\n]'), lambda x: ' ' || trim(regexp_replace(x, '[^\p{L}\p{Nd}]+', ' ', 'g')) || ' ')"""
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT doc_id, array_to_string(" + _SEGMENTS.replace("summary", "concat_ws('. ', display_name, details, features)") + ", chr(10)) AS lines FROM ents")
+def word_segments(spark, sf):
+    said = F.concat_ws(". ", "display_name", "details", "features")
+    return views.entities(spark, sf).select("doc_id", fusion.joined_segments(said).alias("lines"))
+
+
+@query(f"""WITH {ENTITIES_SQL}, {_TERMS}, q AS (SELECT qid, list_transform(range(1, len(terms)), lambda i: terms[i] || ' ' || terms[i + 1]) AS pairs FROM terms WHERE len(terms) >= 2),
+ e AS (SELECT doc_id, array_to_string({_SEGMENTS.replace("summary", "concat_ws('. ', display_name, details, features)")}, chr(10)) AS lines FROM ents)
+ SELECT doc_id, qid, len(list_filter(pairs, lambda p: contains(lines, ' ' || p || ' ')))::BIGINT AS stated FROM e JOIN q ON qid = doc_id % (SELECT 1 + max(item_id) FROM benchmark)""")
+def adjacent_words(spark, sf):
+    """Neighbouring words of a query that stand side by side in an entity's texts."""
+    q = views.queries(spark, sf).select("qid", text.content_terms(F.col("query")).alias("terms"))
+    n = q.agg(F.max("qid")).first()[0] + 1
+    said = F.concat_ws(". ", "display_name", "details", "features")
+    both = views.entities(spark, sf).withColumn("qid", F.col("doc_id") % n).join(q.where(F.size("terms") >= 2), "qid")
+    stated = fusion.stated_in(text.adjacent_pairs(F.col("terms")), fusion.joined_segments(said))
+    return both.select("doc_id", "qid", long(F.size(stated), "stated"))
+
+
+@query(
+    f"""WITH q AS (SELECT DISTINCT trim(substring(p_name, 1, 4)) AS query FROM part), b AS (SELECT p_partkey AS key, p_name AS name, query AS q, lower(p_name) AS n, string_split(lower(p_name), ' ') AS w FROM part, q),
+ s AS (SELECT *, CASE WHEN q = n THEN 3.0 WHEN starts_with(n, q) THEN 1.5 WHEN len(list_filter(w, lambda x: starts_with(x, q))) > 0 THEN 0.6
+  WHEN len(w) > 1 AND q = array_to_string(list_transform(w, lambda x: x[1]), '') THEN 0.9
+  WHEN len(w) > 1 AND len(list_filter(range(1, length(q)), lambda i: starts_with(w[1], q[1:i]) AND starts_with(w[2], q[i + 1:]))) > 0 THEN 0.9
+  WHEN regexp_matches(n, array_to_string(string_split(q, ''), '.*')) THEN 0.24 ELSE 0.0 END AS strength FROM b),
+ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY strength DESC, upper(name), key) - 1 AS place FROM s WHERE strength > 0)
+ SELECT q AS qid, key, strength::DOUBLE AS strength, round(least(strength / 3.0, 1.0) * 4.0 / (60 + place + 1), 6) AS literal FROM r"""
+)
+def literal_arm(spark, sf):
+    """All parts that a beginning of a name matches, ranked."""
+    part = table(spark, sf, "part")
+    typed = part.select(F.expr("trim(substring(p_name, 1, 4))").alias("query")).distinct()
+    ents = part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("display_name"))
+    arm = search.literal_arm(typed.select(F.col("query").alias("qid"), "query"), ents, O)
+    return arm.select("qid", "key", "strength", F.round("literal", 6).alias("literal"))

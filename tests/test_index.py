@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkseek.functions import registry, text
-from sparkseek.operators.embed import HashEmbedder, WordPieces, embed, pool
+from sparkseek.operators.embed import HashEmbedder, OnnxEmbedder, WordPieces, embed, pool
 from sparkseek.plans import index, search
 from sparkseek.sources import collectors
 from sparkseek.sources.catalogues import SETTINGS_PAGES, SUITE_UTILITIES, SYSTEM_TOOLS
@@ -169,3 +169,48 @@ def test_functions_of_sql(spark):
     assert registry.register(spark, HashEmbedder(16)) == ["stem_terms", "decode_references", "initials_prefix", "tier_starts", "embed_text", "manifest_fields"]
     row = spark.sql("select stem_terms('Running cafés') as a, decode_references('a &amp; b') as b, initials_prefix('vsco', 'Visual Studio Code') as c, size(embed_text('some words')) as d").first()
     assert row["a"] == ["run", "cafe"] and row["b"] == "a & b" and row["c"] and row["d"] == 16
+
+
+# --------------------------------------------------------------------------- a model file
+
+
+def _field(number: int, value) -> bytes:
+    """One field of a protocol buffer: a number, or bytes with their length."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _model(table: np.ndarray) -> bytes:
+    """A model file that looks each token's state up in a table."""
+    ints = lambda name: _field(1, name) + _field(2, _field(1, _field(1, 7) + _field(2, _field(1, _field(2, "rows")) + _field(1, _field(2, "tokens")))))
+    states = _field(1, "last_hidden_state") + _field(2, _field(1, _field(1, 1)))
+    weights = b"".join(_field(1, d) for d in table.shape) + _field(2, 1) + _field(8, "states") + _field(9, table.astype("<f4").tobytes())
+    node = _field(1, "states") + _field(1, "input_ids") + _field(2, "last_hidden_state") + _field(4, "Gather")
+    graph = _field(1, node) + _field(2, "lookup") + _field(5, weights) + _field(11, ints("input_ids")) + _field(12, states)
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(2, 13))
+
+
+def test_embedding_by_a_model_file(spark, tmp_path):
+    """The session runs on the workers: token states of a model file, pooled over each text's own tokens."""
+    pytest.importorskip("onnxruntime")
+    known = {w: i for i, w in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "open", "file", "##s", "task"])}
+    table = np.random.default_rng(5).normal(size=(len(known), 6))
+    (tmp_path / "model.onnx").write_bytes(_model(table))
+    model = OnnxEmbedder(str(tmp_path / "model.onnx"), known, "lookup", 6)
+    texts = ["open files", "Task", "open the file", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: r["embedding"] for r in embed(rows, "id", "t", model, 2).collect()}
+    for i, ids in enumerate(([2, 4, 5, 6, 3], [2, 7, 3], [2, 4, 1, 5, 3], [2, 3])):
+        mean = table[ids].astype(np.float32).mean(0)
+        assert got[i] == pytest.approx((mean / np.linalg.norm(mean)).tolist(), abs=1e-5)
+    wrong = OnnxEmbedder(str(tmp_path / "model.onnx"), known, "lookup", 5)
+    assert {r["embedding"] for r in embed(rows, "id", "t", wrong).collect()} == {None}
