@@ -277,7 +277,7 @@ class Stored:
             meant = self.vocabulary.select("term", F.explode(F.array_compact(cut)).alias("p")).join(F.broadcast(spark.createDataFrame([(p,) for p in begun], "p string")), "p", "left_semi")
             terms = scratch_table(terms.union(meant.select("term")).distinct(), "terms")
         buckets = [r[0] for r in terms.select(bucket_of(F.col("term"))).distinct().collect()]
-        small = terms.count() <= SMALL
+        small = len(exact) <= SMALL if not begun else terms.count() <= SMALL
         rows = self.postings.where(F.col("bucket").isin(buckets)).drop("bucket")
         if all(len(t) == 1 for t, _ in phrases):  # places are read for phrases of several words alone
             rows = rows.withColumns({"counts": F.lit(None).cast("binary"), "places": F.lit(None).cast("binary")})
@@ -350,9 +350,10 @@ class Stored:
             matched, stats = self._matched(said)
             seen = {r["pid"]: r["n"] for r in stats.groupBy("pid").agg(F.sum("n").alias("n")).collect()}  # one number a phrase
             idf = [max(float(np.log((total - seen[p] + 0.5) / (seen[p] + 0.5))), 0.0) or 1e-6 if p in seen else 0.0 for p in range(len(said))]
-            terms = self._frame([(q, p, idf[p]) for q, x in asked.items() for _, p in x], phrases, "pid int, idf double")
+            each = [(q, p, idf[p]) for q, x in asked.items() for _, p in x]
+            terms = self._frame(each, phrases, "pid int, idf double")
             best = F.col("idf") * F.col("most") * (K1 + 1) / (F.col("most") + K1 * (1 - B + B * F.col("least") / F.lit(mean or 1.0)))
-            bounds = stats.join(F.broadcast(terms) if terms.count() <= SMALL else terms, "pid").groupBy("qid", "block").agg(F.sum(best).alias("bound"))
+            bounds = stats.join(F.broadcast(terms) if len(each) <= SMALL else terms, "pid").groupBy("qid", "block").agg(F.sum(best).alias("bound"))
             bounds = bounds.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block")))
             bounds = scratch_table(bounds, "bounds")
             sent = spark.sparkContext.broadcast((said, self.weights, idf, {q: [p for _, p in x] for q, x in asked.items()}))

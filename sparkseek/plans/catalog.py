@@ -236,14 +236,21 @@ def inverse_document_frequency(spark, sf):
 _FIELDS_SQL = {"name": "display_name", "summary": "summary", "tasks": "array_to_string(tasks, '. ')", "synonyms": "array_to_string(synonyms, ', ')", "details": "details", "publisher": "publisher", "features": "features"}
 
 
-def _bm25_sql(prefix: str) -> str:
-    """BM25 over all fields."""
+def _bm25_sql(prefix: str, stem: str | None = None) -> str:
+    """BM25 over all fields.  stem: SQL table (word, stem) that words are looked up in; the fields are those of the
+    projection then, with hyphenated compounds in both spellings."""
+    fields = dict(_FIELDS_SQL)
     words = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
-    tokens = " UNION ALL ".join(f"SELECT doc_id, unnest({words(c)}) AS term, {lexical.WEIGHTS[f]}::DOUBLE AS w FROM ents" for f, c in _FIELDS_SQL.items())
-    size = " + ".join(f"len({words(c)})" for c in _FIELDS_SQL.values())
-    return f"""WITH {ENTITIES_SQL}, {_LEX}, tok AS ({tokens}), size AS (SELECT doc_id, {size} AS d FROM ents),
+    if stem is not None:
+        plain = words
+        fields |= {"summary": f"coalesce({_SHOWN}, '')", "tasks": rf"""array_to_string(list_filter(tasks, lambda t: len(list_filter(regexp_extract_all(lower(t), '[\p{{L}}\p{{Nd}}]+'), lambda w: NOT list_contains(list_concat(regexp_extract_all(lower(display_name), '[\p{{L}}\p{{Nd}}]+'), [{_FRAMING}]), w))) > 0), '. ')"""}
+        words = lambda c: rf"list_concat({plain(c)}, list_distinct(list_transform(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+(?:-[\p{{L}}\p{{N}}]+)+'), lambda x: replace(x, '-', ''))))"
+    tokens = " UNION ALL ".join(f"SELECT doc_id, unnest({words(c)}) AS word, {lexical.WEIGHTS[f]}::DOUBLE AS w FROM ents" for f, c in fields.items())
+    size = " + ".join(f"len({words(c)})" for c in fields.values())
+    look = "tok AS (SELECT doc_id, word AS term, w FROM raw), said AS (SELECT * FROM phrases)" if stem is None else f"stems AS ({stem}), tok AS (SELECT doc_id, stem AS term, w FROM raw JOIN stems USING (word)), said AS (SELECT qid, i, stem AS term, prefix FROM phrases JOIN stems ON word = term)"
+    return f"""WITH {ENTITIES_SQL}, {_LEX}, raw AS ({tokens}), {look}, size AS (SELECT doc_id, {size} AS d FROM ents),
  hits AS MATERIALIZED (SELECT term, doc_id, sum(w) AS w FROM tok GROUP BY ALL),
- f AS MATERIALIZED (SELECT qid, i, doc_id, sum(w) AS f FROM phrases p JOIN hits h ON {prefix} GROUP BY ALL),
+ f AS MATERIALIZED (SELECT qid, i, doc_id, sum(w) AS f FROM said p JOIN hits h ON {prefix} GROUP BY ALL),
  n AS (SELECT qid, i, count(*) AS n FROM f GROUP BY ALL),
  s AS (SELECT f.qid, f.doc_id, sum(CASE WHEN ln(((SELECT count(*) FROM ents) - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln(((SELECT count(*) FROM ents) - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / (SELECT avg(d) FROM size)))) AS score
   FROM f JOIN n USING (qid, i) JOIN size USING (doc_id) GROUP BY ALL),

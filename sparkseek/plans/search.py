@@ -80,9 +80,10 @@ def stretches(entities: DataFrame) -> DataFrame:
     return entities.select("key", fusion.joined_segments(F.concat_ws(". ", "display_name", "summary", "details", "features", F.array_join("tasks", ". "), F.array_join("synonyms", ". "))).alias("lines"))
 
 
-def _sent(table: DataFrame) -> DataFrame:
-    """A table that grows with the batch of queries, sent to every executor if it has at most ``SMALL`` rows."""
-    return F.broadcast(table) if table.count() <= SMALL else table
+def _sent(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A table that grows with the batch of queries, sent to every executor if it has at most ``SMALL`` rows.
+    most: a known bound of their number."""
+    return F.broadcast(table) if (table.count() if most is None else most) <= SMALL else table
 
 
 def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False, root: str = "C:\\Windows", texts: Stored | None = None, lines: DataFrame | None = None) -> DataFrame:
@@ -104,17 +105,17 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     lex = fusion.tiered_ranks(bm, "key", o.rank_tier_tolerance).select("qid", "key", F.col("score").alias("lexical"), "tier")
     # weights of the queries' terms alone: a map per query
     said = entities.withColumn("match", match_text(F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms")))
-    total = entities.count()
+    total, n_queries = entities.count(), queries.count()
     terms = queries.select("qid", "query", content_terms(F.col("query")).alias("terms_list"))
     wanted = terms.select(F.explode("terms_list").alias("t")).union(terms.select(normalize_name(F.col("query")))).distinct()
-    df = scratch_table(lexical.document_frequency(said, F.col("match")).withColumnRenamed("word", "t").join(_sent(wanted), "t"), "df")
+    df = scratch_table(lexical.document_frequency(said, F.col("match")).withColumnRenamed("word", "t").join(_sent(wanted, 13 * n_queries), "t"), "df")
     weights = terms.select("qid", F.explode("terms_list").alias("t")).join(df, "t", "left").select("qid", "t", lexical.idf(F.coalesce("df", F.lit(0)), total).alias("w"))
     weights = weights.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("idf"))
     terms = terms.select("qid", "terms_list").join(weights, "qid", "left").withColumn("idf", F.coalesce("idf", F.create_map().cast("map<string,double>")))
     # each arm is used several times below: it is computed once
     vec, lex, names = scratch_table(vec, "vector-arm"), scratch_table(lex, "lexical-arm"), scratch_table(literal_arm(queries, entities, o, df, total), "literal-arm")
     arms = vec.select("qid", "key").union(lex.select("qid", "key")).union(names.select("qid", "key")).distinct()
-    rows = arms.join(vec, ["qid", "key"], "left").join(lex, ["qid", "key"], "left").join(names, ["qid", "key"], "left").join(said, "key").join(_sent(terms), "qid")
+    rows = arms.join(vec, ["qid", "key"], "left").join(lex, ["qid", "key"], "left").join(names, ["qid", "key"], "left").join(said, "key").join(_sent(terms, n_queries), "qid")
     # every candidate's cosine counts as evidence, whether the arm ranked it or not
     cosine = F.round(vector.dot(F.col("embedding"), F.col("asked")), 6)
     rows = rows.join(asked.withColumnRenamed("embedding", "asked"), "qid", "left").withColumn("cosine", cosine).drop("embedding", "asked").withColumn("vector_ranked", F.coalesce("vector_ranked", F.lit(False)))
@@ -122,7 +123,7 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     # an entity's stretches of words are cut once, not for every query that finds it
     cut = lines if lines is not None else scratch_table(stretches(entities.join(arms.select("key").distinct(), "key", "left_semi")), "stretches")
     spoken = terms.where(F.size("terms_list") >= 2).select("qid", pairs.alias("pairs"))
-    stated = arms.join(_sent(spoken), "qid").join(cut, "key").select("qid", "key", fusion.stated_in(F.col("pairs"), F.col("lines")).alias("stated"))
+    stated = arms.join(_sent(spoken, n_queries), "qid").join(cut, "key").select("qid", "key", fusion.stated_in(F.col("pairs"), F.col("lines")).alias("stated"))
     rows = rows.join(scratch_table(stated, "stated"), ["qid", "key"], "left")
     found = F.col("lexical").isNotNull()
     rows = rows.withColumn("coverage", F.when(found, fusion.coverage(F.col("terms_list"), F.col("match"), F.col("idf"), F.coalesce(fusion.phrased_terms(F.col("stated")), F.array().cast("array<string>")))).otherwise(1.0)).withColumn("terms", F.size("terms_list"))
