@@ -29,11 +29,11 @@ SMALL, ATTEMPTS = 500_000, 5
 
 @dataclass
 class Edit:
-    """rows: what a table gains.  gone: (key) of the rows that it loses, of those that were there before.
-    whole: nothing of what was there stays."""
+    """rows: what a table gains.  gone: (key) of the rows that it loses, of those that were there before, or the
+    segment that they were written to.  whole: nothing of what was there stays."""
 
     rows: DataFrame | None = None
-    gone: DataFrame | None = None
+    gone: DataFrame | dict | None = None
     whole: bool = False
 
 
@@ -145,6 +145,9 @@ class IndexStore:
         rows = write(f"{self.root}/{path}")
         return {"path": path, "version": version, "rows": self.spark.read.parquet(f"{self.root}/{path}").count() if rows is None else rows}
 
+    def _written_keys(self, keys: DataFrame, version: int) -> dict:
+        return self._segment("gone", lambda path: keys.toDF("key").distinct().write.parquet(path), version)
+
     def _commit(self, state: dict, edits: dict[str, Edit], meta: dict | None = None) -> int:
         """One commit on top of ``state``: writes what the edits add, and the entry of the log."""
         version, after = state["version"] + 1, deepcopy(state)
@@ -155,8 +158,7 @@ class IndexStore:
             if edit.whole:
                 after["removed"] += [s["path"] for k in ("segments", "deletes") for s in old[k]]
             if edit.gone is not None and new["segments"]:
-                keys = edit.gone.toDF("key").distinct()
-                told = self._segment(f"{table}-gone", lambda path, keys=keys: keys.write.parquet(path), version)
+                told = edit.gone if isinstance(edit.gone, dict) else self._written_keys(edit.gone, version)
                 if told["rows"]:
                     new["deletes"].append(told)
                     after["added"].append(told["path"])
@@ -238,7 +240,7 @@ class IndexStore:
         new = scratch_table(new.withColumn("vector_ordinal", F.coalesce("got", "own", "was")).select(*old.columns), "new")
         last = new.agg(F.max("vector_ordinal")).first()[0]
         meta = {"next_ordinal": max(free, 0 if last is None else last + 1)}
-        known = ordinals.select("id")
+        known = self._written_keys(ordinals.select("id"), state["version"] + 1)  # one for all tables
         edits |= {"entities": Edit(new, known), "documents": Edit(documents.select(*TABLES["documents"].names), known), "profiles": Edit(profiles.select(*TABLES["profiles"].names), known)}
         edits[TEXTS] = Edit(projected(new, profiles), known)
         version = self._commit(state, edits, meta)
@@ -249,7 +251,9 @@ class IndexStore:
     def remove(self, ids: DataFrame) -> int:
         """Drops entities with their documents and profiles; usage stays."""
         gone = scratch_table(ids.select("id").distinct(), "gone")
-        version = self._commit(self._state(), {t: Edit(gone=gone) for t in ("entities", "documents", "profiles", TEXTS)})
+        state = self._state()
+        told = self._written_keys(gone, state["version"] + 1)
+        version = self._commit(state, {t: Edit(gone=told) for t in ("entities", "documents", "profiles", TEXTS)})
         self.compact()
         return version
 
