@@ -477,7 +477,7 @@ _STORED: dict[tuple, tuple] = {}
 def _stored(spark, sf, stem: bool):
     """The stored postings and stretches of these tables: written once a session, in its scratch folder, and
     anew when a file of theirs has changed.  Without stems the seven fields are stored as they are."""
-    key = (spark.sparkContext.applicationId, stem, *_files(spark, sf, "documents", "part"))
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), stem, *_files(spark, sf, "documents", "part"))
     if key not in _STORED:
         ents = search.complete(views.entities(spark, sf).withColumnRenamed("doc_id", "key"))
         plain = ents.select("key", F.col("display_name").alias("name"), "summary", F.array_join("tasks", ". ").alias("tasks"), F.array_join("synonyms", ", ").alias("synonyms"), "details", "publisher", "features")
@@ -802,7 +802,7 @@ _STORES: dict[tuple, IndexStore] = {}
 
 def _store(spark, sf) -> IndexStore:
     """An index of the parts in a scratch folder, then changed: some entities again, some gone.  Made once a session."""
-    key = (spark.sparkContext.applicationId, *_files(spark, sf, "part", "events"))
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), *_files(spark, sf, "part", "events"))
     if key not in _STORES:
         _STORES[key] = _stored_parts(spark, sf)
     return _STORES[key]
