@@ -63,10 +63,10 @@ def refresh_due(s: RefreshState) -> bool:
 
 def publish_each(store, build):
     """foreachBatch function: builds tables of a micro-batch and publishes them as the next
-    snapshot."""
+    snapshot; a batch that is delivered again is published once."""
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.publish(**build(batch))
+            store.publish(batch=number, **build(batch))
 
     return run
