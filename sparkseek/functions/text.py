@@ -218,8 +218,11 @@ def meta_description(page: Column) -> Column:
     return F.nullif(plain_text(decode_entities(_attribute(F.get(wanted, 0), "content"))), F.lit(""))
 
 
-def page_title(page: Column) -> Column:
-    return F.nullif(F.trim(decode_entities(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+def page_title(page: Column, decode: bool = True) -> Column:
+    """decode: all character references; otherwise those of mark-up (&lt; &gt; &amp;) alone."""
+    title = F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    said = decode_entities(title) if decode else reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")), title)
+    return F.nullif(F.trim(said), F.lit(""))
 
 
 def json_ld_description(page: Column, least: int = 25) -> Column:

@@ -24,10 +24,10 @@ def stemmed(word: Column) -> Column:
     return arrow_udf(_stemmed, "string")(word)
 
 
-def projection(entities: DataFrame, key: str) -> DataFrame:
+def projection(entities: DataFrame, key: str, compounds: bool = True) -> DataFrame:
     """The text that is indexed, by field: summaries and tasks that say more than the name, and
-    hyphenated compounds in both spellings."""
-    fold = lambda c: fold_compounds(F.coalesce(c, F.lit("")))
+    hyphenated compounds in both spellings (compounds: otherwise as they are written)."""
+    fold = lambda c: fold_compounds(F.coalesce(c, F.lit(""))) if compounds else F.coalesce(c, F.lit(""))
     name = F.col("display_name")
     return entities.select(
         key, fold(name).alias("name"), fold(indexable_summary(F.col("summary"), name)).alias("summary"), fold(F.array_join(indexable_tasks(F.col("tasks"), name), ". ")).alias("tasks"),
