@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .text import is_listing, is_prose, plain_text, word_set
+from .text import firsts_ignoring_case, is_listing, is_prose, plain_texts, word_set
 
 # Sources of a description, the best first; then those of details.
 DESCRIBERS = ("pe-version", "msix-manifest", "winget", "wikipedia", "learn", "publisher-site", "local-docs", "shortcut")
@@ -116,7 +116,7 @@ def distinctive(phrases: Column, most: int = MAX_TASKS, percent: int = 60) -> Co
 
 
 def distinct_ignoring_case(values: Column, most: int) -> Column:
-    return F.slice(F.filter(values, lambda x, i: (F.trim(x) != "") & (F.array_position(F.transform(values, F.upper), F.upper(x)) == i + 1)), 1, most)
+    return F.slice(firsts_ignoring_case(F.filter(values, lambda x: F.trim(x) != "")), 1, most)
 
 
 def action_verbs(words: Column, name: Column) -> Column:
@@ -155,7 +155,9 @@ def synthesize(entities: DataFrame, documents: DataFrame) -> DataFrame:
     name, meta = F.col("display_name"), F.col("raw_metadata")
     first = lambda p: F.get(F.filter("docs", lambda d: F.lower(d["provider"]) == p), 0)["text"]
     # candidates in order: each is cleaned and judged as one element, not written out again
-    own = F.array(*(plain_text(F.try_element_at(meta, F.lit(k))) for k in ("description", "fileDescription", "comment")))
+    keys = ("description", "fileDescription", "comment")
+    rows = rows.withColumn("plain", plain_texts(F.array(*(F.try_element_at(meta, F.lit(k)) for k in keys), *map(first, DETAILERS))))
+    own = F.slice("plain", 1, len(keys))
     lines = F.transform(F.array(*map(first, DESCRIBERS)), useful_line)
     described = F.get(F.filter(F.concat(own, lines), lambda c: adds_information(name, c)), 0)
     rows = rows.withColumn("described", described).withColumn("file", F.coalesce(F.try_element_at(meta, F.lit("fileName")), F.nullif(F.regexp_extract("launch_target", r"([^\\/]+)$", 1), F.lit(""))))
@@ -166,9 +168,9 @@ def synthesize(entities: DataFrame, documents: DataFrame) -> DataFrame:
         by_kind = F.when(F.col("kind") == k, F.lit(said)).otherwise(by_kind)
     told = F.flatten(F.transform("docs", lambda d: labelled_phrases(d["text"], "Tasks")))
     tasks = distinctive(F.concat(told, intents(F.concat_ws(" ", name, "described")), F.array(by_kind)))
-    texts = F.array(*(plain_text(first(p)) for p in DETAILERS))
+    texts = F.slice("plain", len(keys) + 1, len(DETAILERS))
     details = F.get(F.filter(texts, lambda c: F.coalesce((F.length(c) >= MIN_DETAILS) & is_prose(c) & ~is_listing(F.substring(c, 1, 200)), F.lit(False))), 0)
-    rows = rows.withColumn("said", summary)
+    rows = rows.withColumn("details", details).withColumn("said", summary)
     spoken = F.regexp_extract_all(F.lower("said"), F.lit(r"(\w+)"), 1)
     known = distinct_ignoring_case(F.concat(synonyms(name, F.col("file"), F.col("launch_target"), F.col("docs")), action_verbs(spoken, name)), MAX_SYNONYMS)
     labels = first("ui-resources")
@@ -177,7 +179,7 @@ def synthesize(entities: DataFrame, documents: DataFrame) -> DataFrame:
     captions = F.array_distinct(F.filter(captions, lambda c: c != ""))
     return rows.select(
         F.col("id").alias("entity_id"), F.col("said").alias("summary"), tasks.alias("tasks"), known.alias("synonyms"),
-        category(F.col("kind"), F.col("launch_target"), F.col("file"), F.try_element_at(meta, F.lit("startMenuFolder"))).alias("category"), cut_sentence(details).alias("details"), F.when(F.col("labels").isNotNull(), features(captions, name, F.col("said"))).alias("features"), F.lit("heuristic").alias("generator"),
+        category(F.col("kind"), F.col("launch_target"), F.col("file"), F.try_element_at(meta, F.lit("startMenuFolder"))).alias("category"), cut_sentence(F.col("details")).alias("details"), F.when(F.col("labels").isNotNull(), features(captions, name, F.col("said"))).alias("features"), F.lit("heuristic").alias("generator"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import is_listing, meta_description, normalize_name, page_title, plain_text, squash_name, strip_markdown, word_set
+from ..functions.text import firsts_ignoring_case, is_listing, meta_description, normalize_name, page_title, plain_text, squash_name, strip_markdown, word_set
 from ..operators.build import first_wins
 from ..schema import DOCUMENTS
 
@@ -259,7 +259,7 @@ def package_manifests(apps: DataFrame, manifests: DataFrame) -> DataFrame:
     seen = F.flatten(F.transform(scope, lambda a: F.array(line("Application description", a["description"]), line("Application display name", a["name"]))))
     lines = F.concat(F.array(line("Display name", F.col("m.name")), line("Description", F.col("m.description")), line("Publisher", F.col("m.publisher"))), seen)
     lines = F.filter(lines, lambda x: x.isNotNull())
-    lines = F.filter(lines, lambda x, i: F.array_position(F.transform(lines, F.upper), F.upper(x)) == i + 1)
+    lines = firsts_ignoring_case(lines)
     return documents(rows.select("entity_id", F.array_join(lines, "\n").alias("text")), "msix-manifest", False)
 
 
