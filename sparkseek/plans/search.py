@@ -162,21 +162,28 @@ def with_text(hits: DataFrame, entities: DataFrame) -> DataFrame:
     return hits.join(shown, "key").join(told, "key")
 
 
-def evaluate(hits: DataFrame, cases: DataFrame) -> DataFrame:
+def evaluate(hits: DataFrame, cases: DataFrame, by: str = "qid") -> DataFrame:
     """Outcome of each case: hits (qid, name, place); cases (qid, acceptable, forbidden, required,
-    expect_no_results, max_results, within_top_n)."""
+    expect_no_results, max_results, within_top_n).  by: the column of both that says whose hits a case
+    has, if several cases share theirs.
+
+    Of a name its first place decides, so hits are aggregated by name before cases meet them."""
     word = lambda c: F.array_distinct(F.filter(F.split(normalize_name(c), " "), lambda w: w != ""))
     within = lambda a, b: (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
-    listed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("hits"))
-    rows = cases.join(listed, "qid", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<place:int,name:string>>")))
-    good = F.filter("hits", lambda h: F.exists("acceptable", lambda a: within(word(a), word(h["name"]))))
-    rank = F.get(good, 0)["place"]
-    missing = F.exists("required", lambda r: ~F.exists(F.filter("hits", lambda h: h["place"] <= 8), lambda h: within(word(r), word(h["name"]))))
-    banned = F.exists("forbidden", lambda f: F.exists("hits", lambda h: normalize_name(h["name"]) == normalize_name(f)))
-    n = F.size("hits")
-    ok = F.when(F.col("expect_no_results"), n == 0).otherwise((F.size("acceptable") == 0) | F.coalesce(rank <= F.col("within_top_n"), F.lit(False)))
+    first = hits.groupBy(by, "name").agg(F.min("place").alias("place"), F.count("*").alias("n")).select(by, "n", F.struct("place", word(F.col("name")).alias("words"), normalize_name(F.col("name")).alias("plain")).alias("hit"))
+    listed = first.groupBy(by).agg(F.sum("n").cast("int").alias("n_hits"), F.collect_list("hit").alias("hits"))
+    kind = dict(listed.dtypes)["hits"]
+    words = [F.transform(c, word).alias(f"{c}_words") for c in ("acceptable", "required")]
+    rows = cases.select("*", *words, F.transform("forbidden", normalize_name).alias("banned")).join(listed, by, "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind)))
+    good = F.filter("hits", lambda h: F.exists("acceptable_words", lambda a: within(a, h["words"])))
+    rank = F.array_min(F.transform(good, lambda h: h["place"]))
+    missing = F.exists("required_words", lambda r: ~F.exists("hits", lambda h: (h["place"] <= 8) & within(r, h["words"])))
+    banned = F.exists("hits", lambda h: F.array_contains("banned", h["plain"]))
+    n = F.coalesce("n_hits", F.lit(0))
+    rows = rows.withColumn("rank", rank)
+    ok = F.when(F.col("expect_no_results"), n == 0).otherwise((F.size("acceptable") == 0) | F.coalesce(F.col("rank") <= F.col("within_top_n"), F.lit(False)))
     ok = ok & ~F.coalesce(missing, F.lit(False)) & ~F.coalesce(banned, F.lit(False)) & F.coalesce(n <= F.col("max_results"), F.lit(True))
-    return rows.select("qid", ok.alias("passed"), rank.alias("matched_rank"), (F.size("acceptable") > 0).alias("ranked"), n.alias("n_hits"))
+    return rows.select("qid", ok.alias("passed"), F.col("rank").alias("matched_rank"), (F.size("acceptable") > 0).alias("ranked"), n.alias("n_hits"))
 
 
 def report(outcomes: DataFrame) -> DataFrame:

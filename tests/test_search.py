@@ -279,3 +279,18 @@ def test_boilerplate_details_are_not_shown(spark, small):
     hits = rows.select(F.lit(0).alias("qid"), "key")
     got = {r["key"]: r for r in search.with_text(hits, rows).collect()}
     assert got[7]["details"] is None and got[5]["details"] and got[5]["tasks"] == ["edit a file", "write notes"]
+
+
+def test_cases_that_share_their_hits(spark):
+    """Hits listed once for several cases give what hits listed for each give, and names count by their first place."""
+    from sparkseek.plans import search
+
+    listed = spark.createDataFrame([("x", "Blue bolt", 1), ("x", "red bolt", 2), ("x", "Blue bolt", 9), ("y", "red nut", 9)], "list string, name string, place int")
+    cases = spark.createDataFrame(
+        [(1, "x", ["red bolt"], ["blue BOLT"], [], False, None, 3), (2, "x", ["red bolt"], [], ["blue bolt"], False, 3, 3), (3, "y", ["red nut"], [], ["red nut"], False, None, 9), (4, "z", [], [], [], True, None, 3), (5, "x", ["red bolt"], [], [], False, 2, 3)],
+        "qid int, list string, acceptable array<string>, forbidden array<string>, required array<string>, expect_no_results boolean, max_results int, within_top_n int",
+    )
+    got = sorted(map(tuple, search.evaluate(listed, cases, "list").collect()))
+    assert got == [(1, False, 2, True, 3), (2, True, 2, True, 3), (3, False, 9, True, 1), (4, True, None, False, 0), (5, False, 2, True, 3)]
+    each = cases.drop("list").join(cases.select("qid", "list").join(listed, "list").select("qid").distinct(), "qid", "left")
+    assert sorted(map(tuple, search.evaluate(cases.select("qid", "list").join(listed, "list").drop("list"), each).collect())) == got
