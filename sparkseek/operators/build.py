@@ -88,8 +88,12 @@ def fold_aliases(commands: DataFrame, hosts: DataFrame) -> DataFrame:
     """(alias_id, host_id): a command below a host's folder with the same plain name; the
     first host by discovery."""
     c = commands.select(F.col("id").alias("alias_id"), F.lower("exe").alias("exe"), normalize_name(F.col("display_name")).alias("plain"))
-    h = hosts.select(F.col("id").alias("host_id"), F.lower("folder").alias("folder"), normalize_name(F.col("display_name")).alias("plain"), "position")
-    both = c.join(h, "plain").where(F.expr("startswith(exe, folder)"))
+    h = hosts.select(F.col("id").alias("host_id"), F.lower("folder").alias("folder"), normalize_name(F.col("display_name")).alias("plain"), "position").where("folder is not null")
+    # of one folder and name only the first host can win; beginnings of the lengths that folders have meet it by equality
+    h = first_wins(h, ["plain", "folder"], ["position", "host_id"])
+    lengths = h.agg(F.collect_set(F.length("folder")).alias("lengths"))
+    begun = c.crossJoin(F.broadcast(lengths)).select("alias_id", "plain", "exe", F.explode(F.filter("lengths", lambda n: n <= F.length("exe"))).alias("n"))
+    both = begun.select("alias_id", "plain", F.expr("substring(exe, 1, n)").alias("folder")).join(h, ["plain", "folder"])
     return first_wins(both, ["alias_id"], ["position", "host_id"]).select("alias_id", "host_id")
 
 
