@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers of one block of query vectors: 64 MB.
-BLOCK_NUMBERS = 8_000_000
+#: Numbers of one block of query vectors: 64 MB; scores that a task holds at once.
+BLOCK_NUMBERS, SCORES = 8_000_000, 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,16 +40,22 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that rows times queries are at most ``SCORES``."""
+    step = max(1, SCORES // max(1, queries))
+    return (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step))
+
+
 def scores(rows: DataFrame, queries: DataFrame, key: str, vector: str, floor: float | None = None, k: int | None = None, digits: int = 6) -> DataFrame:
     """(qid, key, score): cosine of unit vectors.
 
     The queries go out in blocks of bounded size, one pass over the rows for each; a task
-    multiplies matrices and, with k, hands on its own best k a query, so that what is
-    shuffled does not depend on the number of rows in a task.  Scores are rounded before they are
+    multiplies matrices of so many rows that the scores are at most ``SCORES`` and, with k, hands on its
+    own best k a query, so that neither its memory nor what is shuffled depends on the number of rows in a task.  Scores are rounded before they are
     compared, so that the order of summation decides nothing; ties go to the lesser key."""
     q = queries.select("qid", F.col(vector).cast("array<double>").alias("v"))
     dims, n = q.agg(F.max(F.size("v")), F.count("*")).first()
-    parts = max(1, -(-(n or 0) * (dims or 1) // BLOCK_NUMBERS))
+    parts = max(1, -(-(n or 0) * max(dims or 1, 8 * (k or 0)) // BLOCK_NUMBERS))
     spark = rows.sparkSession
     out = []
     for i in range(parts):
@@ -73,16 +79,16 @@ def scores(rows: DataFrame, queries: DataFrame, key: str, vector: str, floor: fl
                 return pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), pa.array(key), pa.array(s)], ["qid", key_name, "score"])
 
             key_name = key
-            for batch in batches:
+            for batch in pieces(batches, len(mat)):
                 keys = np.asarray(batch.column(0))
-                got = np.round(_matrix(batch.column(1)) @ mat.T, digits) if len(mat) and batch.num_rows else np.zeros((batch.num_rows, 0))
+                got = np.round(_matrix(batch.column(1)) @ mat.T, digits) if len(mat) else np.zeros((batch.num_rows, 0))
                 r, qi = np.nonzero(got >= floor) if floor is not None else np.nonzero(np.ones(got.shape, bool))
                 found = (qi, keys[r], got[r, qi])
                 if k is None:
                     yield emit(*found)
                 else:
                     best.append(found)
-                    if sum(len(x[0]) for x in best) > 1_000_000:
+                    if sum(len(x[0]) for x in best) > SCORES + 2 * k * len(mat):
                         best = [cut(best)]
             if k is not None and best:
                 yield emit(*cut(best))

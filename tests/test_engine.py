@@ -6,6 +6,7 @@ import random
 import sqlite3
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,39 @@ def test_texts_of_an_array_are_cleaned_as_each_alone(spark):
     rows = spark.createDataFrame([("<p>a &amp;lt;b&gt;  c</p>", "x &amp; y\n\n z", None, "")], "a string, b string, c string, d string")
     each = rows.select(F.array(*(text.plain_text(F.col(c)) for c in "abcd")).alias("x")).first()[0]
     assert rows.select(text.plain_texts(F.array(*"abcd")).alias("x")).first()[0] == each
+
+
+def test_aliases_meet_hosts_by_equal_beginnings(spark):
+    """Many hosts of one folder and name: each command meets the first alone, not all of them."""
+    commands = spark.createDataFrame([(1, "C:/A/x.exe", "Tool"), (2, "c:/a/B/y.exe", "tool"), (3, "c:/z", "tool"), (4, None, "tool")], "id int, exe string, display_name string")
+    hosts = spark.range(2000).select(F.col("id"), F.when(F.col("id") == 1500, "c:/a/b/").otherwise("c:/A/").alias("folder"), F.lit("Tool").alias("display_name"), (2000 - F.col("id")).alias("position"))
+    joined = build.fold_aliases(commands, hosts)
+    assert sorted(map(tuple, joined.collect())) == [(1, 1999), (2, 1999)]
+    plan = joined._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "startswith" not in plan  # no pairs by condition
+
+
+def test_vector_scores_are_made_in_bounded_pieces(spark, monkeypatch):
+    """A task makes ``SCORES`` scores at a time, with the same result."""
+    rows = spark.range(300).select(F.col("id").alias("k"), F.array(F.cos(F.col("id")), F.sin(F.col("id"))).alias("v"))
+    asked = rows.where("k % 3 = 0").withColumnRenamed("k", "qid")
+    every = [sorted(map(tuple, vector.scores(rows, asked, "k", "v", k=k).collect())) for k in (None, 5)]
+    monkeypatch.setattr(vector, "SCORES", 250)
+    assert [sorted(map(tuple, vector.scores(rows, asked, "k", "v", k=k).collect())) for k in (None, 5)] == every
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["k"])
+    cut = list(vector.pieces(iter([batch]), 100))
+    assert max(x.num_rows for x in cut) == 2 and [k for x in cut for k in x.column(0).to_pylist()] == list(range(1000))
+
+
+def test_nearest_by_id_reads_neighbours_in_order(spark):
+    from sparkseek.plans import catalog
+
+    rows = spark.range(0, 3000, 7).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("label"))
+    got = sorted(map(tuple, catalog._by_distance(rows, rows.where("vec_id % 100 = 0"), 100).collect()))
+    both = rows.collect()
+    want = []
+    for q in both:
+        if q[0] % 100 == 0:
+            near = sorted((r[0] for r in both if r[1] == q[1]), key=lambda v, q=q: (abs(v - q[0]), v))
+            want += [(q[0], v, i + 1) for i, v in enumerate(near[:100])]
+    assert got == sorted(want)
