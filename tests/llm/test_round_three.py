@@ -319,3 +319,14 @@ def test_labels_say_nothing_of_the_tables_urls(spark, sf):
     dealt = [most(rng.permutation(bad)) for _ in range(200)]
     assert np.mean([d >= most(bad) for d in dealt]) > 0.01
     assert queries.op7_association_rules(spark, sf).where("association is not null").count() == 0
+
+
+def test_rarity_counts_every_document(spark):
+    """No document is left out of the counts: a run of words that each document has once is seen in all of them."""
+    import numpy as np
+
+    from sparkseek.llm import linededup
+
+    docs = spark.range(256).selectExpr("id as doc_id", "'one two three four' as text")
+    level = linededup.rarity(docs)
+    assert sorted(level[np.flatnonzero(level)].tolist()) == [9, 9, 9]  # three runs, 2^8 times each
