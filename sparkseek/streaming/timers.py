@@ -21,6 +21,8 @@ WAIT_MS, EXTENSIONS = 500, 20
 SETTLE_MS, STARTUP_MS, TICK_MS = 45_000, 120_000, 60_000
 NEGATIVE_MS, MOST_BACK_OFF_MS = 300_000, 300_000
 FOREVER = 1 << 60
+#: Rows that are handed on together.
+ROWS = 10_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -196,8 +198,12 @@ def _output(rule, key: str, kind: str) -> str:
 
 
 def _frame(rule, key, out: list, name: str) -> pd.DataFrame:
+    return _rows(rule, [(key, *x) for x in out], name)
+
+
+def _rows(rule, out: list, name: str) -> pd.DataFrame:
     columns = [name, "at", *(c.split()[0] for c in rule.OUTPUT.split(", "))]
-    rows = pd.DataFrame([(key, *x) for x in out], columns=columns)
+    rows = pd.DataFrame(out, columns=columns)
     rows["at"] = pd.to_datetime(rows["at"], unit="ms")
     return rows
 
@@ -268,29 +274,40 @@ def as_stream(rule, events: DataFrame, key: str, late: str = "1 minute") -> Data
     return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Folded(rule, key), outputStructType=_output(rule, key, dict(events.dtypes)[key]), outputMode="Append", timeMode="EventTime")
 
 
-def over_table(rule, events: DataFrame, key: str, until: datetime | None = None) -> DataFrame:
-    """The same over a table; what is due by ``until`` (by default the last event of any key) has fired.
+def _plain(column: pd.Series) -> list:
+    """Plain values, whole numbers as such, None for what is absent."""
+    gone = column.isna()
+    return [None if g else int(x) if isinstance(x, float) else x for x, g in zip(column.tolist(), gone, strict=True)] if gone.any() else column.tolist()
 
-    A key's events stream by in order: only its state is held."""
-    end = _ms(until) if until is not None else events.agg(F.max(F.unix_millis("at"))).first()[0] or 0
-    kind = dict(events.dtypes)[key]
+
+def streamed(rule, key: str, end: int):
+    """The rows of a rule over batches of events in order by key and time, fired up to ``end``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
+        now, state, out = None, None, []
         for batch in batches:
-            out = []
-            for name, ms, seq, what, text, value in batch.itertuples(index=False):
+            for name, *event in zip(*(_plain(batch[c]) for c in batch), strict=True):
                 if state is None or name != now:
                     if state is not None:
-                        out.append(_frame(rule, now, advance(rule, state, end)[1], key))
+                        out += [(now, *x) for x in advance(rule, state, end)[1]]
                     now, state = name, rule.EMPTY
-                state, more = fold(rule, state, [(int(ms), seq, what, None if pd.isna(text) else text, None if pd.isna(value) else int(value))], int(ms) - 1)
-                if more:
-                    out.append(_frame(rule, now, more, key))
-            if out:
-                yield pd.concat(out)
+                state, more = fold(rule, state, [event], event[0] - 1)
+                out += [(now, *x) for x in more]
+                if len(out) >= ROWS:  # one frame for many rows: a frame costs more than the fold
+                    yield _rows(rule, out, key)
+                    out = []
         if state is not None:
-            yield _frame(rule, now, advance(rule, state, end)[1], key)
+            yield _rows(rule, [*out, *((now, *x) for x in advance(rule, state, end)[1])], key)
+
+    return run
+
+
+def over_table(rule, events: DataFrame, key: str, until: datetime | None = None) -> DataFrame:
+    """The same over a table; what is due by ``until`` (by default the last event of any key) has fired.
+
+    A key's events stream by in order: only its state is held."""
+    end = _ms(until) if until is not None else events.agg(F.max(F.unix_millis("at"))).first()[0] or 0
+    kind = dict(events.dtypes)[key]
 
     rows = _told(events, key).repartition(key).sortWithinPartitions(key, "ms", "seq").select(key, "ms", "seq", "kind", "text", "value")
-    return rows.mapInPandas(run, _output(rule, key, kind))
+    return rows.mapInPandas(streamed(rule, key, end), _output(rule, key, kind))
