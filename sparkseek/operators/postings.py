@@ -1,10 +1,11 @@
 """Stored postings: texts are tokenised once, when they are indexed; queries read blocks of postings.
 
-Documents are dealt into blocks of bounded size by the number of their tokens, so the documents of a block are
-about equally long.  A block has one row with its documents (keys in order, sizes), and one row for each of
-its terms: the documents that have it, their field-weighted counts, their places (packed as bytes), and two bounds, the largest
-count and the least size.  The rows of terms are written by bucket of the term, sorted by it, so a query reads the buckets of its
-terms and, within them, the row groups that can hold them.
+Texts are shuffled once, as they are; what is made of them is written by the task that makes it.  Each task deals its
+documents, in the order of their lengths, into blocks of bounded size, so the documents of a block are about equally
+long.  A block has one row with its documents (keys in order, sizes), and one row for each of its terms: the documents
+that have it, their field-weighted counts, their places (packed as bytes), and two bounds, the largest count and the least
+size.  The rows of terms are written by bucket of the term, sorted by it within a file, so a query reads the buckets of
+its terms; the rows of documents are a bucket of their own.
 
 A batch of queries is answered in two steps over what its terms select.  The first counts the documents of
 each phrase and takes the bounds by phrase and block.  With the frequencies known, the bounds say what the
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 
@@ -35,13 +37,15 @@ from ..sources.scratch import scratch_path, scratch_table
 # BM25's constants.
 K1, B = 1.2, 0.75
 #: Documents and tokens of a block at most (one larger document is a block by itself), and buckets of terms.
-DOCS, TOKENS, BUCKETS = 2048, 4_000_000, 16
+DOCS, TOKENS, BUCKETS = 2048, 1_000_000, 16
+#: The bucket of the rows of documents; bytes of a batch of texts at most (one larger text is a batch by itself).
+NO_TERM, BATCH_BYTES = -1, 16 << 20
 #: Rows that are sent to every executor at most; queries answered together; blocks in which a query is scored first.
 SMALL, QUERIES, FIRST = 500_000, 20_000, 16
 #: What the packed columns hold.
-STORED_AS = {"docs": np.int32, "f": np.float64, "counts": np.int32, "places": np.int64}
-#: A place is a field's number and a position in it.
-FIELD_BITS = 40
+STORED_AS = {"docs": np.uint16, "f": np.float64, "counts": np.int32, "places": np.uint32}
+#: A place is a field's number and a position in it; with its document before it, it is a code.
+FIELD_BITS, PLACE_BITS = 29, 32
 
 
 @lru_cache(1 << 18)
@@ -74,8 +78,8 @@ def _block(block: int, keys: pa.Array, fields: list[pa.Array], weights: list[flo
     for f, lists in enumerate(fields):
         n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
         sizes[rank] += n
-        docs.append(np.repeat(rank, n))
-        places.append((f << FIELD_BITS) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        docs.append(np.repeat(rank.astype(np.int32), n))
+        places.append(((f << FIELD_BITS) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32))
         value.append(np.full(n.sum(), weights[f]))
         terms.append(lists.flatten())
     names = ["block", "term", "docs", "f", "counts", "places", "most", "least", "keys", "sizes"]
@@ -97,7 +101,7 @@ def _block(block: int, keys: pa.Array, fields: list[pa.Array], weights: list[flo
     place_of = np.empty(len(by_name), np.int64)
     place_of[np.asarray(by_name)] = np.arange(len(by_name))
     code, doc, place, value = place_of[np.asarray(said.indices)], np.concatenate(docs), np.concatenate(places), np.concatenate(value)
-    at = np.lexsort((place, doc, code))
+    at = np.argsort(code * len(keys) + doc, kind="stable")  # the places of a document are in order as they come
     code, doc, place, value = code[at], doc[at], place[at], value[at]
     first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))))  # of a term's document
     f, counts = np.add.reduceat(value, first), np.diff(np.append(first, len(code)))
@@ -106,20 +110,33 @@ def _block(block: int, keys: pa.Array, fields: list[pa.Array], weights: list[flo
     most, least = np.maximum.reduceat(f, begin), np.minimum.reduceat(sizes[doc[first]], begin)
     n = len(begin)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, block)), said.dictionary.take(by_name), packed(doc[first].astype(np.int32), n_docs), packed(f, n_docs), packed(counts.astype(np.int32), n_docs), packed(place, n_places), pa.array(most), pa.array(least), none(n, pa.list_(keys.type)), none(n, longs)], names,
+        [pa.array(np.full(n, block)), said.dictionary.take(by_name), packed(doc[first].astype(np.uint16), n_docs), packed(f, n_docs), packed(counts.astype(np.int32), n_docs), packed(place, n_places), pa.array(most), pa.array(least), none(n, pa.list_(keys.type)), none(n, longs)], names,
     )
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a plan runs, its batches for Python are bounded by their bytes too: texts in the order of their lengths
+    make batches of nothing but long ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write(rows: DataFrame, key: str, fields: list[str], stem: bool, path: str, weights: dict[str, float] | None = None) -> int:
-    """Indexes rows (key, one column a field) as a new segment at ``path``; returns the number of rows.
+    """Indexes rows (key, one column a field, eight at most) as a new segment at ``path``; returns the number of rows.
     Keys are distinct; null texts have no words."""
     from .lexical import PLAIN, TOKEN, WEIGHTS
 
     weigh = [(weights or WEIGHTS)[f] for f in fields]
-    found = [F.regexp_extract_all(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(TOKEN if stem else PLAIN)) for f in fields]
     names = [f"w{i}" for i in range(len(fields))]
-    told = rows.select(F.col(key).alias("key"), *((stemmed_lists(w) if stem else w).alias(n) for w, n in zip(found, names, strict=True)))
-    told = scratch_table(told.withColumn("size", sum((F.size(n) for n in names), F.lit(0)).cast("long")), "words")
+    texts = [F.coalesce(F.col(f), F.lit("")).alias(n) for f, n in zip(fields, names, strict=True)]
+    dealt = rows.select(F.col(key).alias("key"), *texts).withColumn("size", sum((F.length(n) for n in names), F.lit(0))).repartition("key").sortWithinPartitions("size", "key")
+    found = [F.regexp_extract_all(F.lower(n), F.lit(TOKEN if stem else PLAIN)).alias(n) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -131,7 +148,9 @@ def write(rows: DataFrame, key: str, fields: list[str], stem: bool, path: str, w
             yield from _block(block, t.column("key").chunk(0), [t.column(n).chunk(0) for n in names], weigh)
 
         for batch in batches:
-            size = np.cumsum(np.asarray(batch.column("size")))
+            lists = [_stemmed_lists(batch.column(n)) if stem else batch.column(n) for n in names]
+            batch = pa.RecordBatch.from_arrays([batch.column("key"), *lists], ["key", *names])
+            size = np.cumsum(sum(np.asarray(pc.list_value_length(x)).astype(np.int64) for x in lists))
             at = 0
             while at < batch.num_rows:
                 base = size[at - 1] if at else 0
@@ -148,15 +167,20 @@ def write(rows: DataFrame, key: str, fields: list[str], stem: bool, path: str, w
         if docs:
             yield from full()
 
-    kind = dict(told.dtypes)["key"]
-    schema = f"block long, term string, docs binary, f binary, counts binary, places binary, most double, least long, keys array<{kind}>, sizes array<long>"
-    blocks = scratch_table(told.repartitionByRange("size", "key").sortWithinPartitions("size", "key").mapInArrow(run, schema), "blocks")
+    kind = dict(dealt.dtypes)["key"]
+    bucket = F.when(F.col("term").isNull(), NO_TERM).otherwise(bucket_of(F.col("term")))
+    blocks = dealt.select("key", *found).mapInArrow(run, f"{POSTINGS}, keys array<{kind}>, sizes array<long>").withColumn("bucket", bucket)
     spark = rows.sparkSession
-    blocks.where("term is null").select("block", "keys", "sizes").write.parquet(f"{path}/docs")
-    terms = blocks.where("term is not null").drop("keys", "sizes").withColumn("bucket", bucket_of(F.col("term")))
-    terms.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    blocks.where("term is not null").select("term").distinct().write.parquet(f"{path}/terms")
-    return spark.read.parquet(f"{path}/docs").agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    with _small_batches(spark):
+        blocks.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(path)
+    return _docs(spark, path, kind).agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+
+
+POSTINGS = "block long, term string, docs binary, f binary, counts binary, places binary, most double, least long"
+
+
+def _docs(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"block long, keys array<{kind}>, sizes array<long>, bucket int").parquet(path).where(F.col("bucket") == NO_TERM).drop("bucket")
 
 
 def bucket_of(term: Column) -> Column:
@@ -216,11 +240,11 @@ class Held:
             for i in spans[0]:
                 f[self._of("docs", i)] += self._of("f", i)
         else:
-            codes = [np.concatenate([(np.repeat(self._of("docs", i).astype(np.int64), self._of("counts", i)) << FIELD_BITS + 4) + self._of("places", i) for i in s]) for s in spans]
+            codes = [np.concatenate([(np.repeat(self._of("docs", i).astype(np.int64), self._of("counts", i)) << PLACE_BITS) + self._of("places", i) for i in s]) for s in spans]
             at = codes[0]
             for j, c in enumerate(codes[1:], 1):
                 at = at[np.isin(at + j, c)]
-            f = np.bincount(at >> FIELD_BITS + 4, self.weights[(at >> FIELD_BITS) & 15], self.n_docs)
+            f = np.bincount(at >> PLACE_BITS, self.weights[(at >> FIELD_BITS) & 7], self.n_docs)
         docs = np.flatnonzero((f > 0) & self.live)
         own = [self.bound[i] for i in spans[0]]
         return docs, f[docs], sum(m for m, _ in own), min(x for _, x in own)
@@ -229,11 +253,10 @@ class Held:
 @dataclass
 class Stored:
     """Stored postings of one or more segments.  docs: (block, keys, sizes, dead); postings: (block, bucket,
-    term, ..); vocabulary: (term) of each segment.  name: what the key is called in results."""
+    term, ..).  name: what the key is called in results."""
 
     docs: DataFrame
     postings: DataFrame
-    vocabulary: DataFrame
     stem: bool
     name: str = "key"
     weights: list[float] = field(default_factory=list)
@@ -246,17 +269,15 @@ class Stored:
         docs, terms = [], []
         for i, (path, gone) in enumerate(segments):
             here = F.col("block") + (i << 48)
-            d = spark.read.schema(f"block long, keys array<{kind}>, sizes array<long>").parquet(f"{path}/docs").withColumn("block", here)
+            d = _docs(spark, path, kind).withColumn("block", here)
             dead = F.array().cast("array<int>")
             if gone is not None:
                 lost = d.select("block", F.posexplode("keys").alias("doc", "key")).join(gone, "key", "left_semi").groupBy("block").agg(F.collect_list("doc").cast("array<int>").alias("dead"))  # of a block's documents
                 d = d.join(lost, "block", "left")
                 dead = F.coalesce("dead", dead)
             docs.append(d.select("block", "keys", "sizes", dead.alias("dead")))
-            schema = "block long, term string, docs binary, f binary, counts binary, places binary, most double, least long, bucket int"
-            terms.append(spark.read.schema(schema).parquet(f"{path}/postings").withColumn("block", here))
-        words = spark.read.schema("term string").parquet(*(f"{path}/terms" for path, _ in segments))
-        return cls(reduce(DataFrame.unionByName, docs), reduce(DataFrame.unionByName, terms), words, stem, name, weights or list(WEIGHTS.values()))
+            terms.append(spark.read.schema(f"{POSTINGS}, bucket int").parquet(path).where(F.col("bucket") != NO_TERM).withColumn("block", here))
+        return cls(reduce(DataFrame.unionByName, docs), reduce(DataFrame.unionByName, terms), stem, name, weights or list(WEIGHTS.values()))
 
     def totals(self) -> tuple[int, float]:
         """Number and mean size of the live documents."""
@@ -274,7 +295,7 @@ class Stored:
         if begun:
             lengths = sorted({len(p) for p in begun})
             cut = F.array(*(F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths))
-            meant = self.vocabulary.select("term", F.explode(F.array_compact(cut)).alias("p")).join(F.broadcast(spark.createDataFrame([(p,) for p in begun], "p string")), "p", "left_semi")
+            meant = self.postings.select("term", F.explode(F.array_compact(cut)).alias("p")).join(F.broadcast(spark.createDataFrame([(p,) for p in begun], "p string")), "p", "left_semi")
             terms = scratch_table(terms.union(meant.select("term")).distinct(), "terms")
         buckets = [r[0] for r in terms.select(bucket_of(F.col("term"))).distinct().collect()]
         small = len(exact) <= SMALL if not begun else terms.count() <= SMALL

@@ -97,6 +97,20 @@ def test_bounds_leave_blocks_out(spark, monkeypatch):
     assert 0 < seen["bounds"].where(F.col("bound") < reached).count() and seen["first"].count() >= 5
 
 
+def test_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """The words and the postings of texts are not tables of their own on the way: the task that reads a text writes them."""
+    monkeypatch.setattr(postings, "scratch_table", lambda df, name: pytest.fail(f"{name} is written"))
+    rows = corpus(60) + [("long", "", "pipe list " * 3000)]
+    path = f"file://{tmp_path}/s"
+    assert postings.write(spark.createDataFrame(rows, "key string, name string, details string"), "key", FIELDS, False, path) == 61
+    kept = spark.read.parquet(path)
+    assert kept.where("term is null").selectExpr("explode(keys)").count() == 61
+    # two bytes a document, four a place
+    row = kept.where("term = 'pipe'").selectExpr("sum(length(docs)) / sum(length(counts)) as docs", "sum(length(places)) as places").first()
+    said = sum(len(re.findall(r"\bpipe\b", f"{a or ''} {b}")) for _, a, b in rows)
+    assert row["docs"] == 0.5 and row["places"] == 4 * said
+
+
 def test_segments_and_superseded_documents(spark, tmp_path):
     rows = corpus(90)
     schema = "key string, name string, details string"
