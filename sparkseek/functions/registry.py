@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import arrow_udf, pandas_udf, udtf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from ..operators.embed import BATCH, Embedder
-from ..sources.manifests import ManifestFields
+from ..sources import manifests
 from . import porter
 from .names import initials_prefix
 from .text import _decoded
@@ -54,5 +54,5 @@ def register(spark: SparkSession, embedder: Embedder | None = None, tolerance: f
         made["embed_text"] = embed_text
     for name, f in made.items():
         spark.udf.register(name, f)
-    spark.udtf.register("manifest_fields", udtf(ManifestFields, returnType="path string, value string, position int", useArrow=True))
+    manifests.register(spark)
     return [*made, "manifest_fields"]

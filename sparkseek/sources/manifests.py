@@ -9,10 +9,9 @@ collections, tags and lists directly in lists are values as they are written."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -100,8 +99,14 @@ def parse(text: str) -> list[tuple[str, str | None]]:
 
 
 def _parsed(texts: pa.Array) -> pa.Array:
-    rows = [None if t is None else [{"path": p, "value": v} for p, v in parse(t)] for t in texts.to_pylist()]
-    return pa.array(rows, pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())])))
+    paths, values, at = [], [], [0]
+    for t in texts.to_pylist():
+        for path, value in parse(t or ""):
+            paths.append(path)
+            values.append(value)
+        at.append(len(paths))
+    each = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.string())], ["path", "value"])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), each)
 
 
 def fields(manifests: DataFrame, text: str = "text") -> DataFrame:
@@ -128,9 +133,8 @@ def packages(found: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "name", "publisher", "version", F.regexp_replace(said, r"\s+", " ").alias("text"))
 
 
-class ManifestFields:
-    """The rows of one manifest, for SQL: ``LATERAL manifest_fields(text)``."""
-
-    def eval(self, text: str) -> Iterator[tuple[str, str | None, int]]:
-        for i, (path, value) in enumerate(parse(text or "")):
-            yield path, value, i
+def register(spark: SparkSession) -> None:
+    """The rows of one manifest, for SQL: ``LATERAL manifest_fields(text)``.  A table function of SQL over a function of
+    batches: one of Python is called, and answers in a batch, for each row."""
+    spark.udf.register("manifest_values", arrow_udf(_parsed, FIELDS))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION manifest_fields(text STRING) RETURNS TABLE (path STRING, value STRING, position INT) RETURN SELECT f.path, f.value, position FROM posexplode(manifest_values(text)) AS t(position, f)")

@@ -309,3 +309,19 @@ def test_lines_are_made_once_a_row(spark):
     got = [r[0] for r in rows.select(fusion.stated_in(F.col("pairs"), lines("text"))).collect()]
     assert [[tuple(p) for p in x or []] for x in got] == [[("a", "b"), ("b", "c")], [("b", "a")], []]
     assert made.value == 3
+
+
+def test_coverage_of_all_pairs(spark, monkeypatch):
+    """By batches of texts as row by row, for any number of queries together; no pair is joined."""
+    for name, value in (("QUERIES", 3), ("TOGETHER", 2)):
+        monkeypatch.setattr(fusion, name, value)
+    texts = [(i, None if i == 7 else " ".join(w for j, w in enumerate(("task", "edit", "tex", "of%", "zoo")) if i >> j & 1)) for i in range(32)]
+    asked_for = {1: [("task", 0.5), ("edit", 1.25)], 2: [("te", 2.0), ("of%", 0.25), ("absent", 3.0)], 3: [("task", 1.0)], 4: [("zoo", 0.0), ("tex", 0.0)], 5: [("ask", 1.0), ("oo", 1.0)]}
+    rows = spark.createDataFrame(texts, "id long, m string")
+    weights = spark.createDataFrame([(q, t, w) for q, ts in asked_for.items() for t, w in ts], "qid long, t string, w double")
+    found = fusion.coverages(rows, "id", "m", weights)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    queries = spark.createDataFrame([(q, [t for t, _ in ts], dict(ts)) for q, ts in asked_for.items()], "qid long, terms array<string>, idf map<string,double>")
+    each = rows.crossJoin(queries).select("qid", "id", fusion.coverage(F.col("terms"), F.coalesce("m", F.lit("")), F.col("idf")).alias("coverage"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, each.collect()))

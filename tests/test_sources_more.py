@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkseek.functions import registry
 from sparkseek.operators import fusion
 from sparkseek.operators.embed import HashEmbedder
-from sparkseek.plans import index
+from sparkseek.plans import catalog, index
 from sparkseek.sources import collectors, enrichers, manifests
 from sparkseek.sources.store import IndexStore
 from sparkseek.streaming import state
@@ -153,3 +153,14 @@ def test_builds_in_waves(spark, tmp_path):
     assert index.run_build(halves, found, [], model)["unchanged"] == 8
     by_id = lambda s: {r["id"]: [round(x, 5) for x in r["embedding"]] for r in s.read("entities").join(s.read("vectors"), "vector_ordinal").collect()}
     assert by_id(whole) == by_id(halves)
+
+
+def test_manifests_are_parsed_in_batches(spark, sf):
+    """The table function of SQL is one call of Python a batch, and the parts of one small file are several tasks."""
+    rows = catalog.QUERIES["manifest_fields"](spark, sf)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "UDTF" not in plan and "Join" not in plan
+    assert catalog._manifests(spark, sf).rdd.getNumPartitions() > 1
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "A: 1\nB: ~\n"), (4, "A: 2")], "id int, text string")
+    got = spark.sql("SELECT id, path, value, position FROM {t}, LATERAL manifest_fields(text) ORDER BY id, position", t=texts).collect()
+    assert [tuple(r) for r in got] == [(3, "A", "1", 0), (3, "B", None, 1), (4, "A", "2", 0)]
