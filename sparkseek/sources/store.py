@@ -24,7 +24,7 @@ TEXTS = "texts"
 #: Segments of a table, and the share of its rows that may be superseded, beyond which it is compacted.
 SEGMENTS, SUPERSEDED = 12, 0.3
 #: Keys that are sent to every executor at most; attempts of a writer that others overtake.
-SMALL, ATTEMPTS = 500_000, 5
+SMALL, ATTEMPTS = 50_000, 5
 
 
 @dataclass
@@ -37,6 +37,12 @@ class Edit:
     whole: bool = False
 
 
+def _met(keys: DataFrame, rows: int | None = None) -> DataFrame:
+    """Keys, or rows by key, that a table is joined with: sent to every executor if they are few, else by a shuffle.
+    Nothing is left to the sizes of files, which are a tenth of what the driver would hold."""
+    return F.broadcast(keys) if (keys.count() if rows is None else rows) <= SMALL else keys.hint("merge")
+
+
 def retried(change: Callable) -> Callable:
     """A writer that another overtakes begins again from the new state."""
 
@@ -108,7 +114,7 @@ class IndexStore:
 
     def _gone(self, deletes: list[dict]) -> DataFrame:
         keys = self.spark.read.parquet(*(f"{self.root}/{d['path']}" for d in deletes))
-        return F.broadcast(keys) if sum(d["rows"] for d in deletes) <= SMALL else keys
+        return _met(keys, sum(d["rows"] for d in deletes))
 
     def _table(self, state: dict | None, table: str) -> DataFrame:
         """The live rows of a table."""
@@ -216,14 +222,15 @@ class IndexStore:
         state = self._state()
         ids = scratch_table(entities.select("id").distinct(), "ids")
         old = self._table(state, "entities")
-        ordinals = scratch_table(old.join(ids, "id", "left_semi").select("id", F.col("vector_ordinal").alias("was")), "ordinals")
-        new = entities.withColumnRenamed("vector_ordinal", "own").join(ordinals, "id", "left")
+        named = ids.count()  # no join below has more keys
+        ordinals = scratch_table(old.join(_met(ids, named), "id", "left_semi").select("id", F.col("vector_ordinal").alias("was")), "ordinals")
+        new = entities.withColumnRenamed("vector_ordinal", "own").join(_met(ordinals, named), "id", "left")
         edits = {}
         free = state["meta"].get("next_ordinal")
         if free is None:  # tables that were published whole
             free = 1 + max(-1 if x is None else x for x in (old.agg(F.max("vector_ordinal")).first()[0], self._table(state, "vectors").agg(F.max("vector_ordinal")).first()[0]))
         if vectors is not None:
-            given = scratch_table(vectors.join(ids, "id", "left_semi").join(ordinals, "id", "left"), "given")
+            given = scratch_table(vectors.join(_met(ids, named), "id", "left_semi").join(_met(ordinals, named), "id", "left"), "given")
             fresh = given.where("was is null").select("id")
             # numbered by ranges of ids: counts of the ranges first, then places within each
             ranged = scratch_table(fresh.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "fresh")
@@ -231,10 +238,10 @@ class IndexStore:
             place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
             numbered = ranged.withColumn("place", place).join(F.broadcast(upto), "part").select("id", (F.col("place") + F.col("base") + F.lit(free - 1)).cast("int").alias("next"))
             numbered = scratch_table(numbered, "numbered")
-            own = given.join(numbered, "id", "left").select("id", F.coalesce("was", "next").alias("vector_ordinal"), F.col("embedding").cast("array<float>").alias("embedding"))
+            own = given.join(_met(numbered, named), "id", "left").select("id", F.coalesce("was", "next").alias("vector_ordinal"), F.col("embedding").cast("array<float>").alias("embedding"))
             own = scratch_table(own, "vectors")
-            edits["vectors"] = Edit(own.select("vector_ordinal", "embedding"), ordinals.where("was is not null").join(own.select("id"), "id", "left_semi").select("was"))
-            new = new.join(own.select("id", F.col("vector_ordinal").alias("got")), "id", "left")
+            edits["vectors"] = Edit(own.select("vector_ordinal", "embedding"), ordinals.where("was is not null").join(_met(own.select("id"), named), "id", "left_semi").select("was"))
+            new = new.join(_met(own.select("id", F.col("vector_ordinal").alias("got")), named), "id", "left")
         else:
             new = new.withColumn("got", F.lit(None).cast("int"))
         new = scratch_table(new.withColumn("vector_ordinal", F.coalesce("got", "own", "was")).select(*old.columns), "new")
@@ -263,7 +270,7 @@ class IndexStore:
         state = self._state()
         rows = self._table(state, "documents")
         touched = scratch_table(rows.where("is_online").select("entity_id").distinct(), "touched")
-        kept = rows.where("not is_online").join(touched, "entity_id", "left_semi")
+        kept = rows.where("not is_online").join(_met(touched), "entity_id", "left_semi")
         return self._commit(state, {"documents": Edit(kept.select(*TABLES["documents"].names), touched)})
 
     def documents_by_entity(self) -> DataFrame:
@@ -303,7 +310,7 @@ class IndexStore:
         """Adds launches (entity_id, at) to the usage table; only the rows of what was launched are written."""
         state = self._state()
         touched = scratch_table(launches.select("entity_id").distinct(), "launched")
-        before = self._table(state, "usage_stats").join(touched, "entity_id", "left_semi")
+        before = self._table(state, "usage_stats").join(_met(touched), "entity_id", "left_semi")
         self._commit(state, {"usage_stats": Edit(record_launches(before, launches).select(*TABLES["usage_stats"].names), touched)})
         self.compact()
 
@@ -313,5 +320,5 @@ class IndexStore:
 
 def projected(entities: DataFrame, profiles: DataFrame) -> DataFrame:
     """The text of entities that is indexed, by field and key."""
-    both = entities.select(F.col("id").alias("key"), "display_name", "publisher").join(profiles.withColumnRenamed("entity_id", "key"), "key", "left")
+    both = entities.select(F.col("id").alias("key"), "display_name", "publisher").join(profiles.withColumnRenamed("entity_id", "key").hint("merge"), "key", "left")
     return lexical.projection(both, "key")

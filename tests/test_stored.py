@@ -16,6 +16,7 @@ from sparkseek.functions import names
 from sparkseek.operators import build, lexical, postings
 from sparkseek.plans import search
 from sparkseek.schema import DOCUMENTS, ENTITIES, PROFILES, RankingOptions
+from sparkseek.sources import store as store_module
 from sparkseek.sources.log import Conflict, Log
 from sparkseek.sources.store import IndexStore
 
@@ -311,3 +312,23 @@ def test_one_large_group_is_spread_over_tasks(spark):
     out = build.greedy_groups(rows, ["rank"]).withColumn("task", F.spark_partition_id())
     assert out.count() == n and out.where("id < survivor").count() == 0
     assert out.groupBy("task").count().agg(F.max("count")).first()[0] < 0.8 * n
+
+
+def test_many_keys_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    """Files of keys are small, their rows are not: beyond a number of rows tables meet by a shuffle."""
+    monkeypatch.setattr(store_module, "SMALL", 3)
+    store = IndexStore(spark, f"file://{tmp_path}/s")
+    store.initialize("m", 2)
+    ids = spark.range(40).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"))
+    ents = lambda rows, said: rows.select("id", F.lit(said).alias("display_name"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in ENTITIES if f.name not in ("id", "display_name"))).select(*ENTITIES.names)
+    docs, profiles = spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], PROFILES)
+    vectors = lambda rows: rows.select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    store.upsert(ents(ids, "old"), docs, profiles, vectors(ids))
+    again = ids.where("id like 'e1%'")
+    store.upsert(ents(again, "new"), docs, profiles, vectors(again))
+    store.remove(ids.where("id like '%7'"))
+    plan = store.read("entities")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "BroadcastHashJoin" not in plan
+    got = {r["id"]: (r["display_name"], r["vector_ordinal"]) for r in store.read("entities").collect()}
+    assert {k: v[0] for k, v in got.items()} == {f"e{i}": "new" if str(i).startswith("1") else "old" for i in range(40) if i % 10 != 7}
+    assert len({v[1] for v in got.values()}) == len(got) == 36 and store.read("vectors").count() == 40
