@@ -112,6 +112,24 @@ def test_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert row["docs"] == 0.5 and row["places"] == 4 * said
 
 
+def test_batches_of_long_texts_are_bounded(spark, tmp_path, monkeypatch):
+    """Texts come in the order of their lengths, so a batch of so many rows may hold nothing but the longest: with stems
+    too, batches are bounded by bytes while texts are indexed, and as before afterwards."""
+    monkeypatch.setattr(postings, "scratch_table", lambda df, name: pytest.fail(f"{name} is written"))
+    monkeypatch.setattr(postings, "BATCH_BYTES", 4096)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), postings._small_batches(spark):
+        assert spark.conf.get(name) == "4096"
+        raise ValueError
+    assert spark.conf.get(name) == before
+    rows = [(f"k{i}", "", "editing files " * (10 * i)) for i in range(50)]
+    path = f"file://{tmp_path}/s"
+    postings.write(spark.createDataFrame(rows, "key string, name string, details string"), "key", FIELDS, True, path)
+    got = {r["term"]: r["n"] for r in spark.read.parquet(path).where("term is not null").groupBy("term").agg((F.sum(F.length("places")) / 4).alias("n")).collect()}
+    assert got == {"edit": 10 * 1225, "file": 10 * 1225}
+
+
 def test_segments_and_superseded_documents(spark, tmp_path):
     rows = corpus(90)
     schema = "key string, name string, details string"
