@@ -20,7 +20,7 @@ OPTIONAL = {
 }
 FIELDS = ["name", "summary", "tasks", "synonyms", "details", "publisher", "features"]
 #: Rows that are sent to every executor at most.
-SMALL = 500_000
+SMALL = 100_000
 
 
 def complete(entities: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def literal_arm(queries: DataFrame, entities: DataFrame, o: RankingOptions, df:
         image = F.when(F.coalesce(F.col("launch_kind") != 3, F.lit(True)), image_name(F.col("launch_target"), F.col("display_name")))
         called = called.union(entities.select("key", "display_name", image.alias("name"), F.lit(1).alias("by")).where("name is not null"))
     found = name_matches(queries, called.select("name"), o)
-    hits = found.join(called, "name").groupBy("qid", "key", "display_name").agg(F.max(F.struct("strength", -F.col("by"), "reason")).alias("best")).select("qid", "key", "display_name", "best.strength", "best.reason")
+    hits = _sent(scratch_table(found, "found")).join(called, "name").groupBy("qid", "key", "display_name").agg(F.max(F.struct("strength", -F.col("by"), "reason")).alias("best")).select("qid", "key", "display_name", "best.strength", "best.reason")
     if df is not None:
         word = normalize_name(F.col("query"))
         often = queries.select("qid", "query", word.alias("t")).join(df, "t").select("qid", partial_credibility(F.col("query"), F.col("df"), F.lit(float(total)), o).alias("credible"))
@@ -81,9 +81,9 @@ def stretches(entities: DataFrame) -> DataFrame:
 
 
 def _sent(table: DataFrame, most: int | None = None) -> DataFrame:
-    """A table that grows with the batch of queries, sent to every executor if it has at most ``SMALL`` rows.
-    most: a known bound of their number."""
-    return F.broadcast(table) if (table.count() if most is None else most) <= SMALL else table
+    """A table sent to every executor if it has at most ``SMALL`` rows, else joined by a shuffle, whatever the size of its
+    files.  most: a known bound of their number."""
+    return F.broadcast(table) if (table.count() if most is None else most) <= SMALL else table.hint("merge")
 
 
 def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False, root: str = "C:\\Windows", texts: Stored | None = None, lines: DataFrame | None = None) -> DataFrame:
@@ -94,7 +94,7 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     postings of the entities' projection; lines: their stored :func:`stretches`; without them the texts are
     indexed, and cut, first."""
     o = options or RankingOptions()
-    entities = complete(entities)
+    entities = scratch_table(complete(entities), "entities")  # read several times below
     own = entities.where("embedding is not null").select("key", "embedding")
     asked = queries.where("embedding is not null").select("qid", "embedding")
     near = vector.scores(own, asked, "key", "embedding", floor=max(o.min_vector_score, 1e-9), k=o.candidates_per_arm)
@@ -115,16 +115,21 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     # each arm is used several times below: it is computed once
     vec, lex, names = scratch_table(vec, "vector-arm"), scratch_table(lex, "lexical-arm"), scratch_table(literal_arm(queries, entities, o, df, total), "literal-arm")
     arms = vec.select("qid", "key").union(lex.select("qid", "key")).union(names.select("qid", "key")).distinct()
-    rows = arms.join(vec, ["qid", "key"], "left").join(lex, ["qid", "key"], "left").join(names, ["qid", "key"], "left").join(said, "key").join(_sent(terms, n_queries), "qid")
+    # names alone are not bounded by the number of queries: a query may match any share of them
+    found_by = scratch_table(arms, "arms")
+    n_arms = found_by.count()
+    met = lambda table: _sent(table, n_arms)
+    rows = found_by.join(met(vec), ["qid", "key"], "left").join(met(lex), ["qid", "key"], "left").join(met(names), ["qid", "key"], "left")
+    rows = met(rows).join(said, "key").join(_sent(terms, n_queries), "qid")
     # every candidate's cosine counts as evidence, whether the arm ranked it or not
     cosine = F.round(vector.dot(F.col("embedding"), F.col("asked")), 6)
     rows = rows.join(asked.withColumnRenamed("embedding", "asked"), "qid", "left").withColumn("cosine", cosine).drop("embedding", "asked").withColumn("vector_ranked", F.coalesce("vector_ranked", F.lit(False)))
     pairs = adjacent_pairs(F.col("terms_list"))
     # an entity's stretches of words are cut once, not for every query that finds it
-    cut = lines if lines is not None else scratch_table(stretches(entities.join(arms.select("key").distinct(), "key", "left_semi")), "stretches")
+    cut = lines if lines is not None else scratch_table(stretches(entities.join(met(found_by.select("key").distinct()), "key", "left_semi")), "stretches")
     spoken = terms.where(F.size("terms_list") >= 2).select("qid", pairs.alias("pairs"))
-    stated = arms.join(_sent(spoken, n_queries), "qid").join(cut, "key").select("qid", "key", fusion.stated_in(F.col("pairs"), F.col("lines")).alias("stated"))
-    rows = rows.join(scratch_table(stated, "stated"), ["qid", "key"], "left")
+    stated = met(found_by.join(_sent(spoken, n_queries), "qid")).join(cut, "key").select("qid", "key", fusion.stated_in(F.col("pairs"), F.col("lines")).alias("stated"))
+    rows = rows.join(met(scratch_table(stated, "stated")), ["qid", "key"], "left")
     found = F.col("lexical").isNotNull()
     rows = rows.withColumn("coverage", F.when(found, fusion.coverage(F.col("terms_list"), F.col("match"), F.col("idf"), F.coalesce(fusion.phrased_terms(F.col("stated")), F.array().cast("array<string>")))).otherwise(1.0)).withColumn("terms", F.size("terms_list"))
     rows = rows.withColumn("name_only_lexis", found & fusion.name_only_lexis(F.col("terms_list"), F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"), F.col("details")))
@@ -140,7 +145,7 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     rows = rows.drop("match", "idf", "stated", "terms_list", "tasks", "synonyms", "features", "details", "summary", "launch_target", "icon_source")
     rows = scratch_table(rows, "candidates")
     adj = fusion.tiered_ranks(rows.where("adjacent > 0").select("qid", "key", F.col("adjacent").alias("score")), "key", o.rank_tier_tolerance).select("qid", "key", F.col("tier").alias("adj_tier"))
-    rows = rows.join(adj, ["qid", "key"], "left")
+    rows = rows.join(met(adj), ["qid", "key"], "left")
     usage = fusion.usage_boost(F.col("launch_count"), F.col("last_launched_at"), as_of, o)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     score = zero("vector") + zero("lex_part") + zero("literal") + zero(F.when(F.col("adj_tier").isNotNull(), F.col("adjacent") * fusion.reciprocal(o.adjacency_arm_weight, F.col("adj_tier"), o.rrf_k)))

@@ -16,7 +16,7 @@ from sparkseek.functions.text import FRAMING_WORDS, MORE_STOPWORDS, STOPWORDS
 from sparkseek.operators import fusion, lexical
 from sparkseek.operators.lexical import WEIGHTS
 from sparkseek.operators.postings import indexed
-from sparkseek.plans import search
+from sparkseek.plans import catalog, search
 from sparkseek.schema import RankingOptions
 
 O = RankingOptions()  # noqa: E741
@@ -325,3 +325,15 @@ def test_coverage_of_all_pairs(spark, monkeypatch):
     queries = spark.createDataFrame([(q, [t for t, _ in ts], dict(ts)) for q, ts in asked_for.items()], "qid long, terms array<string>, idf map<string,double>")
     each = rows.crossJoin(queries).select("qid", "id", fusion.coverage(F.col("terms"), F.coalesce("m", F.lit("")), F.col("idf")).alias("coverage"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, each.collect()))
+
+
+def test_candidates_meet_by_a_shuffle(spark, sf, monkeypatch):
+    """A query may match the names of any share of the entities: beyond a number of rows the arms aren't sent anywhere."""
+    plans, keep = [], search.scratch_table
+    monkeypatch.setattr(search, "scratch_table", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or keep(df, name))
+    want = sorted(map(tuple, catalog.QUERIES["hybrid_search"](spark, sf).collect()))
+    monkeypatch.setattr(search, "SMALL", 5)
+    del plans[:]
+    assert sorted(map(tuple, catalog.QUERIES["hybrid_search"](spark, sf).collect())) == want
+    plan = dict(plans)["candidates"]
+    assert "SortMergeJoin [qid" in plan and not re.search(r"BroadcastHashJoin \[qid#\d+L?, key#", plan)
