@@ -330,3 +330,33 @@ def test_rarity_counts_every_document(spark):
     docs = spark.range(256).selectExpr("id as doc_id", "'one two three four' as text")
     level = linededup.rarity(docs)
     assert sorted(level[np.flatnonzero(level)].tolist()) == [9, 9, 9]  # three runs, 2^8 times each
+
+
+def test_blocks_meet_within_edits_and_not_by_pairs_of_words():
+    """Lines within the edits share a block; lines that share pairs of words, but no run of three, share none."""
+    from sparkseek.llm import linededup
+
+    def shown(lines):
+        tokens = linededup._cut(pa.array(["\n".join(lines)]))[0]
+        keys, rows, _ = linededup.first_grams(tokens, np.zeros(linededup.COUNTERS, np.uint8))
+        return [set(keys[rows == i].tolist()) for i in range(len(lines))]
+
+    rng = random.Random(33)
+    for n in (7, 8, 12, 13, 14, 17, 20, 33, 60, 119, 250):
+        lines = []
+        for _ in range(40):
+            line = [f"w{rng.randrange(40)}a" if rng.random() < 0.3 else "v" + "".join(rng.choice("bcdefg") for _ in range(6)) for _ in range(n)]
+            other = list(line)
+            for _ in range(linededup.EDITS * n // 100):
+                at = rng.randrange(len(other))
+                if rng.random() < 0.7:
+                    other[at] = "new" + rng.choice("bcdefg")
+                else:
+                    del other[at]
+            lines += [" ".join(line), " ".join(other)]
+        keys = shown(lines)
+        assert all(keys[i] & keys[i + 1] for i in range(0, len(lines), 2)), n
+    pairs = [(f"p{chr(97 + i)}", f"q{chr(97 + i)}") for i in range(20)]
+    lines = [" ".join(w for i, (a, b) in enumerate(pairs) for w in (a, b, f"own{chr(97 + k)}{chr(97 + i)}")) for k in range(2)]
+    one, other = shown(lines)
+    assert one and other and not one & other
