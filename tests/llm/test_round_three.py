@@ -360,3 +360,15 @@ def test_blocks_meet_within_edits_and_not_by_pairs_of_words():
     lines = [" ".join(w for i, (a, b) in enumerate(pairs) for w in (a, b, f"own{chr(97 + k)}{chr(97 + i)}")) for k in range(2)]
     one, other = shown(lines)
     assert one and other and not one & other
+
+
+def test_quality_batches_are_bounded_by_bytes(spark):
+    """Long texts do not make Arrow batches of any size."""
+    from sparkseek.llm import common, quality
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.range(2000).repartition(1).selectExpr("id as doc_id", "repeat(cast(id + 1000 as string), 3000) as text")
+    quality.keep_good(docs)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r["n"] for r in sizes) <= 2 * common.BATCH_BYTES
