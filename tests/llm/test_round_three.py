@@ -372,3 +372,13 @@ def test_quality_batches_are_bounded_by_bytes(spark):
     quality.keep_good(docs)
     sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
     assert len(sizes) > 1 and max(r["n"] for r in sizes) <= 2 * common.BATCH_BYTES
+
+
+def test_counts_of_ngrams_leave_no_shuffles(spark, monkeypatch):
+    """The shuffles of the counts go once their tables are written, before the next ones are made."""
+    from sparkseek.llm import lmscore
+
+    freed = []
+    monkeypatch.setattr(lmscore, "free_shuffles", freed.append)
+    docs = spark.createDataFrame([(i, "a b c a b c") for i in range(10)], "doc_id long, text string")
+    assert lmscore.score(docs, F.lit(False)).count() == 10 and len(freed) == 2
