@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions import porter
-from ..sources.scratch import scratch_path, scratch_table
+from ..sources.scratch import freed_shuffles, scratch_path, scratch_table
 
 # BM25's constants.
 K1, B = 1.2, 0.75
@@ -171,8 +171,8 @@ def write(rows: DataFrame, key: str, fields: list[str], stem: bool, path: str, w
     bucket = F.when(F.col("term").isNull(), NO_TERM).otherwise(bucket_of(F.col("term")))
     blocks = dealt.select("key", *found).mapInArrow(run, f"{POSTINGS}, keys array<{kind}>, sizes array<long>").withColumn("bucket", bucket)
     spark = rows.sparkSession
-    with _small_batches(spark):
-        blocks.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(path)
+    with _small_batches(spark), freed_shuffles(spark):
+        blocks.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(path, compression="zstd")
     return _docs(spark, path, kind).agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
 
 

@@ -21,6 +21,8 @@ OPTIONAL = {
 FIELDS = ["name", "summary", "tasks", "synonyms", "details", "publisher", "features"]
 #: Rows that are sent to every executor at most.
 SMALL = 100_000
+#: Keys alone that are sent to every executor at most.
+KEYS = 500_000
 
 
 def complete(entities: DataFrame) -> DataFrame:
@@ -75,9 +77,9 @@ def literal_arm(queries: DataFrame, entities: DataFrame, o: RankingOptions, df:
     return hits.withColumn("place", place).select("qid", "key", "strength", "reason", (power * fusion.reciprocal(o.literal_arm_weight, F.col("place"), o.rrf_k)).alias("literal"))
 
 
-def stretches(entities: DataFrame) -> DataFrame:
-    """(key, lines): the stretches of words of all that an entity says, in which neighbours are looked for."""
-    return entities.select("key", fusion.joined_segments(F.concat_ws(". ", "display_name", "summary", "details", "features", F.array_join("tasks", ". "), F.array_join("synonyms", ". "))).alias("lines"))
+def stretches() -> Column:
+    """The stretches of words of all that an entity says, in which neighbours are looked for."""
+    return fusion.joined_segments(F.concat_ws(". ", "display_name", "summary", "details", "features", F.array_join("tasks", ". "), F.array_join("synonyms", ". ")))
 
 
 def _sent(table: DataFrame, most: int | None = None) -> DataFrame:
@@ -86,70 +88,66 @@ def _sent(table: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(table) if (table.count() if most is None else most) <= SMALL else table.hint("merge")
 
 
-def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False, root: str = "C:\\Windows", texts: Stored | None = None, lines: DataFrame | None = None) -> DataFrame:
+def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, options: RankingOptions | None = None, limit: int = 10, stem: bool = True, order_all: bool = False, root: str = "C:\\Windows", texts: Stored | None = None, said: DataFrame | None = None) -> DataFrame:
     """(qid, key, place, score, band, reason, ...) of the entities shown.
 
     entities: key, display_name and the columns of ``OPTIONAL`` (embedding of unit length or null).
     queries: qid, query, embedding.  root: where the system's own files lie.  texts: the stored
-    postings of the entities' projection; lines: their stored :func:`stretches`; without them the texts are
-    indexed, and cut, first."""
+    postings of the entities' projection; said: a stored table of the entities' texts; without them the texts are
+    indexed, and written, first.
+
+    A query may match any share of the names, so candidates are many times the entities: they go without texts, which are
+    read only where they can count."""
     o = options or RankingOptions()
-    entities = scratch_table(complete(entities), "entities")  # read several times below
+    entities = complete(entities)
+    said = complete(said) if said is not None else scratch_table(entities, "said", "zstd")
+    name = F.col("display_name")
+    tasks = F.size(F.coalesce(indexable_tasks(F.col("tasks"), name), F.array().cast("array<string>")))
+    unsaid = indexable_summary(F.col("summary"), name).isNull() & (tasks == 0) & (F.coalesce(F.trim("details"), F.lit("")) == "")
+    component = fusion.system_component(F.col("kind"), F.col("launch_kind"), F.col("launch_target"), F.col("icon_source"), root)
+    short = entities.select("key", "display_name", "source", "launch_kind", "launch_target", "embedding", component.alias("component"), F.coalesce(fusion.usage_boost(F.col("launch_count"), F.col("last_launched_at"), as_of, o), F.lit(0.0)).alias("usage"))
+    entities = scratch_table(short.join(said.select("key", unsaid.alias("name_only_semantics")), "key"), "entities")  # read several times below
     own = entities.where("embedding is not null").select("key", "embedding")
     asked = queries.where("embedding is not null").select("qid", "embedding")
     near = vector.scores(own, asked, "key", "embedding", floor=max(o.min_vector_score, 1e-9), k=o.candidates_per_arm)
     vec = fusion.tiered_ranks(near, "key", o.rank_tier_tolerance)
     vec = vec.select("qid", "key", F.lit(True).alias("vector_ranked"), (fusion.reciprocal(o.vector_arm_weight, F.col("tier"), o.rrf_k) + o.vector_magnitude_weight * F.col("score")).alias("vector"))
-    texts = texts or indexed(lexical.projection(entities, "key"), "key", FIELDS, stem)
+    texts = texts or indexed(lexical.projection(said, "key"), "key", FIELDS, stem)
     bm = texts.bm25(lexical.query_phrases(queries, stem), o.candidates_per_arm)
     lex = fusion.tiered_ranks(bm, "key", o.rank_tier_tolerance).select("qid", "key", F.col("score").alias("lexical"), "tier")
     # weights of the queries' terms alone: a map per query
-    said = entities.withColumn("match", match_text(F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms")))
+    match = match_text(F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"))
     total, n_queries = entities.count(), queries.count()
     terms = queries.select("qid", "query", content_terms(F.col("query")).alias("terms_list"))
     wanted = terms.select(F.explode("terms_list").alias("t")).union(terms.select(normalize_name(F.col("query")))).distinct()
-    df = scratch_table(lexical.document_frequency(said, F.col("match")).withColumnRenamed("word", "t").join(_sent(wanted, 13 * n_queries), "t"), "df")
+    df = scratch_table(lexical.document_frequency(said, match).withColumnRenamed("word", "t").join(_sent(wanted, 13 * n_queries), "t"), "df")
     weights = terms.select("qid", F.explode("terms_list").alias("t")).join(df, "t", "left").select("qid", "t", lexical.idf(F.coalesce("df", F.lit(0)), total).alias("w"))
     weights = weights.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("idf"))
     terms = terms.select("qid", "terms_list").join(weights, "qid", "left").withColumn("idf", F.coalesce("idf", F.create_map().cast("map<string,double>")))
-    # each arm is used several times below: it is computed once
-    vec, lex, names = scratch_table(vec, "vector-arm"), scratch_table(lex, "lexical-arm"), scratch_table(literal_arm(queries, entities, o, df, total), "literal-arm")
-    arms = vec.select("qid", "key").union(lex.select("qid", "key")).union(names.select("qid", "key")).distinct()
-    # names alone are not bounded by the number of queries: a query may match any share of them
-    found_by = scratch_table(arms, "arms")
-    n_arms = found_by.count()
-    met = lambda table: _sent(table, n_arms)
-    rows = found_by.join(met(vec), ["qid", "key"], "left").join(met(lex), ["qid", "key"], "left").join(met(names), ["qid", "key"], "left")
-    rows = met(rows).join(said, "key").join(_sent(terms, n_queries), "qid")
+    terms = scratch_table(terms, "query-terms")
+    # each arm has a row for a query and a key: together they are one
+    names = literal_arm(queries, entities, o, df, total)
+    arms = vec.unionByName(lex, allowMissingColumns=True).unionByName(names, allowMissingColumns=True)
+    found_by = scratch_table(arms.groupBy("qid", "key").agg(*(F.max(c).alias(c) for c in arms.columns if c not in ("qid", "key"))), "arms")
+    rows = _sent(found_by).join(entities.drop("launch_kind", "launch_target"), "key").join(_sent(terms.select("qid", F.size("terms_list").alias("terms")), n_queries), "qid")
     # every candidate's cosine counts as evidence, whether the arm ranked it or not
     cosine = F.round(vector.dot(F.col("embedding"), F.col("asked")), 6)
-    rows = rows.join(asked.withColumnRenamed("embedding", "asked"), "qid", "left").withColumn("cosine", cosine).drop("embedding", "asked").withColumn("vector_ranked", F.coalesce("vector_ranked", F.lit(False)))
-    pairs = adjacent_pairs(F.col("terms_list"))
-    # an entity's stretches of words are cut once, not for every query that finds it
-    cut = lines if lines is not None else scratch_table(stretches(entities.join(met(found_by.select("key").distinct()), "key", "left_semi")), "stretches")
-    spoken = terms.where(F.size("terms_list") >= 2).select("qid", pairs.alias("pairs"))
-    stated = met(found_by.join(_sent(spoken, n_queries), "qid")).join(cut, "key").select("qid", "key", fusion.stated_in(F.col("pairs"), F.col("lines")).alias("stated"))
-    rows = rows.join(met(scratch_table(stated, "stated")), ["qid", "key"], "left")
+    rows = rows.join(_sent(asked.withColumnRenamed("embedding", "asked"), n_queries), "qid", "left").withColumn("cosine", cosine).drop("embedding", "asked").withColumn("vector_ranked", F.coalesce("vector_ranked", F.lit(False)))
+    rows = scratch_table(rows, "candidates")
+    leads = scratch_table(rows.groupBy("qid").agg(F.max("lexical").alias("lead_lex"), F.coalesce(F.max("cosine"), F.lit(0.0)).alias("lead_cos")), "leads")
     found = F.col("lexical").isNotNull()
-    rows = rows.withColumn("coverage", F.when(found, fusion.coverage(F.col("terms_list"), F.col("match"), F.col("idf"), F.coalesce(fusion.phrased_terms(F.col("stated")), F.array().cast("array<string>")))).otherwise(1.0)).withColumn("terms", F.size("terms_list"))
-    rows = rows.withColumn("name_only_lexis", found & fusion.name_only_lexis(F.col("terms_list"), F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"), F.col("details")))
-    name = F.col("display_name")
-    tasks = F.size(F.coalesce(indexable_tasks(F.col("tasks"), name), F.array().cast("array<string>")))
-    rows = rows.withColumn("name_only_semantics", indexable_summary(F.col("summary"), name).isNull() & (tasks == 0) & (F.coalesce(F.trim("details"), F.lit("")) == ""))
-    rows = rows.withColumn("component", fusion.system_component(F.col("kind"), F.col("launch_kind"), F.col("launch_target"), F.col("icon_source"), root))
-    top = Window.partitionBy("qid")
-    rows = rows.withColumn("lead_lex", F.max("lexical").over(top)).withColumn("lead_cos", F.coalesce(F.max("cosine").over(top), F.lit(0.0)))
-    rows = rows.withColumn("lex_part", F.when(F.col("lexical") >= o.min_lexical_contribution_ratio * F.col("lead_lex"), F.col("coverage") * fusion.reciprocal(o.lexical_arm_weight, F.col("tier"), o.rrf_k)))
     agreed = F.when(F.col("lead_cos") > 0, F.least(F.greatest(F.coalesce("cosine", F.lit(0.0)) / F.col("lead_cos"), F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
-    rows = rows.withColumn("adjacent", F.when(F.col("terms") >= 2, fusion.adjacency_strength(pairs, F.col("stated"), F.col("idf")) * agreed).otherwise(0.0))
-    rows = rows.drop("match", "idf", "stated", "terms_list", "tasks", "synonyms", "features", "details", "summary", "launch_target", "icon_source")
-    rows = scratch_table(rows, "candidates")
-    adj = fusion.tiered_ranks(rows.where("adjacent > 0").select("qid", "key", F.col("adjacent").alias("score")), "key", o.rank_tier_tolerance).select("qid", "key", F.col("tier").alias("adj_tier"))
-    rows = rows.join(met(adj), ["qid", "key"], "left")
-    usage = fusion.usage_boost(F.col("launch_count"), F.col("last_launched_at"), as_of, o)
+    rows = rows.join(_sent(leads, n_queries), "qid").withColumn("agreed", agreed)
+    told = scratch_table(evidence(rows.where((F.col("terms") >= 2) & (found | (F.col("agreed") > 0))).select("qid", "key", found.alias("found"), "agreed"), said, terms, n_queries), "evidence")
+    n_told = told.count()
+    adj = fusion.tiered_ranks(told.where("adjacent > 0").select("qid", "key", F.col("adjacent").alias("score")), "key", o.rank_tier_tolerance).select("qid", "key", F.col("tier").alias("adj_tier"))
+    told = told.join(_sent(adj, n_told), ["qid", "key"], "left")
+    rows = rows.drop("agreed").join(_sent(told, n_told), ["qid", "key"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(1.0))).withColumn("name_only_lexis", F.coalesce("name_only_lexis", F.lit(False)))
+    rows = rows.withColumn("lex_part", F.when(F.col("lexical") >= o.min_lexical_contribution_ratio * F.col("lead_lex"), F.col("coverage") * fusion.reciprocal(o.lexical_arm_weight, F.col("tier"), o.rrf_k)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     score = zero("vector") + zero("lex_part") + zero("literal") + zero(F.when(F.col("adj_tier").isNotNull(), F.col("adjacent") * fusion.reciprocal(o.adjacency_arm_weight, F.col("adj_tier"), o.rrf_k)))
-    rows = rows.withColumn("usage", zero(usage)).withColumn("score", fusion.penalised(score, F.col("source"), F.col("usage"), o))
+    rows = rows.withColumn("score", fusion.penalised(score, F.col("source"), F.col("usage"), o)).drop("lead_lex", "lead_cos", "adjacent", "adj_tier", "tier", "source", "usage")
+    rows = scratch_table(rows, "scored")
     arm = rows.withColumnRenamed("literal", "literal_part").withColumn("literal", F.col("strength"))
     shown = fusion.leaders(arm).withColumn("shown", fusion.surfaces(o))
     shown = shown if order_all else shown.where("shown")
@@ -158,6 +156,34 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, as_of: Column, option
     return out.select("qid", "key", "place", "score", "band", "cosine", "lexical", "coverage", "strength", "component", "why")
 
 
+def evidence(asks: DataFrame, said: DataFrame, terms: DataFrame, n_queries: int) -> DataFrame:
+    """(qid, key, coverage, name_only_lexis, adjacent) of what the texts of asks (qid, key, found, agreed) say otherwise
+    than nothing: covered as a whole, not by name alone, no neighbours.
+
+    The queries of an entity meet its texts in one row, where its stretches of words are cut once; no text is shuffled but to
+    meet them, and none if the entities asked for are few."""
+    few = n_queries <= SMALL
+    with_terms = lambda rows: rows.join(_sent(terms, n_queries), "qid")
+    asks = scratch_table(asks, "asks")
+    by_key = scratch_table(asks.select("key").distinct(), "asked-keys")
+    each = asks if few else with_terms(asks)
+    lists = each.groupBy("key").agg(F.collect_list(F.struct(*each.drop("key").columns)).alias("asks"))
+    wide = said.select("key", "display_name", "summary", "tasks", "synonyms", "details", "features")
+    n_keys = by_key.count()
+    wide = wide.join(F.broadcast(by_key), "key", "left_semi") if SMALL < n_keys <= KEYS else wide
+    match = match_text(F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"))
+    rows = wide.join(_sent(lists, asks.count()), "key").withColumn("match", match).withColumn("lines", stretches()).drop("features")
+    rows = rows.select("*", F.inline("asks")).drop("asks")
+    rows = with_terms(rows) if few else rows
+    pairs, one = adjacent_pairs(F.col("terms_list")), F.array().cast("array<string>")
+    rows = rows.withColumn("stated", fusion.stated_in(pairs, F.col("lines")))
+    covered = fusion.coverage(F.col("terms_list"), F.col("match"), F.col("idf"), F.coalesce(fusion.phrased_terms(F.col("stated")), one))
+    alone = fusion.name_only_lexis(F.col("terms_list"), F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"), F.col("details"))
+    beside = fusion.adjacency_strength(pairs, F.col("stated"), F.col("idf")) * F.col("agreed")
+    rows = rows.select("qid", "key", F.when(F.col("found"), covered).otherwise(1.0).alias("coverage"), F.when(F.col("found"), alone).otherwise(False).alias("name_only_lexis"), beside.alias("adjacent"))
+    return rows.where("coverage <> 1 or name_only_lexis or adjacent > 0")
+
+
 def with_text(hits: DataFrame, entities: DataFrame) -> DataFrame:
     """Hits with what is shown of them: tasks that say more than the name, details that are no
     boilerplate of the index."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import re
+import time
 from datetime import datetime
 
 import numpy as np
@@ -18,6 +20,7 @@ from sparkseek.operators.lexical import WEIGHTS
 from sparkseek.operators.postings import indexed
 from sparkseek.plans import catalog, search
 from sparkseek.schema import RankingOptions
+from sparkseek.sources.scratch import scratch_table
 
 O = RankingOptions()  # noqa: E741
 NOW = datetime(2024, 2, 1)
@@ -337,3 +340,33 @@ def test_candidates_meet_by_a_shuffle(spark, sf, monkeypatch):
     assert sorted(map(tuple, catalog.QUERIES["hybrid_search"](spark, sf).collect())) == want
     plan = dict(plans)["candidates"]
     assert "SortMergeJoin [qid" in plan and not re.search(r"BroadcastHashJoin \[qid#\d+L?, key#", plan)
+
+
+def test_texts_do_not_go_with_candidates(spark, monkeypatch):
+    """What a search shuffles does not grow by an entity's texts with each query that matches its name; the hits are those
+    of tables that are sent."""
+    n, n_queries = 60, 24
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{x:08x}" for x in rng.integers(0, 1 << 32, 1500)) + (". blue bolt of it." if k % 3 else ".") for k in range(n)]
+    rows = [(k, f"blue bolt {k}", None, ["fit it"], None, texts[k], None, "a", "app", 0, 0, None, unit(1, k % 5, 0) if k % 4 == 0 else None, k % 3) for k in range(n)]
+    entities = spark.createDataFrame(rows, COLUMNS)
+    queries = spark.createDataFrame([(i, "blue bolt"[: 9 - i % 3], unit(1, 0.1 * i, 0.2) if i % 6 else None) for i in range(n_queries)], "qid long, query string, embedding array<double>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    run = lambda: sorted((r["qid"], r["place"], r["key"], round(r["score"], 9), r["why"]) for r in search.hybrid_search(entities, queries, F.lit(NOW).cast("timestamp")).collect())
+    expected = run()
+    monkeypatch.setattr(search, "SMALL", 0)
+    before, said = written(), sum(map(len, texts))
+    assert run() == expected
+    assert written() - before < 4 * said
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    ours = lambda: {p for p in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in p}
+    before = ours()
+    assert scratch_table(spark.range(2000).groupBy((F.col("id") % 7).alias("k")).count(), "freed").count() == 7
+    made = time.monotonic()
+    while (left := {p for p in ours() - before if p.endswith(".data")}) and time.monotonic() - made < 5:
+        time.sleep(0.1)
+    # the count above has a shuffle of its own, of one row
+    assert sum(os.path.getsize(p) for p in left) < 200
