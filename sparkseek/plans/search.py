@@ -169,10 +169,10 @@ def evidence(asks: DataFrame, said: DataFrame, terms: DataFrame, n_queries: int)
     each = asks if few else with_terms(asks)
     lists = each.groupBy("key").agg(F.collect_list(F.struct(*each.drop("key").columns)).alias("asks"))
     wide = said.select("key", "display_name", "summary", "tasks", "synonyms", "details", "features")
-    n_keys = by_key.count()
-    wide = wide.join(F.broadcast(by_key), "key", "left_semi") if SMALL < n_keys <= KEYS else wide
+    n_asks = asks.count()
+    wide = wide.join(F.broadcast(by_key), "key", "left_semi") if n_asks > SMALL and by_key.count() <= KEYS else wide
     match = match_text(F.col("display_name"), F.col("summary"), F.col("tasks"), F.col("synonyms"))
-    rows = wide.join(_sent(lists, asks.count()), "key").withColumn("match", match).withColumn("lines", stretches()).drop("features")
+    rows = wide.join(_sent(lists, n_asks), "key").withColumn("match", match).withColumn("lines", stretches()).drop("features")
     rows = rows.select("*", F.inline("asks")).drop("asks")
     rows = with_terms(rows) if few else rows
     pairs, one = adjacent_pairs(F.col("terms_list")), F.array().cast("array<string>")
